@@ -112,3 +112,90 @@ def sql_pass_at_k(n: str, c: str, k: int) -> str:
 
 def col_or_name(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
+
+
+# ---------------------------------------------------------------------------
+# Run log with replays (A10), method rows per candidate (D12, D14, E1), candidates
+# ---------------------------------------------------------------------------
+# The run log key is (l_orderkey, l_linenumber), which repeats in
+# lineitem; experiment = 'exp-' || (l_orderkey % 4); an attempt's ingest_seq is its
+# position among the key's rows ordered by the remaining columns. Method rows: one per
+# lineitem, candidate = l_orderkey, method = METHOD_NAMES[l_suppkey % 5],
+# passed = l_discount >= 0.05, score = l_tax. Candidates: orders, task = o_custkey.
+
+LOG_ORDER = ("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity",
+             "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+
+
+def run_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LOG_ORDER)
+    df = li.select(
+        F.concat(F.lit("exp-"), (F.col("l_orderkey") % 4).cast("string")).alias("experiment_id"),
+        F.col("l_orderkey").cast("string").alias("task_id"),
+        F.col("l_linenumber").alias("candidate_idx"),
+        F.col("l_returnflag").alias("model"),
+        F.col("l_extendedprice").alias("latency_ms"),
+        F.when(F.col("l_discount") >= F.lit(0.05), 1).otherwise(0).alias("overall_pass"),
+        F.when(F.col("l_tax") >= F.lit(0.08), F.lit("rate limited")).alias("gen_error"),
+        F.col("l_tax"),
+        F.row_number().over(w).cast("long").alias("ingest_seq"),
+    )
+    return df.withColumn("run_id", run_id_expr("experiment_id", "task_id", "candidate_idx"))
+
+
+def run_log_children(log: DataFrame) -> DataFrame:
+    """Two method rows per attempt: ruff passes when the run passed, pytest when tax < 0.04."""
+    return log.select(
+        "run_id", "ingest_seq", "experiment_id",
+        F.explode(F.array(
+            F.struct(F.lit("ruff").alias("method"), F.col("overall_pass").alias("passed")),
+            F.struct(F.lit("pytest").alias("method"),
+                     F.when(F.col("l_tax") < F.lit(0.04), 1).otherwise(0).alias("passed")),
+        )).alias("m"),
+    ).select("run_id", "ingest_seq", "experiment_id", "m.method", "m.passed")
+
+
+def method_rows_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    names = F.array(*[F.lit(m) for m in METHOD_NAMES])
+    return li.select(
+        F.col("l_orderkey").cast("string").alias("run_id"),
+        F.element_at(names, (F.col("l_suppkey") % 5 + 1).cast("int")).alias("method"),
+        F.when(F.col("l_discount") >= F.lit(0.05), 1).otherwise(0).alias("passed"),
+        F.col("l_tax").alias("score"),
+    )
+
+
+def candidates_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_custkey").cast("string").alias("task_id"),
+                    F.col("o_orderkey").alias("candidate_idx"),
+                    F.col("o_orderkey").cast("string").alias("run_id"))
+
+
+SQL_VIEWS["RL"] = """
+select 'exp-' || cast(l_orderkey % 4 as varchar) as experiment_id, cast(l_orderkey as varchar) as task_id,
+  l_linenumber as candidate_idx, l_returnflag as model, l_extendedprice as latency_ms,
+  case when l_discount >= cast(0.05 as double) then 1 else 0 end as overall_pass,
+  case when l_tax >= cast(0.08 as double) then 'rate limited' end as gen_error, l_tax,
+  cast(row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_shipdate,
+       l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) as bigint) as ingest_seq
+from lineitem
+"""
+
+SQL_VIEWS["MR"] = """
+select cast(l_orderkey as varchar) as run_id,
+  ['ruff', 'pylint_ros', 'pytest', 'hypothesis', 'z3'][cast(l_suppkey % 5 as integer) + 1] as method,
+  case when l_discount >= cast(0.05 as double) then 1 else 0 end as passed, l_tax as score
+from lineitem
+"""
+
+SQL_VIEWS["CD"] = """
+select cast(o_custkey as varchar) as task_id, o_orderkey as candidate_idx, cast(o_orderkey as varchar) as run_id
+from orders
+"""
+
+
+def sql_run_id(e: str, t: str, i: str) -> str:
+    return f"({e} || '-' || substr(sha1({e} || chr(0) || {t} || chr(0) || cast({i} as varchar)), 1, 16))"
