@@ -199,3 +199,116 @@ from orders
 
 def sql_run_id(e: str, t: str, i: str) -> str:
     return f"({e} || '-' || substr(sha1({e} || chr(0) || {t} || chr(0) || cast({i} as varchar)), 1, 16))"
+
+
+# ---------------------------------------------------------------------------
+# J: JSON-lines task records (A1-A3, B1-B4, I5), X: execution log
+# ---------------------------------------------------------------------------
+# Fixed values of the J binding: one line per part, line number = p_partkey + 1.
+#   difficulty Easy (p_size <= 16), medium (<= 33), EASY (p_size = 49, invalid), else Hard;
+#   ros_concepts null (invalid) for 'old ...' parts with p_size <= 3; no prompt when p_partkey % 29 = 0;
+#   an extra key when p_size = 7; second check kind by p_size % 4: topic_published,
+#   topic_subscribed, parameter_declared, custom_probe.
+#   Line damage by p_partkey: % 23 blank, % 17 cut to 40 chars, % 31 a JSON array,
+#   % 37 trailing junk, % 41 single quotes, % 43 padded with spaces.
+
+def _task_line_cols():
+    k = F.col("p_partkey").cast("string")
+    diff = (F.when(F.col("p_size") == 49, "EASY").when(F.col("p_size") <= 16, "Easy")
+            .when(F.col("p_size") <= 33, "medium").otherwise("Hard"))
+    concepts = F.when(F.col("p_name").startswith("old ") & (F.col("p_size") <= 3), F.lit("null")) \
+        .otherwise(F.concat(F.lit('["'), F.array_join(F.split("p_name", " "), '", "'), F.lit('"]')))
+    prompt = F.when(F.col("p_partkey") % 29 == 0, F.lit("")).otherwise(
+        F.concat(F.lit('"prompt": "class Node'), k, F.lit(':\\n    pass", ')))
+    topic = F.concat(F.lit("/t"), (F.col("p_size") % 5).cast("string"))
+    chk = F.element_at(F.array(*[F.lit(x) for x in ("topic_published", "topic_subscribed",
+                                                     "parameter_declared", "custom_probe")]),
+                       (F.col("p_size") % 4 + 1).cast("int"))
+    extra = F.when(F.col("p_size") == 7, F.lit(', "owner": "qa"')).otherwise(F.lit(""))
+    line = F.concat(
+        F.lit('{"task_id": "T'), k, F.lit('", "node_type": "'), F.col("p_type"), F.lit('", "difficulty": "'), diff,
+        F.lit('", "ros_concepts": '), concepts, F.lit(", "), prompt,
+        F.lit('"entry_point": "Node'), k, F.lit('", "interface_spec": {"node_name": "node_'), k,
+        F.lit('", "topics_published": [{"name": "'), topic, F.lit('", "type": "std_msgs/String", "qos": {"depth": '),
+        (F.col("p_size") % 3).cast("string"), F.lit('}}], "topics_subscribed": [{"name": "/s'),
+        (F.col("p_size") % 4).cast("string"), F.lit('", "type": "std_msgs/Int32"}]}, "test_oracle": {"checks": '
+                                                     '[{"type": "node_exists", "node_name": "node_'),
+        k, F.lit('"}, {"type": "'), chk, F.lit('", "topic": "'), topic, F.lit('"}]}'), extra, F.lit("}"))
+    key = F.col("p_partkey")
+    damaged = (F.when(key % 23 == 0, F.lit(""))
+               .when(key % 17 == 0, F.substring(line, 1, 40))
+               .when(key % 31 == 0, F.concat(F.lit("["), k, F.lit("]")))
+               .when(key % 37 == 0, F.concat(line, F.lit(" x")))
+               .when(key % 41 == 0, F.translate(line, '"', "'"))
+               .when(key % 43 == 0, F.concat(F.lit("  "), line, F.lit("  ")))
+               .otherwise(line))
+    return (key + 1).alias("line_no"), damaged.alias("line")
+
+
+def task_lines_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(*_task_line_cols())
+
+
+SQL_VIEWS["J"] = """
+select p_partkey + 1 as line_no, case
+  when p_partkey % 23 = 0 then ''
+  when p_partkey % 17 = 0 then substr(line, 1, 40)
+  when p_partkey % 31 = 0 then '[' || cast(p_partkey as varchar) || ']'
+  when p_partkey % 37 = 0 then line || ' x'
+  when p_partkey % 41 = 0 then replace(line, '"', '''')
+  when p_partkey % 43 = 0 then '  ' || line || '  '
+  else line end as line
+from (select p_partkey,
+  '{"task_id": "T' || cast(p_partkey as varchar) || '", "node_type": "' || p_type || '", "difficulty": "'
+  || case when p_size = 49 then 'EASY' when p_size <= 16 then 'Easy' when p_size <= 33 then 'medium' else 'Hard' end
+  || '", "ros_concepts": '
+  || case when p_name like 'old %' and p_size <= 3 then 'null'
+          else '["' || replace(p_name, ' ', '", "') || '"]' end
+  || ', ' || case when p_partkey % 29 = 0 then '' else '"prompt": "class Node' || cast(p_partkey as varchar)
+                                                      || ':\\n    pass", ' end
+  || '"entry_point": "Node' || cast(p_partkey as varchar) || '", "interface_spec": {"node_name": "node_'
+  || cast(p_partkey as varchar) || '", "topics_published": [{"name": "/t' || cast(p_size % 5 as varchar)
+  || '", "type": "std_msgs/String", "qos": {"depth": ' || cast(p_size % 3 as varchar)
+  || '}}], "topics_subscribed": [{"name": "/s' || cast(p_size % 4 as varchar)
+  || '", "type": "std_msgs/Int32"}]}, "test_oracle": {"checks": [{"type": "node_exists", "node_name": "node_'
+  || cast(p_partkey as varchar) || '"}, {"type": "'
+  || ['topic_published', 'topic_subscribed', 'parameter_declared', 'custom_probe'][p_size % 4 + 1]
+  || '", "topic": "/t' || cast(p_size % 5 as varchar) || '"}]}'
+  || case when p_size = 7 then ', "owner": "qa"' else '' end || '}' as line
+  from part)
+"""
+
+# Fixed values of the X binding: exit code by event type (view 0, click 1, signup 5,
+# purchase 32, error 137); k = props.k; timed out when k % 10 = 0; a launch error for
+# 'error' events with k % 7 = 0; HTTP status 429 when k % 9 = 0, 503 when k % 11 = 0,
+# 400 when k % 13 = 0, else 200; error kind 'timeout' when k % 15 = 0, 'connection'
+# when k % 16 = 0.
+
+def exec_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    code = F.create_map(*[x for p in (("view", 0), ("click", 1), ("signup", 5), ("purchase", 32), ("error", 137))
+                          for x in (F.lit(p[0]), F.lit(p[1]))])
+    return ev.select(
+        "event_id", "event_type", k.alias("k"),
+        code[F.col("event_type")].alias("exit_code"),
+        (k % 10 == 0).alias("timed_out"),
+        F.when((F.col("event_type") == "error") & (k % 7 == 0), F.lit("docker API error")).alias("launch_error"),
+        F.when(k % 9 == 0, 429).when(k % 11 == 0, 503).when(k % 13 == 0, 400).otherwise(200).alias("http_status"),
+        F.when(k % 15 == 0, F.lit("timeout")).when(k % 16 == 0, F.lit("connection")).alias("error_kind"),
+        F.col("props").cast("binary").alias("stdout"),
+        F.col("event_type").cast("binary").alias("stderr"),
+    )
+
+
+SQL_VIEWS["X"] = """
+select event_id, event_type, k,
+  case event_type when 'view' then 0 when 'click' then 1 when 'signup' then 5 when 'purchase' then 32
+                  when 'error' then 137 end as exit_code,
+  k % 10 = 0 as timed_out,
+  case when event_type = 'error' and k % 7 = 0 then 'docker API error' end as launch_error,
+  case when k % 9 = 0 then 429 when k % 11 = 0 then 503 when k % 13 = 0 then 400 else 200 end as http_status,
+  case when k % 15 = 0 then 'timeout' when k % 16 = 0 then 'connection' end as error_kind,
+  props, event_type as stderr_text
+from (select *, cast(json_extract(props, '$.k') as integer) as k from events)
+"""
