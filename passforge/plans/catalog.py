@@ -31,4 +31,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_metrics, q_runlog, q_sources  # noqa: F401
+    from . import q_metrics, q_runlog, q_sources, q_text  # noqa: F401

@@ -312,3 +312,40 @@ select event_id, event_type, k,
   props, event_type as stderr_text
 from (select *, cast(json_extract(props, '$.k') as integer) as k from events)
 """
+
+
+# ---------------------------------------------------------------------------
+# G: generations
+# ---------------------------------------------------------------------------
+# Fixed values of the G binding: assistant turns are model replies; replies of every
+# third conversation are wrapped as prose + a python fence + prose; a conversation with
+# a system turn is a failed generation call ('provider error'). Work items are the user
+# turns (position = turn), outputs the assistant turns.
+FENCE_OPEN = "Here is the node:\n```python\n"
+FENCE_CLOSE = "\n```\nHope it helps."
+
+
+def generations_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    text = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit(FENCE_OPEN), F.col("text"), F.lit(FENCE_CLOSE))) \
+        .otherwise(F.col("text"))
+    return c.select(F.col("conv_id").cast("string").alias("task_id"), F.col("turn").alias("pos"),
+                    text.alias("text"))
+
+
+def work_items_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return c.select(F.col("conv_id").cast("string").alias("task_id"), F.col("turn").alias("candidate_idx"))
+
+
+def failed_calls_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "system")
+    return c.select(F.col("conv_id").cast("string").alias("task_id"), F.lit("provider error").alias("error"))
+
+
+SQL_VIEWS["G"] = """
+select cast(conv_id as varchar) as task_id, turn as pos,
+  case when conv_id % 3 = 0 then 'Here is the node:' || chr(10) || '```python' || chr(10) || text || chr(10)
+       || '```' || chr(10) || 'Hope it helps.' else text end as text
+from conversations where role = 'assistant'
+"""
