@@ -349,3 +349,41 @@ select cast(conv_id as varchar) as task_id, turn as pos,
        || '```' || chr(10) || 'Hope it helps.' else text end as text
 from conversations where role = 'assistant'
 """
+
+
+# ---------------------------------------------------------------------------
+# S: spec topics
+# ---------------------------------------------------------------------------
+# Fixed values of the S binding: task = l_orderkey; returnflag 'A' lines are published
+# topics, others subscribed; position = l_linenumber; name = '/t' || (l_partkey % 20),
+# missing when l_quantity >= 49; depth = l_linenumber - 1; message type by p_type:
+# SMALL Int32, MEDIUM Float64, LARGE String, STANDARD Bool (std_msgs), else geometry_msgs/Twist.
+
+def spec_topics_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    typ = (F.when(F.col("p_type") == "SMALL", "std_msgs/Int32").when(F.col("p_type") == "MEDIUM", "std_msgs/Float64")
+           .when(F.col("p_type") == "LARGE", "std_msgs/String").when(F.col("p_type") == "STANDARD", "std_msgs/Bool")
+           .otherwise("geometry_msgs/Twist"))
+    j = li.join(part, li.l_partkey == part.p_partkey, "left")
+    return j.select(
+        F.col("l_orderkey").cast("string").alias("task_id"),
+        F.when(F.col("l_returnflag") == "A", "published").otherwise("subscribed").alias("grp"),
+        F.col("l_linenumber").alias("pos"),
+        F.when(F.col("l_quantity") >= F.lit(49.0), F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("/t"), (F.col("l_partkey") % 20).cast("string"))).alias("name"),
+        typ.alias("type"),
+        (F.col("l_linenumber") - 1).alias("depth"),
+    )
+
+
+SQL_VIEWS["S"] = """
+select cast(l_orderkey as varchar) as task_id,
+  case when l_returnflag = 'A' then 'published' else 'subscribed' end as grp, l_linenumber as pos,
+  case when l_quantity >= cast(49.0 as double) then null else '/t' || cast(l_partkey % 20 as varchar) end as name,
+  case p_type when 'SMALL' then 'std_msgs/Int32' when 'MEDIUM' then 'std_msgs/Float64'
+              when 'LARGE' then 'std_msgs/String' when 'STANDARD' then 'std_msgs/Bool'
+              else 'geometry_msgs/Twist' end as type,
+  l_linenumber - 1 as depth
+from lineitem left join part on l_partkey = p_partkey
+"""
