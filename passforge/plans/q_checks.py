@@ -58,3 +58,80 @@ select task_id, 'z3', cast(n_pub + n_qos as bigint), cast(0 as bigint), cast(n_p
 def i6(spark, sf):
     topics = spec_topics_view(spark, sf)
     return sc.fold_spec_methods(topics.select("task_id"), topics)
+
+
+# ---------------------------------------------------------------------------
+# Code corpus: H8 programs, J1-J4 lint findings, J7 rule frequency
+# ---------------------------------------------------------------------------
+# Fixed values of the corpus binding: one program per part, assembled (H8) from the
+# scaffold 'class Node<k>:' and a body chosen by p_size % 3: 0 a publisher without depth
+# and a sleeping timer callback, 1 a publisher with depth 10, 2 a syntax error.
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import text as tx  # noqa: E402
+from ..operators import code_checks as cc  # noqa: E402
+from ..sources.bindings import table  # noqa: E402
+
+_BODIES = [
+    "    def __init__(self):\n        self.pub = self.create_publisher(String, 'chatter')\n"
+    "    def timer_callback(self):\n        time.sleep(0.1)\n",
+    "    def __init__(self):\n        self.pub = self.create_publisher(String, 'chatter', 10)\n",
+    "    def broken(self:\n",
+]
+_MAIN = ("\n\ndef main(args=None):\n    rclpy.init(args=args)\n    node = {ep}()\n    try:\n        rclpy.spin(node)\n"
+         "    except KeyboardInterrupt:\n        pass\n    finally:\n        node.destroy_node()\n"
+         "        rclpy.shutdown()\n\n\nif __name__ == \"__main__\":\n    main()\n")
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _programs(spark, sf):
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey").cast("string")
+    body = F.element_at(F.array(*[F.lit(b) for b in _BODIES]), (F.col("p_size") % 3 + 1).cast("int"))
+    scaffold = F.concat(F.lit("class Node"), k, F.lit(":\n"))
+    entry = F.concat(F.lit("Node"), k)
+    return p.select(F.col("p_partkey").alias("code_id"), F.col("p_type").alias("node_type"),
+                    tx.assemble_program(scaffold, body, entry).alias("code"))
+
+
+_SQL_PROGRAM = ("'import rclpy' || chr(10) || 'class Node' || cast(p_partkey as varchar) || ':' || chr(10) || "
+                f"[{', '.join(_sql_text(b) for b in _BODIES)}][p_size % 3 + 1] || "
+                + _sql_text(_MAIN).replace("{ep}", "' || 'Node' || cast(p_partkey as varchar) || '"))
+
+
+@query("h8_assemble_program", f"""
+select p_partkey as code_id, md5({_SQL_PROGRAM}) as code_md5 from part""")
+def h8(spark, sf):
+    return _programs(spark, sf).select("code_id", F.md5("code").alias("code_md5"))
+
+
+_EXPECTED_FINDINGS = """
+select p_partkey as code_id, p_type as node_type, rule, cast(line as integer) as line from part,
+  (select 0 as b, 'W9020' as rule, 4 as line union all select 0, 'W9010', 6 union all select 2, 'E0001', 3) e
+where p_size % 3 = e.b"""
+
+
+@query("j1_lint_findings", _EXPECTED_FINDINGS)
+def j1(spark, sf):
+    return cc.lint(_programs(spark, sf)).select("code_id", "node_type", "rule", "line")
+
+
+@query("j4_syntax_gate", """
+select p_partkey as code_id, p_size % 3 <> 2 as parses from part""")
+def j4(spark, sf):
+    return cc.syntax_gate(_programs(spark, sf), ["code_id"])
+
+
+@query("j7_rule_frequency", f"""
+with f as ({_EXPECTED_FINDINGS}), t as (select p_type as node_type, count(*) as n from part group by p_type)
+select f.node_type, rule, cast(count(distinct code_id) as bigint) as n_with_rule, cast(t.n as bigint) as n_candidates,
+  round(count(distinct code_id) / t.n, 9) as share
+from f join t on f.node_type = t.node_type group by f.node_type, rule, t.n""")
+def j7(spark, sf):
+    progs = _programs(spark, sf)
+    out = cc.rule_frequency(cc.lint(progs), progs, ["code_id"], ["node_type"])
+    return out.select("node_type", "rule", "n_with_rule", "n_candidates", F.round("share", 9).alias("share"))
