@@ -31,4 +31,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_checks, q_metrics, q_runlog, q_sources, q_stream, q_text  # noqa: F401
+    from . import q_checks, q_metrics, q_plans, q_runlog, q_sources, q_stream, q_text  # noqa: F401

@@ -1,0 +1,90 @@
+"""Registered queries for the composed plans: A12, C6, D13, B6, H7."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import verdicts as v
+from ..operators import work as w
+from ..schemas import METHODS
+from ..sources.bindings import method_rows_view, runs_view, task_lines_view, tasks_meta_view, with_views
+from ..sources import tasks as tk
+from . import q_checks, q_sources
+from .catalog import query
+from .report import report_tables
+from .verify import lint_check, verify
+
+
+@query("a12_report_by_model", with_views("""
+select experiment_id, model, cast(count(*) as bigint) as n, cast(sum(overall_pass) as bigint) as passed,
+  round(sum(overall_pass) / greatest(count(*), 1), 9) as pass_rate
+from R group by experiment_id, model""", "R"))
+def a12(spark, sf):
+    tables = report_tables(runs_view(spark, sf), tasks_meta_view(spark, sf))
+    return tables["by_model"].select("experiment_id", "model", "n", "passed", F.round("pass_rate", 9).alias("pass_rate"))
+
+
+ENABLED = ["ruff", "pytest", "mypy", "z3"]
+
+
+@query("c6_resolve_methods", with_views("""
+select run_id, method, case method when 'ruff' then 0 when 'pytest' then 1 when 'z3' then 2 end as method_pos, passed
+from MR where method in ('ruff', 'pytest', 'z3')""", "MR"))
+def c6(spark, sf):
+    rows, unknown = w.resolve_methods(method_rows_view(spark, sf), ENABLED, METHODS)
+    assert unknown == ["mypy"], unknown
+    return rows.select("run_id", "method", "method_pos", "passed")
+
+
+AUDIT_METHODS = ["ruff", "pylint_ros", "hypothesis", "z3", "mypy"]
+AUDIT_REQUIRED = ["ruff", "z3"]
+
+
+def _audit(spark, sf):
+    tasks = tk.split_classified(tk.classify_task_lines(task_lines_view(spark, sf)))[0]
+    cands = tasks.select("task_id", "interface_spec",
+                         tx.assemble_program("prompt", "canonical_solution", "entry_point").alias("code"))
+    rows, _, unknown = verify(cands, ["task_id"], AUDIT_METHODS, required=AUDIT_REQUIRED)
+    return v.canonical_audit(rows, ["task_id"], required=AUDIT_REQUIRED)
+
+
+_AUDIT_SQL = q_sources._STATUS_SQL + """,
+  a as (select json_extract_string(js, '$.task_id') as task_id, p_size % 3 = 0 as z3_fails
+        from (select * from cls where status = 'ok') c
+        join part on json_extract_string(js, '$.task_id') = 'T' || cast(p_partkey as varchar))"""
+
+
+@query("d13_canonical_audit", with_views(_AUDIT_SQL + """
+select task_id, case when z3_fails then 'FAIL' else 'PASS' end as verdict,
+  'ruff=OK  pylint_ros=OK  hypothesis=OK  z3=' || case when z3_fails then 'FAIL' else 'OK' end as methods
+from a""", "J").replace("\n, s0 as", ", s0 as", 1))
+def d13(spark, sf):
+    per_task, _ = _audit(spark, sf)
+    return per_task.select("task_id", "verdict", "methods")
+
+
+@query("d13_audit_totals", with_views(_AUDIT_SQL + """
+select cast(count(*) as bigint) as total, cast(count(*) filter (where not z3_fails) as bigint) as passed,
+  cast(count(*) filter (where z3_fails) as bigint) as failures from a""", "J").replace("\n, s0 as", ", s0 as", 1))
+def d13t(spark, sf):
+    _, totals = _audit(spark, sf)
+    return totals
+
+
+@query("b6_failing_findings", """
+select p_partkey as code_id, case p_size % 3 when 0 then 'W9020,W9010' else 'E0001' end as first_findings
+from part where p_size % 3 <> 1""")
+def b6(spark, sf):
+    rows = lint_check(q_checks._programs(spark, sf), ["code_id"])
+    rows = rows.withColumn("overall_pass", F.col("passed"))
+    out = v.failing_findings(rows, n=3)
+    return out.select("code_id", F.array_join("first_findings", ",").alias("first_findings"))
+
+
+@query("h7_render_prompt")
+def h7(spark, sf):
+    tasks = tk.split_classified(tk.classify_task_lines(task_lines_view(spark, sf)))[0]
+    prompt = tx.render_prompt("task_id", "prompt", "entry_point", "node_type", "difficulty", "ros_concepts",
+                              "interface_spec")
+    return tasks.select("task_id", prompt.alias("prompt"))
