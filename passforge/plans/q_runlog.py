@@ -223,3 +223,14 @@ def a9(spark, sf):
         .select(F.col("c_custkey").cast("string").alias("experiment_id"))
     out = rl.finalize_experiments(ex, ids, "2030-01-01 00:00:00")
     return out.select("experiment_id", F.col("finished_at").cast("string").alias("finished_at"))
+
+
+@query("a11_append_method_results", with_views("""
+select run_id, method, passed, case when passed = 0 then to_json([method]) else '[]' end as findings_json,
+  sha256(run_id || chr(0) || method || chr(0) || case when passed = 0 then to_json([method]) else '[]' end) as id
+from MR""", "MR"))
+def a11(spark, sf):
+    rows = method_rows_view(spark, sf).withColumn(
+        "findings", F.when(F.col("passed") == 0, F.array(F.col("method"))))
+    out = rl.append_method_results(rows)
+    return out.select("run_id", "method", "passed", "findings_json", "id")
