@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..sources.tasks import spread
+
 FINDING_SCHEMA = "rule string, symbol string, line int, message string"
 
 # Rule codes, symbols and messages of the lint rules.
@@ -108,6 +110,7 @@ def lint(corpus: DataFrame, code: str = "code") -> DataFrame:
     """Finding rows for every row of ``corpus`` (all its columns kept)."""
     spark = corpus.sparkSession
     spark.udtf.register("passforge_lint", lint_udtf)
+    corpus = spread(corpus)
     return spark.sql(f"SELECT c.*, f.* FROM {{corpus}} AS c, LATERAL passforge_lint(c.`{code}`) AS f",
                      corpus=corpus)
 

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# Above this many distinct values in one group the distributed selection is used.
-SMALL_GROUP_DISTINCT = 200_000
+# Above this many distinct values in one group the distributed selection is used; at or
+# below it the built-in buffer holds at most this many (value, count) pairs per group.
+SMALL_GROUP_DISTINCT = 1_000_000
 
 
 def exact_percentile(df: DataFrame, value: str, p: float, by: Sequence[str] = (),

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BAD_LINE_CHARS, py_strip
+from ..session import cut_lineage
 from ..schemas import CONTRACTS, DIFFICULTIES
 
 # ---------------------------------------------------------------------------
@@ -42,20 +43,31 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         "file_path", (F.col("_before") + F.col("_mid") - F.col("_first") + 1).alias("line_no"), "line")
 
 
+def _as_element(s: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
+
+
 def strict_json(s) -> Column:
     """True when ``s`` is exactly one JSON value (no trailing junk, no single quotes,
-    no duplicate keys)."""
+    no duplicate keys).
+
+    ``[s]`` must parse to an array whose only element is ``s`` (an element 0 and no
+    element 1), and ``{"v": s}`` must parse too: the parser stops after the first
+    complete value, so junk after ``]`` in ``[s]`` would go unnoticed without it.
+    """
     s = F.col(s) if isinstance(s, str) else s
-    as_elem = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
+    elem = _as_element(s)
     as_value = F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}")))
-    one_elem = F.json_array_length(F.to_json(as_elem)) == 1
-    one_key = F.size(F.json_object_keys(F.to_json(as_value))) == 1
-    return F.coalesce(one_elem & one_key, F.lit(False))
+    ok = (F.try_variant_get(elem, "$[0]", "variant").isNotNull()
+          & F.try_variant_get(elem, "$[1]", "variant").isNull()
+          & F.try_variant_get(as_value, "$.v", "variant").isNotNull())
+    return F.coalesce(ok, F.lit(False))
 
 
 def parse_json_strict(s) -> Column:
+    """The parsed VARIANT of ``s`` when it is strict JSON, else NULL (one parse reused)."""
     s = F.col(s) if isinstance(s, str) else s
-    return F.when(strict_json(s), F.try_parse_json(s))
+    return F.when(strict_json(s), F.try_variant_get(_as_element(s), "$[0]", "variant"))
 
 
 # ---------------------------------------------------------------------------
@@ -311,23 +323,42 @@ def _classify_one(s: Column) -> Column:
     return _let(parse_json_strict(s), on_raw)
 
 
-def classify_task_lines(lines: DataFrame, strict: bool = False, line_col: str = "line") -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a frame over the cluster when it has fewer partitions than cores:
+    parsing and validating a line is CPU-bound, and a task file of a few hundred MB is
+    read as one or two splits."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
+def classify_task_lines(lines: DataFrame, strict: bool = False, line_col: str = "line",
+                        materialize: bool = True) -> DataFrame:
     """A1 + A2 over (file_path?, line_no, line): every non-blank line with ``status``
     (ok, malformed, not_object, invalid), its parsed ``raw`` VARIANT and ``error`` text.
 
     Lines are stripped and blank lines skipped. With ``strict`` the job fails on the
-    first bad record it meets (``raise_error``)."""
+    first bad record it meets (``raise_error``). With ``materialize`` the classified
+    lines are checkpointed into the shared checkpoint folder, so the tasks, the errors
+    and the counts all read them instead of parsing every line again."""
     keep = [c for c in ("file_path", "line_no") if c in lines.columns]
+    lines = spread(lines)
     df = lines.select(*keep, py_strip(F.col(line_col)).alias("_s")).where(F.col("_s") != "")
-    df = df.select(*keep, "_s", _classify_one(F.col("_s")).alias("_r"))
-    status = F.col("_r.status")
+    df = df.select(*keep, "_s", parse_json_strict("_s").alias("raw"))
+    kind = F.when(F.col("raw").isNull(), F.lit("malformed")).when(~_is_obj(F.col("raw")), F.lit("not_object"))
+    df = df.select(*keep, "_s", "raw", kind.alias("_kind"), *task_types(F.col("raw")))
+    df = df.select(*keep, "_s", "raw", "_kind",
+                   F.when(F.col("_kind").isNull(), errors_from_types()).alias("_errs"))
+    df = df.select(*keep, "_s", "raw", F.coalesce(
+        "_kind", F.when(F.size("_errs") > 0, F.lit("invalid")), F.lit("ok")).alias("_status"), "_errs")
+    status = F.col("_status")
     if strict:
         status = F.when(status != "ok", F.raise_error(
             F.concat(F.lit("invalid task at line "), F.col("line_no").cast("string")))).otherwise(status)
     message = (F.when(status == "malformed", F.lit("invalid JSON"))
                .when(status == "not_object", F.lit("task must be a JSON object"))
-               .when(status == "invalid", F.array_join("_r.errs", "; ")))
-    return df.select(*keep, "_s", F.col("_r.raw").alias("raw"), status.alias("status"), message.alias("error"))
+               .when(status == "invalid", F.array_join("_errs", "; ")))
+    out = df.select(*keep, "_s", "raw", status.alias("status"), message.alias("error"))
+    return cut_lineage(out) if materialize else out
 
 
 def parse_task_lines(lines: DataFrame, strict: bool = False, line_col: str = "line") -> tuple[DataFrame, DataFrame]:

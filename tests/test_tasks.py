@@ -76,8 +76,8 @@ def test_line_numbers_across_many_splits(spark, tmp_dir):
 
 
 def test_strict_and_missing_path(spark, jsonl, tmp_dir):
-    tasks, _ = tk.load_tasks(spark, jsonl, strict=True)
-    with pytest.raises(Exception):
+    with pytest.raises(Exception):   # strict stops at load time on the first bad record
+        tasks, _ = tk.load_tasks(spark, jsonl, strict=True)
         tasks.collect()
     with pytest.raises(Exception):
         tk.load_tasks(spark, os.path.join(tmp_dir, "missing.jsonl"))
