@@ -164,15 +164,7 @@ from (select *, row_number() over (partition by task_id
         order by overall_pass desc, n_passed desc, mean_score desc, candidate_idx asc) as rk from cand)
 where rk = 1""", "MR", "CD").replace("\n, ver as", ", ver as", 1))
 def e1(spark, sf):
-    methods = method_rows_view(spark, sf)
-    cands = candidates_view(spark, sf)
-    verdict = v.overall_pass(methods, candidates=cands)
-    quality = m.candidate_quality(methods)
-    full = cands.join(verdict, "run_id", "left").join(quality, "run_id", "left").select(
-        "task_id", "candidate_idx", "run_id",
-        F.coalesce("overall_pass", F.lit(False)).alias("overall_pass"),
-        F.coalesce("n_passed", F.lit(0)).alias("n_passed"),
-        F.coalesce("mean_score", F.lit(0.0)).alias("mean_score"))
+    full = v.candidate_summary(method_rows_view(spark, sf), candidates=candidates_view(spark, sf))
     best = v.select_best(full)
     return best.select("task_id", "candidate_idx", F.col("overall_pass").cast("int").alias("overall_pass"),
                        F.col("n_passed").cast("long").alias("n_passed"), F.round("mean_score", 9).alias("mean_score"))
