@@ -218,7 +218,8 @@ def a9(spark, sf):
 
 
 @query("a11_append_method_results", with_views("""
-select run_id, method, passed, case when passed = 0 then to_json([method]) else '[]' end as findings_json,
+select run_id, method, passed,
+  cast(case when passed = 0 then to_json([method]) else '[]' end as varchar) as findings_json,
   sha256(run_id || chr(0) || method || chr(0) || case when passed = 0 then to_json([method]) else '[]' end) as id
 from MR""", "MR"))
 def a11(spark, sf):

@@ -83,7 +83,7 @@ _CHECKS_SQL = """,
 
 @query("a3_explode_checks", _oracle(_CHECKS_SQL + """
 select task_id, cast(check_pos as integer) as check_pos, type, kind,
-  case when kind in ('node_exists', 'topic_published', 'topic_subscribed') then 5.0 end as timeout_sec,
+  case when kind in ('node_exists', 'topic_published', 'topic_subscribed') then cast(5.0 as double) end as timeout_sec,
   case when kind = 'topic_published' then 1 end as min_count
 from k"""))
 def a3(spark, sf):
