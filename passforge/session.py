@@ -52,6 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a shared, durable folder "
+                             "(e.g. on HDFS or object storage) for checkpoints and stream state")
         conf_dir = tempfile.mkdtemp(prefix="passforge-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)

@@ -327,8 +327,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin a frame over the cluster when it has fewer partitions than cores:
     parsing and validating a line is CPU-bound, and a task file of a few hundred MB is
     read as one or two splits."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the layout to AQE
+        return df
+    return df.repartition(par) if parts < par else df
 
 
 def classify_task_lines(lines: DataFrame, strict: bool = False, line_col: str = "line",
