@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import positions
+
 
 def pending_work(tasks: DataFrame, n: int, done: DataFrame | None = None, base_seed: int | None = 0,
                  keys: Sequence[str] = ("task_id",)) -> DataFrame:
@@ -50,7 +52,7 @@ def assign_seeds(work: DataFrame, base_seed: int | None = 0, honours_seed: bool
     position among the task's pending items (what a provider that numbers seeds from the
     first item records); NULL for a provider that ignores seeds or a NULL base.
 
-    The window is per task, whose size is bounded by the number of candidates n.
+    Positions come from ``ranking.positions``: no task is sorted in a single task.
     """
     keys = list(keys)
     planned = (F.lit(None).cast("int") if base_seed is None
@@ -58,20 +60,20 @@ def assign_seeds(work: DataFrame, base_seed: int | None = 0, honours_seed: bool
     out = work.withColumn("planned_seed", planned)
     if base_seed is None or not honours_seed:
         return out.withColumn("recorded_seed", F.lit(None).cast("int"))
-    by_task = Window.partitionBy(*keys)
-    pos = F.row_number().over(Window.partitionBy(*keys).orderBy("candidate_idx")) - 1
-    first = F.min("planned_seed").over(by_task)
-    return out.withColumn("recorded_seed", (first + pos).cast("int"))
+    # First pending seed per task: an aggregate (combined map-side); position: skew-safe.
+    first = out.groupBy(*keys).agg(F.min("planned_seed").alias("_first"))
+    numbered = positions(out, keys, ["candidate_idx"], out="_pos")
+    return numbered.join(first, keys).withColumn(
+        "recorded_seed", (F.col("_first") + F.col("_pos") - 1).cast("int")).drop("_first", "_pos")
 
 
 def pair_outputs(items: DataFrame, outputs: DataFrame, keys: Sequence[str] = ("task_id",),
                  item_order: str = "candidate_idx", output_order: str = "pos") -> DataFrame:
-    """Pair work items with outputs by position within a task; surplus on either side dropped."""
+    """Pair work items with outputs by position within a task; surplus on either side dropped.
+    Positions are numbered with ``ranking.positions`` (skew-safe)."""
     keys = list(keys)
-    wi = Window.partitionBy(*keys).orderBy(item_order)
-    wo = Window.partitionBy(*keys).orderBy(output_order)
-    a = items.withColumn("_pos", F.row_number().over(wi))
-    b = outputs.withColumn("_pos", F.row_number().over(wo))
+    a = positions(items, keys, [item_order], out="_pos")
+    b = positions(outputs, keys, [output_order], out="_pos")
     b = b.select(*keys, "_pos", *[F.col(c).alias(f"out_{c}") for c in outputs.columns if c not in keys])
     return a.join(b, [*keys, "_pos"], "inner").drop("_pos")
 

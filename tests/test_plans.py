@@ -33,3 +33,17 @@ def test_best_of_n_and_upsert_do_not_sort_a_hot_key(spark):
     cur = rl.upsert_runs(log)
     assert "Window" not in plan(cur)
     assert cur.first()["ingest_seq"] == 1999
+
+
+def test_positions_match_row_number_with_a_hot_key(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from passforge.operators.ranking import positions
+
+    df = spark.range(5000).selectExpr("case when id % 3 = 0 then 'cold' || cast(id % 11 as string) else 'hot' end as k",
+                                      "id * 7 % 5003 as o")
+    got = positions(df, ["k"], ["o"], num_partitions=16)
+    want = df.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("o")))
+    assert sorted(map(tuple, got.select("k", "o", "pos").collect())) == \
+        sorted(map(tuple, want.select("k", "o", "pos").collect()))
