@@ -96,17 +96,22 @@ def junit_findings(reports: DataFrame, xml: str = "xml", keys: tuple[str, ...] =
     nested = F.flatten(F.coalesce(F.transform(F.col("_r.testsuite"), lambda s: F.coalesce(
         s["testcase"], F.array().cast(T.ArrayType(_CASE)))), F.array().cast(T.ArrayType(T.ArrayType(_CASE)))))
     cases = F.concat(direct, nested)
-    ok = parsed.where(well_formed).select(*keys, F.posexplode(cases).alias("case_pos", "c"))
-    issue = F.coalesce(F.col("c.failure")[0], F.col("c.error")[0])
-    found = ok.where(F.col("c.failure")[0].isNotNull() | F.col("c.error")[0].isNotNull()).select(
-        *keys, "case_pos",
-        F.concat(F.coalesce(F.col("c._classname"), F.lit("")), F.lit("."),
-                 F.coalesce(F.col("c._name"), F.lit("?"))).alias("test"),
-        F.coalesce(issue["_message"], F.lit("")).alias("message"),
-        F.substring(F.coalesce(issue["_VALUE"], F.lit("")), 1, FAILURE_TEXT_CHARS).alias("text"),
-        F.lit(None).cast("string").alias("error"))
-    bad = parsed.where(~well_formed).select(
-        *keys, F.lit(0).alias("case_pos"), F.lit(None).cast("string").alias("test"),
-        F.lit(None).cast("string").alias("message"), F.lit(None).cast("string").alias("text"),
-        F.lit("junit parse error").alias("error"))
-    return found.unionByName(bad).withColumnRenamed("case_pos", "finding_pos")
+    finding = T.StructType([T.StructField(n, T.StringType()) for n in ("test", "message", "text", "error")])
+
+    def to_finding(c):
+        issue = F.coalesce(F.get(c["failure"], 0), F.get(c["error"], 0))
+        return F.struct(
+            F.concat(F.coalesce(c["_classname"], F.lit("")), F.lit("."), F.coalesce(c["_name"], F.lit("?")))
+            .alias("test"),
+            F.coalesce(issue["_message"], F.lit("")).alias("message"),
+            F.substring(F.coalesce(issue["_VALUE"], F.lit("")), 1, FAILURE_TEXT_CHARS).alias("text"),
+            F.lit(None).cast("string").alias("error"))
+
+    # One parse per report: either its failing cases in document order or one parse error.
+    failing = F.filter(cases, lambda c: F.get(c["failure"], 0).isNotNull() | F.get(c["error"], 0).isNotNull())
+    findings = F.when(well_formed, F.transform(failing, to_finding)).otherwise(F.array(F.struct(
+        *[F.lit(None).cast("string").alias(n) for n in ("test", "message", "text")],
+        F.lit("junit parse error").alias("error")).cast(finding)))
+    out = parsed.select(*keys, F.posexplode(findings).alias("finding_pos", "f"))
+    return out.select(*keys, "finding_pos", "f.test", "f.message", "f.text", "f.error")
+
