@@ -88,3 +88,34 @@ def h7(spark, sf):
     prompt = tx.render_prompt("task_id", "prompt", "entry_point", "node_type", "difficulty", "ros_concepts",
                               "interface_spec")
     return tasks.select("task_id", prompt.alias("prompt"))
+
+
+# ---------------------------------------------------------------------------
+# The write path: ingest landed responses into run-log rows (rows-only check:
+# whether a reply parses as Python is decided by the lint UDTF, not by SQL)
+# ---------------------------------------------------------------------------
+# Fixed values of the ingest binding: replies of conversation c answer task 'T' || c,
+# candidate = turn, model = provider, latency = reply length, a conversation with a
+# system turn failed ('provider error'), created_at 2024-01-01.
+
+@query("a11_ingest_generations")
+def ingest(spark, sf):
+    from ..sources.bindings import table
+    from . import q_text
+    from .experiment import ingest_generations
+
+    raw = q_text._raw_responses(spark, sf)
+    conv = table(spark, sf, "conversations")
+    failed = conv.where(F.col("role") == "system").select("conv_id").distinct().withColumn("_f", F.lit(True))
+    resp = raw.join(failed, "conv_id", "left").join(
+        conv.where(F.col("role") == "assistant").select("conv_id", "turn", F.length("text").alias("_len")),
+        ["conv_id", "turn"]).select(
+        F.concat(F.lit("T"), F.col("conv_id").cast("string")).alias("task_id"),
+        F.col("turn").alias("candidate_idx"), "provider", F.col("provider").alias("model"), "body",
+        F.col("_len").cast("double").alias("latency_ms"), F.col("turn").cast("int").alias("seed"),
+        F.when(F.col("_f"), F.lit("provider error")).alias("error"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"))
+    tasks = tk.split_classified(tk.classify_task_lines(task_lines_view(spark, sf)))[0]
+    runs, _ = ingest_generations("exp-ingest", resp, tasks)
+    return runs.select("run_id", "task_id", "candidate_idx", "model", "overall_pass", "gen_error",
+                       F.col("code").isNull().alias("code_is_null"))
