@@ -73,6 +73,33 @@ def _spec_check(method: str) -> Check:
     return run
 
 
+def landed_test_check(logs: DataFrame, key: Sequence[str] = ("run_id",), xml: str = "junit_xml") -> Check:
+    """A 'pytest' check from landed execution logs: ``logs`` holds key..., exit_code,
+    timed_out, launch_error and the test-report XML of each candidate's sandboxed run.
+    Status and pass come from H9/H10, findings from J5 (failing test names in order).
+    Register it as ``{"pytest": landed_test_check(logs)}`` merged into the registry."""
+    from ..functions import status as st
+    from ..sources.responses import junit_findings
+
+    lkey = list(key)
+
+    def run(candidates: DataFrame, key: Sequence[str]) -> DataFrame:
+        key = list(key)
+        sandbox = st.sandbox_status("exit_code", "timed_out", "launch_error")
+        verdict = logs.select(*lkey, st.test_status("exit_code", sandbox).alias("status"),
+                              st.test_passed("exit_code", sandbox).cast("int").alias("passed"))
+        found = junit_findings(logs.select(*lkey, xml), xml=xml, keys=tuple(lkey)).groupBy(*lkey).agg(
+            F.array_sort(F.collect_list(F.struct("finding_pos", F.coalesce("test", "error").alias("t"))))
+            .alias("_f"))
+        j = candidates.select(*key).join(verdict, lkey, "left").join(found, lkey, "left")
+        findings = F.coalesce(F.transform("_f", lambda f: f["t"]), F.array().cast("array<string>"))
+        return j.select(*key, F.lit("pytest").alias("method"),
+                        F.coalesce("passed", F.lit(0)).alias("passed"),
+                        F.coalesce("status", F.lit("SKIPPED")).alias("status"),
+                        F.size(findings).cast("long").alias("n_findings"), findings.alias("findings"))
+    return run
+
+
 DEFAULT_REGISTRY: dict[str, Check] = {
     "ruff": syntax_check,
     "pylint_ros": lint_check,
@@ -92,8 +119,8 @@ def verify(candidates: DataFrame, key: Sequence[str], methods: Sequence[str],
     With the default registry, the lint-based methods share one UDTF pass and the spec
     methods one fold; the candidate table, read by every branch, is persisted once.
     """
-    custom = registry is not None
-    registry = dict(DEFAULT_REGISTRY if registry is None else registry)
+    custom = registry is not None and any(registry.get(k) is not DEFAULT_REGISTRY.get(k) for k in DEFAULT_REGISTRY)
+    registry = dict(DEFAULT_REGISTRY, **(registry or {}))
     known = [mth for mth in methods if mth in registry]
     unknown = [mth for mth in methods if mth not in registry]
     key = list(key)

@@ -120,3 +120,19 @@ def test_verify_plan(spark):
     assert got[("t2", "ruff")] == (0, 0) and got[("t2", "z3")] == (1, 2)
     assert {r["task_id"]: r["overall_pass"] for r in verdicts.collect()} == {"t1": False, "t2": False}
     assert F is not None and pytest is not None
+
+
+def test_verify_with_landed_test_logs(spark):
+    from passforge.plans.verify import landed_test_check
+
+    cands = spark.createDataFrame([("r1", FULL), ("r2", FULL), ("r3", FULL)], "run_id string, code string")
+    logs = spark.createDataFrame([
+        ("r1", 0, False, None, '<testsuite><testcase classname="c" name="ok"/></testsuite>'),
+        ("r2", 1, False, None, '<testsuite><testcase classname="c" name="bad"><failure message="m"/></testcase></testsuite>'),
+    ], "run_id string, exit_code int, timed_out boolean, launch_error string, junit_xml string")
+    rows, verdicts, unknown = verify(cands, ["run_id"], ["ruff", "pytest"], registry={"pytest": landed_test_check(logs)})
+    assert unknown == []
+    got = {(r["run_id"], r["method"]): (r["passed"], r["status"], r["findings"]) for r in rows.collect()}
+    assert got[("r1", "pytest")] == (1, "OK", []) and got[("r2", "pytest")] == (0, "FAIL", ["c.bad"])
+    assert got[("r3", "pytest")] == (0, "SKIPPED", [])
+    assert {r["run_id"]: r["overall_pass"] for r in verdicts.collect()} == {"r1": True, "r2": False, "r3": False}
