@@ -159,13 +159,31 @@ def render_prompt(task_id, prompt, entry_point, node_type, difficulty, concepts,
     return F.concat(py_strip(F.concat_ws("\n\n", *parts)), F.lit("\n"))
 
 
+# The standard main() appended to an assembled program that has none;
+# {entry_point} is replaced by the task's entry-point class.
+MAIN_TEMPLATE = """
+
+def main(args=None):
+    rclpy.init(args=args)
+    node = {entry_point}()
+    try:
+        rclpy.spin(node)
+    except KeyboardInterrupt:
+        pass
+    finally:
+        node.destroy_node()
+        rclpy.shutdown()
+
+
+if __name__ == "__main__":
+    main()
+"""
+
+
 def main_wrapper(entry_point) -> Column:
-    """The standard main() appended to a program that has none."""
-    return F.concat(
-        F.lit("\n\ndef main(args=None):\n    rclpy.init(args=args)\n    node = "), as_col(entry_point),
-        F.lit("()\n    try:\n        rclpy.spin(node)\n    except KeyboardInterrupt:\n        pass\n"
-              "    finally:\n        node.destroy_node()\n        rclpy.shutdown()\n\n\n"
-              "if __name__ == \"__main__\":\n    main()\n"))
+    """MAIN_TEMPLATE with the entry point filled in."""
+    before, after = MAIN_TEMPLATE.split("{entry_point}")
+    return F.concat(F.lit(before), as_col(entry_point), F.lit(after))
 
 
 def assemble_program(prompt, body, entry_point) -> Column:

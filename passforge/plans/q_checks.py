@@ -79,9 +79,7 @@ _BODIES = [
     "    def __init__(self):\n        self.pub = self.create_publisher(String, 'chatter', 10)\n",
     "    def broken(self:\n",
 ]
-_MAIN = ("\n\ndef main(args=None):\n    rclpy.init(args=args)\n    node = {ep}()\n    try:\n        rclpy.spin(node)\n"
-         "    except KeyboardInterrupt:\n        pass\n    finally:\n        node.destroy_node()\n"
-         "        rclpy.shutdown()\n\n\nif __name__ == \"__main__\":\n    main()\n")
+_MAIN = tx.MAIN_TEMPLATE.replace("{entry_point}", "{ep}")
 
 
 def _sql_text(s: str) -> str:
