@@ -54,7 +54,7 @@ select task_id, 'hypothesis' as method, cast(case when n_dup > 0 then 1 else 0 e
   cast(n_dup = 0 as integer) as passed, case when n_dup = 0 then 'OK' else 'FAIL' end as status from j
 union all
 select task_id, 'z3', cast(n_pub + n_qos as bigint), cast(0 as bigint), cast(n_pub + n_qos = 0 as integer),
-  case when n_pub + n_qos = 0 then 'OK' else 'FAIL' end from j""", "S").replace("\n, t as", ", t as", 1))
+  case when n_pub + n_qos = 0 then 'OK' else 'FAIL' end from j""", "S"))
 def i6(spark, sf):
     topics = spec_topics_view(spark, sf)
     return sc.fold_spec_methods(topics.select("task_id"), topics)

@@ -63,8 +63,7 @@ def d4(spark, sf):
 @query("d5_experiment_pass_at_k", with_views(f"""
 , tc as (select experiment_id, task_id, count(*) as n, sum(overall_pass) as c from R group by experiment_id, task_id)
 select experiment_id, k, round(avg({sql_pass_at_k('n', 'c', 'k')}), 9) as pass_at_k
-from tc, (select unnest([{', '.join(map(str, KS))}]) as k) ks group by experiment_id, k""", "R")
-    .replace("\n, tc as", ", tc as", 1))
+from tc, (select unnest([{', '.join(map(str, KS))}]) as k) ks group by experiment_id, k""", "R"))
 def d5(spark, sf):
     out = m.experiment_pass_at_k(runs_view(spark, sf), ks=KS)
     return out.select("experiment_id", "k", _r9("pass_at_k"))
@@ -73,8 +72,7 @@ def d5(spark, sf):
 @query("d6_pass_at_k_by_model", with_views(f"""
 , tc as (select experiment_id, model, task_id, count(*) as n, sum(overall_pass) as c
          from R group by experiment_id, model, task_id)
-select experiment_id, model, {_passk_sql()} from tc group by experiment_id, model""", "R")
-    .replace("\n, tc as", ", tc as", 1))
+select experiment_id, model, {_passk_sql()} from tc group by experiment_id, model""", "R"))
 def d6(spark, sf):
     out = m.pass_at_k_by_model(runs_view(spark, sf), ks=KS)
     return out.select("experiment_id", "model", *[_r9(f"pass@{k}") for k in KS])
@@ -110,7 +108,7 @@ select experiment_id, model,
   round(avg(pass_rate) filter (where difficulty = 'Easy'), 9) as "Easy",
   round(avg(pass_rate) filter (where difficulty = 'Medium'), 9) as "Medium",
   round(avg(pass_rate) filter (where difficulty = 'Hard'), 9) as "Hard"
-from d8 group by experiment_id, model""", "R", "M").replace("\n, d8 as", ", d8 as", 1))
+from d8 group by experiment_id, model""", "R", "M"))
 def d9(spark, sf):
     d8_ = m.pass_rate_model_difficulty(runs_view(spark, sf), tasks_meta_view(spark, sf))
     out = m.pass_rate_pivot(d8_, values=DIFFICULTIES)
@@ -130,8 +128,7 @@ select grid.experiment_id, cast(grid.bin as integer) as bin,
   round(lo + (grid.bin - 1) * ((hi - lo) / 20), 6) as bin_lo,
   round(case when grid.bin = 20 then hi else lo + grid.bin * ((hi - lo) / 20) end, 6) as bin_hi,
   cast(coalesce(c, 0) as bigint) as count
-from grid left join cnt on grid.experiment_id = cnt.experiment_id and grid.bin = cnt.bin""", "R")
-    .replace("\n, rng as", ", rng as", 1))
+from grid left join cnt on grid.experiment_id = cnt.experiment_id and grid.bin = cnt.bin""", "R"))
 def d10(spark, sf):
     out = m.latency_histogram(runs_view(spark, sf), bins=20)
     return out.select("experiment_id", "bin", _r6("bin_lo"), _r6("bin_hi"), "count")
@@ -156,7 +153,7 @@ def d11(spark, sf):
          from x group by experiment_id, ros_concept, task_id)
 select experiment_id, ros_concept, cast(sum(n) as bigint) as n, cast(sum(c) as bigint) as passed,
   cast(count(*) as bigint) as n_tasks, {_passk_sql()}, round(sum(c) / greatest(sum(n), 1), 9) as pass_rate
-from tc group by experiment_id, ros_concept""", "R", "M").replace("\n, j as", ", j as", 1))
+from tc group by experiment_id, ros_concept""", "R", "M"))
 def d16(spark, sf):
     out = m.metrics_by(runs_view(spark, sf), tasks_meta_view(spark, sf), dims=["ros_concept"], ks=KS)
     return out.select("experiment_id", "ros_concept", "n", "passed", "n_tasks",
@@ -168,7 +165,7 @@ def d16(spark, sf):
          from R left join M on R.task_id = M.task_id group by experiment_id, model, difficulty, R.task_id)
 select experiment_id, model, difficulty, cast(sum(n) as bigint) as n, cast(sum(c) as bigint) as passed,
   cast(count(*) as bigint) as n_tasks, {_passk_sql()}, round(sum(c) / greatest(sum(n), 1), 9) as pass_rate
-from tc group by experiment_id, model, difficulty""", "R", "M").replace("\n, tc as", ", tc as", 1))
+from tc group by experiment_id, model, difficulty""", "R", "M"))
 def d16b(spark, sf):
     out = m.metrics_by(runs_view(spark, sf), tasks_meta_view(spark, sf), dims=["model", "difficulty"], ks=KS)
     return out.select("experiment_id", "model", "difficulty", "n", "passed", "n_tasks",

@@ -58,7 +58,7 @@ _AUDIT_SQL = q_sources._STATUS_SQL + """,
 @query("d13_canonical_audit", with_views(_AUDIT_SQL + """
 select task_id, case when z3_fails then 'FAIL' else 'PASS' end as verdict,
   'ruff=OK  pylint_ros=OK  hypothesis=OK  z3=' || case when z3_fails then 'FAIL' else 'OK' end as methods
-from a""", "J").replace("\n, s0 as", ", s0 as", 1))
+from a""", "J"))
 def d13(spark, sf):
     per_task, _ = _audit(spark, sf)
     return per_task.select("task_id", "verdict", "methods")
@@ -66,7 +66,7 @@ def d13(spark, sf):
 
 @query("d13_audit_totals", with_views(_AUDIT_SQL + """
 select cast(count(*) as bigint) as total, cast(count(*) filter (where not z3_fails) as bigint) as passed,
-  cast(count(*) filter (where z3_fails) as bigint) as failures from a""", "J").replace("\n, s0 as", ", s0 as", 1))
+  cast(count(*) filter (where z3_fails) as bigint) as failures from a""", "J"))
 def d13t(spark, sf):
     _, totals = _audit(spark, sf)
     return totals

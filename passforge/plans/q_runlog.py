@@ -48,7 +48,7 @@ _FIN_SQL = """
 
 
 @query("c4_finished_keys", with_views(_FIN_SQL + """
-select * from fin""", "R").replace("\n, fin as", ", fin as", 1))
+select * from fin""", "R"))
 def c4(spark, sf):
     runs = _runs_with_ids(spark, sf)
     return rl.finished_keys(runs, _r_methods(runs), key=("experiment_id", "model", "task_id", "candidate_idx"))
@@ -71,8 +71,7 @@ _PENDING_SQL = _FIN_SQL + f"""
 
 
 @query("c3_pending_work", with_views(_PENDING_SQL + """
-select experiment_id, model, task_id, candidate_idx, candidate_idx + 0 as seed from pend""", "R")
-    .replace("\n, fin as", ", fin as", 1))
+select experiment_id, model, task_id, candidate_idx, candidate_idx + 0 as seed from pend""", "R"))
 def c3(spark, sf):
     _, pend = _pending(spark, sf)
     return pend.select(*R_KEY, "candidate_idx", "seed")
@@ -83,7 +82,7 @@ select t.experiment_id, cast(t.k * {N_CANDIDATES} as bigint) as planned, cast(co
   cast(t.k * {N_CANDIDATES} - coalesce(p.k, 0) as bigint) as skipped
 from (select experiment_id, count(*) as k from tasks group by experiment_id) t
 left join (select experiment_id, count(*) as k from pend group by experiment_id) p
-  on t.experiment_id = p.experiment_id""", "R").replace("\n, fin as", ", fin as", 1))
+  on t.experiment_id = p.experiment_id""", "R"))
 def d15(spark, sf):
     tasks, pend = _pending(spark, sf)
     return w.work_summary(tasks, N_CANDIDATES, pend, by=["experiment_id"])
@@ -94,7 +93,7 @@ select experiment_id, model, task_id, candidate_idx, candidate_idx as planned_se
   cast(min(candidate_idx) over (partition by experiment_id, model, task_id)
        + row_number() over (partition by experiment_id, model, task_id order by candidate_idx) - 1 as integer)
     as recorded_seed
-from pend""", "R").replace("\n, fin as", ", fin as", 1))
+from pend""", "R"))
 def e2(spark, sf):
     _, pend = _pending(spark, sf)
     out = w.assign_seeds(pend.drop("seed"), base_seed=0, keys=R_KEY)
@@ -123,7 +122,7 @@ def a10(spark, sf):
                   case when l_tax < cast(0.04 as double) then 1 else 0 end as passed from RL)
 select k.run_id, k.ingest_seq, k.method, k.passed from kids k
 where exists (select 1 from cur c where {sql_run_id('c.experiment_id', 'c.task_id', 'c.candidate_idx')} = k.run_id
-              and c.ingest_seq = k.ingest_seq)""", "RL").replace("\n, cur as", ", cur as", 1))
+              and c.ingest_seq = k.ingest_seq)""", "RL"))
 def a10m(spark, sf):
     log = run_log_view(spark, sf)
     cur = rl.upsert_runs(log)
@@ -142,8 +141,7 @@ _VERDICT_SQL = """
 
 
 @query("d12_overall_pass", with_views(_VERDICT_SQL + """
-select run_id, cast(overall_pass as integer) as overall_pass from cand""", "MR", "CD")
-    .replace("\n, ver as", ", ver as", 1))
+select run_id, cast(overall_pass as integer) as overall_pass from cand""", "MR", "CD"))
 def d12(spark, sf):
     out = v.overall_pass(method_rows_view(spark, sf), candidates=candidates_view(spark, sf))
     return out.select("run_id", F.col("overall_pass").cast("int").alias("overall_pass"))
@@ -162,7 +160,7 @@ select task_id, candidate_idx, cast(overall_pass as integer) as overall_pass, ca
   round(mean_score, 9) as mean_score
 from (select *, row_number() over (partition by task_id
         order by overall_pass desc, n_passed desc, mean_score desc, candidate_idx asc) as rk from cand)
-where rk = 1""", "MR", "CD").replace("\n, ver as", ", ver as", 1))
+where rk = 1""", "MR", "CD"))
 def e1(spark, sf):
     full = v.candidate_summary(method_rows_view(spark, sf), candidates=candidates_view(spark, sf))
     best = v.select_best(full)

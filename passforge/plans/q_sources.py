@@ -24,7 +24,7 @@ _STATUS_SQL = """
 
 
 def _oracle(sql: str) -> str:
-    return with_views(_STATUS_SQL + sql, "J").replace("\n, s0 as", ", s0 as", 1)
+    return with_views(_STATUS_SQL + sql, "J")
 
 
 def _classified(spark, sf):
@@ -235,7 +235,7 @@ select event_id, cast(case when extra or status is null or status not in
     case when status is null then 'missing keys: status' end,
     case when status is not null and status not in ('OK', 'FAIL', 'CRASH', 'TIMEOUT', 'OOM', 'SKIPPED')
          then 'bad status: ' || status end) as reasons
-from j""", "X").replace("\n, r as", ", r as", 1))
+from j""", "X"))
 def a4(spark, sf):
     recs = _exec_records(exec_log_view(spark, sf))
     ok, rejected = tk.enforce_contract(recs, "execution_result")

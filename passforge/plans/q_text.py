@@ -35,7 +35,7 @@ def h3(spark, sf):
           case when f.task_id is not null then 'provider error' end as error
         from G left join f on G.task_id = f.task_id)
 select task_id, pos, cast((error is null or error = '') and code <> '' as integer) as verify,
-  cast(nullif(code, '') is null as integer) as code_is_null from c""", "G").replace("\n, f as", ", f as", 1))
+  cast(nullif(code, '') is null as integer) as code_is_null from c""", "G"))
 def h18(spark, sf):
     g = generations_view(spark, sf)
     fail = failed_calls_view(spark, sf).dropDuplicates(["task_id"])
@@ -53,7 +53,7 @@ _PAIR_SQL = """
 
 @query("c5_pair_outputs", with_views(_PAIR_SQL + """
 select i.task_id, i.candidate_idx, o.pos as out_pos from items i join outs o on i.task_id = o.task_id and i.p = o.p""",
-    "G").replace("\n, items as", ", items as", 1))
+    "G"))
 def c5(spark, sf):
     paired = w.pair_outputs(work_items_view(spark, sf), generations_view(spark, sf))
     return paired.select("task_id", "candidate_idx", F.col("out_pos"))
@@ -65,7 +65,7 @@ select i.task_id, i.candidate_idx, o.text, 0 as prompt_tokens, 0 as completion_t
 from items i join outs o on i.task_id = o.task_id and i.p = o.p where i.task_id not in (select task_id from f)
 union all
 select i.task_id, i.candidate_idx, '' as text, 0, 0, 'provider error' from items i where i.task_id in (select task_id from f)
-""", "G").replace("\n, items as", ", items as", 1))
+""", "G"))
 def c7(spark, sf):
     out = w.complete_generations(work_items_view(spark, sf), generations_view(spark, sf), failed_calls_view(spark, sf))
     return out.select("task_id", "candidate_idx", "text", "prompt_tokens", "completion_tokens", "error")
