@@ -158,11 +158,28 @@ _NUM_TYPES = ["BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT"]
 _INT_TYPES = ["BIGINT", "INT", "SMALLINT", "TINYINT"]
 
 
+def _lax_float(x: Column) -> Column:
+    """A number, or a string that reads as one (lax numeric validation)."""
+    t = _t(x)
+    as_num = F.try_variant_get(x, "$", "double")
+    return t.isin(*_NUM_TYPES) | t.startswith("DECIMAL") | ((t == "STRING") & as_num.isNotNull())
+
+
+def _lax_int(x: Column) -> Column:
+    """An integer, or a float / numeric string with no fractional part."""
+    as_num = F.try_variant_get(x, "$", "double")
+    return _lax_float(x) & (as_num == F.floor(as_num))
+
+
 def check_types(c: Column) -> Column:
-    """Stage 1 of A3: the JSON type name of every check field (NULL when absent)."""
+    """Stage 1 of A3: the JSON type name of every check field (NULL when absent), plus
+    whether the numeric options hold numbers in the lax sense."""
+    t_sec, m_cnt = _get(c, "$.timeout_sec"), _get(c, "$.min_count")
     return F.struct(F.coalesce(_is_obj(c), F.lit(False)).alias("is_obj"),
                     F.try_variant_get(c, "$.type", "string").alias("type_str"),
-                    *[_t(_get(c, f"$.{f}")).alias(f) for f in CHECK_FIELDS])
+                    *[_t(_get(c, f"$.{f}")).alias(f) for f in CHECK_FIELDS],
+                    F.coalesce(_lax_float(t_sec), F.lit(False)).alias("timeout_ok"),
+                    F.coalesce(_lax_int(m_cnt), F.lit(False)).alias("min_count_ok"))
 
 
 def _kind_fits(ct: Column, kind: str) -> Column:
@@ -170,10 +187,9 @@ def _kind_fits(ct: Column, kind: str) -> Column:
     for f in CHECK_REQUIRED[kind]:
         conds.append(ct[f].isNotNull() if f in ANY_FIELDS else (ct[f] == F.lit("STRING")))
     if kind in CHECK_TIMEOUT_KINDS:
-        t = ct["timeout_sec"]
-        conds.append(t.isNull() | t.isin(*_NUM_TYPES) | t.startswith("DECIMAL"))
+        conds.append(ct["timeout_sec"].isNull() | ct["timeout_ok"])
     if kind == "topic_published":
-        conds.append(ct["min_count"].isNull() | ct["min_count"].isin(*_INT_TYPES))
+        conds.append(ct["min_count"].isNull() | ct["min_count_ok"])
     opt = {"topic_published": "msg_type", "topic_subscribed": "msg_type", "service_called": "srv_type",
            "parameter_declared": "param_type"}.get(kind)
     if opt:
@@ -418,7 +434,9 @@ def explode_checks(tasks: DataFrame) -> DataFrame:
     """A3: one row per oracle check with its resolved kind and per-kind defaults."""
     df = tasks.select("task_id", F.posexplode("checks").alias("check_pos", "c"))
     ct = check_types(F.col("c"))
-    df = df.select("task_id", "check_pos", "c", *[ct[f].alias(f"_ct_{f}") for f in ["is_obj", "type_str", *CHECK_FIELDS]])
+    df = df.select("task_id", "check_pos", "c", *[ct[f].alias(f"_ct_{f}")
+                                                  for f in ["is_obj", "type_str", *CHECK_FIELDS, "timeout_ok",
+                                                            "min_count_ok"]])
     df = df.select("task_id", "check_pos", "c", kind_from_types(_ColGetter("_ct_")).alias("_kind"))
     c = F.col("c")
     kind = F.col("_kind")
@@ -432,7 +450,8 @@ def explode_checks(tasks: DataFrame) -> DataFrame:
         kind.alias("kind"),
         s("node_name").alias("node_name"), s("topic").alias("topic"), s("msg_type").alias("msg_type"),
         F.when(kind == "topic_published",
-               F.coalesce(F.try_variant_get(c, "$.min_count", "int"), F.lit(DEFAULT_MIN_COUNT))).alias("min_count"),
+               F.coalesce(F.try_variant_get(c, "$.min_count", "double").cast("int"), F.lit(DEFAULT_MIN_COUNT)))
+        .alias("min_count"),
         F.when(kind.isin(*CHECK_TIMEOUT_KINDS),
                F.coalesce(F.try_variant_get(c, "$.timeout_sec", "double"), F.lit(DEFAULT_TIMEOUT_SEC)))
         .alias("timeout_sec"),

@@ -141,3 +141,18 @@ def test_strict_json(spark):
     df = spark.createDataFrame([(c,) for c in cases], "s string")
     got = [r[0] for r in df.select(tk.strict_json("s")).collect()]
     assert got == [True, False, False, True, False, False, True, False, False, True]
+
+
+def test_lax_numbers_in_checks(spark, tmp_dir):
+    checks = [{"type": "node_exists", "node_name": "a", "timeout_sec": "2.5"},
+              {"type": "topic_published", "topic": "/a", "min_count": 3.0},
+              {"type": "topic_published", "topic": "/a", "min_count": "x"},
+              {"type": "node_exists", "node_name": "a", "timeout_sec": 7}]
+    p = os.path.join(tmp_dir, "lax.jsonl")
+    with open(p, "w") as f:
+        f.write(task("lax", test_oracle={"checks": checks}) + "\n")
+    tasks, errors = tk.load_tasks(spark, p)
+    assert errors.count() == 0
+    ex = tk.explode_checks(tasks).orderBy("check_pos").collect()
+    assert [r["kind"] for r in ex] == ["node_exists", "topic_published", "unknown", "node_exists"]
+    assert ex[0]["timeout_sec"] == 2.5 and ex[1]["min_count"] == 3 and ex[3]["timeout_sec"] == 7.0
