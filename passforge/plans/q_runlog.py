@@ -225,3 +225,19 @@ def a11(spark, sf):
         "findings", F.when(F.col("passed") == 0, F.array(F.col("method"))))
     out = rl.append_method_results(rows)
     return out.select("run_id", "method", "passed", "findings_json", "id")
+
+
+@query("a7_export_runs_csv", with_views("""
+select experiment_id, model, task_id, candidate_idx, latency_ms, gen_error, overall_pass from R""", "R"))
+def a7(spark, sf):
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    cols = ["experiment_id", "model", "task_id", "candidate_idx", "latency_ms", "gen_error", "overall_pass"]
+    out = os.path.join(ensure_checkpoint_dir(spark), f"a7-export-{uuid.uuid4().hex[:12]}")
+    rl.export_runs_csv(runs_view(spark, sf).select(*cols), out)
+    schema = ("experiment_id string, model string, task_id string, candidate_idx int, latency_ms double, "
+              "gen_error string, overall_pass int")
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(out)
