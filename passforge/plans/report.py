@@ -25,11 +25,16 @@ def report_tables(runs: DataFrame, meta: DataFrame | None, experiment_id: str |
     pruned = scoped.select(*[c for c in REPORT_COLUMNS if c in runs.columns])
     if persist:
         pruned = pruned.persist(StorageLevel.MEMORY_AND_DISK)
+    def sink_order(df: DataFrame, *keys: str) -> DataFrame:
+        # group keys ascending, NULL last; these frames have one row per group.
+        present = [k for k in ("experiment_id", *keys) if k in df.columns]
+        return df.orderBy(*[F.col(k).asc_nulls_last() for k in present])
+
     tables = {
-        "by_model": m.summarize_by_model(pruned),
-        "by_difficulty": m.summarize_by_difficulty(pruned, meta),
-        "by_node_type": m.summarize_by_node_type(pruned, meta),
-        "pass_at_k_by_model": m.pass_at_k_by_model(pruned, ks=ks),
+        "by_model": sink_order(m.summarize_by_model(pruned), "model"),
+        "by_difficulty": sink_order(m.summarize_by_difficulty(pruned, meta), "difficulty"),
+        "by_node_type": sink_order(m.summarize_by_node_type(pruned, meta), "node_type"),
+        "pass_at_k_by_model": sink_order(m.pass_at_k_by_model(pruned, ks=ks), "model"),
         "overall_pass_at_k": m.experiment_pass_at_k(pruned, ks=ks, experiment_id=experiment_id),
         "latency": m.latency_token_summary(pruned),
         "latency_histogram": m.latency_histogram(pruned),

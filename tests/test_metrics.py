@@ -113,3 +113,16 @@ def test_with_meta_duplicates_multiply(spark):
     assert m.with_meta(df, meta).count() == 2
     assert m.with_meta(df, None).count() == 1
     assert F is not None
+
+
+def test_report_bundle_orders_groups_null_last(spark):
+    from passforge.plans.report import report_tables
+
+    df = runs(spark, [("e", "t1", "b", 1, 1.0, 1, 1), ("e", "t2", None, 0, 2.0, 1, 1), ("e", "t3", "a", 1, 3.0, 1, 1)])
+    meta = spark.createDataFrame([("t1", "Hard", "x"), ("t3", "Easy", "y")],
+                                 "task_id string, difficulty string, node_type string")
+    tables = report_tables(df, meta, experiment_id="e")
+    assert [r["model"] for r in tables["by_model"].collect()] == ["a", "b", None]
+    assert [r["difficulty"] for r in tables["by_difficulty"].collect()] == ["Easy", "Hard", None]
+    assert sorted(r["k"] for r in tables["overall_pass_at_k"].collect()) == [1, 5, 10]
+    tables["runs"].unpersist()
