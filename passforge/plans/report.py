@@ -25,6 +25,7 @@ def report_tables(runs: DataFrame, meta: DataFrame | None, experiment_id: str |
     pruned = scoped.select(*[c for c in REPORT_COLUMNS if c in runs.columns])
     if persist:
         pruned = pruned.persist(StorageLevel.MEMORY_AND_DISK)
+
     def sink_order(df: DataFrame, *keys: str) -> DataFrame:
         # group keys ascending, NULL last; these frames have one row per group.
         present = [k for k in ("experiment_id", *keys) if k in df.columns]
