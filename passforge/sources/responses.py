@@ -72,12 +72,12 @@ _CASE = T.StructType([
     T.StructField("failure", _ISSUE),
     T.StructField("error", _ISSUE),
 ])
-# Both layouts: <testsuite><testcase/></testsuite> and <testsuites><testsuite>...</testsuites>.
-REPORT_SCHEMA = T.StructType([
-    T.StructField("testcase", T.ArrayType(_CASE)),
-    T.StructField("testsuite", T.ArrayType(T.StructType([T.StructField("testcase", T.ArrayType(_CASE))]))),
-    T.StructField("_corrupt_record", T.StringType()),
-])
+# Every test case at any depth: suite wrappers are removed and the cases put under one
+# root, so one flat list in document order results (as a recursive search would give).
+FLAT_SCHEMA = T.StructType([T.StructField("testcase", T.ArrayType(_CASE))])
+# Well-formedness is judged on the original document.
+CHECK_SCHEMA = T.StructType([T.StructField("_corrupt_record", T.StringType())])
+_SUITE_TAGS = r"<\?xml[^>]*\?>|</?testsuites?(\s[^>]*)?/?>"
 
 
 def junit_findings(reports: DataFrame, xml: str = "xml", keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
@@ -87,15 +87,15 @@ def junit_findings(reports: DataFrame, xml: str = "xml", keys: tuple[str, ...] =
     Output: keys..., finding_pos, test, message, text, error.
     """
     keys = list(keys)
-    parsed = reports.where(F.col(xml).isNotNull()).select(
-        *keys, F.from_xml(F.col(xml), REPORT_SCHEMA, {"mode": "PERMISSIVE"}).alias("_r"), F.col(xml).alias("_x"))
+    x = F.col(xml)
+    flat = F.concat(F.lit("<cases>"), F.regexp_replace(x, _SUITE_TAGS, ""), F.lit("</cases>"))
+    parsed = reports.where(x.isNotNull()).select(
+        *keys, F.from_xml(x, CHECK_SCHEMA, {"mode": "PERMISSIVE"}).alias("_chk"),
+        F.from_xml(flat, FLAT_SCHEMA, {"mode": "PERMISSIVE"}).alias("_r"), x.alias("_x"))
     # A document that is not well-formed either fails to parse or parses to nothing.
-    well_formed = F.col("_r").isNotNull() & F.col("_r._corrupt_record").isNull() & \
+    well_formed = F.col("_chk").isNotNull() & F.col("_chk._corrupt_record").isNull() & \
         (F.col("_x").contains("<testsuite") | F.col("_x").contains("<testcase"))
-    direct = F.coalesce(F.col("_r.testcase"), F.array().cast(T.ArrayType(_CASE)))
-    nested = F.flatten(F.coalesce(F.transform(F.col("_r.testsuite"), lambda s: F.coalesce(
-        s["testcase"], F.array().cast(T.ArrayType(_CASE)))), F.array().cast(T.ArrayType(T.ArrayType(_CASE)))))
-    cases = F.concat(direct, nested)
+    cases = F.coalesce(F.col("_r.testcase"), F.array().cast(T.ArrayType(_CASE)))
     finding = T.StructType([T.StructField(n, T.StringType()) for n in ("test", "message", "text", "error")])
 
     def to_finding(c):

@@ -141,3 +141,17 @@ def test_render_prompt_never_fails(spark, prompt, concepts):
     assert out.endswith("\n") and not out.endswith("\n\n") and "`/a` (std_msgs/Int32)" in out
     assert tx.parse_ks(" 1, ,5") == [1, 5] and tx.parse_ks("") == [1, 5, 10]
     pytest.importorskip("math")
+
+
+def test_junit_findings_any_depth(spark):
+    deep = ('<?xml version="1.0"?><testsuites><testsuite name="a"><testsuite name="b">'
+            '<testcase classname="x" name="one"><error message="E">e1</error></testcase></testsuite>'
+            '<testcase classname="y" name="two"><failure message="F">f2</failure></testcase></testsuite>'
+            '<testsuite/></testsuites>')
+    bare = '<testcase classname="z" name="solo"><failure message="S"/></testcase>'
+    unclosed = "<testsuites><testsuite>"
+    df = spark.createDataFrame([("d", deep), ("b", bare), ("u", unclosed)], "run_id string, xml string")
+    out = [(r["run_id"], r["test"], r["message"], r["error"])
+           for r in rs.junit_findings(df).orderBy("run_id", "finding_pos").collect()]
+    assert out == [("b", "z.solo", "S", None), ("d", "x.one", "E", None), ("d", "y.two", "F", None),
+                   ("u", None, None, "junit parse error")]
