@@ -57,19 +57,30 @@ def qos_depth_violations(topics: DataFrame) -> DataFrame:
         F.when(F.col("grp") == "published", 0).otherwise(1).alias("grp_order"))
 
 
-def fold_spec_methods(tasks: DataFrame, topics: DataFrame) -> DataFrame:
+def fold_spec_methods(tasks: DataFrame, topics: DataFrame, known=KNOWN_MSG_TYPES) -> DataFrame:
     """One method row per task and method: 'hypothesis' fails on I1 (I2 is only
     informational), 'z3' fails on I3 or I4. ``n_failing`` / ``n_info`` count findings.
 
-    ``tasks`` is the full task list (task_id): a task without topics passes both.
+    Two aggregations instead of one per rule: (task, name) -> per-task counts gives I1,
+    I3 and I4; (task, type) gives I2. ``tasks`` is the full task list (task_id): a task
+    without topics passes both.
     """
-    dup = duplicate_topic_names(topics).groupBy("task_id").agg(F.count(F.lit(1)).alias("n_dup"))
-    unk = unsupported_msg_types(topics).groupBy("task_id").agg(F.count(F.lit(1)).alias("n_unk"))
-    pubd = duplicate_publishers(topics).withColumn("n_pub", F.lit(1))
-    qos = qos_depth_violations(topics).groupBy("task_id").agg(F.count(F.lit(1)).alias("n_qos"))
+    named = F.col("name").isNotNull() & (F.col("name") != "")
+    pub = F.col("grp") == "published"
+    per_name = topics.groupBy("task_id", F.coalesce(F.col("name"), F.lit(_MISSING)).alias("_name")).agg(
+        F.count_if(named).alias("_n_named"),
+        F.count_if(pub).alias("_n_pub"),
+        F.count_if(F.col("depth").isNotNull() & (F.col("depth") < 1)).alias("_n_qos"))
+    per_task = per_name.groupBy("task_id").agg(
+        F.count_if(F.col("_n_named") > 1).alias("n_dup"),
+        (F.sum("_n_pub") > F.count_if(F.col("_n_pub") > 0)).cast("int").alias("n_pub"),
+        F.sum("_n_qos").alias("n_qos"))
+    unknown = pub & F.col("type").isNotNull() & (F.col("type") != "") & ~F.col("type").isin(list(known))
+    unk = topics.where(unknown).groupBy("task_id", "type").count().groupBy("task_id").agg(
+        F.count(F.lit(1)).alias("n_unk"))
     base = tasks.select("task_id").distinct()
-    j = base.join(dup, "task_id", "left").join(unk, "task_id", "left") \
-        .join(pubd, "task_id", "left").join(qos, "task_id", "left").fillna(0, ["n_dup", "n_unk", "n_pub", "n_qos"])
+    j = base.join(per_task, "task_id", "left").join(unk, "task_id", "left") \
+        .fillna(0, ["n_dup", "n_unk", "n_pub", "n_qos"])
     hyp = j.select("task_id", F.lit("hypothesis").alias("method"),
                    F.when(F.col("n_dup") > 0, 1).otherwise(0).cast("long").alias("n_failing"),
                    F.when(F.col("n_unk") > 0, 1).otherwise(0).cast("long").alias("n_info"))
