@@ -82,11 +82,13 @@ CONTRACTS = {
         "allowed": ["method", "passed", "score", "findings", "execution"],
         "required": ["method", "passed", "execution"],
         "enums": {"method": METHODS},
+        "objects": {"execution": "execution_result"},
     },
     "verification_result": {
         "allowed": ["task_id", "candidate_idx", "methods", "overall_pass"],
         "required": ["task_id", "candidate_idx", "methods", "overall_pass"],
         "enums": {},
+        "lists": {"methods": "method_result"},
     },
     "generation_result": {
         "allowed": ["task_id", "candidate_idx", "text", "raw_response", "prompt_tokens", "completion_tokens",

@@ -529,27 +529,48 @@ def oracle_completeness(checks: DataFrame) -> DataFrame:
 # A4 closed contracts
 # ---------------------------------------------------------------------------
 
-def enforce_contract(df: DataFrame, contract: str | dict, json_col: str = "json") -> tuple[DataFrame, DataFrame]:
-    """A4: split JSON records into (ok, rejected) by a closed contract: no unexpected
-    keys, required keys present, enum fields within their values."""
-    spec = CONTRACTS[contract] if isinstance(contract, str) else contract
-    j = F.col(json_col)
+def _contract_reasons(j: Column, spec: dict, prefix: Column) -> list[Column]:
+    """Reasons (or NULLs) why the JSON object text ``j`` breaks ``spec``; nested objects
+    and lists of objects are checked against their own contracts, messages prefixed by
+    their path (e.g. ``methods[1].execution.``)."""
     obj = F.coalesce(strict_json(j) & F.startswith(F.schema_of_variant(F.try_parse_json(j)), F.lit("OBJECT")),
                      F.lit(False))
     keys = F.coalesce(F.json_object_keys(j), F.array().cast("array<string>"))
-    allowed = F.array(*[F.lit(k) for k in spec["allowed"]])
-    required = F.array(*[F.lit(k) for k in spec["required"]])
-    extra = F.array_except(keys, allowed)
-    missing = F.array_except(required, keys)
+    extra = F.array_except(keys, F.array(*[F.lit(k) for k in spec["allowed"]]))
+    missing = F.array_except(F.array(*[F.lit(k) for k in spec["required"]]), keys)
     reasons = [
-        F.when(~obj, F.lit("not a JSON object")),
-        F.when(obj & (F.size(extra) > 0), F.concat(F.lit("unexpected keys: "), F.array_join(F.array_sort(extra), ","))),
-        F.when(obj & (F.size(missing) > 0), F.concat(F.lit("missing keys: "), F.array_join(missing, ","))),
+        F.when(~obj, F.concat(prefix, F.lit("not a JSON object"))),
+        F.when(obj & (F.size(extra) > 0),
+               F.concat(prefix, F.lit("unexpected keys: "), F.array_join(F.array_sort(extra), ","))),
+        F.when(obj & (F.size(missing) > 0), F.concat(prefix, F.lit("missing keys: "), F.array_join(missing, ","))),
     ]
     for field, values in spec.get("enums", {}).items():
         got = F.get_json_object(j, f"$.{field}")
         reasons.append(F.when(obj & got.isNotNull() & ~got.isin(*values),
-                              F.concat(F.lit(f"bad {field}: "), got)))
+                              F.concat(prefix, F.lit(f"bad {field}: "), got)))
+    for field, sub in spec.get("objects", {}).items():
+        inner = F.get_json_object(j, f"$.{field}")
+        sub_prefix = F.concat(prefix, F.lit(f"{field}."))
+        reasons += [F.when(obj & inner.isNotNull(), r) for r in _contract_reasons(inner, CONTRACTS[sub], sub_prefix)]
+    for field, sub in spec.get("lists", {}).items():
+        items = F.from_json(F.get_json_object(j, f"$.{field}"), "array<string>")
+
+        def item_check(field, sub):
+            def per_item(e, i):
+                p = F.concat(prefix, F.lit(f"{field}["), i.cast("string"), F.lit("]."))
+                return F.filter(F.array(*_contract_reasons(e, CONTRACTS[sub], p)), lambda r: r.isNotNull())
+            return per_item
+        found = F.flatten(F.transform(F.coalesce(items, F.array().cast("array<string>")), item_check(field, sub)))
+        reasons.append(F.when(obj & (F.size(found) > 0), F.array_join(found, "; ")))
+    return reasons
+
+
+def enforce_contract(df: DataFrame, contract: str | dict, json_col: str = "json") -> tuple[DataFrame, DataFrame]:
+    """A4: split JSON records into (ok, rejected) by a closed contract: no unexpected
+    keys, required keys present, enum fields within their values, at every nesting level
+    the contract declares."""
+    spec = CONTRACTS[contract] if isinstance(contract, str) else contract
+    reasons = _contract_reasons(F.col(json_col), spec, F.lit(""))
     out = df.withColumn("_reasons", F.filter(F.array(*reasons), lambda r: r.isNotNull()))
     ok = out.where(F.size("_reasons") == 0).drop("_reasons")
     rejected = out.where(F.size("_reasons") > 0).withColumnRenamed("_reasons", "reasons")

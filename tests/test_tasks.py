@@ -156,3 +156,17 @@ def test_lax_numbers_in_checks(spark, tmp_dir):
     ex = tk.explode_checks(tasks).orderBy("check_pos").collect()
     assert [r["kind"] for r in ex] == ["node_exists", "topic_published", "unknown", "node_exists"]
     assert ex[0]["timeout_sec"] == 2.5 and ex[1]["min_count"] == 3 and ex[3]["timeout_sec"] == 7.0
+
+
+def test_nested_contracts(spark):
+    ok_exec = {"status": "OK", "exit_code": 0}
+    good = {"task_id": "t", "candidate_idx": 0, "overall_pass": True,
+            "methods": [{"method": "ruff", "passed": True, "execution": ok_exec}]}
+    bad = {"task_id": "t", "candidate_idx": 1, "overall_pass": False,
+           "methods": [{"method": "ruff", "passed": True, "execution": ok_exec},
+                       {"method": "mypy", "passed": False, "execution": {"status": "OK", "host": "x"}}]}
+    df = spark.createDataFrame([(1, json.dumps(good)), (2, json.dumps(bad))], "id int, json string")
+    ok, rej = tk.enforce_contract(df, "verification_result")
+    assert [r["id"] for r in ok.collect()] == [1]
+    reasons = rej.first()["reasons"]
+    assert reasons == ["methods[1].bad method: mypy; methods[1].execution.unexpected keys: host"]
