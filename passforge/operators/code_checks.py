@@ -106,13 +106,19 @@ class LintCode:
 lint_udtf = udtf(LintCode, returnType=FINDING_SCHEMA, useArrow=True)
 
 
-def lint(corpus: DataFrame, code: str = "code") -> DataFrame:
-    """Finding rows for every row of ``corpus`` (all its columns kept)."""
+def lint(corpus: DataFrame, code: str = "code", rules: Sequence[str] | None = None) -> DataFrame:
+    """Finding rows for every row of ``corpus`` (all its columns kept).
+
+    ``rules`` registers the enabled rules (L3); by default all of ``ALL_RULES``. A crash
+    row (J6) is always kept."""
     spark = corpus.sparkSession
     spark.udtf.register("passforge_lint", lint_udtf)
     corpus = spread(corpus)
-    return spark.sql(f"SELECT c.*, f.* FROM {{corpus}} AS c, LATERAL passforge_lint(c.`{code}`) AS f",
-                     corpus=corpus)
+    found = spark.sql(f"SELECT c.*, f.* FROM {{corpus}} AS c, LATERAL passforge_lint(c.`{code}`) AS f",
+                      corpus=corpus)
+    if rules is not None:
+        found = found.where(F.col("rule").isin([*rules, "CRASH"]))
+    return found
 
 
 def syntax_gate(corpus: DataFrame, key: Sequence[str], code: str = "code") -> DataFrame:

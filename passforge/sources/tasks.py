@@ -618,6 +618,15 @@ def get_task(df: DataFrame, task_id: str) -> DataFrame:
     return hit.limit(1).select(*order, "task_id", F.to_json(F.struct(*cols)).alias("json"))
 
 
+def require_task(df: DataFrame, task_id: str) -> str:
+    """B3 as a lookup: the task's JSON; a missing id is an error (KeyError). Brings one
+    row to the driver."""
+    row = get_task(df, task_id).first()
+    if row is None:
+        raise KeyError(f"task not found: {task_id}")
+    return row["json"]
+
+
 def list_tasks(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The listing projection (task_id, difficulty, node_type, entry_point) and the
     (shown, skipped) counts, both from the classified A1 frame; the counts are one

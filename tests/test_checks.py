@@ -136,3 +136,14 @@ def test_verify_with_landed_test_logs(spark):
     assert got[("r1", "pytest")] == (1, "OK", []) and got[("r2", "pytest")] == (0, "FAIL", ["c.bad"])
     assert got[("r3", "pytest")] == (0, "SKIPPED", [])
     assert {r["run_id"]: r["overall_pass"] for r in verdicts.collect()} == {"r1": True, "r2": False, "r3": False}
+
+
+def test_lint_rule_registration(spark):
+    df = spark.createDataFrame(CASES[:1], "code_id int, code string")
+    assert sorted(r["rule"] for r in cc.lint(df, rules=["W9002"]).collect()) == ["W9002"]
+
+
+def test_lint_crash_isolation(spark, monkeypatch):
+    row = cc.LintCode()
+    monkeypatch.setattr(cc, "lint_source", lambda code: (_ for _ in ()).throw(RuntimeError("boom")))
+    assert list(row.eval("x = 1")) == [("CRASH", "method-crashed", None, "method crashed: boom")]

@@ -46,3 +46,17 @@ def test_landing_is_idempotent_and_last_write_wins(spark, tmp_dir):
     cur2 = {(r["task_id"], r["candidate_idx"]): r["overall_pass"] for r in rl.upsert_runs(log2).collect()}
     assert cur2 == cur
     assert log.where(F.col("batch_id") == 1).count() == 1
+
+
+def test_dedupe_exact_replays(spark, tmp_dir):
+    import datetime as dt
+
+    src = os.path.join(tmp_dir, "replays")
+    rows = [("e", "t", 0, 1, 1, dt.datetime(2024, 1, 1, 0, 0)), ("e", "t", 0, 1, 1, dt.datetime(2024, 1, 1, 0, 0)),
+            ("e", "t", 1, 0, 2, dt.datetime(2024, 1, 1, 0, 5))]
+    schema = SCHEMA + ", ts timestamp"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
+    stream = rs.dedupe_replays(rs.read_run_stream(spark, src, schema), ["task_id", "candidate_idx"], "ts", "1 hour")
+    out = os.path.join(tmp_dir, "dedup-out")
+    rs.land_runs(stream, out, order_by="seq", checkpoint=os.path.join(tmp_dir, "dedup-ckpt"))
+    assert rs.read_landed(spark, out, rs.landed_schema(stream)).count() == 2

@@ -170,3 +170,10 @@ def test_nested_contracts(spark):
     assert [r["id"] for r in ok.collect()] == [1]
     reasons = rej.first()["reasons"]
     assert reasons == ["methods[1].bad method: mypy; methods[1].execution.unexpected keys: host"]
+
+
+def test_require_task(spark, jsonl):
+    tasks, _ = tk.load_tasks(spark, jsonl)
+    assert json.loads(tk.require_task(tasks, "extra"))["task_id"] == "extra"
+    with pytest.raises(KeyError):
+        tk.require_task(tasks, "nope")
