@@ -105,6 +105,18 @@ def _topic_list(topics) -> Column:
                         ", ")
 
 
+def system_text(ros_distro: str = "humble", strictness: str = "strict") -> str:
+    """The system part of a prompt (our own wording)."""
+    mode = " (strict mode)" if strictness == "strict" else ""
+    return (f"You write ROS {ros_distro} nodes in Python with rclpy.\n\n"
+            f"Rules{mode}:\n"
+            "- Return one complete, runnable Python module for the requested node.\n"
+            "- Initialise and shut down rclpy in main(args=None); destroy the node before exit.\n"
+            "- Give publishers and subscriptions an explicit QoS depth (10 unless told otherwise).\n"
+            "- Import message types from the standard message packages; do not redefine them.\n"
+            "- Reply with a single ```python fenced block and no prose.")
+
+
 def render_prompt(task_id, prompt, entry_point, node_type, difficulty, concepts, iface,
                   fewshot: Column | None = None, ros_distro: str = "humble", strictness: str = "strict") -> Column:
     """H7: system text, optional few-shot block, task text; joined by blank lines, trimmed,
@@ -113,15 +125,7 @@ def render_prompt(task_id, prompt, entry_point, node_type, difficulty, concepts,
     ``iface`` is the interface_spec struct; ``fewshot`` an optional array of
     struct<prompt, solution>.
     """
-    mode = " (strict mode)" if strictness == "strict" else ""
-    system = F.lit(
-        f"You write ROS {ros_distro} nodes in Python with rclpy.\n\n"
-        f"Rules{mode}:\n"
-        "- Return one complete, runnable Python module for the requested node.\n"
-        "- Initialise and shut down rclpy in main(args=None); destroy the node before exit.\n"
-        "- Give publishers and subscriptions an explicit QoS depth (10 unless told otherwise).\n"
-        "- Import message types from the standard message packages; do not redefine them.\n"
-        "- Reply with a single ```python fenced block and no prose.")
+    system = F.lit(system_text(ros_distro, strictness))
     iface = as_col(iface)
     concepts = as_col(concepts)
     concept_text = F.when(F.size(F.coalesce(concepts, F.array())) > 0, F.array_join(concepts, ", ")) \

@@ -82,12 +82,33 @@ def b6(spark, sf):
     return out.select("code_id", F.array_join("first_findings", ",").alias("first_findings"))
 
 
-@query("h7_render_prompt")
+def _system_text_sql() -> str:
+    return tx.system_text().replace("'", "''").replace("\n", "' || chr(10) || '")
+
+
+@query("h7_render_prompt", with_views(q_sources._STATUS_SQL + f""",
+  ok as (select js from cls where status = 'ok'),
+  f as (select json_extract_string(js, '$.task_id') as task_id, json_extract_string(js, '$.difficulty') as d,
+          json_extract_string(js, '$.node_type') as nt, json_extract_string(js, '$.entry_point') as ep,
+          json_extract_string(js, '$.prompt') as pr, json_extract_string(js, '$.interface_spec.node_name') as nn,
+          json_extract_string(js, '$.interface_spec.topics_published[0].name') as pn,
+          json_extract_string(js, '$.interface_spec.topics_published[0].type') as pt,
+          json_extract_string(js, '$.interface_spec.topics_subscribed[0].name') as sn,
+          json_extract_string(js, '$.interface_spec.topics_subscribed[0].type') as st,
+          array_to_string(from_json(json_extract(js, '$.ros_concepts'), '["VARCHAR"]'), ', ') as rc from ok)
+select task_id, md5('{_system_text_sql()}' || chr(10) || chr(10) || 'Task ' || task_id || ' (difficulty ' || d
+  || ', node type ' || nt || ')' || chr(10) || chr(10) || 'ROS concepts: ' || rc || chr(10) || chr(10)
+  || 'Entry point class: `' || ep || '`' || chr(10) || chr(10) || 'Interface:' || chr(10)
+  || '- Node name: `' || nn || '`' || chr(10) || '- Publishes: `' || pn || '` (' || pt || ')' || chr(10)
+  || '- Subscribes: `' || sn || '` (' || st || ')' || chr(10) || chr(10) || 'Complete this stub:' || chr(10)
+  || '```python' || chr(10) || pr || chr(10) || '```' || chr(10) || chr(10)
+  || 'Write the whole node, not only the body.' || chr(10)) as prompt_md5
+from f""", "J"))
 def h7(spark, sf):
     tasks = tk.split_classified(tk.classify_task_lines(task_lines_view(spark, sf)))[0]
     prompt = tx.render_prompt("task_id", "prompt", "entry_point", "node_type", "difficulty", "ros_concepts",
                               "interface_spec")
-    return tasks.select("task_id", prompt.alias("prompt"))
+    return tasks.select("task_id", F.md5(prompt).alias("prompt_md5"))
 
 
 # ---------------------------------------------------------------------------
