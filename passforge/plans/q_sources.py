@@ -237,7 +237,6 @@ select event_id, cast(case when extra or status is null or status not in
          then 'bad status: ' || status end) as reasons
 from j""", "X"))
 def a4(spark, sf):
-    recs = _exec_records(exec_log_view(spark, sf))
-    ok, rejected = tk.enforce_contract(recs, "execution_result")
-    return ok.select("event_id", F.lit(1).alias("accepted"), F.lit("").alias("reasons")).unionByName(
-        rejected.select("event_id", F.lit(0).alias("accepted"), F.array_join("reasons", "; ").alias("reasons")))
+    checked = tk.contract_reasons(_exec_records(exec_log_view(spark, sf)), "execution_result")
+    return checked.select("event_id", (F.size("reasons") == 0).cast("int").alias("accepted"),
+                          F.array_join("reasons", "; ").alias("reasons"))

@@ -569,14 +569,20 @@ def enforce_contract(df: DataFrame, contract: str | dict, json_col: str = "json"
     """A4: split JSON records into (ok, rejected) by a closed contract: no unexpected
     keys, required keys present, enum fields within their values, at every nesting level
     the contract declares."""
-    spec = CONTRACTS[contract] if isinstance(contract, str) else contract
-    reasons = _contract_reasons(F.col(json_col), spec, F.lit(""))
-    out = df.withColumn("_reasons", F.filter(F.array(*reasons), lambda r: r.isNotNull()))
+    out = contract_reasons(df, contract, json_col, out="_reasons")
     ok = out.where(F.size("_reasons") == 0).drop("_reasons")
     rejected = out.where(F.size("_reasons") > 0).withColumnRenamed("_reasons", "reasons")
     return ok, rejected
 
 
+def contract_reasons(df: DataFrame, contract: str | dict, json_col: str = "json", out: str = "reasons") -> DataFrame:
+    """A4 in one pass: every record with the array of reasons it breaks the contract
+    (empty when accepted). ``enforce_contract`` splits this into two frames."""
+    spec = CONTRACTS[contract] if isinstance(contract, str) else contract
+    reasons = _contract_reasons(F.col(json_col), spec, F.lit(""))
+    return df.withColumn(out, F.filter(F.array(*reasons), lambda r: r.isNotNull()))
+
+
 # ---------------------------------------------------------------------------
 # B1-B4
 # ---------------------------------------------------------------------------
