@@ -32,6 +32,8 @@ def get_spark(master: str | None = None, app: str = "passforge",
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # JSON objects with a repeated key keep the last value (as Python's json does)
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.driver.memory", os.environ.get("PASSFORGE_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )

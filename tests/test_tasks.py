@@ -177,3 +177,18 @@ def test_require_task(spark, jsonl):
     assert json.loads(tk.require_task(tasks, "extra"))["task_id"] == "extra"
     with pytest.raises(KeyError):
         tk.require_task(tasks, "nope")
+
+
+def test_duplicate_keys_follow_session_setting(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "dup.jsonl")
+    line = task("dup")[:-1] + ', "entry_point": "Last"}'
+    with open(p, "w") as f:
+        f.write(line + "\n")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    try:
+        tasks, errors = tk.load_tasks(spark, p)
+        assert errors.count() == 0 and tasks.first()["entry_point"] == "Last"
+    finally:
+        spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
+    _, errors = tk.load_tasks(spark, p)
+    assert [r["status"] for r in errors.collect()] == ["malformed"]
