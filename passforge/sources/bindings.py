@@ -110,10 +110,6 @@ def sql_pass_at_k(n: str, c: str, k: int) -> str:
             f" - lgamma({n} - {c} - {k} + 1) - lgamma({n} + 1)) end)")
 
 
-def col_or_name(c) -> Column:
-    return c if isinstance(c, Column) else F.col(c)
-
-
 # ---------------------------------------------------------------------------
 # Run log with replays (A10), method rows per candidate (D12, D14, E1), candidates
 # ---------------------------------------------------------------------------

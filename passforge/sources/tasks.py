@@ -91,11 +91,6 @@ def _is_num(x):
     return t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
 
 
-def _is_int(x):
-    t = _t(x)
-    return t.isin("BIGINT", "INT", "SMALLINT", "TINYINT")
-
-
 def _is_obj(x):
     return _t(x).startswith("OBJECT")
 
@@ -112,26 +107,6 @@ def _all(arr: Column, pred) -> Column:
     return F.coalesce(F.forall(arr, pred), F.lit(True))
 
 
-def _opt(x: Column, ok: Column) -> Column:
-    """Absent (SQL NULL) is fine; present must satisfy ``ok``."""
-    return x.isNull() | F.coalesce(ok, F.lit(False))
-
-
-def _opt_nullable_str(x: Column) -> Column:
-    return x.isNull() | F.coalesce(_is_str(x) | (_t(x) == "VOID"), F.lit(False))
-
-
-def _err(cond_bad: Column, msg: str) -> Column:
-    return F.when(F.coalesce(cond_bad, F.lit(True)), F.lit(msg))
-
-
-def _required_str(v: Column, field: str) -> Column:
-    x = _get(v, f"$.{field}")
-    return F.when(x.isNull(), F.lit(f"{field}: field required")) \
-        .when(~F.coalesce(_is_str(x), F.lit(False)), F.lit(f"{field}: must be a string"))
-
-
-# Oracle check kinds, their required and optional fields, defaults.
 CHECK_REQUIRED = {
     "node_exists": ["node_name"],
     "topic_published": ["topic"],
@@ -146,16 +121,12 @@ CHECK_TIMEOUT_KINDS = ["node_exists", "topic_published", "topic_subscribed", "lo
                        "service_called"]
 DEFAULT_TIMEOUT_SEC = 5.0
 DEFAULT_MIN_COUNT = 1
-# Kinds the static oracle completeness check knows (parameter_declared is not among them).
-ORACLE_KNOWN_KINDS = ["node_exists", "topic_published", "topic_subscribed", "message_content",
-                      "log_output_contains", "service_called", "parameter_value"]
 ANY_FIELDS = {"expected"}
 
 
 CHECK_FIELDS = ["type", "node_name", "topic", "msg_type", "min_count", "timeout_sec", "field", "expected",
                 "pattern", "service", "srv_type", "node", "parameter", "param_name", "param_type"]
 _NUM_TYPES = ["BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT"]
-_INT_TYPES = ["BIGINT", "INT", "SMALLINT", "TINYINT"]
 
 
 def _lax_float(x: Column) -> Column:
@@ -313,35 +284,6 @@ def errors_from_types(prefix: str = "_ty_", getter=None) -> Column:
     return F.filter(F.array(*msgs), lambda m: m.isNotNull())
 
 
-def task_errors(raw: Column) -> Column:
-    """A2: validation messages for a parsed task VARIANT (empty array when valid)."""
-    return _let(F.struct(*task_types(raw, prefix="")), lambda ty: errors_from_types(getter=lambda n: ty[n]))
-
-
-def _let(value: Column, body) -> Column:
-    """Evaluate ``body(v)`` with ``value`` bound once (a one-element ``transform``).
-
-    Keeps a large derived expression (the parsed record) from being inlined at every
-    use when later filters are pushed down through the projection."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _classify_one(s: Column) -> Column:
-    def on_raw(raw):
-        kind = F.when(raw.isNull(), F.lit("malformed")).when(~_is_obj(raw), F.lit("not_object"))
-        types = F.struct(*task_types(raw, prefix=""))
-
-        def on_types(ty):
-            errs = F.when(kind.isNull(), errors_from_types(getter=lambda n: ty[n]))
-            status = F.coalesce(kind, F.when(F.size(errs) > 0, F.lit("invalid")), F.lit("ok"))
-            return F.struct(raw.alias("raw"), status.alias("status"), errs.alias("errs"))
-        return _let(types, on_types)
-    return _let(parse_json_strict(s), on_raw)
-
-
-_BUILT: dict[tuple[str, str], object] = {}
-
-
 def _built(app: str, name: str, build):
     """Build a large validation expression once per Spark application: it is a pure
     function of column names, and building it costs thousands of JVM round trips."""
