@@ -25,8 +25,11 @@ def _runs_with_ids(spark, sf):
 
 
 def _r_methods(runs):
-    # Method rows exist for runs with completion_tokens >= 40 (binding rule).
-    return runs.where(F.col("completion_tokens") >= 40).select("run_id", F.lit("pytest").alias("method"))
+    # Binding rule: runs without a generation error that passed or have an even candidate
+    # index were verified and have a method row; the other error-free, failed runs crashed
+    # mid-pipeline (and are retried on resume).
+    verified = F.col("gen_error").isNull() & ((F.col("overall_pass") == 1) | (F.col("candidate_idx") % 2 == 0))
+    return runs.where(verified).select("run_id", F.lit("pytest").alias("method"))
 
 
 @query("a5_scan_runs", with_views("""
@@ -44,7 +47,7 @@ def h4(spark, sf):
 
 _FIN_SQL = """
 , fin as (select experiment_id, model, task_id, candidate_idx from R
-          where overall_pass = 1 or gen_error is not null or completion_tokens >= 40)"""
+          where overall_pass = 1 or gen_error is not null or candidate_idx % 2 = 0)"""
 
 
 @query("c4_finished_keys", with_views(_FIN_SQL + """
