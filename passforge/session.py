@@ -49,7 +49,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is. Only when it is unset (local tests) do we create one under /tmp.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server side owns the checkpoint folder
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -323,7 +323,10 @@ def classify_task_lines(lines: DataFrame, strict: bool = False, line_col: str =
     df = lines.select(*keep, py_strip(F.col(line_col)).alias("_s")).where(F.col("_s") != "")
     df = df.select(*keep, "_s", parse_json_strict("_s").alias("raw"))
     kind = F.when(F.col("raw").isNull(), F.lit("malformed")).when(~_is_obj(F.col("raw")), F.lit("not_object"))
-    app = lines.sparkSession.sparkContext.applicationId
+    try:
+        app = lines.sparkSession.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext; key by session
+        app = str(id(lines.sparkSession))
     df = df.select(*keep, "_s", "raw", kind.alias("_kind"), *_built(app, "types", lambda: task_types(F.col("raw"))))
     df = df.select(*keep, "_s", "raw", "_kind",
                    F.when(F.col("_kind").isNull(), _built(app, "errors", errors_from_types)).alias("_errs"))
