@@ -2,9 +2,10 @@
 Spark aggregate over its findings.
 
 The per-row part is a small helper over the standard library's ``ast``: Spark
-partitions the corpus, ships rows to Python workers in Arrow batches, and does all
-grouping and counting itself. A row whose check raises yields one CRASH finding (J6),
-so a bad row never fails the task.
+partitions the corpus, ships it to Python workers in Arrow batches (``mapInPandas``),
+and does all grouping and counting itself. A row whose check raises yields one CRASH
+finding (J6), so a bad row never fails the task. The same check is also offered as a
+Python UDTF for SQL (``LATERAL``).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from ..sources.tasks import spread
@@ -90,32 +92,53 @@ def lint_source(code: str, rules: Sequence[str] = ALL_RULES, include_async: bool
             yield rule, RULES[rule][0], line, msg
 
 
+def lint_row(code):
+    """Finding tuples for one row; NULL code gives none; a crash gives one CRASH row."""
+    if code is None:
+        return []
+    try:
+        return list(lint_source(code))
+    except Exception as e:  # noqa: BLE001 - J6: isolate the failure to this row
+        return [("CRASH", RULES["CRASH"][0], None, RULES["CRASH"][1].format(e))]
+
+
 class LintCode:
-    """UDTF: ``lint(code)`` -> finding rows; NULL code gives none; a crash gives one row."""
+    """The same check as a UDTF, for SQL users: ``SELECT ... FROM t, LATERAL lint(code)``."""
 
     def eval(self, code):
-        if code is None:
-            return
-        try:
-            rows = list(lint_source(code))
-        except Exception as e:  # noqa: BLE001 - J6: isolate the failure to this row
-            rows = [("CRASH", RULES["CRASH"][0], None, RULES["CRASH"][1].format(e))]
-        yield from rows
+        yield from lint_row(code)
 
 
 lint_udtf = udtf(LintCode, returnType=FINDING_SCHEMA, useArrow=True)
 
 
 def lint(corpus: DataFrame, code: str = "code", rules: Sequence[str] | None = None) -> DataFrame:
-    """Finding rows for every row of ``corpus`` (all its columns kept).
-
-    ``rules`` registers the enabled rules (L3); by default all of ``ALL_RULES``. A crash
-    row (J6) is always kept."""
-    spark = corpus.sparkSession
-    spark.udtf.register("passforge_lint", lint_udtf)
-    corpus = spread(corpus)
-    found = spark.sql(f"SELECT c.*, f.* FROM {{corpus}} AS c, LATERAL passforge_lint(c.`{code}`) AS f",
-                      corpus=corpus)
+    """Finding rows for every row of ``corpus``; its other columns are kept
+    (the code text itself is not carried into the output).
+
+    Runs over Arrow batches with ``mapInPandas`` (Spark partitions the corpus; each Python
+    worker parses one batch at a time). ``rules`` registers the enabled rules (L3); by
+    default all of ``ALL_RULES``. A crash row (J6) is always kept."""
+    keep = [f for f in corpus.schema.fields if f.name != code]
+    out_schema = T.StructType(keep + [T.StructField("rule", T.StringType()), T.StructField("symbol", T.StringType()),
+                                      T.StructField("line", T.IntegerType()), T.StructField("message", T.StringType())])
+    names = [f.name for f in keep]
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            idx, found = [], []
+            for i, text in enumerate(pdf[code]):
+                for row in lint_row(text):
+                    idx.append(i)
+                    found.append(row)
+            part = pdf[names].iloc[idx].reset_index(drop=True)
+            cols = pd.DataFrame(found, columns=["rule", "symbol", "line", "message"])
+            cols["line"] = cols["line"].astype("Int32")
+            yield pd.concat([part, cols], axis=1)
+
+    found = spread(corpus).mapInPandas(run, out_schema)
     if rules is not None:
         found = found.where(F.col("rule").isin([*rules, "CRASH"]))
     return found

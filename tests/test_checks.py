@@ -147,3 +147,11 @@ def test_lint_crash_isolation(spark, monkeypatch):
     row = cc.LintCode()
     monkeypatch.setattr(cc, "lint_source", lambda code: (_ for _ in ()).throw(RuntimeError("boom")))
     assert list(row.eval("x = 1")) == [("CRASH", "method-crashed", None, "method crashed: boom")]
+    assert cc.lint_row(None) == []
+
+
+def test_lint_udtf_in_sql(spark):
+    spark.udtf.register("lint_code", cc.lint_udtf)
+    spark.createDataFrame([(1, "")], "code_id int, code string").createOrReplaceTempView("lint_src")
+    got = sorted(r["rule"] for r in spark.sql("SELECT f.rule FROM lint_src, LATERAL lint_code(code) f").collect())
+    assert got == ["W9001", "W9002", "W9003"]
