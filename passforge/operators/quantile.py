@@ -41,7 +41,11 @@ def exact_percentile(df: DataFrame, value: str, p: float, by: Sequence[str] = ()
     vals = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     distinct = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
 
-    widest = distinct.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    # A group's row count bounds its distinct values: a cheap count proves the bound in the
+    # common case; the distinct count is only needed when some group has more rows.
+    widest = vals.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    if widest is not None and widest > small_group_limit:
+        widest = distinct.groupBy(*keys).count().agg(F.max("count")).first()[0]
     if widest is None or widest <= small_group_limit:
         out = distinct.groupBy(*keys).agg(F.percentile("_v", F.lit(float(p)), F.col("_c")).alias(alias))
     else:
