@@ -27,7 +27,7 @@ def _runs_with_ids(spark, sf):
 def _r_methods(runs):
     # Binding rule: runs without a generation error that passed or have an even candidate
     # index were verified and have a method row; the other error-free, failed runs crashed
-    # mid-pipeline (and are retried on resume).
+    # during verification (and are retried on resume).
     verified = F.col("gen_error").isNull() & ((F.col("overall_pass") == 1) | (F.col("candidate_idx") % 2 == 0))
     return runs.where(verified).select("run_id", F.lit("pytest").alias("method"))
 

@@ -30,7 +30,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 LINEITEM_ORDER = ("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate",
                   "l_extendedprice", "l_quantity", "l_discount", "l_tax")
 
-# Method names in the order the verification pipeline knows them.
+# Method names in the order the verification plan knows them.
 METHOD_NAMES = ["ruff", "pylint_ros", "pytest", "hypothesis", "z3"]
 
 

@@ -128,7 +128,7 @@ def compact_runs(spark: SparkSession, runs_path: str, out_path: str) -> None:
 def finished_keys(runs: DataFrame, methods: DataFrame, experiment_id: str | None = None,
                   key: Sequence[str] = ("experiment_id", "task_id", "candidate_idx")) -> DataFrame:
     """C4: keys of runs that finished: passed, OR recorded a generation error, OR have a
-    method row. A run with none of these crashed mid-pipeline and is retried.
+    method row. A run with none of these crashed during verification and is retried.
 
     The EXISTS is a left join to the distinct run ids of ``methods`` (aggregated map-side).
     """
