@@ -119,10 +119,11 @@ def write_append(df: DataFrame, path: str, partition_by: str | None = "experimen
 
 
 def compact_runs(spark: SparkSession, runs_path: str, out_path: str) -> None:
-    """Rewrite the current state per experiment (dynamic partition overwrite)."""
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    """Rewrite the current state of the experiments present in the log (dynamic partition
+    overwrite: other experiments' partitions under ``out_path`` are left alone)."""
     current = upsert_runs(spark.read.parquet(runs_path))
-    current.write.mode("overwrite").partitionBy("experiment_id").parquet(out_path)
+    (current.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("experiment_id").parquet(out_path))
 
 
 def finished_keys(runs: DataFrame, methods: DataFrame, experiment_id: str | None = None,

@@ -131,3 +131,19 @@ def test_scan_runs_orders(spark):
                                "experiment_id string, task_id string, candidate_idx int")
     got = [(r["task_id"], r["candidate_idx"]) for r in rl.scan_runs(df, "e").collect()]
     assert got == [("a", 0), ("a", 1), ("b", 0)]
+
+
+def test_append_and_compact(spark, tmp_dir):
+    log = os.path.join(tmp_dir, "log")
+    out = os.path.join(tmp_dir, "current")
+    rows = spark.createDataFrame([("e1", "t", 0, "m", 0, None, 1), ("e1", "t", 0, "m", 1, None, 2),
+                                  ("e2", "t", 0, "m", 0, None, 1)], LOG)
+    rl.write_append(rows, log)
+    rl.write_append(rows, log)          # a replayed job appends the same rows again
+    rl.compact_runs(spark, log, out)
+    cur = {(r["experiment_id"], r["candidate_idx"]): r["overall_pass"] for r in spark.read.parquet(out).collect()}
+    assert cur == {("e1", 0): 1, ("e2", 0): 0}
+    rl.write_append(spark.createDataFrame([("e2", "t", 0, "m", 1, None, 5)], LOG), os.path.join(tmp_dir, "log2"))
+    rl.compact_runs(spark, os.path.join(tmp_dir, "log2"), out)   # only e2 is rewritten
+    cur = {(r["experiment_id"], r["candidate_idx"]): r["overall_pass"] for r in spark.read.parquet(out).collect()}
+    assert cur == {("e1", 0): 1, ("e2", 0): 1}
