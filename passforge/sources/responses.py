@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions._util import as_col
 from ..functions.text import FAILURE_TEXT_CHARS, join_text_blocks
-from .tasks import strict_json
+from .tasks import spread, strict_json
 
 # The three response shapes and the provider names that produce them.
 #   choices:  choices[0].message.content, usage.prompt_tokens / usage.completion_tokens
@@ -89,7 +89,7 @@ def junit_findings(reports: DataFrame, xml: str = "xml", keys: tuple[str, ...] =
     keys = list(keys)
     x = F.col(xml)
     flat = F.concat(F.lit("<cases>"), F.regexp_replace(x, _SUITE_TAGS, ""), F.lit("</cases>"))
-    parsed = reports.where(x.isNotNull()).select(
+    parsed = spread(reports.where(x.isNotNull())).select(
         *keys, F.from_xml(x, CHECK_SCHEMA, {"mode": "PERMISSIVE"}).alias("_chk"),
         F.from_xml(flat, FLAT_SCHEMA, {"mode": "PERMISSIVE"}).alias("_r"), x.alias("_x"))
     # A document that is not well-formed either fails to parse or parses to nothing.
