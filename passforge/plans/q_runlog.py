@@ -244,3 +244,32 @@ def a7(spark, sf):
     schema = ("experiment_id string, model string, task_id string, candidate_idx int, latency_ms double, "
               "gen_error string, overall_pass int")
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(out)
+
+
+@query("a6_init_store", with_views("""
+select run_id_key as run_id, experiment_id, task_id, candidate_idx, overall_pass from (
+  select experiment_id, model || ':' || task_id as task_id, candidate_idx, overall_pass,
+    experiment_id || '/' || model || ':' || task_id || '/' || cast(candidate_idx as varchar) as run_id_key from R)""",
+    "R"))
+def a6(spark, sf):
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    db = f"passforge_{uuid.uuid4().hex[:12]}"
+    root = os.path.join(ensure_checkpoint_dir(spark), db)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{root}'")
+    locs = rl.init_store(spark, root, database=db)
+    rl.init_store(spark, root, database=db)            # safe to repeat
+    runs = runs_view(spark, sf)
+    rows = runs.select(
+        F.concat_ws("/", "experiment_id", F.concat_ws(":", "model", "task_id"), F.col("candidate_idx").cast("string"))
+        .alias("run_id"), "experiment_id", F.concat_ws(":", "model", "task_id").alias("task_id"), "candidate_idx",
+        F.lit("driver").alias("provider"), "model", "prompt_tokens", "completion_tokens", "latency_ms",
+        F.col("candidate_idx").alias("seed"), F.lit(None).cast("string").alias("code"), "gen_error", "overall_pass",
+        "created_at", F.lit(0).cast("long").alias("ingest_seq"))
+    target = spark.table(f"{db}.runs").columns
+    rl.write_append(rows.select(*target), locs["runs"])
+    spark.catalog.recoverPartitions(f"{db}.runs")
+    return spark.table(f"{db}.runs").select("run_id", "experiment_id", "task_id", "candidate_idx", "overall_pass")
