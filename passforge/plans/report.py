@@ -21,6 +21,8 @@ REPORT_COLUMNS = ("experiment_id", "task_id", "model", "overall_pass", "latency_
 
 def report_tables(runs: DataFrame, meta: DataFrame | None, experiment_id: str | None = None,
                   ks: Sequence[int] = (1, 5, 10), persist: bool = True) -> dict[str, DataFrame]:
+    """The report frames of A12. ``tables["runs"]`` is the persisted, pruned scan that
+    every frame reads; call ``tables["runs"].unpersist()`` when the report is written."""
     scoped = runs if experiment_id is None else runs.where(F.col("experiment_id") == F.lit(experiment_id))
     pruned = scoped.select(*[c for c in REPORT_COLUMNS if c in runs.columns])
     if persist:

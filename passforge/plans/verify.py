@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,8 +115,9 @@ def verify(candidates: DataFrame, key: Sequence[str], methods: Sequence[str],
     """Run the enabled checks. Returns (method rows with ``method_pos``, per-candidate
     verdicts, unknown method names).
 
-    With the default registry, the lint-based methods share one UDTF pass and the spec
-    methods one fold; the candidate table, read by every branch, is persisted once.
+    With the default registry, the lint-based methods share one lint pass and the spec
+    methods one fold. The candidate table is read by each branch; persist it (or build it
+    from checkpointed data, as the task loader does) when it is expensive to compute.
     """
     custom = registry is not None and any(registry.get(k) is not DEFAULT_REGISTRY.get(k) for k in DEFAULT_REGISTRY)
     registry = dict(DEFAULT_REGISTRY, **(registry or {}))
@@ -127,7 +127,7 @@ def verify(candidates: DataFrame, key: Sequence[str], methods: Sequence[str],
     if not known:
         empty = candidates.select(*key).where(F.lit(False))
         return empty, candidates.select(*key, F.lit(False).alias("overall_pass")), unknown
-    cands = candidates.persist(StorageLevel.MEMORY_AND_DISK)
+    cands = candidates
     pos = {name: i for i, name in enumerate(known)}
     parts = []
     rest = list(known)
