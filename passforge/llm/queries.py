@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, exact, htmltext, lmscore, lzprint, mixing, ngramjoin, quality
+from . import bpe, chat, exact, htmltext, linededup, lmscore, lzprint, mixing, ngramjoin, quality
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.annotate(table(spark, sf_dir, "documents"))
 
@@ -54,14 +62,17 @@ QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_lm_score": op2_lm_score,
     "op3_quality": op3_quality,
+    "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_html": op6_html,
+    "op7_chat": op7_chat,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE: dict[str, str] = {
+    "op4_line_dedup": linededup.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op8_exact_dedup": exact.ORACLE,
 }
