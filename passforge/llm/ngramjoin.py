@@ -286,3 +286,18 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col
     marked = maybe_in(docs.select(row, F.col(id_col).cast("long").alias("__id")), F.col("__id"), id_filter(gone))
     stay = marked.filter("__maybe").join(gone, F.col("__id") == F.col("id"), "left_anti")
     return marked.filter("not __maybe").select("__row.*").unionByName(stay.select("__row.*"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+             ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END AS shingles FROM w),
+n AS (SELECT doc_id, len(list_distinct(shingles)) AS n FROM l),
+s AS (SELECT doc_id, unnest(list_distinct(shingles)) AS s FROM l),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(min(r.b), n.doc_id) AS component_id
+FROM n LEFT JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
+"""

@@ -75,6 +75,7 @@ ORACLE: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op8_exact_dedup": exact.ORACLE,
+    "op9_ngram_join": ngramjoin.ORACLE,
 }
 
 
