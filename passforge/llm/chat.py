@@ -66,7 +66,8 @@ def split_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
                     own.pop()
             quotes.append((level, [m[2]]))
         running = level
-    return "\n".join(own).strip(), [(level, "\n".join(lines)) for level, lines in quotes]
+    text = "\n".join(own).strip()
+    return re.sub(r"\n{3,}", "\n\n", text) if quotes else text, [(level, "\n".join(lines)) for level, lines in quotes]
 
 
 def units(text: str) -> dict[int, int]:

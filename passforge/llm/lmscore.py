@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .attention import Attention
-from .common import bound_batches, crc_mod, stored, text_or_empty
+from .common import bound_batches, crc_mod, largest, stored, text_or_empty
 
 FOLDS, HELD_OUT = 7, 2
 HOT_WORDS = 200_000
@@ -232,16 +232,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     counts = stored(word_counts(learn.select("text")).withColumn("h", F.xxhash64("word")), "words")
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    # the largest counts, as many as hot_words allows: by a histogram of count sizes (a few hundred rows)
-    size = F.floor(F.log2("c") * 8).cast("int")
-    bins = counts.groupBy(size.alias("b")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("b")).collect()
-    cut, held = None, 0
-    for row in bins:
-        held += row["k"]
-        if held > hot_words:
-            break
-        cut = row["b"]
-    top = [] if cut is None else counts.filter(size >= cut).select("word", "c").toPandas().sort_values(
+    top = largest(counts, "c", hot_words).select("word", "c").toPandas().sort_values(
         ["c", "word"], ascending=[False, True]).itertuples(index=False)
     top = [(bytes(w), int(c)) for w, c in top]
     path = path or bpe.vocabulary_path()

@@ -43,21 +43,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stored, text_or_empty
+from .common import bound_batches, largest, stored, text_or_empty
 from .components import components
 from .shingles import mix, shingle_set
 
 WORDS = 4
 PERCENT = 85
-HOT_MOST = 2**18      # frequent shingles named, at most
-HOT_DOCS = 24         # documents that share a frequent shingle, at least
-HOT_LOCAL = 4         # ... and among the documents of one counting block
+HOT_MOST = 2**19      # frequent shingles named, at most
+HOT_DOCS = 6          # documents counted that share a frequent shingle, at least
+HOT_LOCAL = 2         # ... and among the documents of one counting block
 BLOCK = 4_000_000     # shingles counted at a time in a task
-ID_FILTER_BITS = 2**24
+ID_FILTER_BITS = 2**26
 
 
 def hot_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes ascending, document counts) of shingles that many documents share."""
+    """(hashes ascending, document counts) of shingles that many documents share.
+
+    A block of documents reports the shingles that it holds at least HOT_LOCAL times; with
+    B blocks, one that sqrt(2 B) documents share is likely to be reported by some block."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -77,9 +80,9 @@ def hot_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
         if size:
             yield flush()
 
-    rows = (texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= HOT_DOCS).orderBy(F.desc("n"), "shingle").limit(HOT_MOST).toPandas())
-    rows = rows.sort_values("shingle")
+    often = stored(texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+                   .filter(F.col("n") >= HOT_DOCS), "frequent")
+    rows = largest(often, "n", HOT_MOST).toPandas().sort_values("shingle")
     return rows["shingle"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
@@ -139,6 +142,12 @@ def _may_link(percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
 
 
+def _within_reach(percent: int) -> Column:
+    """Exact bound on a shared shingle at places posa and posb of the two orders."""
+    most = F.least("posa", "posb") + 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
+    return (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the threshold."""
     @F.pandas_udf("boolean")
@@ -186,19 +195,27 @@ def link_classes(described: DataFrame, texts: DataFrame, words: int, percent: in
     """Links (a, b) between classes that determine the components."""
     full = described.filter("n > 0")
     members = stored(full.groupBy("class", "grp").agg(F.min("doc_id").alias("id")), "members")
-    groups = full.groupBy("grp").agg(
-        F.first("n").alias("n"), F.first("hot").alias("hot"), F.first("last_n").alias("last_n"),
-        F.first("last_hash").alias("last_hash"), F.first("prefix").alias("prefix"))
-    postings = groups.select("grp", "n", "hot", F.struct("last_n", "last_hash").alias("l"), F.explode("prefix").alias("item"))
-    # buckets of one group link nothing; the others name the member that all are compared with
+    # most groups are one document: only the others meet in a shuffle
+    cols = ["grp", "n", "hot", "last_n", "last_hash", "prefix"]
+    several = full.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("grp").alias("id"))
+    marked = maybe_in(full.select(*cols), F.col("grp"), id_filter(several))
+    groups = marked.filter("not __maybe").select(*cols).unionByName(
+        marked.filter("__maybe").groupBy("grp").agg(*[F.first(c).alias(c) for c in cols[1:]]))
+    postings = groups.select("grp", "n", "hot", F.struct("last_n", "last_hash").alias("l"),
+                             F.posexplode("prefix").alias("pos", "item"))
+    # buckets of one group link nothing; the others are found by their shingle alone
+    repeated = stored(postings.groupBy("item").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+                      .select(F.col("item").alias("id")), "items")
+    some = maybe_in(postings, F.col("item"), id_filter(repeated)).filter("__maybe").drop("__maybe")
+    shared = stored(some.join(repeated, F.col("item") == F.col("id"), "left_semi"), "buckets")
+    # the member that all of a bucket are compared with
     head = F.min(F.struct((-F.col("hot")).alias("cold"), "grp", "n", "l")).alias("head")
-    buckets = postings.groupBy("item").agg(F.count(F.lit(1)).alias("k"), head).filter("k > 1")
-    shared = stored(postings.select("item", "grp", "n", "l").join(buckets.select("item", "head"), "item"), "buckets")
+    led = shared.select("item", "grp", "n", "l").join(shared.groupBy("item").agg(head), "item")
     heads = members.groupBy("grp").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("k"))
     heads = stored(heads, "heads")
 
     # first round: everything with one member
-    star = (shared.filter(F.col("grp") != F.col("head.grp")).groupBy(F.col("head.grp").alias("ga"), F.col("grp").alias("gb"))
+    star = (led.filter(F.col("grp") != F.col("head.grp")).groupBy(F.col("head.grp").alias("ga"), F.col("grp").alias("gb"))
             .agg(F.first("head.n").alias("na"), F.first("n").alias("nb"), F.first("head.l").alias("la"),
                  F.first("l").alias("lb"), F.count(F.lit(1)).alias("shared"))
             .filter(_may_link(percent)))
@@ -215,16 +232,16 @@ def link_classes(described: DataFrame, texts: DataFrame, words: int, percent: in
         "class", "grp", F.coalesce("label", "class").alias("comp"))
     placed = stored(placed, "placed")
     at = placed.select("grp", "comp").distinct()
-    rows = shared.select("item", "grp", "n", "l").join(at, "grp")
+    rows = shared.select("item", "grp", "n", "l", "pos").join(at, "grp")
     per = rows.groupBy("item", "comp").agg(F.count(F.lit(1)).alias("k"))
     most = per.groupBy("item").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")) \
         .filter("comps > 1").select("item", F.col("m.comp").alias("main"))
     rows = stored(rows.join(most, "item"), "mixed")
     rest = rows.filter("comp != main")
-    side = lambda df, s: df.select("item", *[F.col(c).alias(c + s) for c in ("grp", "n", "l", "comp")])
+    side = lambda df, s: df.select("item", *[F.col(c).alias(c + s) for c in ("grp", "n", "l", "pos", "comp")])
     cross = side(rest, "a").join(side(rows.filter("comp = main"), "b"), "item").unionByName(
         side(rest, "a").join(side(rest, "b"), "item").filter("compa < compb"))
-    cross = cross.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    cross = cross.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & _within_reach(percent))
     swap = F.col("grpa") > F.col("grpb")
     cross = cross.select("item", *[F.when(swap, F.col(c + "b")).otherwise(F.col(c + "a")).alias(o) for c, o in
                                    (("grp", "ga"), ("n", "na"), ("l", "la"))],
