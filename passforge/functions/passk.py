@@ -9,22 +9,22 @@ from ._util import as_col
 
 
 def pass_at_k(n, c, k) -> Column:
-    """1 - C(n-c, k) / C(n, k), computed as a product so it never overflows.
+    """1 - C(n-c, k) / C(n, k) as a product of k factors, so it never overflows and its
+    length does not depend on the counts.
 
-    C(n-c,k)/C(n,k) = prod_{i=n-c+1}^{n} (1 - k/i).  Guards, in order:
-    n <= 0 or c <= 0 gives 0; c >= n or k >= n gives 1; n - c < k gives 1.
-    The guards also keep ``sequence`` from running backwards (it counts down on an
-    inverted range) and keep it short: at most c terms.
+    C(n-c,k)/C(n,k) = prod_{j=0}^{k-1} (n-c-j) / (n-j).  Guards, in order:
+    n <= 0, c <= 0 or k <= 0 gives 0; c >= n or k >= n gives 1; n - c < k gives 1.
     """
     n, c, k = as_col(n), as_col(c), as_col(k)
-    nd, cd, kd = n.cast("long"), c.cast("long"), k.cast("double")
+    rest = (n.cast("long") - c.cast("long")).cast("double")
+    total = n.cast("double")
+    steps = F.sequence(F.lit(1).cast("long"), F.greatest(k.cast("long"), F.lit(1).cast("long")))
     product = F.aggregate(
-        F.sequence(nd - cd + F.lit(1), nd),
-        F.lit(1.0).cast("double"),
-        lambda acc, i: acc * (F.lit(1.0) - kd / i.cast("double")),
+        steps, F.lit(1.0).cast("double"),
+        lambda acc, j: acc * ((rest - j + 1) / (total - j + 1)),
     )
     return (
-        F.when((n <= 0) | (c <= 0), F.lit(0.0))
+        F.when((n <= 0) | (c <= 0) | (k <= 0), F.lit(0.0))
         .when((c >= n) | (k >= n), F.lit(1.0))
         .when((n - c) < k, F.lit(1.0))
         .otherwise(F.lit(1.0) - product)

@@ -18,7 +18,9 @@ from ._util import as_col
 # classes; \x1c-\x1f are added because Python counts them as whitespace and Java does not.
 _WS = r"[\s\x1c-\x1f]"
 CODE_FENCE = r"(?isU)```(?:python|py)?" + _WS + r"*\n(.*?)```"
-_TRIM = r"(?U)^" + _WS + r"+|" + _WS + r"+\z"
+# Every character that Python's str.strip() removes.
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + \
+    "\u2028\u2029\u202f\u205f\u3000"
 
 # Bounds on stored text (characters unless said otherwise).
 STDOUT_CHARS = 4000
@@ -28,8 +30,11 @@ BAD_LINE_CHARS = 200
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()`` on a column (Unicode whitespace, as Python defines it)."""
-    return F.regexp_replace(as_col(c), _TRIM, "")
+    """Python ``str.strip()`` on a column (Unicode whitespace, as Python defines it).
+
+    The built-in trim looks at the ends only; a regex anchored at the end would try every
+    inner run of blanks."""
+    return F.trim(as_col(c), F.lit(_BLANKS))
 
 
 def extract_code(text) -> Column:

@@ -24,6 +24,7 @@ from ..functions.passk import pass_at_k
 from .quantile import exact_percentile
 
 DEFAULT_KS = (1, 5, 10)
+SALTS = 16
 
 
 def _by(by) -> list[str]:
@@ -87,16 +88,27 @@ def summarize_by_model(runs: DataFrame, by=("experiment_id",), experiment_id: st
 
 
 def _summarize_by_dim(runs: DataFrame, meta: DataFrame | None, dim: str, by, experiment_id) -> DataFrame:
-    df = with_meta(_scope(runs, experiment_id), meta)
-    if dim not in df.columns:
-        return df
+    df = _scope(runs, experiment_id)
     keys = _by(by) + [dim]
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("long").alias("n"),
-        F.sum("overall_pass").cast("long").alias("passed"),
+    if meta is None or dim not in meta.columns:
+        df = with_meta(df, meta)
+        if dim not in df.columns:
+            return df
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("overall_pass").alias("_c"))
+    else:  # runs collapse to one row per task before the metadata is joined
+        counts = with_meta(_per_task(df, _by(by)), meta, cols=[dim])
+    return counts.groupBy(*keys).agg(
+        F.sum("_n").cast("long").alias("n"),
+        F.sum("_c").cast("long").alias("passed"),
     ).withColumn("pass_rate", _pass_rate())
 
 
+def _per_task(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows, passes and non-null verdicts per task within ``keys``: what joins need of raw runs."""
+    return runs.groupBy(*keys, "task_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("overall_pass").alias("_c"), F.count("overall_pass").alias("_k"))
+
+
 def summarize_by_difficulty(runs: DataFrame, meta: DataFrame | None = None, by=("experiment_id",),
                             experiment_id: str | None = None) -> DataFrame:
     """Per difficulty n, passed, pass_rate; NULL difficulty (no metadata) is a group."""
@@ -182,10 +194,15 @@ def pass_rate_model_difficulty(runs: DataFrame, meta: DataFrame | None, by=("exp
                                experiment_id: str | None = None) -> DataFrame:
     """Mean pass per (model, difficulty); rows with NULL model or difficulty are dropped."""
     keys = _by(by) + ["model", "difficulty"]
-    df = with_meta(_scope(runs, experiment_id), meta, cols=["difficulty"])
-    require_columns(df, keys, "pass_rate_model_difficulty")
-    return (df.dropna(subset=["model", "difficulty"])
-            .groupBy(*keys).agg(F.avg("overall_pass").alias("pass_rate")))
+    df = _scope(runs, experiment_id)
+    if meta is None or "difficulty" not in meta.columns:
+        require_columns(with_meta(df, meta), keys, "pass_rate_model_difficulty")
+        per = df.groupBy(*keys).agg(F.sum("overall_pass").alias("_c"), F.count("overall_pass").alias("_k"))
+    else:
+        require_columns(df, keys[:-1], "pass_rate_model_difficulty")
+        per = with_meta(_per_task(df.dropna(subset=["model"]), keys[:-1]), meta, cols=["difficulty"])
+    return (per.dropna(subset=["model", "difficulty"]).groupBy(*keys)
+            .agg(F.try_divide(F.sum("_c").cast("double"), F.sum("_k").cast("double")).alias("pass_rate")))
 
 
 def pass_rate_pivot(d8: DataFrame, values: Sequence[str] | None = None, by=("experiment_id",)) -> DataFrame:
@@ -211,11 +228,16 @@ def latency_histogram(runs: DataFrame, bins: int = 20, by=("experiment_id",),
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("lo"),
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("hi"),
     )
-    bucketed = (vals.join(rng, keys, "inner") if keys else _join_one_row(vals, rng))
+    # Equal values collapse first; one experiment may hold most of them, so its values are
+    # spread over SALTS join keys (the range side has one row per experiment).
+    collapsed = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")) \
+        .withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+    salted = rng.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    bucketed = collapsed.join(salted, [*keys, "_salt"])
     counts = bucketed.select(
-        *keys, F.least(F.width_bucket(F.col("_v"), F.col("lo"), F.col("hi"), F.lit(bins)),
-                       F.lit(bins)).cast("int").alias("bin"),
-    ).groupBy(*keys, "bin").agg(F.count(F.lit(1)).cast("long").alias("count"))
+        *keys, "_c", F.least(F.width_bucket(F.col("_v"), F.col("lo"), F.col("hi"), F.lit(bins)),
+                             F.lit(bins)).cast("int").alias("bin"),
+    ).groupBy(*keys, "bin").agg(F.sum("_c").cast("long").alias("count"))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     grid = rng.select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     grid = grid.select(*keys, "bin",
@@ -263,17 +285,25 @@ def metrics_by(runs: DataFrame, meta: DataFrame | None, dims: Sequence[str], ks:
     ``ros_concept`` as a dimension explodes the task's concept list (distinct, outer):
     a task counts once under each of its concepts and once under NULL when it has none.
     """
-    keys = _by(by)
-    df = with_meta(_scope(runs, experiment_id), meta)
-    dims = list(dims)
+    keys, dims = _by(by), list(dims)
+    df = _scope(runs, experiment_id)
+    of_meta = {"ros_concept", *([] if meta is None else [c for c in meta.columns if c != "task_id"])}
+    own = [d for d in dims if d not in of_meta]
+    carried = [] if meta is not None or "ros_concepts" not in df.columns else ["ros_concepts"]
+    require_columns(df, keys + own + ["task_id", "overall_pass"], "metrics_by")
+    # runs collapse to one row per task before metadata and concepts multiply them
+    needed = [d for d in dims if d in of_meta and d != "ros_concept"] + (["ros_concepts"] if "ros_concept" in dims else [])
+    df = with_meta(_per_task(df, [*keys, *own, *carried]), meta,
+                   cols=None if meta is None else [c for c in needed if c in meta.columns])
     if "ros_concept" in dims:
         concepts = F.col("ros_concepts") if "ros_concepts" in df.columns else F.lit(None).cast("array<string>")
         df = df.withColumn("ros_concept", F.explode_outer(F.array_distinct(concepts)))
-    require_columns(df, keys + dims + ["task_id", "overall_pass"], "metrics_by")
-    counts = task_counts(df, by=keys + dims)
+    require_columns(df, keys + dims, "metrics_by")
+    counts = df.groupBy(*keys, *dims, "task_id").agg(
+        F.sum("_n").cast("long").alias("_tn"), F.sum("_c").cast("long").alias("_tc"))
     return counts.groupBy(*keys, *dims).agg(
-        F.sum("n").cast("long").alias("n"),
-        F.sum("c").cast("long").alias("passed"),
+        F.sum("_tn").cast("long").alias("n"),
+        F.sum("_tc").cast("long").alias("passed"),
         F.count(F.lit(1)).cast("long").alias("n_tasks"),
-        *[F.avg(pass_at_k("n", "c", int(k))).alias(f"pass@{k}") for k in ks],
+        *[F.avg(pass_at_k("_tn", "_tc", int(k))).alias(f"pass@{k}") for k in ks],
     ).withColumn("pass_rate", _pass_rate())

@@ -6,16 +6,13 @@ that buffer is unbounded, so the selection here is distributed:
 
 1. collapse duplicates: (group, value) -> multiplicity, with partial aggregation, so a
    value repeated a third of the time becomes one row;
-2. range-partition the distinct (group, value) rows (balanced, since they are distinct)
-   and checkpoint them so partition ids are fixed;
-3. count per (partition, group), prefix-sum those small counts to give every partition
-   its rank offset within the group;
-4. only the at most two partitions per group that hold ranks floor(r) and ceil(r),
-   r = p * (n - 1), are scanned with a running count to pick the two values.
+2. cut each group into ``SLICES`` slices of about equal weight at approximate quantiles
+   (a bounded sketch per group; inexact cuts only make slices uneven, not results wrong);
+3. sum the multiplicities per slice and prefix-sum those few rows, which shows the slices
+   that hold ranks floor(r) and ceil(r), r = p * (n - 1);
+4. only those slices are sorted, each in a task of its own, with a running count.
 
-When the largest group has few distinct values (a checked bound), the built-in
-``percentile`` with a frequency argument is used on the collapsed rows instead:
-its buffer is then bounded by that check.
+One plan for every size; nothing runs until the result is asked for.
 """
 
 from __future__ import annotations
@@ -25,61 +22,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
-# Above this many distinct values in one group the distributed selection is used; at or
-# below it the built-in buffer holds at most this many (value, count) pairs per group.
-SMALL_GROUP_DISTINCT = 1_000_000
+SLICES = 256
 
 
 def exact_percentile(df: DataFrame, value: str, p: float, by: Sequence[str] = (),
-                     alias: str = "percentile", small_group_limit: int = SMALL_GROUP_DISTINCT) -> DataFrame:
+                     alias: str = "percentile", slices: int = SLICES) -> DataFrame:
     keys = list(by)
     if not keys:
         df = df.withColumn("_g", F.lit(0))
         keys = ["_g"]
     vals = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    shares = [i / slices for i in range(1, slices)]
+    cuts = vals.groupBy(*keys).agg(F.percentile_approx("_v", shares, 20 * slices).alias("_q"),
+                                   F.count(F.lit(1)).alias("_n"))
+    cuts = cuts.withColumn("_r", F.lit(float(p)) * (F.col("_n") - 1)) \
+        .withColumn("_lo", F.floor("_r")).withColumn("_hi", F.ceil("_r"))
     distinct = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    below = F.size(F.filter(F.col("_q"), lambda q: q < F.col("_v")))
+    sliced = distinct.join(cuts.select(*keys, F.array_distinct("_q").alias("_q")), keys) \
+        .select(*keys, "_v", "_c", below.alias("_s"))
 
-    # A group's row count bounds its distinct values: a cheap count proves the bound in the
-    # common case; the distinct count is only needed when some group has more rows.
-    widest = vals.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    if widest is not None and widest > small_group_limit:
-        widest = distinct.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    if widest is None or widest <= small_group_limit:
-        out = distinct.groupBy(*keys).agg(F.percentile("_v", F.lit(float(p)), F.col("_c")).alias(alias))
-    else:
-        out = _distributed_select(distinct, keys, float(p), alias)
-    return out.drop("_g") if "_g" in keys else out
-
-
-def _distributed_select(distinct: DataFrame, keys: list[str], p: float, alias: str) -> DataFrame:
-    spark = distinct.sparkSession
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = distinct.repartitionByRange(nparts, *keys, "_v").withColumn("_pid", F.spark_partition_id())
-    ranged = cut_lineage(ranged)
-
-    per_part = ranged.groupBy("_pid", *keys).agg(F.sum("_c").alias("_s"))
-    per_part = per_part.withColumn(
-        "_off", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_pid")) - F.col("_s"))
-    totals = per_part.groupBy(*keys).agg(F.sum("_s").alias("_n")).select(
-        *keys, (F.lit(p) * (F.col("_n") - 1)).alias("_r"))
-    totals = totals.withColumn("_lo", F.floor("_r")).withColumn("_hi", F.ceil("_r"))
+    per = sliced.groupBy(*keys, "_s").agg(F.sum("_c").alias("_w"))
+    per = per.withColumn("_off", F.sum("_w").over(Window.partitionBy(*keys).orderBy("_s")) - F.col("_w"))
 
     def holds(rank):
-        return (F.col(rank) >= F.col("_off")) & (F.col(rank) < F.col("_off") + F.col("_s"))
+        return (F.col(rank) >= F.col("_off")) & (F.col(rank) < F.col("_off") + F.col("_w"))
 
-    needed = per_part.join(totals, keys).where(holds("_lo") | holds("_hi")) \
-        .select("_pid", *keys, "_off", "_lo", "_hi")
-    cand = ranged.join(needed, ["_pid", *keys])
-    running = Window.partitionBy("_pid", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cand = cand.withColumn("_end", F.col("_off") + F.sum("_c").over(running)) \
-        .withColumn("_start", F.col("_end") - F.col("_c"))
+    needed = per.join(cuts.drop("_q"), keys).where(holds("_lo") | holds("_hi")) \
+        .select(*keys, "_s", "_off", "_r", "_lo", "_hi")
+    running = Window.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cand = sliced.join(needed, [*keys, "_s"]) \
+        .withColumn("_end", F.col("_off") + F.sum("_c").over(running)).withColumn("_start", F.col("_end") - F.col("_c"))
 
-    def pick(rank, name):
-        return cand.where((F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_end"))) \
-            .select(*keys, F.col("_v").alias(name))
+    def at(rank):
+        return F.max(F.when((F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_end")), F.col("_v")))
 
-    lo, hi = pick("_lo", "_vlo"), pick("_hi", "_vhi")
-    return totals.join(lo, keys).join(hi, keys).select(
-        *keys, (F.col("_vlo") + (F.col("_r") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))).alias(alias))
+    lo, hi = at("_lo"), at("_hi")
+    out = cand.groupBy(*keys).agg((lo + F.max(F.col("_r") - F.col("_lo")) * (hi - lo)).alias(alias))
+    return out.drop("_g") if "_g" in keys else out

@@ -285,28 +285,11 @@ def errors_from_types(prefix: str = "_ty_", getter=None) -> Column:
     return F.filter(F.array(*msgs), lambda m: m.isNotNull())
 
 
-_BUILT: dict[tuple[str, str], object] = {}
-
-
-def _built(app: str, name: str, build):
-    """Build a large validation expression once per Spark application: it is a pure
-    function of column names, and building it costs thousands of JVM round trips."""
-    key = (app, name)
-    if key not in _BUILT:
-        _BUILT[key] = build()
-    return _BUILT[key]
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a frame over the cluster when it has fewer partitions than cores:
-    parsing and validating a line is CPU-bound, and a task file of a few hundred MB is
-    read as one or two splits."""
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the layout to AQE
-        return df
-    return df.repartition(par) if parts < par else df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal rows round-robin before CPU-bound per-row work: a task file of a few hundred MB
+    is read as one or two splits. ``partitions``: the session's shuffle partitions by
+    default, the setting that follows the data size. Starts no job."""
+    return df.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def classify_task_lines(lines: DataFrame, strict: bool = False, line_col: str = "line",
@@ -323,13 +306,9 @@ def classify_task_lines(lines: DataFrame, strict: bool = False, line_col: str =
     df = lines.select(*keep, py_strip(F.col(line_col)).alias("_s")).where(F.col("_s") != "")
     df = df.select(*keep, "_s", parse_json_strict("_s").alias("raw"))
     kind = F.when(F.col("raw").isNull(), F.lit("malformed")).when(~_is_obj(F.col("raw")), F.lit("not_object"))
-    try:
-        app = lines.sparkSession.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext; key by session
-        app = str(id(lines.sparkSession))
-    df = df.select(*keep, "_s", "raw", kind.alias("_kind"), *_built(app, "types", lambda: task_types(F.col("raw"))))
+    df = df.select(*keep, "_s", "raw", kind.alias("_kind"), *task_types(F.col("raw")))
     df = df.select(*keep, "_s", "raw", "_kind",
-                   F.when(F.col("_kind").isNull(), _built(app, "errors", errors_from_types)).alias("_errs"))
+                   F.when(F.col("_kind").isNull(), errors_from_types()).alias("_errs"))
     df = df.select(*keep, "_s", "raw", F.coalesce(
         "_kind", F.when(F.size("_errs") > 0, F.lit("invalid")), F.lit("ok")).alias("_status"), "_errs")
     status = F.col("_status")
