@@ -11,7 +11,7 @@ Python UDTF for SQL (``LATERAL``).
 from __future__ import annotations
 
 import ast
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +37,19 @@ QOS_FACTORIES = {"create_publisher", "create_subscription"}
 ALL_RULES = ("W9001", "W9002", "W9003", "W9010", "W9020", "E0001")
 
 
+def _text(node: ast.expr) -> str:
+    """Source of an expression; dotted names are read without recursion."""
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    if isinstance(node, ast.Name):
+        return ".".join([node.id, *reversed(parts)])
+    return ".".join([ast.unparse(node), *reversed(parts)])
+
+
 def _call_name(func: ast.expr) -> str:
-    if isinstance(func, ast.Attribute):
-        return f"{ast.unparse(func.value)}.{func.attr}"
-    if isinstance(func, ast.Name):
-        return func.id
-    return ""
+    return _text(func) if isinstance(func, (ast.Attribute, ast.Name)) else ""
 
 
 def _is_callback(node: ast.AST, include_async: bool) -> bool:
@@ -50,54 +57,53 @@ def _is_callback(node: ast.AST, include_async: bool) -> bool:
     return isinstance(node, kinds) and "callback" in node.name.lower()
 
 
-def lint_source(code: str, rules: Sequence[str] = ALL_RULES, include_async: bool = False):
-    """Yield (rule, symbol, line, message) for one module's source text."""
+def lint_source(code: str, rules: Sequence[str] = ALL_RULES, include_async: bool = False,
+                custom: Mapping[str, Callable[[ast.Module], Iterable[tuple[int, str]]]] | None = None):
+    """Yield (rule, symbol, line, message) for one module's source text.
+
+    ``custom``: further rules by name, each a function of the parsed module that yields
+    (line, message). The tree is walked with an explicit stack, so deep nesting (a sum of
+    thousands of terms) is no special case."""
     try:
         tree = ast.parse(code)
     except SyntaxError as e:
         if "E0001" in rules:
             yield "E0001", RULES["E0001"][0], e.lineno, RULES["E0001"][1].format(e.msg)
         return
-    saw = {"init": False, "shutdown": False, "destroy": False}
+    missing = {"W9001", "W9002", "W9003"}
     found = []
-
-    def visit(node: ast.AST, depth: int) -> None:
-        inside = depth + (1 if _is_callback(node, include_async) else 0)
+    stack: list[tuple[ast.AST, int]] = [(tree, 0)]
+    while stack:
+        node, callbacks = stack.pop()
         if isinstance(node, ast.Call):
             func = node.func
             if isinstance(func, ast.Attribute):
-                base = ast.unparse(func.value)
-                if func.attr == "init" and "rclpy" in base:
-                    saw["init"] = True
-                if func.attr == "shutdown" and "rclpy" in base:
-                    saw["shutdown"] = True
-                if func.attr == "destroy_node":
-                    saw["destroy"] = True
-                if func.attr in QOS_FACTORIES and len(node.args) < 3 and \
+                if func.attr in ("init", "shutdown") and "rclpy" in _text(func.value):
+                    missing.discard("W9001" if func.attr == "init" else "W9002")
+                elif func.attr == "destroy_node":
+                    missing.discard("W9003")
+                elif func.attr in QOS_FACTORIES and len(node.args) < 3 and \
                         not any(k.arg in ("qos_profile", "depth") for k in node.keywords):
                     found.append(("W9020", node.lineno, RULES["W9020"][1]))
-            if depth > 0:
-                name = _call_name(func)
-                if name in BLOCKING_CALLS:
-                    found.append(("W9010", node.lineno, RULES["W9010"][1].format(name)))
-        for child in ast.iter_child_nodes(node):
-            visit(child, inside)
-
-    visit(tree, 0)
-    for rule, key in (("W9001", "init"), ("W9002", "shutdown"), ("W9003", "destroy")):
-        if not saw[key]:
-            found.append((rule, 1, RULES[rule][1]))
+            if callbacks and (name := _call_name(func)) in BLOCKING_CALLS:
+                found.append(("W9010", node.lineno, RULES["W9010"][1].format(name)))
+        inside = callbacks + _is_callback(node, include_async)
+        stack += [(child, inside) for child in reversed(list(ast.iter_child_nodes(node)))]
+    found += [(rule, 1, RULES[rule][1]) for rule in sorted(missing)]
     for rule, line, msg in found:
         if rule in rules:
             yield rule, RULES[rule][0], line, msg
+    for rule, check in (custom or {}).items():
+        for line, msg in check(tree):
+            yield rule, rule, line, msg
 
 
-def lint_row(code):
+def lint_row(code, rules: Sequence[str] = ALL_RULES, custom=None):
     """Finding tuples for one row; NULL code gives none; a crash gives one CRASH row."""
     if code is None:
         return []
     try:
-        return list(lint_source(code))
+        return list(lint_source(code, rules, custom=custom))
     except Exception as e:  # noqa: BLE001 - J6: isolate the failure to this row
         return [("CRASH", RULES["CRASH"][0], None, RULES["CRASH"][1].format(e))]
 
@@ -112,13 +118,15 @@ class LintCode:
 lint_udtf = udtf(LintCode, returnType=FINDING_SCHEMA, useArrow=True)
 
 
-def lint(corpus: DataFrame, code: str = "code", rules: Sequence[str] | None = None) -> DataFrame:
+def lint(corpus: DataFrame, code: str = "code", rules: Sequence[str] | None = None, custom=None) -> DataFrame:
     """Finding rows for every row of ``corpus``; its other columns are kept
     (the code text itself is not carried into the output).
 
     Runs over Arrow batches with ``mapInPandas`` (Spark partitions the corpus; each Python
-    worker parses one batch at a time). ``rules`` registers the enabled rules (L3); by
-    default all of ``ALL_RULES``. A crash row (J6) is always kept."""
+    worker parses one batch at a time). ``rules`` names the enabled rules (L3), by default
+    all of ``ALL_RULES``; ``custom`` adds rules of the caller's own (see ``lint_source``).
+    A crash row (J6) is always kept."""
+    enabled = tuple(ALL_RULES if rules is None else rules)
     keep = [f for f in corpus.schema.fields if f.name != code]
     out_schema = T.StructType(keep + [T.StructField("rule", T.StringType()), T.StructField("symbol", T.StringType()),
                                       T.StructField("line", T.IntegerType()), T.StructField("message", T.StringType())])
@@ -130,7 +138,7 @@ def lint(corpus: DataFrame, code: str = "code", rules: Sequence[str] | None = No
         for pdf in batches:
             idx, found = [], []
             for i, text in enumerate(pdf[code]):
-                for row in lint_row(text):
+                for row in lint_row(text, enabled, custom):
                     idx.append(i)
                     found.append(row)
             part = pdf[names].iloc[idx].reset_index(drop=True)
@@ -138,10 +146,7 @@ def lint(corpus: DataFrame, code: str = "code", rules: Sequence[str] | None = No
             cols["line"] = cols["line"].astype("Int32")
             yield pd.concat([part, cols], axis=1)
 
-    found = spread(corpus).mapInPandas(run, out_schema)
-    if rules is not None:
-        found = found.where(F.col("rule").isin([*rules, "CRASH"]))
-    return found
+    return spread(corpus).mapInPandas(run, out_schema)
 
 
 def syntax_gate(corpus: DataFrame, key: Sequence[str], code: str = "code") -> DataFrame:
@@ -160,8 +165,11 @@ def rule_frequency(findings: DataFrame, corpus: DataFrame, key: Sequence[str], d
     of the group, including those without findings.
     """
     key, dims = list(key), list(dims)
-    per = findings.select(*key, "rule").distinct().join(corpus.select(*key, *dims), key, "inner")
-    hits = per.groupBy(*dims, "rule").agg(F.count(F.lit(1)).cast("long").alias("n_with_rule"))
+    # findings carry the dims where lint got them; one distinct count, no join with the corpus
+    carried = findings if set(dims) <= set(findings.columns) else \
+        findings.select(*key, "rule").join(corpus.select(*key, *dims), key)
+    hits = carried.select(*key, *dims, "rule").distinct().groupBy(*dims, "rule").agg(
+        F.count(F.lit(1)).cast("long").alias("n_with_rule"))
     totals = corpus.groupBy(*[F.col(d).alias(f"_t_{d}") for d in dims]).agg(
         F.count(F.lit(1)).cast("long").alias("n_candidates"))
     cond = [hits[d].eqNullSafe(totals[f"_t_{d}"]) for d in dims]

@@ -108,3 +108,19 @@ def finding_lists(topics: DataFrame) -> DataFrame:
             F.when(F.col("types").isNotNull(), F.to_json(F.struct(
                 F.lit("unsupported_msg_types_for_mvp").alias("info"), F.col("types").alias("types"))))),
             lambda x: x.isNotNull()).alias("findings"))
+
+
+def spec_findings(topics: DataFrame) -> DataFrame:
+    """(task_id, method, findings) for storage: JSON objects as text, in the order in which
+    the checks report them. Rows only for tasks that have findings; the lists are as long
+    as a task's distinct duplicate names, types and bad depths."""
+    keep = {"ignoreNullFields": "false"}
+    hyp = finding_lists(topics).withColumn("method", F.lit("hypothesis"))
+    twice = duplicate_publishers(topics).select("task_id", F.lit(-1).alias("grp_order"), F.lit(0).alias("pos"), F.to_json(
+        F.struct(F.lit("duplicate_publisher_topic").alias("violation"))).alias("f"))
+    depth = qos_depth_violations(topics).select("task_id", "grp_order", "pos", F.to_json(
+        F.struct(F.lit("qos_depth_lt_1").alias("violation"), "topic"), keep).alias("f"))
+    z3 = twice.unionByName(depth).groupBy("task_id").agg(
+        F.array_sort(F.collect_list(F.struct("grp_order", "pos", "f"))).alias("l"))
+    z3 = z3.select("task_id", F.lit("z3").alias("method"), F.transform("l", lambda x: x["f"]).alias("findings"))
+    return hyp.select("task_id", "method", "findings").unionByName(z3)

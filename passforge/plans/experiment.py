@@ -12,7 +12,7 @@ append to the run log, whose last-write-wins read (A10) makes re-ingesting idemp
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ from ..schemas import DEFAULT_ENABLED_METHODS, DEFAULT_REQUIRED_METHODS
 from ..sources import runlog as rl
 from ..sources import responses as rs
 from ..sources import tasks as tk
-from .verify import verify
+from .verify import DEFAULT_REGISTRY, Check, landed_test_check, missing_check, verify
 
 
 def plan_experiment(tasks: DataFrame, n: int, done: DataFrame | None = None, base_seed: int | None = 0,
@@ -43,12 +43,18 @@ def plan_experiment(tasks: DataFrame, n: int, done: DataFrame | None = None, bas
 def ingest_generations(experiment_id: str, responses: DataFrame, tasks: DataFrame,
                        methods: Sequence[str] = tuple(DEFAULT_ENABLED_METHODS),
                        required: Sequence[str] = tuple(DEFAULT_REQUIRED_METHODS),
-                       ingest_seq: int = 0) -> tuple[DataFrame, DataFrame]:
+                       ingest_seq: int = 0, logs: DataFrame | None = None,
+                       registry: Mapping[str, Check] | None = None) -> tuple[DataFrame, DataFrame]:
     """(runs rows, method_results rows) for landed responses.
 
     ``responses``: task_id, candidate_idx, provider, model, body, latency_ms, seed, error,
     created_at. Candidates with an error or no code are stored without method rows and
     with overall_pass = 0, as finished (C4) only when they carry the error.
+
+    ``logs``: landed test runs (task_id, candidate_idx, exit_code, timed_out, launch_error,
+    junit_xml and, if at hand, duration_ms, stdout, stderr) are the evidence of the pytest
+    method; ``registry`` may name further checks. An enabled required method without
+    evidence counts as not passed; any other unknown method is refused.
     """
     gen = rs.normalize_responses(responses)
     gen = gen.withColumn("code", tx.extract_code("text")) \
@@ -56,7 +62,16 @@ def ingest_generations(experiment_id: str, responses: DataFrame, tasks: DataFram
         .withColumn("run_id", run_id(F.lit(experiment_id), "task_id", "candidate_idx"))
     cands = gen.where("_verify").join(tasks.select("task_id", "interface_spec"), "task_id", "left") \
         .select("run_id", "task_id", "candidate_idx", "code", "interface_spec")
-    rows, verdicts, _ = verify(cands, ["run_id"], list(methods), required=required)
+    checks = dict(registry or {})
+    if logs is not None:
+        checks.setdefault("pytest", landed_test_check(
+            logs.withColumn("run_id", run_id(F.lit(experiment_id), "task_id", "candidate_idx"))))
+    for name in methods:
+        if name not in checks and name not in DEFAULT_REGISTRY and name in required:
+            checks[name] = missing_check(name)
+    rows, verdicts, unknown = verify(cands, ["run_id"], list(methods), registry=checks, required=required)
+    if unknown:
+        raise ValueError(f"no check registered for {unknown}")
     runs = gen.join(verdicts, "run_id", "left").select(
         "run_id", F.lit(experiment_id).alias("experiment_id"), "task_id",
         F.col("candidate_idx").cast("int").alias("candidate_idx"), "provider", "model",
@@ -66,7 +81,10 @@ def ingest_generations(experiment_id: str, responses: DataFrame, tasks: DataFram
         tx.stored_code("code").alias("code"), F.nullif(F.col("error"), F.lit("")).alias("gen_error"),
         F.coalesce(F.col("overall_pass"), F.lit(False)).cast("int").alias("overall_pass"),
         "created_at", F.lit(int(ingest_seq)).cast("long").alias("ingest_seq"))
+    kinds = {"score": "double", "exit_code": "int", "duration_ms": "double", "stdout": "string", "stderr": "string"}
+    extra = [(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
     method_rows = rl.append_method_results(
-        rows.select("run_id", F.lit(experiment_id).alias("experiment_id"), "method", "passed", "status",
-                    F.col("findings"), F.lit(int(ingest_seq)).cast("long").alias("ingest_seq")))
+        tx.clip_logs(rows.select("run_id", F.lit(experiment_id).alias("experiment_id"), "method", "passed", "status", *extra,
+                                 F.concat(F.lit("["), F.array_join("findings", ","), F.lit("]")).alias("findings_json"),
+                                 F.lit(int(ingest_seq)).cast("long").alias("ingest_seq"))))
     return runs, method_rows

@@ -133,3 +133,19 @@ def j7(spark, sf):
     progs = _programs(spark, sf)
     out = cc.rule_frequency(cc.lint(progs), progs, ["code_id"], ["node_type"])
     return out.select("node_type", "rule", "n_with_rule", "n_candidates", F.round("share", 9).alias("share"))
+
+
+# Bodies without main() by p_size % 4: nothing, init only, all three calls, a
+# sum of 2,000 terms in a callback-free module.
+_MODULES = ["x = 1\n", "import rclpy\nrclpy.init()\n", "import rclpy\nrclpy.init()\nn.destroy_node()\nrclpy.shutdown()\n",
+            "y = " + " + ".join(["1"] * 2000) + "\n"]
+
+
+@query("j1_module_rules", """
+select p_partkey as code_id, rule, 1 as line from part,
+  (select unnest([0, 0, 0, 1, 1, 3, 3, 3]) as b, unnest(['W9001', 'W9002', 'W9003', 'W9002', 'W9003', 'W9001', 'W9002', 'W9003']) as rule) e
+where p_size % 4 = e.b""")
+def j1_modules(spark, sf):
+    body = F.element_at(F.array(*[F.lit(b) for b in _MODULES]), (F.col("p_size") % 4 + 1).cast("int"))
+    corpus = table(spark, sf, "part").select(F.col("p_partkey").alias("code_id"), body.alias("code"))
+    return cc.lint(corpus).select("code_id", "rule", "line")

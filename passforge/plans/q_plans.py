@@ -79,7 +79,8 @@ def b6(spark, sf):
     rows = lint_check(q_checks._programs(spark, sf), ["code_id"])
     rows = rows.withColumn("overall_pass", F.col("passed"))
     out = v.failing_findings(rows, n=3)
-    return out.select("code_id", F.array_join("first_findings", ",").alias("first_findings"))
+    rules = F.transform("first_findings", lambda f: F.get_json_object(f, "$.rule"))
+    return out.select("code_id", F.array_join(rules, ",").alias("first_findings"))
 
 
 def _system_text_sql() -> str:
@@ -140,3 +141,63 @@ def ingest(spark, sf):
     runs, _ = ingest_generations("exp-ingest", resp, tasks)
     return runs.select("run_id", "task_id", "candidate_idx", "model", "overall_pass", "gen_error",
                        F.col("code").isNull().alias("code_is_null"))
+
+
+# The same write path with replies of known bodies. Conversation c replies a
+# good program (c % 3 = 0), a syntax error (1) or one that makes the parser give up (2);
+# a test log exists unless c % 5 = 0, with exit code turn % 2.
+_GOOD = "import rclpy\n\ndef main(args=None):\n    rclpy.init(args=args)\n    n.destroy_node()\n    rclpy.shutdown()\n"
+_REPLIES = [_GOOD, "def broken(:\n", "x = " + "-" * 20000 + "1\n"]
+_INGEST_SQL = """
+with failed as (select distinct conv_id from conversations where role = 'system'),
+c as (select 'T' || cast(conv_id as varchar) as task_id, cast(turn as integer) as candidate_idx, conv_id % 3 as body,
+        conv_id % 5 <> 0 as has_log, turn % 2 as exit_code, conv_id in (select conv_id from failed) as gen_failed
+      from conversations where role = 'assistant')"""
+
+
+def _ingest_known(spark, sf):
+    from ..sources.bindings import table
+    from .experiment import ingest_generations
+
+    conv = table(spark, sf, "conversations")
+    failed = conv.where(F.col("role") == "system").select("conv_id").distinct().withColumn("_f", F.lit(True))
+    c = conv.where(F.col("role") == "assistant").join(failed, "conv_id", "left")
+    code = F.element_at(F.array(*[F.lit(b) for b in _REPLIES]), (F.col("conv_id") % 3 + 1).cast("int"))
+    task = F.concat(F.lit("T"), F.col("conv_id").cast("string"))
+    resp = c.select(task.alias("task_id"), F.col("turn").alias("candidate_idx"), F.lit("ollama").alias("provider"),
+                    F.lit("m").alias("model"), F.to_json(F.struct(code.alias("response"))).alias("body"),
+                    F.lit(1.0).alias("latency_ms"), F.col("turn").cast("int").alias("seed"),
+                    F.when(F.col("_f"), F.lit("provider error")).alias("error"),
+                    F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"))
+    logs = c.where("conv_id % 5 <> 0").select(
+        task.alias("task_id"), F.col("turn").alias("candidate_idx"), (F.col("turn") % 2).cast("int").alias("exit_code"),
+        F.lit(False).alias("timed_out"), F.lit(None).cast("string").alias("launch_error"),
+        F.when(F.col("turn") % 2 == 1, F.lit('<testsuite><testcase name="t"><failure message="m"/></testcase></testsuite>'))
+        .alias("junit_xml"))
+    tasks = tk.split_classified(tk.classify_task_lines(task_lines_view(spark, sf)))[0]
+    return ingest_generations("exp-known", resp, tasks, logs=logs)
+
+
+@query("a11_ingest_runs", _INGEST_SQL + """
+select task_id, candidate_idx, case when not gen_failed and body = 0 and has_log and exit_code = 0 then 1 else 0 end as overall_pass,
+  case when gen_failed then 'provider error' end as gen_error from c""")
+def ingest_runs(spark, sf):
+    return _ingest_known(spark, sf)[0].select("task_id", "candidate_idx", "overall_pass", "gen_error")
+
+
+@query("a11_ingest_methods", _INGEST_SQL + """
+, m as (select unnest(['ruff', 'pylint_ros', 'pytest', 'hypothesis']) as method)
+select task_id, candidate_idx, method,
+  case when method = 'pytest' then case when has_log and exit_code = 0 then 1 else 0 end
+       when method = 'hypothesis' or body = 0 then 1 else 0 end as passed,
+  case when method = 'pytest' then case when not has_log then 'SKIPPED' when exit_code = 0 then 'OK' else 'FAIL' end
+       when method = 'hypothesis' or body = 0 then 'OK' when body = 1 then 'FAIL' else 'CRASH' end as status,
+  case when method = 'pytest' and has_log then cast(exit_code as integer) end as exit_code,
+  cast(case when method = 'pytest' then case when has_log and exit_code = 1 then 1 else 0 end
+       when method = 'hypothesis' or body = 0 then 0 else 1 end as integer) as n_findings
+from c, m where not gen_failed""")
+def ingest_methods(spark, sf):
+    runs, methods = _ingest_known(spark, sf)
+    out = methods.join(runs.select("run_id", "task_id", "candidate_idx"), "run_id")
+    return out.select("task_id", "candidate_idx", "method", "passed", "status", "exit_code",
+                      F.size(F.from_json("findings_json", "array<string>")).alias("n_findings"))

@@ -1,8 +1,8 @@
 """L1-L3: the verification plan, a registry of named checks that each turn a candidate
 table into ``method_results`` rows, and the overall verdict over the required ones.
 
-A check is a function ``(candidates) -> DataFrame[key..., method, passed, status,
-n_findings, findings]``; ``verify`` resolves the enabled names against the registry
+A check is a function ``(candidates, key) -> DataFrame[key..., method, passed, status,
+n_findings, findings]`` (findings: JSON objects as text; execution columns may follow); ``verify`` resolves the enabled names against the registry
 (C6, config order kept, unknown names reported), unions their rows and folds them with
 D12. Checks that need a sandbox (running tests) are not built: their landed execution
 logs enter through the verdict codes of ``functions.status`` instead.
@@ -32,18 +32,23 @@ def _lint_methods(corpus: DataFrame, key, methods: Sequence[tuple[str, Sequence[
     candidate the findings are collected once (bounded by the findings of one program),
     then each method keeps the rules it owns."""
     key = list(key)
-    found = cc.lint(corpus.select(*key, "code"))
+    rules = sorted({r for _, own in methods for r in own})
+    found = cc.lint(corpus.select(*key, "code"), rules=rules)
     per = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("line", "rule", "message"))).alias("_f"))
     j = corpus.select(*key, F.col("code").isNull().alias("_null")).join(per, key, "left")
-    spec = F.array(*[F.struct(F.lit(name).alias("method"), F.array(*[F.lit(r) for r in rules]).alias("rules"))
-                     for name, rules in methods])
-    j = j.select(*key, "_null", "_f", F.explode(spec).alias("_m"))
-    mine = F.filter(F.coalesce("_f", F.array()), lambda f: F.array_contains(F.col("_m.rules"), f["rule"]))
-    j = j.select(*key, "_null", F.col("_m.method").alias("method"), F.transform(mine, lambda f: f["rule"]).alias("findings"))
+    spec = F.array(*[F.struct(F.lit(name).alias("method"), F.array(*[F.lit(r) for r in [*own, "CRASH"]]).alias("rules"))
+                     for name, own in methods])
+    j = j.select(*key, "_null", F.coalesce("_f", F.array()).alias("_f"), F.explode(spec).alias("_m"))
+    mine = F.filter("_f", lambda f: F.array_contains(F.col("_m.rules"), f["rule"]))
+    crashed = F.col("_null") | F.exists("_f", lambda f: f["rule"] == F.lit("CRASH"))
+    text = F.transform(mine, lambda f: F.to_json(F.struct(f["rule"].alias("rule"), f["line"].alias("line"),
+                                                          f["message"].alias("message"))))
+    j = j.select(*key, F.col("_m.method").alias("method"), crashed.alias("_crashed"), text.alias("findings"))
     n = F.size("findings")
+    # a check that crashed did not pass, whatever it may have found
     return j.select(
-        *key, "method", ((n == 0) & ~F.col("_null")).cast("int").alias("passed"),
-        F.when(F.col("_null"), "CRASH").when(n == 0, "OK").otherwise("FAIL").alias("status"),
+        *key, "method", ((n == 0) & ~F.col("_crashed")).cast("int").alias("passed"),
+        F.when(F.col("_crashed"), "CRASH").when(n == 0, "OK").otherwise("FAIL").alias("status"),
         n.cast("long").alias("n_findings"), "findings")
 
 
@@ -61,9 +66,11 @@ def _spec_methods(candidates: DataFrame, key: Sequence[str], methods: Sequence[s
     key = list(key)
     topics = sc.spec_topics(candidates.select("task_id", "interface_spec").dropDuplicates(["task_id"]))
     folded = sc.fold_spec_methods(candidates.select("task_id"), topics).where(F.col("method").isin(list(methods)))
+    found = sc.spec_findings(topics).where(F.col("method").isin(list(methods)))
+    folded = folded.join(found, ["task_id", "method"], "left")
     return candidates.select(*key, "task_id").join(folded, "task_id", "left").select(
         *key, "method", "passed", "status", F.col("n_failing").alias("n_findings"),
-        F.array().cast("array<string>").alias("findings"))
+        F.coalesce("findings", F.array().cast("array<string>")).alias("findings"))
 
 
 def _spec_check(method: str) -> Check:
@@ -85,17 +92,26 @@ def landed_test_check(logs: DataFrame, key: Sequence[str] = ("run_id",), xml: st
     def run(candidates: DataFrame, key: Sequence[str]) -> DataFrame:
         key = list(key)
         sandbox = st.sandbox_status("exit_code", "timed_out", "launch_error")
+        more = [F.col(c) for c in ("exit_code", "duration_ms", "stdout", "stderr") if c in logs.columns]
         verdict = logs.select(*lkey, st.test_status("exit_code", sandbox).alias("status"),
-                              st.test_passed("exit_code", sandbox).cast("int").alias("passed"))
+                              st.test_passed("exit_code", sandbox).cast("int").alias("passed"), *more)
+        item = F.struct("test", "message", "text", "error")
         found = junit_findings(logs.select(*lkey, xml), xml=xml, keys=tuple(lkey)).groupBy(*lkey).agg(
-            F.array_sort(F.collect_list(F.struct("finding_pos", F.coalesce("test", "error").alias("t"))))
-            .alias("_f"))
+            F.array_sort(F.collect_list(F.struct("finding_pos", F.to_json(item).alias("t")))).alias("_f"))
         j = candidates.select(*key).join(verdict, lkey, "left").join(found, lkey, "left")
         findings = F.coalesce(F.transform("_f", lambda f: f["t"]), F.array().cast("array<string>"))
         return j.select(*key, F.lit("pytest").alias("method"),
                         F.coalesce("passed", F.lit(0)).alias("passed"),
                         F.coalesce("status", F.lit("SKIPPED")).alias("status"),
-                        F.size(findings).cast("long").alias("n_findings"), findings.alias("findings"))
+                        F.size(findings).cast("long").alias("n_findings"), findings.alias("findings"), *more)
+    return run
+
+
+def missing_check(method: str) -> Check:
+    """Rows for a check without evidence: SKIPPED and not passed."""
+    def run(candidates: DataFrame, key: Sequence[str]) -> DataFrame:
+        return candidates.select(*key, F.lit(method).alias("method"), F.lit(0).alias("passed"), F.lit("SKIPPED").alias("status"),
+                                 F.lit(0).cast("long").alias("n_findings"), F.array().cast("array<string>").alias("findings"))
     return run
 
 
@@ -119,7 +135,7 @@ def verify(candidates: DataFrame, key: Sequence[str], methods: Sequence[str],
     methods one fold. The candidate table is read by each branch; persist it (or build it
     from checkpointed data, as the task loader does) when it is expensive to compute.
     """
-    custom = registry is not None and any(registry.get(k) is not DEFAULT_REGISTRY.get(k) for k in DEFAULT_REGISTRY)
+    custom = any(check is not DEFAULT_REGISTRY[k] for k, check in (registry or {}).items() if k in DEFAULT_REGISTRY)
     registry = dict(DEFAULT_REGISTRY, **(registry or {}))
     known = [mth for mth in methods if mth in registry]
     unknown = [mth for mth in methods if mth not in registry]
@@ -142,7 +158,7 @@ def verify(candidates: DataFrame, key: Sequence[str], methods: Sequence[str],
     parts += [registry[name](cands, key) for name in rest]
     rows = parts[0]
     for part in parts[1:]:
-        rows = rows.unionByName(part)
+        rows = rows.unionByName(part, allowMissingColumns=True)
     pos_map = F.create_map(*[x for name, i in pos.items() for x in (F.lit(name), F.lit(i))])
     rows = rows.withColumn("method_pos", pos_map[F.col("method")])
     verdicts = overall_pass(rows, key, required, candidates=cands.select(*key))

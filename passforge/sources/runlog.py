@@ -102,11 +102,13 @@ def method_result_id(*cols) -> Column:
 
 
 def append_method_results(df: DataFrame) -> DataFrame:
-    """Method rows ready to append: findings as JSON text ('[]' when none) and an id."""
-    findings = F.col("findings") if "findings" in df.columns else F.lit(None)
-    out = df.withColumn("findings_json", F.when(findings.isNull(), F.lit("[]")).otherwise(F.to_json(findings)))
-    if "findings" in out.columns:
-        out = out.drop("findings")
+    """Method rows ready to append: findings as JSON text ('[]' when none; a ready
+    ``findings_json`` is taken as it is) and an id."""
+    out = df
+    if "findings_json" not in df.columns:
+        findings = F.col("findings") if "findings" in df.columns else F.lit(None)
+        out = df.withColumn("findings_json", F.when(findings.isNull(), F.lit("[]")).otherwise(F.to_json(findings)))
+    out = out.drop("findings")
     seq = ["ingest_seq"] if "ingest_seq" in out.columns else []
     return out.withColumn("id", method_result_id("run_id", "method", *seq, "findings_json"))
 
@@ -131,10 +133,25 @@ def finished_keys(runs: DataFrame, methods: DataFrame, experiment_id: str | None
     """C4: keys of runs that finished: passed, OR recorded a generation error, OR have a
     method row. A run with none of these crashed during verification and is retried.
 
-    The EXISTS is a left join to the distinct run ids of ``methods`` (aggregated map-side).
+    The EXISTS is a left join to the distinct (experiment, run, attempt) of ``methods``, as
+    far as both tables carry those columns, aggregated map-side; so method rows of a
+    replaced attempt do not count.
     """
-    df = runs if experiment_id is None else runs.where(F.col("experiment_id") == F.lit(experiment_id))
-    has_methods = methods.select("run_id").distinct().withColumn("_has_method", F.lit(True))
-    j = df.join(has_methods, "run_id", "left")
+    scope = [c for c in ("experiment_id", "run_id", "ingest_seq") if c in runs.columns and c in methods.columns]
+    if experiment_id is not None:  # a partition filter on both tables
+        runs = runs.where(F.col("experiment_id") == F.lit(experiment_id))
+        if "experiment_id" in methods.columns:
+            methods = methods.where(F.col("experiment_id") == F.lit(experiment_id))
+    has_methods = methods.select(*scope).distinct().withColumn("_has_method", F.lit(True))
+    j = runs.join(has_methods, scope, "left")
     cond = (F.col("overall_pass") == 1) | F.col("gen_error").isNotNull() | F.col("_has_method").isNotNull()
     return j.where(cond).select(*key)
+
+
+def resume_keys(run_log: DataFrame, method_log: DataFrame, experiment_id: str) -> DataFrame:
+    """Finished keys straight from the store: last write per run (A10), method rows of the
+    winning attempt only, then C4, so a replaced run that crashed counts as unfinished."""
+    mine = F.col("experiment_id") == F.lit(experiment_id)
+    current = upsert_runs(run_log.where(mine))
+    methods = current_methods(method_log.where(mine), current)
+    return finished_keys(current, methods, experiment_id)

@@ -1,5 +1,8 @@
 """I1-I6 spec checks and J1-J7 code checks on the survey's fixture cases."""
 
+import ast
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,11 +136,46 @@ def test_verify_with_landed_test_logs(spark):
     rows, verdicts, unknown = verify(cands, ["run_id"], ["ruff", "pytest"], registry={"pytest": landed_test_check(logs)})
     assert unknown == []
     got = {(r["run_id"], r["method"]): (r["passed"], r["status"], r["findings"]) for r in rows.collect()}
-    assert got[("r1", "pytest")] == (1, "OK", []) and got[("r2", "pytest")] == (0, "FAIL", ["c.bad"])
+    assert got[("r1", "pytest")] == (1, "OK", []) and got[("r2", "pytest")] == (0, "FAIL", ['{"test":"c.bad","message":"m","text":""}'])
     assert got[("r3", "pytest")] == (0, "SKIPPED", [])
     assert {r["run_id"]: r["overall_pass"] for r in verdicts.collect()} == {"r1": True, "r2": False, "r3": False}
 
 
+def test_crashed_check_does_not_pass(spark):
+    deep = "x = " + "-" * 20000 + "1\n"          # the parser gives up
+    long_sum = FULL + "\ny = " + " + ".join(["1"] * 3000) + "\n"  # deep tree, no recursion in the rules
+    cands = spark.createDataFrame([("r1", deep), ("r2", long_sum), ("r3", None)], "run_id string, code string")
+    rows, verdicts, _ = verify(cands, ["run_id"], ["ruff", "pylint_ros"], required=["ruff"])
+    got = {(r["run_id"], r["method"]): (r["status"], r["passed"]) for r in rows.collect()}
+    assert got == {("r1", "ruff"): ("CRASH", 0), ("r1", "pylint_ros"): ("CRASH", 0), ("r2", "ruff"): ("OK", 1),
+                   ("r2", "pylint_ros"): ("FAIL", 0), ("r3", "ruff"): ("CRASH", 0), ("r3", "pylint_ros"): ("CRASH", 0)}
+    assert {r["run_id"]: r["overall_pass"] for r in verdicts.collect()} == {"r1": False, "r2": True, "r3": False}
+
+
+def test_spec_findings_are_stored(spark):
+    iface = "struct<topics_published:array<struct<name:string,type:string,qos:struct<depth:int>>>," \
+            "topics_subscribed:array<struct<name:string,type:string,qos:struct<depth:int>>>>"
+    cands = spark.createDataFrame([("t1", FULL, ([("/a", "geometry_msgs/Twist", (0,)), ("/a", "std_msgs/Int32", None)],
+                                                 [("/b", None, (-1,))]))],
+                                  f"task_id string, code string, interface_spec {iface}")
+    rows, _, _ = verify(cands, ["task_id"], ["hypothesis", "z3"])
+    got = {r["method"]: [json.loads(f) for f in r["findings"]] for r in rows.collect()}
+    assert got == {"hypothesis": [{"error": "duplicate topic names", "names": ["/a"]},
+                                  {"info": "unsupported_msg_types_for_mvp", "types": ["geometry_msgs/Twist"]}],
+                   "z3": [{"violation": "duplicate_publisher_topic"}, {"violation": "qos_depth_lt_1", "topic": "/a"},
+                          {"violation": "qos_depth_lt_1", "topic": "/b"}]}
+
+
+def test_custom_lint_rule(spark):
+    def no_print(tree):
+        for node in ast.walk(tree):
+            if isinstance(node, ast.Call) and getattr(node.func, "id", "") == "print":
+                yield node.lineno, "print call"
+    df = spark.createDataFrame([(1, "\nprint(1)\n"), (2, "x = 1\n")], "code_id int, code string")
+    got = cc.lint(df, rules=[], custom={"W9100": no_print}).collect()
+    assert [(r["code_id"], r["rule"], r["line"], r["message"]) for r in got] == [(1, "W9100", 2, "print call")]
+
+
 def test_lint_rule_registration(spark):
     df = spark.createDataFrame(CASES[:1], "code_id int, code string")
     assert sorted(r["rule"] for r in cc.lint(df, rules=["W9002"]).collect()) == ["W9002"]
@@ -145,7 +183,7 @@ def test_lint_rule_registration(spark):
 
 def test_lint_crash_isolation(spark, monkeypatch):
     row = cc.LintCode()
-    monkeypatch.setattr(cc, "lint_source", lambda code: (_ for _ in ()).throw(RuntimeError("boom")))
+    monkeypatch.setattr(cc, "lint_source", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("boom")))
     assert list(row.eval("x = 1")) == [("CRASH", "method-crashed", None, "method crashed: boom")]
     assert cc.lint_row(None) == []
 
