@@ -62,13 +62,16 @@ def select_best(candidates: DataFrame, by: Sequence[str] = ("task_id",), idx: st
                 keys: Sequence[str] = ("overall_pass", "n_passed", "mean_score")) -> DataFrame:
     """Best candidate per task by (overall_pass, passed methods, mean score), all
     descending; the first candidate (lowest index) wins ties; a task with none gives none.
+    A candidate is named by ``by`` and ``idx``.
     """
     by = list(by)
-    rest = [c for c in candidates.columns if c not in by]
+    # only the keys and the order are reduced; the rest of the winner's row (of any type) joins back
     ranks = [(-F.coalesce(F.col(k).cast("double"), F.lit(0.0))).alias(f"_k{i}") for i, k in enumerate(keys)]
-    packed = F.struct(*ranks, F.col(idx).alias("_idx"), *[F.col(c).alias(f"_v_{c}") for c in rest])
-    best = candidates.groupBy(*by).agg(F.min(packed).alias("_best"))
-    return best.select(*by, *[F.col(f"_best._v_{c}").alias(c) for c in rest])
+    best = candidates.groupBy(*[F.col(c).alias(f"_b_{c}") for c in by]).agg(
+        F.min(F.struct(*ranks, F.col(idx).alias("_idx"))).alias("_best"))
+    same = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by]
+    won = candidates.join(best, [*same, F.col(idx).eqNullSafe(F.col("_best._idx"))])
+    return won.select(*by, *[c for c in candidates.columns if c not in by])
 
 
 def canonical_audit(method_rows: DataFrame, key: Sequence[str] = ("task_id",),

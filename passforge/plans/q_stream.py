@@ -17,7 +17,7 @@ from .catalog import query
 
 def _run_events(spark, sf):
     schema = table(spark, sf, "events").schema
-    ev = rs.read_run_stream(spark, sf, schema, glob="events.parquet")
+    ev = rs.read_run_stream(spark, sf, schema, glob="events.parquet", max_files_per_trigger=1)
     return ev.select(
         F.date_format("ts", "yyyy-MM-dd").alias("experiment_id"),
         F.col("event_type").alias("model"),
@@ -41,7 +41,7 @@ def k1(spark, sf):
     stream = _run_events(spark, sf)
     rs.land_runs(stream, out, order_by="event_id")
     log = rs.read_landed(spark, out, rs.landed_schema(stream))
-    cur = rl.upsert_runs(log, key=("experiment_id", "model", "task_id", "candidate_idx"))
+    cur = rl.upsert_runs(log, key=("experiment_id", "model", "task_id", "candidate_idx"), order=rs.ATTEMPT)
     return cur.select("experiment_id", "model", "task_id", "candidate_idx", "overall_pass", "event_id")
 
 

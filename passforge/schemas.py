@@ -71,23 +71,30 @@ INTERFACE_SPEC = T.StructType([
     T.StructField("parameters", T.ArrayType(T.VariantType())),
 ])
 
-# Closed record contracts (A4): allowed keys, required keys, enum checks.
+# Closed record contracts (A4): allowed keys, required keys, enum checks, kinds of values.
+# A kind says what a value may be read as (a whole number may come as "5" or 5.0); with a
+# question mark null is allowed too. Nested objects and lists name their own contract;
+# ``variants`` choose the keys by the value of one field.
+_TIMED = {"timeout_sec": "num"}
 CONTRACTS = {
     "execution_result": {
         "allowed": ["status", "stdout", "stderr", "exit_code", "duration_ms", "timed_out"],
         "required": ["status"],
         "enums": {"status": EXECUTION_STATUSES},
+        "kinds": {"stdout": "str", "stderr": "str", "exit_code": "int?", "duration_ms": "num", "timed_out": "bool"},
     },
     "method_result": {
         "allowed": ["method", "passed", "score", "findings", "execution"],
         "required": ["method", "passed", "execution"],
         "enums": {"method": METHODS},
+        "kinds": {"passed": "bool", "score": "num?", "findings": "objects"},
         "objects": {"execution": "execution_result"},
     },
     "verification_result": {
         "allowed": ["task_id", "candidate_idx", "methods", "overall_pass"],
-        "required": ["task_id", "candidate_idx", "methods", "overall_pass"],
+        "required": ["task_id", "candidate_idx"],
         "enums": {},
+        "kinds": {"task_id": "str", "candidate_idx": "int", "methods": "list", "overall_pass": "bool"},
         "lists": {"methods": "method_result"},
     },
     "generation_result": {
@@ -95,15 +102,24 @@ CONTRACTS = {
                     "latency_ms", "model", "provider", "seed", "temperature", "error"],
         "required": ["task_id", "candidate_idx", "text", "model", "provider"],
         "enums": {},
+        "kinds": {"task_id": "str", "candidate_idx": "int", "text": "str", "raw_response": "str?", "prompt_tokens": "int",
+                  "completion_tokens": "int", "latency_ms": "num", "model": "str", "provider": "str", "seed": "int?",
+                  "temperature": "num?", "error": "str?"},
     },
-    # The strict oracle-check variant keyed on check_type.
+    # The strict oracle check: each kind of check has keys of its own.
     "oracle_check": {
-        "allowed": ["check_type", "msg_type", "topic", "node_name", "service", "pattern", "field", "expected",
-                    "timeout_sec", "min_count", "node", "parameter", "param_name", "param_type", "srv_type",
-                    "after_publish"],
         "required": ["check_type"],
-        "enums": {"check_type": ["node_exists", "topic_published", "topic_subscribed", "message_content",
-                                 "log_output_contains", "service_called", "parameter_value",
-                                 "parameter_declared"]},
+        "variants": {"by": "check_type", "of": {
+            "node_exists": {"required": ["node_name"], "kinds": {"node_name": "str", **_TIMED}},
+            "topic_published": {"required": ["topic", "msg_type"],
+                                "kinds": {"topic": "str", "msg_type": "str", "min_count": "int", **_TIMED}},
+            "topic_subscribed": {"required": ["topic", "msg_type"], "kinds": {"topic": "str", "msg_type": "str", **_TIMED}},
+            "message_content": {"required": ["topic", "field", "expected"],
+                                "kinds": {"topic": "str", "field": "str", "expected": "any"}},
+            "log_output_contains": {"required": ["pattern"], "kinds": {"pattern": "str", "after_publish": "bool", **_TIMED}},
+            "service_called": {"required": ["service", "srv_type"], "kinds": {"service": "str", "srv_type": "str", **_TIMED}},
+            "parameter_value": {"required": ["node", "parameter", "expected"],
+                                "kinds": {"node": "str", "parameter": "str", "expected": "any"}},
+        }},
     },
 }

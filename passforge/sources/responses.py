@@ -1,18 +1,22 @@
 """Landing raw provider responses and tool outputs: H6, H14, H15, J5.
 
-All parsing is native: ``try_parse_json`` / ``try_variant_get`` for JSON bodies and
-``from_xml`` for test reports; nothing leaves the JVM.
+JSON bodies are parsed natively (``try_parse_json`` / ``try_variant_get``); test reports,
+whose cases may be nested at any depth, in Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions._util import as_col
 from ..functions.text import FAILURE_TEXT_CHARS, join_text_blocks
-from .tasks import spread, strict_json
+from .tasks import strict_json
 
 # The three response shapes and the provider names that produce them.
 #   choices:  choices[0].message.content, usage.prompt_tokens / usage.completion_tokens
@@ -62,56 +66,36 @@ def parse_findings(stdout) -> Column:
 # J5 test-report XML
 # ---------------------------------------------------------------------------
 
-_ISSUE = T.ArrayType(T.StructType([
-    T.StructField("_message", T.StringType()),
-    T.StructField("_VALUE", T.StringType()),
-]))
-_CASE = T.StructType([
-    T.StructField("_name", T.StringType()),
-    T.StructField("_classname", T.StringType()),
-    T.StructField("failure", _ISSUE),
-    T.StructField("error", _ISSUE),
-])
-# Every test case at any depth: suite wrappers are removed and the cases put under one
-# root, so one flat list in document order results (as a recursive search would give).
-FLAT_SCHEMA = T.StructType([T.StructField("testcase", T.ArrayType(_CASE))])
-# Well-formedness is judged on the original document.
-CHECK_SCHEMA = T.StructType([T.StructField("_corrupt_record", T.StringType())])
-_SUITE_TAGS = r"<\?xml[^>]*\?>|</?testsuites?(\s[^>]*)?/?>"
+def report_cases(xml: str) -> list[tuple]:
+    """Failed or errored cases of one report as (test, message, text, error), in document order
+    and at any depth, whatever the root; one 'junit parse error' row if it is not XML."""
+    try:
+        root = ElementTree.fromstring(xml)
+    except (ElementTree.ParseError, ValueError):
+        return [(None, None, None, "junit parse error")]
+    found = []
+    for case in root.iter("testcase"):
+        issue = next((x for kind in ("failure", "error") if (x := case.find(kind)) is not None), None)
+        if issue is not None:
+            found.append((f"{case.get('classname', '')}.{case.get('name', '?')}", issue.get("message", ""),
+                          (issue.text or "")[:FAILURE_TEXT_CHARS], None))
+    return found
 
 
 def junit_findings(reports: DataFrame, xml: str = "xml", keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
     """One finding per failed or errored test case, in document order; a report that
     does not parse gives one 'junit parse error' finding; a missing report gives none.
 
-    Output: keys..., finding_pos, test, message, text, error.
+    Output: keys..., finding_pos, test, message, text, error. One parse per report, over
+    Arrow batches: Spark's XML reader needs a fixed nesting, and a case may sit anywhere.
     """
-    keys = list(keys)
-    x = F.col(xml)
-    flat = F.concat(F.lit("<cases>"), F.regexp_replace(x, _SUITE_TAGS, ""), F.lit("</cases>"))
-    parsed = spread(reports.where(x.isNotNull())).select(
-        *keys, F.from_xml(x, CHECK_SCHEMA, {"mode": "PERMISSIVE"}).alias("_chk"),
-        F.from_xml(flat, FLAT_SCHEMA, {"mode": "PERMISSIVE"}).alias("_r"), x.alias("_x"))
-    # A document that is not well-formed either fails to parse or parses to nothing.
-    well_formed = F.col("_chk").isNotNull() & F.col("_chk._corrupt_record").isNull() & \
-        (F.col("_x").contains("<testsuite") | F.col("_x").contains("<testcase"))
-    cases = F.coalesce(F.col("_r.testcase"), F.array().cast(T.ArrayType(_CASE)))
-    finding = T.StructType([T.StructField(n, T.StringType()) for n in ("test", "message", "text", "error")])
-
-    def to_finding(c):
-        issue = F.coalesce(F.get(c["failure"], 0), F.get(c["error"], 0))
-        return F.struct(
-            F.concat(F.coalesce(c["_classname"], F.lit("")), F.lit("."), F.coalesce(c["_name"], F.lit("?")))
-            .alias("test"),
-            F.coalesce(issue["_message"], F.lit("")).alias("message"),
-            F.substring(F.coalesce(issue["_VALUE"], F.lit("")), 1, FAILURE_TEXT_CHARS).alias("text"),
-            F.lit(None).cast("string").alias("error"))
-
-    # One parse per report: either its failing cases in document order or one parse error.
-    failing = F.filter(cases, lambda c: F.get(c["failure"], 0).isNotNull() | F.get(c["error"], 0).isNotNull())
-    findings = F.when(well_formed, F.transform(failing, to_finding)).otherwise(F.array(F.struct(
-        *[F.lit(None).cast("string").alias(n) for n in ("test", "message", "text")],
-        F.lit("junit parse error").alias("error")).cast(finding)))
-    out = parsed.select(*keys, F.posexplode(findings).alias("finding_pos", "f"))
+    rows = reports.where(F.col(xml).isNotNull()).select(*keys, F.col(xml).alias("_xml"))
+    issue = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("test", "message", "text", "error")]))
+
+    @F.pandas_udf(issue)
+    def cases(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names = ("test", "message", "text", "error")
+        for reports_ in batches:
+            yield pd.Series([[dict(zip(names, c, strict=True)) for c in report_cases(x)] for x in reports_], dtype=object)
+    out = rows.select(*keys, F.posexplode(cases("_xml")).alias("finding_pos", "f"))
     return out.select(*keys, "finding_pos", "f.test", "f.message", "f.text", "f.error")
-

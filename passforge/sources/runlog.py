@@ -86,9 +86,9 @@ def finalize_experiments(experiments: DataFrame, ids: DataFrame, finished_at) ->
     return out.withColumn("finished_at", F.when(F.col("_hit"), ts).otherwise(F.col("finished_at"))).drop("_hit")
 
 
-def upsert_runs(log: DataFrame, key: Sequence[str] = RUN_KEY, order: str = "ingest_seq") -> DataFrame:
-    """A10: current runs = last write per key (INSERT OR REPLACE)."""
-    return _first_by(log, key, [order], last=True)
+def upsert_runs(log: DataFrame, key: Sequence[str] = RUN_KEY, order: str | Sequence[str] = "ingest_seq") -> DataFrame:
+    """A10: current runs = last write per key (INSERT OR REPLACE), by one or more order columns."""
+    return _first_by(log, key, [order] if isinstance(order, str) else list(order), last=True)
 
 
 def current_methods(methods: DataFrame, current: DataFrame, attempt: Sequence[str] = ("run_id", "ingest_seq")) -> DataFrame:

@@ -457,36 +457,85 @@ def oracle_completeness(checks: DataFrame) -> DataFrame:
 # A4 closed contracts
 # ---------------------------------------------------------------------------
 
+def _fits(v: Column, kind: str) -> Column:
+    """Whether a VARIANT value (not absent) can be read as ``kind`` (see CONTRACTS)."""
+    kind, null_ok = kind.rstrip("?"), kind.endswith("?")
+    t = _t(v)
+    text = F.trim(F.try_variant_get(v, "$", "string"))
+    number = F.coalesce(F.try_variant_get(v, "$", "double"), F.lit(0.0))
+    if kind == "any":
+        return F.lit(True)
+    if kind == "str":
+        ok = t == "STRING"
+    elif kind == "int":
+        ok = (_is_num(v) & (number == F.floor(number))) | (t == "BOOLEAN") | \
+            ((t == "STRING") & text.rlike(r"^[+-]?[0-9]+(\.0*)?$"))
+    elif kind == "num":
+        ok = _is_num(v) | (t == "BOOLEAN") | \
+            ((t == "STRING") & text.rlike(r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)$"))
+    elif kind == "bool":
+        ok = (t == "BOOLEAN") | (_is_num(v) & number.isin(0.0, 1.0)) | \
+            ((t == "STRING") & F.lower(text).isin("0", "off", "f", "false", "n", "no", "1", "on", "t", "true", "y", "yes"))
+    elif kind == "objects":
+        ok = _is_arr(v) & F.coalesce(F.forall(_arr(v), _is_obj), F.lit(True))
+    else:
+        ok = _is_arr(v)
+    ok = F.coalesce(ok, F.lit(False))
+    return ok | (t == "VOID") if null_ok else ok & (t != "VOID")
+
+
 def _contract_reasons(j: Column, spec: dict, prefix: Column) -> list[Column]:
     """Reasons (or NULLs) why the JSON object text ``j`` breaks ``spec``; nested objects
     and lists of objects are checked against their own contracts, messages prefixed by
     their path (e.g. ``methods[1].execution.``)."""
-    obj = F.coalesce(strict_json(j) & F.startswith(F.schema_of_variant(F.try_parse_json(j)), F.lit("OBJECT")),
-                     F.lit(False))
+    v = F.try_parse_json(j)
+    obj = F.coalesce(strict_json(j) & _is_obj(v), F.lit(False))
     keys = F.coalesce(F.json_object_keys(j), F.array().cast("array<string>"))
-    extra = F.array_except(keys, F.array(*[F.lit(k) for k in spec["allowed"]]))
-    missing = F.array_except(F.array(*[F.lit(k) for k in spec["required"]]), keys)
-    reasons = [
-        F.when(~obj, F.concat(prefix, F.lit("not a JSON object"))),
-        F.when(obj & (F.size(extra) > 0),
-               F.concat(prefix, F.lit("unexpected keys: "), F.array_join(F.array_sort(extra), ","))),
-        F.when(obj & (F.size(missing) > 0), F.concat(prefix, F.lit("missing keys: "), F.array_join(missing, ","))),
-    ]
+
+    def said(when: Column, *text) -> Column:
+        return F.when(obj & when, F.concat(prefix, *[F.lit(x) if isinstance(x, str) else x for x in text]))
+
+    def shape(allowed, required, kinds, when: Column) -> list[Column]:
+        out = []
+        if allowed is not None:
+            extra = F.array_except(keys, F.array(*[F.lit(k) for k in allowed]))
+            out.append(said(when & (F.size(extra) > 0), "unexpected keys: ", F.array_join(F.array_sort(extra), ",")))
+        if required:
+            missing = F.array_except(F.array(*[F.lit(k) for k in required]), keys)
+            out.append(said(when & (F.size(missing) > 0), "missing keys: ", F.array_join(missing, ",")))
+        for field, kind in kinds.items():
+            if kind != "any":
+                got = F.try_variant_get(v, f"$.{field}", "variant")
+                out.append(said(when & F.array_contains(keys, field) & ~_fits(got, kind), f"bad type of {field}"))
+        return out
+
+    reasons = [F.when(~obj, F.concat(prefix, F.lit("not a JSON object")))]
+    reasons += shape(spec.get("allowed"), spec["required"], spec.get("kinds", {}), F.lit(True))
+    if "variants" in spec:
+        by, of = spec["variants"]["by"], spec["variants"]["of"]
+        chosen = F.get_json_object(j, f"$.{by}")
+        reasons.append(said(F.array_contains(keys, by) & (chosen.isNull() | ~chosen.isin(*of)), f"bad {by}: ",
+                            F.coalesce(chosen, F.lit("null"))))
+        for name, sub in of.items():
+            reasons += shape([by, *sub["kinds"]], sub["required"], sub["kinds"], F.coalesce(chosen == name, F.lit(False)))
     for field, values in spec.get("enums", {}).items():
         got = F.get_json_object(j, f"$.{field}")
-        reasons.append(F.when(obj & got.isNotNull() & ~got.isin(*values),
-                              F.concat(prefix, F.lit(f"bad {field}: "), got)))
+        text = F.coalesce(_t(F.try_variant_get(v, f"$.{field}", "variant")) == "STRING", F.lit(False))
+        reasons.append(said(F.array_contains(keys, field) & ~(text & F.coalesce(got.isin(*values), F.lit(False))),
+                            f"bad {field}: ", F.coalesce(got, F.lit("null"))))
     for field, sub in spec.get("objects", {}).items():
-        inner = F.get_json_object(j, f"$.{field}")
+        inner = F.coalesce(F.get_json_object(j, f"$.{field}"), F.lit("null"))
         sub_prefix = F.concat(prefix, F.lit(f"{field}."))
-        reasons += [F.when(obj & inner.isNotNull(), r) for r in _contract_reasons(inner, CONTRACTS[sub], sub_prefix)]
+        reasons += [F.when(obj & F.array_contains(keys, field), r)
+                    for r in _contract_reasons(inner, CONTRACTS[sub], sub_prefix)]
     for field, sub in spec.get("lists", {}).items():
         items = F.from_json(F.get_json_object(j, f"$.{field}"), "array<string>")
 
         def item_check(field, sub):
             def per_item(e, i):
                 p = F.concat(prefix, F.lit(f"{field}["), i.cast("string"), F.lit("]."))
-                return F.filter(F.array(*_contract_reasons(e, CONTRACTS[sub], p)), lambda r: r.isNotNull())
+                return F.filter(F.array(*_contract_reasons(F.coalesce(e, F.lit("null")), CONTRACTS[sub], p)),
+                                lambda r: r.isNotNull())
             return per_item
         found = F.flatten(F.transform(F.coalesce(items, F.array().cast("array<string>")), item_check(field, sub)))
         reasons.append(F.when(obj & (F.size(found) > 0), F.array_join(found, "; ")))

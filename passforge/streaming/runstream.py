@@ -3,7 +3,7 @@
 K1: a stream of finished runs is appended, micro-batch by micro-batch, to a parquet
 run log. Each batch is written to its own ``batch_id=<n>`` partition in overwrite mode,
 so a batch replayed after a failure replaces its own earlier output instead of adding
-a copy; ``ingest_seq`` orders attempts across batches (batch id first), and the
+a copy; the pair (batch_id, pos) orders attempts, batch first, and the
 current state is the last-write-wins read of A10. No state is kept in the stream.
 
 K2: a streaming aggregate of totals and passes per experiment (state = one row per
@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
-SEQ_SHIFT = 1 << 40
+
+#: Columns that order attempts of a landed run log.
+ATTEMPT = ("batch_id", "pos")
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -49,22 +51,23 @@ def dedupe_replays(stream: DataFrame, key: list[str], event_time: str, delay: st
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(key)
 
 
-def land_runs(stream: DataFrame, out_path: str, order_by: str | None = None, checkpoint: str | None = None,
+def land_runs(stream: DataFrame, out_path: str, order_by: str, checkpoint: str | None = None,
               available_now: bool = True, partition_by: str | None = "experiment_id"):
-    """K1: append every micro-batch to ``out_path`` with ``ingest_seq`` and ``batch_id``.
+    """K1: append every micro-batch to ``out_path`` with ``batch_id`` and ``pos``.
 
-    ``order_by`` gives the order of rows inside a batch (e.g. an event time or id).
+    ``order_by`` (a whole-number or timestamp column of the rows, e.g. an event id) is the
+    order inside a batch and becomes ``pos``: it comes with the row, so a replayed batch
+    gets the same values. Attempts are ordered by the pair (batch_id, pos), as in
+    ``upsert_runs(log, order=ATTEMPT)``; no width of either limits the other.
     Returns the started query (already finished when ``available_now``).
     """
     spark = stream.sparkSession
     checkpoint = checkpoint or _scratch(spark, "k1-checkpoint")
 
     def write_batch(df: DataFrame, batch_id: int) -> None:
-        pos = F.col(order_by).cast("long") if order_by else F.monotonically_increasing_id()
-        out = df.withColumn("ingest_seq", F.lit(int(batch_id)) * F.lit(SEQ_SHIFT) + pos) \
-            .withColumn("batch_id", F.lit(int(batch_id)))
+        out = df.withColumn("pos", F.col(order_by).cast("long"))
         target = os.path.join(out_path, f"batch_id={int(batch_id)}")
-        w = out.drop("batch_id").write.mode("overwrite")
+        w = out.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(partition_by)
         w.parquet(target)
@@ -78,8 +81,8 @@ def land_runs(stream: DataFrame, out_path: str, order_by: str | None = None, che
 
 
 def landed_schema(stream: DataFrame) -> T.StructType:
-    """Schema of what ``land_runs`` writes (stream columns + ingest_seq + batch_id)."""
-    return T.StructType(stream.schema.fields + [T.StructField("ingest_seq", T.LongType()),
+    """Schema of what ``land_runs`` writes (stream columns + pos + batch_id)."""
+    return T.StructType(stream.schema.fields + [T.StructField("pos", T.LongType()),
                                                 T.StructField("batch_id", T.LongType())])
 
 
@@ -97,19 +100,33 @@ def status_stream(stream: DataFrame, passed: str = "overall_pass") -> DataFrame:
 
 
 def run_status(stream: DataFrame, out_path: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """K2 to completion on what is available now; returns the final status table.
-
-    Each micro-batch's complete result overwrites ``out_path``, so the folder always
-    holds the latest totals; the returned DataFrame reads it back.
-    """
+    """K2 to completion on what is available now; returns the final status table."""
     spark = stream.sparkSession
     out_path = out_path or _scratch(spark, "k2-status")
-    checkpoint = checkpoint or _scratch(spark, "k2-checkpoint")
+    watch_status(stream, out_path, checkpoint, available_now=True).awaitTermination()
+    return read_status(spark, out_path)
 
-    def write_batch(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(out_path)
 
-    q = (status_stream(stream).writeStream.outputMode("complete").foreachBatch(write_batch)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out_path)
+def watch_status(stream: DataFrame, out_path: str, checkpoint: str | None = None, available_now: bool = False,
+                 every: str = "10 seconds"):
+    """K2 while an experiment runs: each micro-batch writes its complete result to a folder of
+    its own (``batch_id=<n>``), so a reader never sees a half-written status. Returns the query."""
+    checkpoint = checkpoint or _scratch(stream.sparkSession, "k2-checkpoint")
+
+    def write_batch(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={int(batch_id)}"))
+
+    writer = status_stream(stream).writeStream.outputMode("complete").foreachBatch(write_batch) \
+        .option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+
+
+def read_status(spark: SparkSession, out_path: str) -> DataFrame:
+    """The totals of the last complete micro-batch under ``out_path``. A folder counts only
+    once its write has committed (it holds the success marker)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out_path)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path)
+            if f.getPath().getName().startswith("batch_id=")
+            and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(os.path.join(out_path, f"batch_id={max(done)}"))

@@ -39,14 +39,14 @@ def test_no_meta_returns_runs(spark):
     assert m.summarize_by_difficulty(df, None).columns == df.columns
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_exact_percentile_matches_numpy(spark, limit):
+@pytest.mark.parametrize("slices", [2, 7, 256])
+def test_exact_percentile_matches_numpy(spark, slices):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(100, 30, 3000), np.full(1500, 42.0)])
     rows = [("e" if i % 3 else "f", float(x)) for i, x in enumerate(vals)]
     df = spark.createDataFrame(rows, "experiment_id string, latency_ms double")
     got = {r["experiment_id"]: r["p"] for r in
-           exact_percentile(df, "latency_ms", 0.95, ["experiment_id"], alias="p", small_group_limit=limit).collect()}
+           exact_percentile(df, "latency_ms", 0.95, ["experiment_id"], alias="p", slices=slices).collect()}
     for e in ("e", "f"):
         want = np.quantile([x for k, x in rows if k == e], 0.95)
         assert got[e] == pytest.approx(want, rel=1e-12)
@@ -126,3 +126,28 @@ def test_report_bundle_orders_groups_null_last(spark):
     assert [r["difficulty"] for r in tables["by_difficulty"].collect()] == ["Easy", "Hard", None]
     assert sorted(r["k"] for r in tables["overall_pass_at_k"].collect()) == [1, 5, 10]
     tables["runs"].unpersist()
+
+
+def test_select_best_with_any_payload(spark):
+    df = spark.sql("""select 't' as task_id, 0 as candidate_idx, false as overall_pass, 1L as n_passed, 0.5D as mean_score,
+                      parse_json('{"a": 1}') as payload union all select 't', 1, true, 0L, 0.0D, parse_json('2')""")
+    assert [(r["candidate_idx"], str(r["payload"])) for r in v.select_best(df).collect()] == [(1, "2")]
+
+
+def test_pass_at_k_with_billions_of_candidates(spark):
+    from passforge.functions.passk import pass_at_k
+    n, c = 9_000_000_000, 3_000_000_000
+    got = spark.sql(f"select {n}L as n, {c}L as c").select(pass_at_k("n", "c", 10).alias("p")).first()["p"]
+    assert got == pytest.approx(1 - (2 / 3) ** 10, rel=1e-6)
+
+
+def test_no_job_runs_while_a_plan_is_built(spark):
+    df = spark.createDataFrame([("e", float(i)) for i in range(50)], "experiment_id string, latency_ms double")
+    group = "plan-only"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        exact_percentile(df, "latency_ms", 0.95, ["experiment_id"])
+        m.latency_histogram(df)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

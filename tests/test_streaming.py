@@ -36,14 +36,14 @@ def test_landing_is_idempotent_and_last_write_wins(spark, tmp_dir):
     spark.createDataFrame([("e", "t", 0, 1, 3)], SCHEMA).write.mode("append").parquet(os.path.join(src, "b1"))
     rs.land_runs(rs.read_run_stream(spark, os.path.join(src, "b1"), SCHEMA), out, order_by="seq", checkpoint=ckpt)
     log = rs.read_landed(spark, out, rs.landed_schema(stream))
-    cur = {(r["task_id"], r["candidate_idx"]): r["overall_pass"] for r in rl.upsert_runs(log).collect()}
+    cur = {(r["task_id"], r["candidate_idx"]): r["overall_pass"] for r in rl.upsert_runs(log, order=rs.ATTEMPT).collect()}
     assert cur == {("t", 0): 1, ("t", 1): 1}
     # Replaying everything into a fresh log gives the same current state.
     out2 = os.path.join(tmp_dir, "log2")
     rs.land_runs(rs.read_run_stream(spark, os.path.join(src, "b1"), SCHEMA), out2, order_by="seq",
                  checkpoint=os.path.join(tmp_dir, "ckpt2"))
     log2 = rs.read_landed(spark, out2, rs.landed_schema(stream))
-    cur2 = {(r["task_id"], r["candidate_idx"]): r["overall_pass"] for r in rl.upsert_runs(log2).collect()}
+    cur2 = {(r["task_id"], r["candidate_idx"]): r["overall_pass"] for r in rl.upsert_runs(log2, order=rs.ATTEMPT).collect()}
     assert cur2 == cur
     assert log.where(F.col("batch_id") == 1).count() == 1
 
@@ -60,3 +60,30 @@ def test_dedupe_exact_replays(spark, tmp_dir):
     out = os.path.join(tmp_dir, "dedup-out")
     rs.land_runs(stream, out, order_by="seq", checkpoint=os.path.join(tmp_dir, "dedup-ckpt"))
     assert rs.read_landed(spark, out, rs.landed_schema(stream)).count() == 2
+
+
+def test_later_batch_wins_over_any_position(spark, tmp_dir):
+    src, out, ckpt = (os.path.join(tmp_dir, n) for n in ("many-in", "many-out", "many-ckpt"))
+    first = spark.createDataFrame([("e", f"t{i}", 0, 0, (1 << 61) + i) for i in range(300)], SCHEMA)
+    first.repartition(150).write.parquet(src)  # more partitions than a packed sequence had room for
+    rs.land_runs(rs.read_run_stream(spark, src, SCHEMA), out, order_by="seq", checkpoint=ckpt)
+    spark.createDataFrame([("e", f"t{i}", 0, 1, i) for i in range(300)], SCHEMA).write.mode("append").parquet(src)
+    stream = rs.read_run_stream(spark, src, SCHEMA)
+    rs.land_runs(stream, out, order_by="seq", checkpoint=ckpt)
+    log = rs.read_landed(spark, out, rs.landed_schema(stream))
+    assert {r["overall_pass"] for r in rl.upsert_runs(log, order=rs.ATTEMPT).collect()} == {1}
+
+
+def test_status_follows_a_running_stream(spark, tmp_dir):
+    src, out = os.path.join(tmp_dir, "live-in"), os.path.join(tmp_dir, "live-out")
+    _land(spark, src, [("e", "t", 0, 1, 1)], "a")
+    q = rs.watch_status(rs.read_run_stream(spark, os.path.join(src, "a"), SCHEMA), out,
+                        os.path.join(tmp_dir, "live-ckpt"), every="1 second")
+    try:
+        q.processAllAvailable()
+        assert [(r["total"], r["passed"]) for r in rs.read_status(spark, out).collect()] == [(1, 1)]
+        spark.createDataFrame([("e", "t", 1, 0, 2)], SCHEMA).write.mode("append").parquet(os.path.join(src, "a"))
+        q.processAllAvailable()
+        assert [(r["total"], r["passed"]) for r in rs.read_status(spark, out).collect()] == [(2, 1)]
+    finally:
+        q.stop()

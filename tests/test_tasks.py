@@ -192,3 +192,29 @@ def test_duplicate_keys_follow_session_setting(spark, tmp_dir):
         spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
     _, errors = tk.load_tasks(spark, p)
     assert [r["status"] for r in errors.collect()] == ["malformed"]
+
+
+def test_contract_types_and_variants(spark):
+    cases = {"execution_result": [('{"status": "OK", "exit_code": "abc"}', False), ('{"status": "OK", "timed_out": [1]}', False),
+                                  ('{"status": null}', False), ('{"status": "OK", "exit_code": null}', True),
+                                  ('{"status": "OK", "exit_code": "5", "duration_ms": "1.5", "timed_out": "yes"}', True),
+                                  ('{"status": "OK", "stdout": 1}', False), ('{"status": "OK", "exit_code": 1.5}', False)],
+             "verification_result": [('{"task_id": "t", "candidate_idx": 0}', True), ('{"task_id": "t"}', False),
+                                     ('{"task_id": "t", "candidate_idx": 0, "methods": {}}', False),
+                                     ('{"task_id": "t", "candidate_idx": 0, "methods": [null]}', False)],
+             "method_result": [('{"method": "ruff", "passed": true, "execution": {"status": "OK"}, "findings": [{}]}', True),
+                               ('{"method": "ruff", "passed": true, "execution": null}', False),
+                               ('{"method": "ruff", "passed": 2, "execution": {"status": "OK"}}', False),
+                               ('{"method": "ruff", "passed": true, "execution": {"status": "OK"}, "findings": [1]}', False)],
+             "generation_result": [('{"provider": "p", "model": "m", "task_id": "t", "candidate_idx": 1, "text": "", "error": null}', True),
+                                   ('{"provider": "p", "model": "m", "task_id": "t", "candidate_idx": 1, "text": null}', False)],
+             "oracle_check": [('{"check_type": "node_exists", "node_name": "a"}', True),
+                              ('{"check_type": "node_exists", "topic": "/a"}', False),
+                              ('{"check_type": "topic_published", "topic": "/a"}', False),
+                              ('{"check_type": "message_content", "topic": "/a", "field": "f", "expected": null}', True),
+                              ('{"check_type": "parameter_declared", "node_name": "a", "param_name": "p"}', False),
+                              ('{"node_name": "a"}', False), ('{"check_type": null}', False)]}
+    for contract, rows in cases.items():
+        df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(rows)], "id int, json string")
+        got = {r["id"]: r["reasons"] for r in tk.contract_reasons(df, contract).collect()}
+        assert {i: not reasons for i, reasons in got.items()} == {i: ok for i, (_, ok) in enumerate(rows)}, (contract, got)

@@ -155,3 +155,24 @@ def test_junit_findings_any_depth(spark):
            for r in rs.junit_findings(df).orderBy("run_id", "finding_pos").collect()]
     assert out == [("b", "z.solo", "S", None), ("d", "x.one", "E", None), ("d", "y.two", "F", None),
                    ("u", None, None, "junit parse error")]
+
+
+def test_junit_findings_any_document(spark):
+    case = '<testcase classname="c" name="n"><failure message="m">{}</failure></testcase>'
+    docs = {"foreign": "<report><x/></report>", "wrapped": "<report><testsuite>" + case.format("t") + "</testsuite></report>",
+            "doctype": '<!DOCTYPE testsuite><testsuite>' + case.format("t") + "</testsuite>",
+            "cdata": "<testsuite>" + case.format("<![CDATA[<testsuite name='x'> ]]>") + "</testsuite>",
+            "padded": "<testsuite>" + case.format("  t\n ") + "</testsuite>"}
+    df = spark.createDataFrame(list(docs.items()), "run_id string, xml string")
+    got = {r["run_id"]: (r["test"], r["text"], r["error"]) for r in rs.junit_findings(df).collect()}
+    assert got == {"wrapped": ("c.n", "t", None), "doctype": ("c.n", "t", None),
+                   "cdata": ("c.n", "<testsuite name='x'> ", None), "padded": ("c.n", "  t\n ", None)}
+
+
+def test_strip_is_linear(spark):
+    import time
+    text = "a" + " " * 1_000_000 + "b\x1f "
+    df = spark.createDataFrame([(text,)], "s string")
+    t = time.time()
+    assert df.select(tx.py_strip("s").alias("x")).first()["x"] == text.strip()
+    assert time.time() - t < 10
