@@ -10,8 +10,8 @@ from ..operators import work as w
 from ..schemas import METHODS
 from ..sources.bindings import method_rows_view, runs_view, task_lines_view, tasks_meta_view, with_views
 from ..sources import tasks as tk
-from . import q_checks, q_sources
-from .catalog import query
+from . import q_checks, q_metrics, q_sources  # noqa: F401  (the report frames share q_metrics' SQL)
+from .catalog import ORACLE, query
 from .report import report_tables
 from .verify import lint_check, verify
 
@@ -21,10 +21,26 @@ select experiment_id, model, cast(count(*) as bigint) as n, cast(sum(overall_pas
   round(sum(overall_pass) / greatest(count(*), 1), 9) as pass_rate
 from R group by experiment_id, model""", "R"))
 def a12(spark, sf):
-    tables = report_tables(runs_view(spark, sf), tasks_meta_view(spark, sf))
+    tables = report_tables(runs_view(spark, sf), tasks_meta_view(spark, sf), persist=False)
     return tables["by_model"].select("experiment_id", "model", "n", "passed", F.round("pass_rate", 9).alias("pass_rate"))
 
 
+def _report_frame(name: str, like: str, rounded: dict[str, int]) -> None:
+    """Register another frame of the bundle; its SQL is that of the operator's own query."""
+    @query(f"a12_report_{name}", ORACLE[like])
+    def frame(spark, sf):
+        df = report_tables(runs_view(spark, sf), tasks_meta_view(spark, sf), persist=False)[name]
+        return df.select(*[F.round(c, rounded[c]).alias(c) if c in rounded else F.col(c) for c in df.columns])
+
+
+_report_frame("by_difficulty", "d2_summarize_by_difficulty", {"pass_rate": 9})
+_report_frame("by_node_type", "d3_summarize_by_node_type", {"pass_rate": 9})
+_report_frame("pass_at_k_by_model", "d6_pass_at_k_by_model", {f"pass@{k}": 9 for k in (1, 5, 10)})
+_report_frame("overall_pass_at_k", "d5_experiment_pass_at_k", {"pass_at_k": 9})
+_report_frame("latency", "d7_latency_token_summary", {"mean_latency_ms": 6, "p95_latency_ms": 6})
+_report_frame("model_difficulty", "d8_pass_rate_model_difficulty", {"pass_rate": 9})
+
+
 ENABLED = ["ruff", "pytest", "mypy", "z3"]
 
 

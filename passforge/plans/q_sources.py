@@ -241,3 +241,38 @@ def a4(spark, sf):
     checked = tk.contract_reasons(_exec_records(exec_log_view(spark, sf)), "execution_result")
     return checked.select("event_id", (F.size("reasons") == 0).cast("int").alias("accepted"),
                           F.array_join("reasons", "; ").alias("reasons"))
+
+
+# Records of the other closed contracts and whether each is accepted; a part
+# carries the record p_size % (number of cases).
+_CONTRACT_CASES = [
+    ("method_result", '{"method": "ruff", "passed": true, "execution": {"status": "OK"}}', 1),
+    ("method_result", '{"method": "mypy", "passed": true, "execution": {"status": "OK"}}', 0),
+    ("method_result", '{"method": "ruff", "passed": true, "execution": {"status": "OK", "host": "x"}}', 0),
+    ("method_result", '{"method": "ruff", "passed": "maybe", "execution": {"status": "OK"}}', 0),
+    ("verification_result", '{"task_id": "t", "candidate_idx": 0}', 1),
+    ("verification_result", '{"task_id": "t", "candidate_idx": "x"}', 0),
+    ("verification_result", '{"task_id": "t", "candidate_idx": 1, "methods": [{"method": "z3"}]}', 0),
+    ("generation_result", '{"provider": "p", "model": "m", "task_id": "t", "candidate_idx": 1, "text": "", "seed": null}', 1),
+    ("generation_result", '{"provider": "p", "model": "m", "task_id": "t", "candidate_idx": 1, "text": null}', 0),
+    ("oracle_check", '{"check_type": "node_exists", "node_name": "a", "timeout_sec": "2.5"}', 1),
+    ("oracle_check", '{"check_type": "node_exists", "topic": "/a"}', 0),
+    ("oracle_check", '{"check_type": "parameter_declared", "node_name": "a"}', 0),
+    ("oracle_check", '{"check_type": "service_called", "service": "s", "srv_type": "S"}', 1),
+]
+
+
+@query("a4_other_contracts", f"""
+select p_partkey, contract, cast(accepted as integer) as accepted from part,
+  (values {', '.join(f"({i}, '{c}', {ok})" for i, (c, _, ok) in enumerate(_CONTRACT_CASES))}) e(i, contract, accepted)
+where p_size % {len(_CONTRACT_CASES)} = e.i""")
+def a4_other(spark, sf):
+    n = len(_CONTRACT_CASES)
+    record = F.element_at(F.array(*[F.lit(j) for _, j, _ in _CONTRACT_CASES]), (F.col("p_size") % n + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(c) for c, _, _ in _CONTRACT_CASES]), (F.col("p_size") % n + 1).cast("int"))
+    df = table(spark, sf, "part").select("p_partkey", record.alias("json"), name.alias("contract"))
+    parts = [tk.contract_reasons(df.where(F.col("contract") == c), c) for c in sorted({c for c, _, _ in _CONTRACT_CASES})]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("p_partkey", "contract", (F.size("reasons") == 0).cast("int").alias("accepted"))

@@ -188,3 +188,20 @@ select distinct cast(l_orderkey as varchar), null, null, null, 'junit parse erro
 def j5(spark, sf):
     out = rs.junit_findings(_reports(spark, sf))
     return out.select("run_id", "test", "message", "text", "error")
+
+
+# Bytes that are no UTF-8, and logs longer than the kept tail.
+@query("h13_bad_bytes", """
+select event_id, event_type || chr(65533) || 'ok' || chr(65533) as text from events""")
+def h13_bad(spark, sf):
+    ev = table(spark, sf, "events")
+    raw = F.concat(F.encode("event_type", "UTF-8"), F.unhex(F.lit("FF")), F.encode(F.lit("ok"), "UTF-8"), F.unhex(F.lit("C3")))
+    return ev.select("event_id", tx.decode_lossy(raw).alias("text"))
+
+
+@query("b5_tail_bytes", """
+select event_id, right(props, 6) as tail, left(props, 4) as head from events""")
+def b5_tail(spark, sf):
+    ev = table(spark, sf, "events")
+    return ev.select("event_id", tx.tail_bytes(F.encode("props", "UTF-8"), 6).cast("string").alias("tail"),
+                     tx.head_chars("props", 4).alias("head"))
