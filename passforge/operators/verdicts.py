@@ -78,8 +78,8 @@ def canonical_audit(method_rows: DataFrame, key: Sequence[str] = ("task_id",),
                     required: Sequence[str] = tuple(DEFAULT_REQUIRED_METHODS)) -> tuple[DataFrame, DataFrame]:
     """Per task a verdict and the ordered 'method=OK|STATUS' list; then the totals.
 
-    ``method_rows``: key..., method, method_pos, passed, status. The per-task list holds
-    one entry per method (a handful), so collecting it is bounded.
+    ``method_rows``: key..., method, method_pos, passed, status. The per-task list holds one
+    entry per method and outcome (a handful; replayed rows collapse), so it is bounded.
     """
     key = list(key)
     req = F.col("method").isin(list(required))
@@ -88,7 +88,7 @@ def canonical_audit(method_rows: DataFrame, key: Sequence[str] = ("task_id",),
     agg = method_rows.groupBy(*key).agg(
         F.max(F.when(req, F.lit(1))).alias("_has_required"),
         F.min(F.when(req, F.col("passed").cast("int"))).alias("_all_passed"),
-        F.array_sort(F.collect_list(F.struct("method_pos", "method", label.alias("label")))).alias("_l"))
+        F.array_sort(F.collect_set(F.struct("method_pos", "method", label.alias("label")))).alias("_l"))
     per_task = agg.select(
         *key,
         F.coalesce((F.col("_has_required") == 1) & (F.col("_all_passed") == 1), F.lit(False)).alias("overall_pass"),

@@ -201,10 +201,6 @@ class _ColGetter:
         return F.col(self.prefix + name)
 
 
-def check_kind(c: Column) -> Column:
-    return kind_from_types(check_types(c))
-
-
 _LIST_FIELDS = ("services_provided", "services_used", "actions_provided", "actions_used", "parameters")
 
 
