@@ -9,9 +9,9 @@ are taken in rank order until the source's remaining words are used up, the last
 when more than half of it still fits.
 
 A source may hold a third of all rows, so its rank order is never sorted in one task:
-words are first summed per (source, one of 2^16 slices of u); prefix sums over the
-slices find the slice in which the budget ends, and only that slice (1/65536 of the
-source) is ranked row by row. The result per source is one threshold row; joining it
+words are first summed per (source, slice of u), 256 wide slices and then the 256 narrow
+ones of one of them; prefix sums over the slices find where the budget ends, and only
+that narrow slice (1/65536 of the source) is ranked row by row. The result per source is one threshold row; joining it
 back is a join with one row per source.
 
 Targets: sources in code-point order, null last, weigh 5, 2, 1, repeating; together they
@@ -36,6 +36,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
 SLICES = 2**16
+_WIDE = 2**8
 SEED = "mix-1"
 _DRAW_RANGE = float(2**52)
 
@@ -82,6 +83,18 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE,
     return per.select("source", "source_size", target.alias("target"))
 
 
+def _where_it_ends(rows: DataFrame, t: DataFrame, same: Column) -> DataFrame:
+    """Per source the slice (``cut``) in which the words from ``start`` on reach ``rest``."""
+    t = t.select("__s", "rest", "pi", "start")
+    per = rows.groupBy("source", "cut").agg(F.sum("size").alias("words"))
+    upto = Window.partitionBy("source").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("sum", F.coalesce(F.sum("words").over(upto), F.lit(0))).join(t, same)
+    per = per.withColumn("before", F.col("start") + F.col("sum"))
+    ends = per.filter((F.col("rest") > 0) & (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
+    return ends.groupBy("source").agg(F.min(F.struct("cut", "before", "rest", "pi")).alias("e")).select(
+        F.col("source").alias("__s"), F.col("e.cut").alias("end"), "e.before", "e.rest", "e.pi")
+
+
 def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per source: certain copies and the last (slice, rank, id) taken once more."""
     t = targets.withColumn(
@@ -90,13 +103,12 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     t = t.withColumn("pi", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
     t = t.withColumnRenamed("source", "__s")
     same = F.col("source").eqNullSafe(F.col("__s"))
-    slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    end = (slices.join(t, same).filter((F.col("rest") > 0) & (F.col("before") <= F.col("rest"))
-                                       & (F.col("before") + F.col("words") > F.col("rest")))
-           .groupBy("source").agg(F.min(F.struct("slice", "before", "rest", "pi")).alias("e"))
-           .select(F.col("source").alias("__s"), "e.*").withColumnRenamed("slice", "end_slice"))
+    # 256 wide slices, then the 256 narrow ones in the wide slice where the budget ends: no
+    # prefix sum runs over more than 256 rows, whatever the source holds
+    wide = _where_it_ends(sized.withColumn("cut", F.floor(F.col("slice") / _WIDE)), t.withColumn("start", F.lit(0)), same)
+    narrow = sized.join(wide, same & (F.floor(F.col("slice") / _WIDE) == F.col("end"))).select(
+        "source", "size", F.col("slice").alias("cut"))
+    end = _where_it_ends(narrow, wide.withColumn("start", F.col("before")), same).withColumnRenamed("end", "end_slice")
     inside = sized.join(end, same & (F.col("slice") == F.col("end_slice"))).withColumn("q", _rank())
     ranked = inside.groupBy("source", "q", "doc_id", "before", "rest").agg(F.sum("size").alias("size"))
     upto = Window.partitionBy("source").orderBy("q", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
