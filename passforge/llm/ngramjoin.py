@@ -17,8 +17,11 @@ A document is the set of its distinct word shingles. Two link when
 4. Second round, for the links that remain: buckets whose groups lie in one component
    are done. In the others, groups of *different* components are paired (the bucket's
    largest component against the rest, then the rest among themselves), so copies never
-   meet as all pairs. Pairs pass an exact bound from size and shared prefix: if x is the
-   one whose prefix ends earlier, the overlap is at most n_x - p_x + shared.
+   meet as all pairs. Of the smaller set a shorter prefix is enough (an overlap of
+   2 p n / (100 + p) is needed of its n). Pairs pass exact bounds: from their sizes, from the place of the
+   shared shingle, from the shingles of a prefix that no other prefix holds, and from the
+   shared part of the prefixes (if x is the one whose prefix ends earlier, the overlap is
+   at most n_x - p_x + shared).
 5. Group pairs expand to class pairs of different components, which are verified on the
    whole sets. Links of both rounds give the components; no link between different
    components is lost, whatever the frequency list was.
@@ -86,7 +89,8 @@ def hot_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return rows["shingle"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-_DESCRIBED = ("doc_id long, n int, class long, grp long, hot int, last_n long, last_hash long, prefix array<long>")
+_DESCRIBED = ("doc_id long, n int, class long, grp long, hot int, last_n long, last_hash long, idx_n long, idx_hash long, "
+              "prefix array<long>")
 
 
 def describe(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -100,7 +104,7 @@ def describe(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray, n
                 s = shingle_set(text, words).view(np.int64)
                 n = len(s)
                 if not n:
-                    rows.append((0, 0, 0, 0, 0, 0))
+                    rows.append((0,) * 8)
                     lists.append(s)
                     continue
                 s = np.sort(s)
@@ -112,16 +116,17 @@ def describe(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray, n
                 p = n - (percent * n + 99) // 100 + 1
                 first = s[order[:p]]
                 key = fold(first, n)
-                last = order[p - 1]
-                rows.append((n, fold(s, 1), key, int((seen[order[:p]] > 0).sum()), int(seen[last]), int(s[last])))
+                last, idx = order[p - 1], order[n + (-2 * percent * n) // (100 + percent)]
+                rows.append((n, fold(s, 1), key, int((seen[order[:p]] > 0).sum()), int(seen[last]), int(s[last]),
+                             int(seen[idx]), int(s[idx])))
                 lists.append(first)
-            cols = [np.array(c, np.int64) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 6
+            cols = [np.array(c, np.int64) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 8
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-            n, cls, grp, heat, last_n, last_hash = cols
+            n, cls, grp, heat, *ends_at = cols
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n.astype(np.int32)), pa.array(cls), pa.array(grp), pa.array(heat.astype(np.int32)),
-                 pa.array(last_n), pa.array(last_hash), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                 *map(pa.array, ends_at), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                 names=[f.split()[0] for f in _DESCRIBED.split(", ")])
     return docs.mapInArrow(run, _DESCRIBED)
 
@@ -133,19 +138,46 @@ def fold(values: np.ndarray, salt: int) -> int:
     return int(mix((mix(v ^ place) * (place | np.uint64(1))).sum(keepdims=True) + np.uint64(len(v))).view(np.int64)[0])
 
 
+def _prefix_size(n: Column, percent: int) -> Column:
+    return n - F.floor((percent * n + 99) / 100) + 1
+
+
 def _may_link(percent: int) -> Column:
     """Exact bound on rows (na, nb, la, lb, shared): sizes, and the earlier prefix's misses."""
     na, nb = F.col("na"), F.col("nb")
-    prefix = lambda n: n - F.floor((percent * n + 99) / 100) + 1
     a_first = F.col("la") <= F.col("lb")
-    most = F.when(a_first, na - prefix(na)).otherwise(nb - prefix(nb)) + F.col("shared")
+    most = F.when(a_first, na - _prefix_size(na, percent)).otherwise(nb - _prefix_size(nb, percent)) + F.col("shared")
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
 
 
+def _index_size(n: Column, percent: int) -> Column:
+    """Prefix that is enough for the smaller set of a pair: n - ceil(2 p n / (100 + p)) + 1."""
+    return n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1
+
+
+def _may_link_by_index(percent: int) -> Column:
+    """As ``_may_link``, for shingles counted in the index prefix of the smaller set (ia, ib)."""
+    na, nb, c = F.col("na"), F.col("nb"), F.col("shared")
+    a_small = na <= nb  # with equal sizes the lesser group, which is ga
+
+    def most(small, big, index, last):
+        return F.when(index <= last, small - _index_size(small, percent)).otherwise(big - _prefix_size(big, percent)) + c
+    overlap = F.when(a_small, most(na, nb, F.col("ia"), F.col("lb"))).otherwise(most(nb, na, F.col("ib"), F.col("la")))
+    return (100 + percent) * overlap >= percent * (na + nb)
+
+
 def _within_reach(percent: int) -> Column:
-    """Exact bound on a shared shingle at places posa and posb of the two orders."""
+    """Exact bounds on a pair that shares a shingle at places posa and posb of its orders."""
     most = F.least("posa", "posb") + 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
-    return (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+    # a lone shingle of the prefix that ends first is not in the other set; one of the other
+    # prefix is not in this set if it comes before the end of this prefix, as every plain
+    # shingle does where that end is a frequent one. Within a group prefixes are equal.
+    a_first = F.col("la") <= F.col("lb")
+    wide = F.when(a_first, F.col("la.last_n")).otherwise(F.col("lb.last_n")) > 0
+    left = F.col("na") - F.when(a_first | wide, F.col("lonea")).otherwise(0)
+    right = F.col("nb") - F.when(~a_first | wide, F.col("loneb")).otherwise(0)
+    enough = lambda overlap: (100 + percent) * overlap >= percent * (F.col("na") + F.col("nb"))
+    return enough(most) & ((F.col("grpa") == F.col("grpb")) | enough(F.least(left, right)))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -196,12 +228,13 @@ def link_classes(described: DataFrame, texts: DataFrame, words: int, percent: in
     full = described.filter("n > 0")
     members = stored(full.groupBy("class", "grp").agg(F.min("doc_id").alias("id")), "members")
     # most groups are one document: only the others meet in a shuffle
-    cols = ["grp", "n", "hot", "last_n", "last_hash", "prefix"]
+    cols = ["grp", "n", "hot", "last_n", "last_hash", "idx_n", "idx_hash", "prefix"]
     several = full.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("grp").alias("id"))
     marked = maybe_in(full.select(*cols), F.col("grp"), id_filter(several))
     groups = marked.filter("not __maybe").select(*cols).unionByName(
         marked.filter("__maybe").groupBy("grp").agg(*[F.first(c).alias(c) for c in cols[1:]]))
     postings = groups.select("grp", "n", "hot", F.struct("last_n", "last_hash").alias("l"),
+                             F.struct(F.col("idx_n").alias("last_n"), F.col("idx_hash").alias("last_hash")).alias("i"),
                              F.posexplode("prefix").alias("pos", "item"))
     # buckets of one group link nothing; the others are found by their shingle alone
     repeated = stored(postings.groupBy("item").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
@@ -231,27 +264,34 @@ def link_classes(described: DataFrame, texts: DataFrame, words: int, percent: in
     placed = members.join(label, F.col("class") == F.col("node"), "left").select(
         "class", "grp", F.coalesce("label", "class").alias("comp"))
     placed = stored(placed, "placed")
-    at = placed.select("grp", "comp").distinct()
-    rows = shared.select("item", "grp", "n", "l", "pos").join(at, "grp")
+    # shingles of a prefix that no other group's prefix holds; only those before the frequent ones
+    plain = _prefix_size(F.col("n"), percent) - F.col("hot")
+    lone = shared.groupBy("grp").agg(F.first(plain).alias("plain"), F.count_if(F.col("pos") < plain).alias("k")) \
+        .select("grp", (F.col("plain") - F.col("k")).alias("lone"))
+    at = placed.select("grp", "comp").distinct().join(lone, "grp")
+    rows = shared.select("item", "grp", "n", "l", "i", "pos").join(at, "grp")
     per = rows.groupBy("item", "comp").agg(F.count(F.lit(1)).alias("k"))
     most = per.groupBy("item").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")) \
         .filter("comps > 1").select("item", F.col("m.comp").alias("main"))
     rows = stored(rows.join(most, "item"), "mixed")
     rest = rows.filter("comp != main")
-    side = lambda df, s: df.select("item", *[F.col(c).alias(c + s) for c in ("grp", "n", "l", "pos", "comp")])
+    side = lambda df, s: df.select("item", *[F.col(c).alias(c + s) for c in ("grp", "n", "l", "i", "pos", "lone", "comp")])
     cross = side(rest, "a").join(side(rows.filter("comp = main"), "b"), "item").unionByName(
         side(rest, "a").join(side(rest, "b"), "item").filter("compa < compb"))
-    cross = cross.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & _within_reach(percent))
+    a_small = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("grpa") < F.col("grpb")))
+    in_index = F.when(a_small, F.col("posa") < _index_size(F.col("na"), percent)) \
+        .otherwise(F.col("posb") < _index_size(F.col("nb"), percent))
+    cross = cross.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & in_index & _within_reach(percent))
     swap = F.col("grpa") > F.col("grpb")
     cross = cross.select("item", *[F.when(swap, F.col(c + "b")).otherwise(F.col(c + "a")).alias(o) for c, o in
-                                   (("grp", "ga"), ("n", "na"), ("l", "la"))],
+                                   (("grp", "ga"), ("n", "na"), ("l", "la"), ("i", "ia"))],
                          *[F.when(swap, F.col(c + "a")).otherwise(F.col(c + "b")).alias(o) for c, o in
-                           (("grp", "gb"), ("n", "nb"), ("l", "lb"))])
+                           (("grp", "gb"), ("n", "nb"), ("l", "lb"), ("i", "ib"))])
     # one item may reach a group pair through several component pairs; it counts once
-    counted = cross.groupBy("ga", "gb", "item").agg(*[F.first(c).alias(c) for c in ("na", "nb", "la", "lb")])
-    counted = counted.groupBy("ga", "gb").agg(*[F.first(c).alias(c) for c in ("na", "nb", "la", "lb")],
-                                              F.count(F.lit(1)).alias("shared"))
-    groups2 = counted.filter((F.col("ga") == F.col("gb")) | _may_link(percent)).select("ga", "gb")
+    sides = ("na", "nb", "la", "lb", "ia", "ib")
+    counted = cross.groupBy("ga", "gb", "item").agg(*[F.first(c).alias(c) for c in sides])
+    counted = counted.groupBy("ga", "gb").agg(*[F.first(c).alias(c) for c in sides], F.count(F.lit(1)).alias("shared"))
+    groups2 = counted.filter((F.col("ga") == F.col("gb")) | _may_link_by_index(percent)).select("ga", "gb")
     pa_ = placed.select(F.col("grp").alias("ga"), F.col("class").alias("a"), F.col("comp").alias("ca"))
     pb_ = placed.select(F.col("grp").alias("gb"), F.col("class").alias("b"), F.col("comp").alias("cb"))
     again = groups2.join(pa_, "ga").join(pb_, "gb").filter("ca != cb").select(
