@@ -32,7 +32,9 @@ DEPTH = 4
 ALIKE = 0.7
 MIN_DOCS = 5
 FILTER_BITS = 2**26
-FIELD = r"[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*"
+FIELD_SIGN = "[0-9@]|://"
+#: A token with such a sign; the look behind tries each token once, not at each of its letters.
+FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -40,10 +42,14 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, line_no, tokens, leaf, template) of every line that is not blank."""
     text = text_or_empty(text_col)
     rows = docs.select(F.xxhash64(F.col(id_col), text).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    masked = F.regexp_replace(F.col("line"), FIELD, "<*>")
-    rows = rows.select("doc", "line_no", F.array_remove(F.split(masked, BLANKS), "").alias("tokens")).filter(F.size("tokens") > 0)
-    return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))) \
-        .withColumn("line", F.xxhash64("tokens"))
+    # fields are looked for only in lines that have one; a line's tokens are made once (a
+    # generator's output is not computed again for each use)
+    line = F.col("line")
+    masked = F.when(line.rlike(FIELD_SIGN), F.regexp_replace(line, FIELD, "<*>")).otherwise(line)
+    tokens = F.array_remove(F.split(masked, BLANKS), "")
+    return rows.select("doc", "line_no", F.inline(F.transform(F.array(tokens), lambda t: F.struct(
+        F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)).alias("leaf"), F.xxhash64(t).alias("line"),
+        F.size(t).alias("n"), t.alias("tokens"))))).filter("n > 0").drop("n")
 
 
 def _order() -> Column:
@@ -57,13 +63,15 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = _lines(docs, id_col, text_col)
     leaves = stored(lines.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
                     .filter(F.col("docs") >= min_docs).select(F.col("leaf").alias("id")), "leaves")
-    some = maybe_in(lines, F.col("leaf"), id_filter(leaves, FILTER_BITS), FILTER_BITS).filter("__maybe").drop("__maybe")
-    some = stored(some.join(leaves, F.col("leaf") == F.col("id"), "left_semi"), "lines")
-
+    # a leaf that passes the filter by chance has too few documents to count in the end
+    some = stored(maybe_in(lines, F.col("leaf"), id_filter(leaves, FILTER_BITS), FILTER_BITS)
+                  .filter("__maybe").drop("__maybe"), "lines")
+
+    # documents of each line, by hashes; its tokens travel once
+    docs_of = some.select("leaf", "line", "doc").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"))
+    tokens_of = some.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
+    spread = stored(docs_of.join(tokens_of, ["leaf", "line"]), "spread")
     # the core of a leaf: its most widespread line
-    spread = some.groupBy("leaf", "line", "doc").agg(F.first("tokens").alias("tokens")).groupBy("leaf", "line").agg(
-        F.count(F.lit(1)).alias("docs"), F.first("tokens").alias("tokens"))
-    spread = stored(spread, "spread")
     core = stored(spread.groupBy("leaf").agg(F.max_by("tokens", _order()).alias("core"),
                                              F.max_by("line", _order()).alias("core_line")), "cores")
     same = F.zip_with("tokens", "core", lambda a, b: (a == b).cast("int"))
