@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_or_empty
+from .common import ascii_lower, stored, text_or_empty
 
 FILTER_BITS = 2**28
 SALTS = 16
@@ -59,8 +59,9 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     norm = ascii_lower(text_or_empty(text_col))
-    hashed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(norm).alias("__h"),
-                         F.sha2(F.encode(norm, "UTF-8"), 256).alias("text_sha256"))
+    # texts are read and hashed once; both passes run on the narrow table
+    hashed = stored(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(norm).alias("__h"),
+                                F.sha2(F.encode(norm, "UTF-8"), 256).alias("text_sha256")), "hashes")
     flagged = flag_possible_repeats(hashed, filter_bits)
     alone = flagged.filter(~F.col("__maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
