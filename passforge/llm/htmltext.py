@@ -8,7 +8,7 @@ and give every node's probability of being content. Text runs whose block is mor
 content than not are the main text.
 
 Trained by gradient steps on the likelihood, where the expectations come from the same
-messages. Labelled pages: (a) at most ``max_pages`` pages of the table itself that carry
+messages. Labelled pages: (a) about ``max_pages`` pages (never above twice that) of the table itself that carry
 an article or main element, whose descendants are content unless they sit in a
 navigation, aside, footer, form or comment element; half of them are shown again with
 that element renamed to div, so the model does not lean on the tag alone; (b) pages made
@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, text_or_empty
+from .common import bound_batches, bounded_sample, text_or_empty
 from .dom import Page, parse
 
 MAX_PAGES = 200
@@ -231,9 +231,9 @@ def practice_page(rng: random.Random) -> str:
 def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", max_pages: int = MAX_PAGES,
           practice: int = PRACTICE_PAGES, seed: int = 3) -> Model:
     """Fit on a bounded sample of the table's pages with an article and on practice pages."""
-    sample = (pages.select(text_or_empty(html_col).alias("html"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-              .filter(F.col("html").rlike("(?i)<(article|main)[ >]"))
-              .orderBy("h", F.xxhash64("html")).limit(max_pages).toPandas())
+    sample = pages.select(text_or_empty(html_col).alias("html"), F.col(id_col).cast("string").alias("id")) \
+        .filter(F.col("html").rlike("(?i)<(article|main)[ >]"))
+    sample = bounded_sample(sample, F.col("id"), max_pages).toPandas().sort_values(["id", "html"])
     rng = random.Random(seed)
     sources = list(sample["html"]) + [
         re.sub(r"(?i)<(/?)(?:article|main)\b", r"<\1div", h) for h in sample["html"][::2]]

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .attention import Attention
-from .common import bound_batches, crc_mod, largest, stored, text_or_empty
+from .common import bound_batches, bounded_sample, crc_mod, largest, stored, text_or_empty
 
 FOLDS, HELD_OUT = 7, 2
 HOT_WORDS = 200_000
@@ -46,7 +46,7 @@ MAX_PIECES = 2_000_000
 CLASSES, WIDTH = 32, 32
 PIECES = CLASSES * WIDTH - 2
 END, ESCAPE = 0, 1
-MIX = 0.5
+MIX = 0.7
 MEMO = 400_000
 _FLUSH = 500_000
 _LOWER = bytes([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)])
@@ -223,7 +223,7 @@ def _score_rows(docs: DataFrame, scorer_args: tuple) -> DataFrame:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
-          max_texts: int = MAX_TEXTS, hot_words: int = HOT_WORDS, mix: float = MIX, epochs: int = 2) -> DataFrame:
+          max_texts: int = MAX_TEXTS, hot_words: int = HOT_WORDS, mix: float = MIX, epochs: int = 4) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -238,7 +238,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     path = path or bpe.vocabulary_path()
     cutter = choose_pieces(top[:30_000], path)
     model = Attention(CLASSES, WIDTH)
-    sample = learn.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(max_texts).select("text").toPandas()["text"]
+    sample = bounded_sample(learn, F.col("doc_id"), max_texts).toPandas().sort_values(["doc_id", "text"])["text"]
     scorer = Scorer(model, cutter, {}, n, v)
     kept, pieces = [], 0
     for text in sample:

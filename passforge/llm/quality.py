@@ -7,8 +7,8 @@ on the difference of the two feature vectors. The learned score ranks documents;
 threshold is the quantile of the training scores at the share of bad labels, and the
 reported score is a logistic of the distance from that threshold, so it is 0.5 there.
 
-Learning uses at most ``max_labelled`` labelled documents (those with the smallest id
-hashes outside the held-out fold) and ``max_pairs`` pairs; both are parameters. Only the
+Learning uses about ``max_labelled`` labelled documents outside the held-out fold (chosen
+by a hash of the id, never above twice that) and ``max_pairs`` pairs; both are parameters. Only the
 feature vectors of that sample reach the driver. Scoring is one pass over all documents.
 
 Defined cases: a null text equals the empty text, whose features are zero; a label row
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, crc_mod, text_or_empty
+from .common import bound_batches, bounded_sample, crc_mod, text_or_empty
 
 FOLDS, HELD_OUT = 3, 1
 MAX_LABELLED = 20_000
@@ -131,9 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     """Fit on a bounded sample of the labelled documents outside the held-out fold."""
     chosen = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
               .filter(fold if fold is not None else crc_mod(id_col, FOLDS) != HELD_OUT)
-              .select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__good"))
-              .orderBy(F.xxhash64("__id"), "__id", "__good").limit(max_labelled))
-    # at most max_labelled rows of two numbers are broadcast
+              .select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__good")))
+    chosen = bounded_sample(chosen, F.col("__id"), max_labelled)
+    # at most 2 max_labelled rows of two numbers are broadcast
     rows = docs.select(F.col(id_col).alias("__doc"), text_or_empty(text_col).alias("__text")).join(
         F.broadcast(chosen), F.col("__doc") == F.col("__id"))
     vectors = rows.select("__id", "__good", _features_udf()("__text").alias("x")).toPandas()
