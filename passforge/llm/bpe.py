@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from .common import bound_batches, text_or_empty
 
-MEMO = 250_000
+MEMO = 80_000
 NO_RANK = 1 << 62
 _PLACE = (1 << 32) - 1
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4

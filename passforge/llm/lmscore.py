@@ -47,7 +47,7 @@ CLASSES, WIDTH = 32, 32
 PIECES = CLASSES * WIDTH - 2
 END, ESCAPE = 0, 1
 MIX = 0.7
-MEMO = 400_000
+MEMO = 200_000
 _FLUSH = 500_000
 _LOWER = bytes([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)])
 
