@@ -17,12 +17,12 @@ A document is the set of its distinct word shingles. Two link when
 4. Second round, for the links that remain: buckets whose groups lie in one component
    are done. In the others, groups of *different* components are paired (the bucket's
    largest component against the rest, then the rest among themselves), so copies never
-   meet as all pairs. Of the smaller set a shorter prefix is enough (an overlap of
+   meet as all pairs; a group whose classes lie in several components is paired with itself. Of the smaller set a shorter prefix is enough (an overlap of
    2 p n / (100 + p) is needed of its n). Pairs pass exact bounds: from their sizes, from the place of the
    shared shingle, from the shingles of a prefix that no other prefix holds, and from the
    shared part of the prefixes (if x is the one whose prefix ends earlier, the overlap is
    at most n_x - p_x + shared).
-5. Group pairs expand to class pairs of different components, which are verified on the
+5. Group pairs (a group with itself, too) expand to class pairs of different components, which are verified on the
    whole sets. Links of both rounds give the components; no link between different
    components is lost, whatever the frequency list was.
 
@@ -171,13 +171,13 @@ def _within_reach(percent: int) -> Column:
     most = F.least("posa", "posb") + 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
     # a lone shingle of the prefix that ends first is not in the other set; one of the other
     # prefix is not in this set if it comes before the end of this prefix, as every plain
-    # shingle does where that end is a frequent one. Within a group prefixes are equal.
+    # shingle does where that end is a frequent one. The two are of different groups.
     a_first = F.col("la") <= F.col("lb")
     wide = F.when(a_first, F.col("la.last_n")).otherwise(F.col("lb.last_n")) > 0
     left = F.col("na") - F.when(a_first | wide, F.col("lonea")).otherwise(0)
     right = F.col("nb") - F.when(~a_first | wide, F.col("loneb")).otherwise(0)
     enough = lambda overlap: (100 + percent) * overlap >= percent * (F.col("na") + F.col("nb"))
-    return enough(most) & ((F.col("grpa") == F.col("grpb")) | enough(F.least(left, right)))
+    return enough(most) & enough(F.least(left, right))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -236,7 +236,8 @@ def link_classes(described: DataFrame, texts: DataFrame, words: int, percent: in
     postings = groups.select("grp", "n", "hot", F.struct("last_n", "last_hash").alias("l"),
                              F.struct(F.col("idx_n").alias("last_n"), F.col("idx_hash").alias("last_hash")).alias("i"),
                              F.posexplode("prefix").alias("pos", "item"))
-    # buckets of one group link nothing; the others are found by their shingle alone
+    # buckets of one group link no groups (its own classes are compared by their group, in both
+    # rounds); the others are found by their shingle alone
     repeated = stored(postings.groupBy("item").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
                       .select(F.col("item").alias("id")), "items")
     some = maybe_in(postings, F.col("item"), id_filter(repeated)).filter("__maybe").drop("__maybe")
@@ -281,7 +282,7 @@ def link_classes(described: DataFrame, texts: DataFrame, words: int, percent: in
     a_small = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("grpa") < F.col("grpb")))
     in_index = F.when(a_small, F.col("posa") < _index_size(F.col("na"), percent)) \
         .otherwise(F.col("posb") < _index_size(F.col("nb"), percent))
-    cross = cross.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & in_index & _within_reach(percent))
+    cross = cross.filter((F.col("grpa") != F.col("grpb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & in_index & _within_reach(percent))
     swap = F.col("grpa") > F.col("grpb")
     cross = cross.select("item", *[F.when(swap, F.col(c + "b")).otherwise(F.col(c + "a")).alias(o) for c, o in
                                    (("grp", "ga"), ("n", "na"), ("l", "la"), ("i", "ia"))],
@@ -291,7 +292,10 @@ def link_classes(described: DataFrame, texts: DataFrame, words: int, percent: in
     sides = ("na", "nb", "la", "lb", "ia", "ib")
     counted = cross.groupBy("ga", "gb", "item").agg(*[F.first(c).alias(c) for c in sides])
     counted = counted.groupBy("ga", "gb").agg(*[F.first(c).alias(c) for c in sides], F.count(F.lit(1)).alias("shared"))
-    groups2 = counted.filter((F.col("ga") == F.col("gb")) | _may_link_by_index(percent)).select("ga", "gb")
+    # a group whose classes lie in several components meets itself, whether or not another shares its prefix
+    split = placed.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
+    groups2 = counted.filter(_may_link_by_index(percent)).select("ga", "gb").unionByName(
+        split.select(F.col("grp").alias("ga"), F.col("grp").alias("gb")))
     pa_ = placed.select(F.col("grp").alias("ga"), F.col("class").alias("a"), F.col("comp").alias("ca"))
     pb_ = placed.select(F.col("grp").alias("gb"), F.col("class").alias("b"), F.col("comp").alias("cb"))
     again = groups2.join(pa_, "ga").join(pb_, "gb").filter("ca != cb").select(

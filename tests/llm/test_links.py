@@ -66,6 +66,20 @@ def test_join_components_against_all_pairs(spark):
     assert got == brute(rows)
 
 
+def test_links_inside_a_group_beyond_its_head(spark):
+    rng = random.Random(9)
+    texts = []
+    for t in range(80):  # y links with x and with h, x not with h; often all three have one prefix that no other has
+        y = [f"w{t}x{rng.randrange(10**6)}" for _ in range(16)]
+        texts += [" ".join(w) for w in (y, [*y[:-1], "last"], ["first", *y[1:]])]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert len({c for _, c in want.values()}) == 80
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.join_components(df).collect()} == want
+
+
 def test_keep_one_and_other_parameters(spark):
     rows = near_copies(6)
     want = {i for i, (_, c) in brute(rows, 5, 80).items() if i == c}
