@@ -36,6 +36,17 @@ def causal_mask() -> np.ndarray:
     return np.where(j <= i, np.float32(0), _MASKED)
 
 
+def _sums(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Rows of ``values`` summed by ``at`` into ``n`` rows (``np.add.at``, but by a sort)."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    if len(at):
+        order = np.argsort(at.astype(np.uint16) if n <= 2**16 else at, kind="stable")
+        key = at[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        out[key[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 _DISTANCE = np.clip(np.arange(STRIDE)[:, None] + STRIDE - np.arange(SPAN)[None], 0, SPAN - 1)
 
 
@@ -132,19 +143,18 @@ class Attention:
         dz = dh * (1 - h * h)
         g["wh"], g["bh"] = both.T @ dz, dz.sum(0)
         dboth = dz @ p["wh"].T
-        demb = np.zeros_like(p["emb"])
-        np.add.at(demb, xq, dboth[:, :d])
+        ids = len(p["emb"])
+        demb = _sums(ids, xq, dboth[:, :d])
         dmixed = np.zeros_like(mixed)
         dmixed[scored] = dboth[:, d:]
         dw = np.matmul(dmixed, values.transpose(0, 2, 1))
         dvalues = np.matmul(w.transpose(0, 2, 1), dmixed)
         ds = w * (dw - (dw * w).sum(2, keepdims=True))
         g["near"] = np.bincount(_DISTANCE.ravel(), ds.sum(0).ravel(), SPAN).astype(np.float32)
-        q, k = tables[0], tables[1]
-        dq, dk, dv = np.zeros_like(q), np.zeros_like(k), np.zeros_like(tables[2])
-        np.add.at(dq, x[:, STRIDE:].ravel(), np.matmul(ds, keys).reshape(-1, d))
-        np.add.at(dk, x.ravel(), np.matmul(ds.transpose(0, 2, 1), q[x[:, STRIDE:]]).reshape(-1, d))
-        np.add.at(dv, x.ravel(), dvalues.reshape(-1, d))
+        q = tables[0]
+        dq = _sums(ids, x[:, STRIDE:].ravel(), np.matmul(ds, keys).reshape(-1, d))
+        dkeys = np.matmul(ds.transpose(0, 2, 1), q[x[:, STRIDE:]])
+        dk, dv = np.hsplit(_sums(ids, x.ravel(), np.concatenate([dkeys, dvalues], 2).reshape(-1, 2 * d)), 2)
         dq = dq * np.float32(1 / np.sqrt(d))
         for name, part in (("wq", dq), ("wk", dk), ("wv", dv)):
             g[name] = p["emb"].T @ part
@@ -152,26 +162,34 @@ class Attention:
         g["emb"] = demb
         return float(loss / n), g
 
-    def train(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, targets: np.ndarray, epochs: int = 2,
-              batch: int = 192, rate: float = 0.01, seed: int = 2) -> list[float]:
-        """Adam over shuffled windows; returns the loss of every step."""
+    def start(self) -> np.ndarray:
+        """State of training, one flat row each: weights, first and second moments."""
+        flat = np.concatenate([v.ravel() for v in self.p.values()]).astype(np.float64)
+        return np.stack([flat, np.zeros_like(flat), np.zeros_like(flat)])
+
+    def load(self, state: np.ndarray) -> None:
+        """Take the weights of a state."""
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = state[0, at:at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
+
+    def train(self, state: np.ndarray, done: float, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
+              targets: np.ndarray, rate: float = 0.01, batch: int = 192, seed: int = 2) -> int:
+        """Adam over the shuffled windows of texts, once, from a state after ``done`` steps; the
+        state is changed in place. A batch below ``batch`` windows steps less. Returns the steps made."""
         place, ok, scored = windows(ids, starts, lengths)
-        rng = np.random.default_rng(seed)
-        m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        losses: list[float] = []
-        total = max(1, epochs * -(-len(place) // batch))
-        for _ in range(epochs):
-            for rows in np.array_split(rng.permutation(len(place)), max(1, -(-len(place) // batch))):
-                if not len(rows):
-                    continue
-                s = scored[rows]
-                loss, g = self._gradients(ids[place[rows]], ok[rows], s, targets[place[rows][:, STRIDE:][s]])
-                losses.append(loss)
-                t = len(losses)
-                step = rate * (1 - 0.9 * t / total)
-                for k, v in g.items():
-                    m1[k] = 0.9 * m1[k] + 0.1 * v
-                    m2[k] = 0.98 * m2[k] + 0.02 * v * v
-                    self.p[k] -= (step * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.98**t)) + 1e-8)).astype(np.float32)
-        return losses
+        parts = np.array_split(np.random.default_rng(seed).permutation(len(place)), max(1, -(-len(place) // batch)))
+        for t, rows in enumerate(parts, 1):
+            if not len(rows):
+                return 0
+            self.load(state)
+            s = scored[rows]
+            _, g = self._gradients(ids[place[rows]], ok[rows], s, targets[place[rows][:, STRIDE:][s]])
+            g = np.concatenate([g[k].ravel() for k in self.p])
+            state[1] += 0.1 * (g - state[1])
+            state[2] += 0.02 * (g * g - state[2])
+            step = rate * min(1.0, len(rows) / batch) / (1 - 0.9**(done + t))
+            state[0] -= step * state[1] / (np.sqrt(state[2] / (1 - 0.98**(done + t))) + 1e-8)
+        self.load(state)
+        return len(parts)

@@ -3,10 +3,18 @@
 Tokens are the words of a text (lower-cased A-Z) and one end. What is learned:
 
 * the count of every word over all training documents, by a shuffle (``word_counts``);
-* a causal self-attention model over subword ids (``attention.Attention``), trained on at
-  most ``max_texts`` training documents. Its ids are the ``PIECES`` most frequent pieces
-  of a public vocabulary file over all training words; a word is cut into the longest
-  pieces that match from the left; a byte without a piece costs the escape id and 1/256.
+* a causal self-attention model over subword ids (``attention.Attention``), trained in Spark
+  tasks on the whole of every training document (``train_everywhere``). Its ids are the
+  ``PIECES`` most frequent pieces of a public vocabulary file over all training words,
+  counted by a shuffle (``piece_counts``); a word is cut into the longest pieces that match
+  from the left; a byte without a piece costs the escape id and 1/256.
+
+Training goes in rounds. In each, every task makes Adam steps from the shared weights over
+its share of the documents; the weights and moments are summed by a shuffle, weighted by
+steps, and the next round starts from their mean. Only vectors of a fixed size reach the
+driver. A pass covers every training document; small tables (up to ``max_texts``
+documents) get ``epochs`` passes, larger ones fewer, and any table one at least. Long
+texts are trained on in sections. The weights depend a little on how rows are dealt to tasks.
 
 A word's probability is ``MIX`` times the product of its pieces' probabilities (each
 given everything before it within the window) plus ``1 - MIX`` times its share in the
@@ -37,12 +45,16 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .attention import Attention
-from .common import bound_batches, bounded_sample, crc_mod, largest, stored, text_or_empty
+from .common import bound_batches, crc_mod, largest, stored, text_or_empty
 
 FOLDS, HELD_OUT = 7, 2
 HOT_WORDS = 200_000
 MAX_TEXTS = 1_500
-MAX_PIECES = 2_000_000
+ROUNDS = 4              # means taken, at least
+SECTION = 20_000        # words of a long text laid out at a time
+TASK_WORDS = 1_000_000  # words for a training task, where the table is dealt finer
+PART_WORDS = 60_000     # words laid out together
+LANES = 64              # numbers in a row of a state that is summed
 CLASSES, WIDTH = 32, 32
 PIECES = CLASSES * WIDTH - 2
 END, ESCAPE = 0, 1
@@ -99,28 +111,49 @@ class Cutter:
         return out
 
 
-def choose_pieces(counts: list[tuple[bytes, int]], path: str, most: int = PIECES) -> Cutter:
+def piece_counts(counts: DataFrame, path: str) -> DataFrame:
+    """(a, b, n) over all counted words (word, c): uses of piece a (b = -1) and of the pair a, b in a word."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = bpe.codec_for(path)
+        seen: Counter = Counter()
+
+        def flush():
+            a, b = zip(*seen, strict=True)
+            out = pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()),
+                                              pa.array(list(seen.values()), pa.int64())], names=["a", "b", "n"])
+            seen.clear()
+            return out
+        for batch in batches:
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = codec.merge_bytes(word) if word else []
+                for i in ids:
+                    seen[i, -1] += n
+                for pair in zip(ids, ids[1:], strict=False):
+                    seen[pair] += n
+                if len(seen) >= _FLUSH:
+                    yield flush()
+        if seen:
+            yield flush()
+    return counts.select("word", "c").mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def choose_pieces(counts: DataFrame, path: str, most: int = PIECES) -> Cutter:
     """The pieces of the vocabulary file that the counted words use most, as model ids.
 
     Ids lie in classes of WIDTH: pieces are ordered by whether they end a word and by the
-    leading direction of which words they occur in, so a class holds pieces of a kind."""
+    leading direction of which words they occur in, so a class holds pieces of a kind.
+    The driver sees a row per piece of the file and per pair of chosen pieces."""
     codec = bpe.codec_for(path)
-    use: Counter = Counter()
-    pairs: Counter = Counter()
-    for word, n in counts:
-        if word:
-            ids = codec.merge_bytes(word)
-            for i in ids:
-                use[i] += n
-            pairs.update({(a, b): n for a, b in zip(ids, ids[1:], strict=False)})
-    symbols = {s: b for b, s in enumerate(bpe.byte_symbols())}
+    found = stored(piece_counts(counts, path), "pieces")
+    use = {r["a"]: r["n"] for r in found.filter("b = -1").collect()}
     top = [i for i, _ in sorted(use.items(), key=lambda x: (-x[1], x[0]))[:most]]
+    pairs = {(r["a"], r["b"]): r["n"] for r in found.filter(F.col("a").isin(top) & F.col("b").isin(top)).collect()} if top else {}
+    symbols = {s: b for b, s in enumerate(bpe.byte_symbols())}
     place = {i: k for k, i in enumerate(top)}
     near = np.zeros((len(top), len(top)))
     for (a, b), n in pairs.items():
-        if a in place and b in place:
-            near[place[a], place[b]] += n
-            near[place[b], place[a]] += n
+        near[place[a], place[b]] += n
+        near[place[b], place[a]] += n
     rows = np.sqrt(near / np.maximum(1, near.sum(1, keepdims=True)))
     lead = np.linalg.svd(rows - rows.mean(0))[0][:, 0] if len(top) > 1 else np.zeros(len(top))
     ends = np.array([codec.names[i].endswith(codec.suffix) for i in top], bool)
@@ -151,38 +184,98 @@ class Scorer:
         i = self.index[word] = len(self.index)
         return i
 
-    def score(self, texts: list[list[bytes]]):
-        """For texts as lists of words, each ending with b"": log10 model probability of each
-        word's pieces, count of each word (-1 unknown here), words per text."""
+    def laid(self, texts: list[list[bytes]]):
+        """Texts as lists of words, each ending with b"", laid end to end: ids, starts, lengths and
+        targets of their pieces, then the place of each word in the table and where its pieces end."""
         if len(self.index) > MEMO:
             self._reset()
         known, add = self.index.get, self._add
         flat = [w for words in texts for w in words]
         at = np.fromiter((i if (i := known(w)) is not None else add(w) for w in flat), np.int64, len(flat))
-        offset = np.frombuffer(self.offset, np.int64)
+        offset = np.array(self.offset, np.int64)
         sizes = (offset[1:] - offset[:-1])[at]
         stops = np.cumsum(sizes)
-        goal = np.frombuffer(self.pieces, np.uint16)[
+        goal = np.array(self.pieces, np.uint16)[
             np.arange(stops[-1]) - np.repeat(stops - sizes, sizes) + np.repeat(offset[at], sizes)].astype(np.int64)
-        per_text = np.array([len(w) for w in texts])
-        last_word = np.cumsum(per_text) - 1
+        last_word = np.cumsum([len(w) for w in texts]) - 1
         lengths = np.diff(stops[last_word], prepend=0)
         starts = stops[last_word] - lengths
         ids = np.roll(goal, 1)
         ids[starts] = END  # a text begins as if after an end
+        return ids, starts, lengths, goal, at, stops - sizes
+
+    def score(self, texts: list[list[bytes]]):
+        """For texts as lists of words, each ending with b"": log10 model probability of each
+        word's pieces, count of each word (-1 unknown here), words per text."""
+        ids, starts, lengths, goal, at, first = self.laid(texts)
         lp = self.model.log_probs(ids, starts, lengths, goal).astype(np.float64) / np.log(10)
         lp[goal == ESCAPE] -= np.log10(256)
-        return np.add.reduceat(lp, stops - sizes), np.frombuffer(self.count, np.int64)[at], per_text
-
-    def sequence(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, starts, lengths, targets) for training."""
-        goals = [np.array([i for w in words for i in (self.cutter.cut(w) if w else [END])], np.int64) for words in texts]
-        lengths = np.array([len(g) for g in goals])
-        goal = np.concatenate(goals) if goals else np.zeros(0, np.int64)
-        starts = np.cumsum(lengths) - lengths
-        ids = np.roll(goal, 1)
-        ids[starts] = END
-        return ids, starts, lengths, goal
+        return np.add.reduceat(lp, first), np.array(self.count, np.int64)[at], np.array([len(w) for w in texts])
+
+
+def train_everywhere(learn: DataFrame, model: Attention, cutter: Cutter, n_texts: int, n_words: int,
+                     max_texts: int = MAX_TEXTS, epochs: int = 4, rate: float = 0.01) -> int:
+    """Train ``model`` on every text of ``learn`` (doc_id, text); returns the positions trained on.
+
+    ``n_texts`` and ``n_words`` set only the number of passes and the size of a task."""
+    state, done, seen = model.start(), 0.0, 0
+    if not n_texts:
+        return 0
+    passes = max(1, min(epochs, -(-epochs * max_texts // n_texts)))
+    slices = max(1, ROUNDS // passes)
+    size = state.size
+    lanes = [f"v{i}" for i in range(LANES)]
+    learn = learn.coalesce(int(max(4, n_words // TASK_WORDS)))
+
+    def task(state: np.ndarray, done: float, step: float, seed: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(model, cutter, {}, 0, 0)
+            own, made, positions = state.copy(), 0, 0
+            for part in _parts(batches):
+                ids, starts, lengths, goal = scorer.laid(part)[:4]
+                made += model.train(own, done + made, ids, starts, lengths, goal, step, seed=seed + made)
+                positions += len(goal)
+            if made:
+                rows = np.zeros(-(-size // LANES) * LANES)
+                rows[:size] = own.ravel() * made
+                rows = rows.reshape(-1, LANES)
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, made)), pa.array(np.full(n, made * made)),
+                     pa.array(np.full(n, positions)), *[pa.array(np.ascontiguousarray(c)) for c in rows.T]],
+                    names=["slot", "w", "ww", "positions", *lanes])
+        return run
+
+    kind = ", ".join(["slot int, w long, ww long, positions long", *[f"{v} double" for v in lanes]])
+    total = passes * slices
+    for r in range(total):
+        part = learn if slices == 1 else learn.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(slices)) == r % slices)
+        sums = part.select("text").mapInArrow(task(state, done, rate * (1 - 0.9 * r / total), 1000 * r), kind) \
+            .groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("w", "ww", "positions", *lanes)]).toPandas().sort_values("slot")
+        if not len(sums):
+            continue  # no text has fallen into this slice
+        w = sums["w"].iloc[0]
+        state = (sums[lanes].to_numpy(np.float64).ravel()[:size] / w).reshape(state.shape)
+        done += sums["ww"].iloc[0] / w  # the mean number of steps, weighted as the weights are
+        seen += int(sums["positions"].iloc[0])
+    model.load(state)
+    return seen
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
+    """The texts of a task as word lists, long ones in sections, about PART_WORDS at a time."""
+    part, held = [], 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            words = [*words_of(text), b""]
+            for at in range(0, len(words), SECTION):
+                part.append(words[at:at + SECTION])
+                held += len(part[-1])
+                if held >= PART_WORDS:
+                    yield part
+                    part, held = [], 0
+    if part:
+        yield part
 
 
 _SCORED = ("doc_id long, n_tokens long, known long, base double, score double, "
@@ -236,19 +329,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         ["c", "word"], ascending=[False, True]).itertuples(index=False)
     top = [(bytes(w), int(c)) for w, c in top]
     path = path or bpe.vocabulary_path()
-    cutter = choose_pieces(top[:30_000], path)
+    cutter = choose_pieces(counts, path)
     model = Attention(CLASSES, WIDTH)
-    sample = bounded_sample(learn, F.col("doc_id"), max_texts).toPandas().sort_values(["doc_id", "text"])["text"]
-    scorer = Scorer(model, cutter, {}, n, v)
-    kept, pieces = [], 0
-    for text in sample:
-        words = [*words_of(text), b""]
-        pieces += 3 * len(words)
-        if pieces > MAX_PIECES:  # bound of the training sequence
-            break
-        kept.append(words)
-    if kept:
-        model.train(*scorer.sequence(kept), epochs=epochs)
+    ends = counts.filter(F.length("word") == 0).first()  # an end a text
+    train_everywhere(learn, model, cutter, ends["c"] if ends else 0, n, max_texts, epochs)
     rows = _score_rows(texts, (model, cutter, dict(top), n, v, mix)).withColumn("row", F.monotonically_increasing_id())
     each = rows.select("row", "doc_id", "n_tokens", "known", "base", "score", F.explode_outer("rare").alias("r"))
     each = each.join(counts.select("h", "c"), F.col("r.h") == F.col("h"), "left")

@@ -110,6 +110,36 @@ def test_lm_beats_the_base_on_held_out(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_lm_learns_past_a_very_long_text(spark):
+    line = " ".join(["the cat sat on the mat while a dog ran over green hills"] * 30)
+    rows = [(0, "yes no " * 350_000)] + [(i, line) for i in range(1, 150)]
+    got = lmscore.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = [r for r in got if r.held_out]
+    assert zlib.crc32(b"0") % 7 != 2 and len(held) > 5
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_lm_trains_on_every_row_and_counts_pieces_of_all_words(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(rng.choice([0, 1, 40]))) for _ in range(3000)]
+    texts[7] = " ".join(f"long{i}" for i in range(45_000))  # in sections
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = lmscore.word_counts(df.select("text"))
+    path = lmscore.bpe.vocabulary_path()
+    codec, want = lmscore.bpe.codec_for(path), Counter()
+    for t in texts:
+        for w in lmscore.words_of(t):
+            ids = codec.merge_bytes(w)
+            want.update([(i, -1) for i in ids] + list(zip(ids, ids[1:])))
+    assert {(r.a, r.b): r.n for r in lmscore.piece_counts(counts, path).collect()} == want
+    cutter = lmscore.choose_pieces(counts, path)
+    pieces = sum(len(cutter.cut(w)) for t in texts for w in lmscore.words_of(t)) + len(texts)
+    monkeypatch.setattr(attention.Attention, "_gradients", lambda self, *a: (0.0, {k: np.zeros_like(v) for k, v in self.p.items()}))
+    for most, passes in ((10, 1), (1500, 2), (5000, 4)):  # never less than one pass over everything
+        model = attention.Attention(lmscore.CLASSES, lmscore.WIDTH)
+        assert lmscore.train_everywhere(df, model, cutter, len(texts), 10**5, most) == passes * pieces
+
+
 def test_sum_product_equals_enumeration():
     rng = np.random.default_rng(3)
     page = dom.parse("<div><p>a</p><ul><li>b<li>c</ul></div><p>d</p>")
