@@ -4,7 +4,8 @@ Messages of a conversation may quote earlier ones, mail style: lines that begin
 (>> for a quote in a quote, and so on). Each message is parsed into its own text and its
 quoted passages (runs of lines of one level). Passages and own texts are normalised
 (A-Z lower case, white space to one blank) and hashed: as a whole, by paragraph and by
-line. A passage belongs to the first message of the conversation that says it; the
+line (a paragraph or line of ``SHORTEST`` characters at least; a whole of any length). A
+passage belongs to the first message of the conversation that says it; the
 message that quotes it is a reply to the message its outermost quotes match best (most
 characters, then the latest). Threads follow replies to their root, and a conversation is
 ordered by the turn of the thread's root, then by turn, so a reply follows its thread and
@@ -39,7 +40,7 @@ _QUOTE = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
 #: Closing words of a line that introduces a quote, in a few languages.
 _INTRO = re.compile(r".{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*", re.I | re.S)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SHORTEST = 8  # characters of a unit that can be recognised
+SHORTEST = 8  # characters of a paragraph or line that is recognised within a longer text
 
 
 def normal(text: str) -> str:
@@ -71,11 +72,11 @@ def split_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
 
 
 def units(text: str) -> dict[int, int]:
-    """Hash -> length of a text's units: the whole, its paragraphs, its lines."""
+    """Hash -> length of a text's units: the whole, of any length, its paragraphs, its lines."""
     found = {}
-    for part in [text, *re.split(r"\n\s*\n", text), *text.split("\n")]:
+    for k, part in enumerate([text, *re.split(r"\n\s*\n", text), *text.split("\n")]):
         n = normal(part)
-        if len(n) >= SHORTEST:
+        if len(n) >= (SHORTEST if k else 1):
             found[xxhash.xxh64_intdigest(n.encode("utf-8", "surrogatepass")) - 2**63] = len(n)
     return found
 

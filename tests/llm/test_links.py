@@ -214,6 +214,14 @@ def test_link_quotes(spark):
         assert [x[1:] for x in sorted(rows_)] == sorted(x[1:] for x in rows_)
 
 
+def test_short_messages_quoted_whole(spark):
+    said = ["Why?", "> why?\nBecause of rain", "> Why?\n> \nI agree", "> I agree\nOk", "> no\nwhat", "> ok\nYes."]
+    rows = [(1, t, "user", x) for t, x in enumerate(said)]
+    got = {r.turn: (r.parent_turn, r.root_turn)
+           for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, 0), 1: (0, 0), 2: (0, 0), 3: (2, 0), 4: (None, 4), 5: (3, 0)}
+
+
 def test_link_quotes_awkward(spark):
     rows = [(None, None, None, None), (None, 1, "user", "> lost quote here\nhello"), (1, None, "user", "first words here"),
             (1, 0, None, "> first words here\nyes"), (1, 0, "user", ""), (1, 0, "user", "")]
