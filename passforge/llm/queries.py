@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, chat, exact, htmltext, linededup, lmscore, lzprint, mixing, ngramjoin, quality
+from . import bpe, chat, exact, htmltext, linededup, lmscore, lzprint, mixing, ngramjoin, piecebpe, quality
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piecebpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
+    return coded.select("doc_id", "n_tokens", F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"),
+                        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_lm_score": op2_lm_score,
@@ -69,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_fingerprints": op10_fingerprints,
+    "op12_pieces": op12_pieces,
 }
 
 ORACLE: dict[str, str] = {
