@@ -55,14 +55,15 @@ def bound_batches(spark: SparkSession) -> None:
         return  # the session names a bound with a unit
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives the planner the table's real
-    size, so it broadcasts the side only when that is below the session's threshold."""
+    size, so it broadcasts the side only when that is below the session's threshold.
+    ``rows_per_file`` bounds what a writer or reader holds where single rows are large."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, chat, exact, htmltext, linededup, lmscore, lzprint, mixing, ngramjoin, piecebpe, quality
+from . import bpe, chat, covercode, exact, htmltext, linededup, lmscore, lzprint, mixing, ngramjoin, piecebpe, quality
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covercode.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_lm_score": op2_lm_score,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_fingerprints": op10_fingerprints,
     "op12_pieces": op12_pieces,
+    "op13_codes": op13_codes,
 }
 
 ORACLE: dict[str, str] = {
@@ -84,6 +89,7 @@ ORACLE: dict[str, str] = {
     "op5_mixing": mixing.ORACLE,
     "op8_exact_dedup": exact.ORACLE,
     "op9_ngram_join": ngramjoin.ORACLE,
+    "op13_codes": covercode.ORACLE,
 }
 
 
