@@ -50,7 +50,7 @@ from .common import bound_batches, text_or_empty
 NONE = np.int32(2**31 - 1)
 BLANK = "▁"
 MEMO_WORD = 64
-MEMO_BYTES = 24 << 20
+MEMO_BYTES = 64 << 20
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -95,6 +95,32 @@ def read_model(raw: bytes) -> tuple[list[tuple[str, float, int]], dict[int, obje
     return pieces, trainer, normal
 
 
+class KeyTable:
+    """Places of sorted 64-bit keys: most by one look-up in a hashed table, the rest by bisection."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys if len(keys) else np.array([-(1 << 62)], np.int64)
+        self.shift = np.uint64(64 - max(4, (8 * len(self.keys)).bit_length()))
+        slot = self._slot(self.keys)
+        self.table = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.table[slot] = np.arange(len(self.keys))
+        self.shared = np.bincount(slot, minlength=len(self.table)) > 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or minus one."""
+        slot = self._slot(keys)
+        at = self.table[slot]
+        at = np.where(self.keys[at] == keys, at, -1)
+        again = np.flatnonzero((at < 0) & self.shared[slot])
+        if len(again):
+            near = np.minimum(np.searchsorted(self.keys, keys[again]), len(self.keys) - 1)
+            at[again] = np.where(self.keys[near] == keys[again], near, -1)
+        return at
+
+
 class PieceCodec:
     """Encoder and decoder of one model file."""
 
@@ -152,7 +178,8 @@ class PieceCodec:
         self.ranks = np.array(ranks, np.int32)[order]
         self.made = np.array(made, np.int32)[order]
         at = self.char
-        self.near = np.sort(np.array([int(at[ord(a)]) << 32 | int(at[ord(b)]) for a, b in near], np.int64))
+        self.near = KeyTable(np.sort(np.array([int(at[ord(a)]) << 32 | int(at[ord(b)]) for a, b in near], np.int64)))
+        self.pairs = KeyTable(self.keys)
         # the least rank of a pair in which a symbol takes part, against the rank that makes it
         least = np.full(self.size, NONE, np.int32)
         np.minimum.at(least, (self.keys >> 32).astype(np.int64), self.ranks)
@@ -185,9 +212,8 @@ class PieceCodec:
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (or NONE) and new symbol of each pair."""
         key = left.astype(np.int64) << 32 | right.astype(np.int64)
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        known = (self.keys[at] == key) & (left >= 0)
+        at = self.pairs.find(key)
+        known = at >= 0
         return np.where(known, self.ranks[at], NONE), np.where(known, self.made[at], -1)
 
     def _stack(self, symbols: list[int], rank: int) -> list[int]:
@@ -245,7 +271,10 @@ class PieceCodec:
             keep[merge + 1] = False
             place = (np.cumsum(keep) - 1)[merge]
             symbols, word, rank, new = symbols[keep], word[keep], rank[keep], new[keep]
-            changed = np.unique(np.concatenate([place, place[place > 0] - 1]))
+            touched = np.zeros(len(symbols), bool)
+            touched[place] = True
+            touched[:-1] |= touched[1:]
+            changed = np.flatnonzero(touched)
             last = changed[-1] == len(symbols) - 1
             inner = changed[:-1] if last else changed
             r, m = self._rank(symbols[inner], symbols[inner + 1])
@@ -280,9 +309,7 @@ class PieceCodec:
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
         symbols = self.char[points]
         key = symbols[:-1].astype(np.int64) << 32 | symbols[1:].astype(np.int64)
-        at = np.searchsorted(self.near, key)
-        at[at == len(self.near)] = 0
-        cut = (self.near[at] != key) | (symbols[:-1] < 0) | (owner[1:] != owner[:-1]) if len(self.near) else np.ones(len(key), bool)
+        cut = (self.near.find(key) < 0) | (owner[1:] != owner[:-1])
         part = np.concatenate([[0], np.cumsum(cut)])
         first = np.flatnonzero(np.append(True, cut))
         # a character that no piece has stays a part of its own, minus its code point
