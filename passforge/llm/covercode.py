@@ -36,11 +36,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bound_batches, stored
+from .vectors import dimension, finite, whole_numbers
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 LIMIT = 1 << 24
@@ -206,16 +207,6 @@ def entry_sums(tree: CoverTree, entry: np.ndarray, book: np.ndarray) -> tuple[np
     return counts.reshape(parts, entries), sums.reshape(parts, entries, width)
 
 
-def whole_numbers(flat: np.ndarray, scale: int) -> np.ndarray:
-    return np.clip(np.floor(flat.astype(np.float64) * scale), -LIMIT, LIMIT).astype(np.int64)
-
-
-def finite(column: Column) -> Column:
-    """The vector is there and all its components are finite numbers."""
-    bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return column.isNotNull() & ~F.coalesce(bad, F.lit(False))
-
-
 def _tree_table(kept: DataFrame, parts: int, dim: int, scale: int) -> DataFrame:
     """One row for each block of vectors: its ids and labels, and the trees of its parts."""
     rows_of = kept.select("vec_id", "label").schema
@@ -228,7 +219,7 @@ def _tree_table(kept: DataFrame, parts: int, dim: int, scale: int) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             joined = pa.Table.from_batches(held).combine_chunks()
-            vectors = whole_numbers(joined.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), scale)
+            vectors = whole_numbers(joined.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), scale, LIMIT)
             packed = build_trees(vectors.reshape(-1, dim), parts).pack()
             members = pa.StructArray.from_arrays([joined.column(c).combine_chunks() for c in ("vec_id", "label")], ["vec_id", "label"])
             lists = pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), members)
@@ -299,20 +290,13 @@ def _coded(trees: DataFrame, kept: DataFrame, book: np.ndarray) -> DataFrame:
     return trees.mapInArrow(run, kind)
 
 
-def dimension(kept: DataFrame, parts: int) -> int | None:
-    """The commonest vector length that divides into the parts; ties: the shortest."""
-    sizes = kept.groupBy(F.size("embedding").alias("dim")).count().filter(f"dim > 0 AND dim % {parts} = 0")
-    found = sizes.orderBy(F.desc("count"), "dim").limit(1).collect()
-    return found[0]["dim"] if found else None
-
-
 def first_books(kept: DataFrame, parts: int, entries: int, scale: int, dim: int) -> np.ndarray:
     """The parts of the vectors with the least vec_ids."""
     ids = [r[0] for r in kept.select("vec_id").filter("vec_id IS NOT NULL").distinct().orderBy("vec_id").limit(entries).collect()]
     if not ids:
         return np.zeros((parts, 1, dim // parts), np.int64)
     seeds = kept.filter(F.col("vec_id") <= ids[-1]).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).orderBy("vec_id").collect()
-    vectors = whole_numbers(np.array([r["embedding"] for r in seeds], np.float64), scale)
+    vectors = whole_numbers(np.array([r["embedding"] for r in seeds], np.float64), scale, LIMIT)
     return np.ascontiguousarray(vectors.reshape(len(seeds), parts, -1).swapaxes(0, 1))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, chat, covercode, exact, htmltext, linededup, lmscore, lzprint, mixing, ngramjoin, piecebpe, quality
+from . import bpe, chat, covercode, exact, htmltext, linededup, lmscore, lzprint, mixing, ngramjoin, piecebpe, quality, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = piecebpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
@@ -80,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_fingerprints": op10_fingerprints,
+    "op11_whitening": op11_whitening,
     "op12_pieces": op12_pieces,
     "op13_codes": op13_codes,
 }
