@@ -12,8 +12,10 @@ blank, lower case, a split pattern, byte symbols, word ends marked with a suffix
 special tokens found in the raw text. ``Codec`` reads it in every Python worker through
 its path (or from the bytes, see ``codec_for``), nothing is copied or trained.
 
-Cost per task: each distinct blank-separated chunk is encoded once and kept in a memo
-that is emptied at ``MEMO`` entries, so memory is bounded.
+Short words share their rounds: the trees of many words lie in one array, and a round takes
+all roots, merges and updates the paths of all words (``MergeTrees``). Long words have a
+tree of their own (``merge_all``). Each distinct blank-separated chunk of a batch is encoded
+and decoded once; nothing is kept from batch to batch, and a batch is bounded in bytes.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; a column
 of the input that has the name of an output column is replaced; rows, other columns and
@@ -23,9 +25,7 @@ their order are kept; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
-import sys
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bound_batches, text_or_empty
+from .keytable import KeyTable
 
-MEMO = 80_000
+#: Words up to these lengths share trees of one width, this many rows at a time.
+WIDTHS, ROWS = (4, 8, 16, 32, 64), 20_000
+WIDEST = WIDTHS[-1]
 NO_RANK = 1 << 62
 _PLACE = (1 << 32) - 1
-_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: The Unicode White_Space characters.
 _SPACE = "\t-\r \x85\xa0  -     　"
 
@@ -104,22 +106,77 @@ def merge_all(ids: list[int], ranks: dict[int, int], made: list[int]) -> list[in
     return [x for x in ids if x >= 0]
 
 
-class _Memo(dict):
-    """Results by key; when full, the entries used since the last time stay reachable."""
-
-    def __init__(self, make, most: int = MEMO):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        out = self.old.get(key)
-        if out is None:
-            out = self.make(key)
-        self[key] = out
-        return out
+class MergeTrees:
+    """The same merging for many short words at once: row r of each array belongs to word r.
+
+    A round takes the root of every tree, merges that pair and updates the three changed leaves
+    along their paths to the root, one level of all words in one numpy step."""
+
+    def __init__(self, ranks: dict[int, int], made: list[int]):
+        keys = np.array(sorted(ranks), np.int64)
+        self.pairs = KeyTable(keys)
+        self.ranks = np.array([ranks[k] for k in keys.tolist()] or [0], np.int64)
+        self.made = np.array(made or [0], np.int64)
+
+    def _leaf(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        at = self.pairs.find(left << 32 | right)
+        return np.where(at >= 0, self.ranks[at] << 32 | place, NO_RANK)
+
+    def merge(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """``ids``: one word a row (a power of two wide) of ``size`` symbols; merged in place, -1 where a symbol went."""
+        words, stride = ids.shape
+        width = stride  # a power of two; the last place has no pair
+        column = np.arange(stride - 1)
+        tree = np.full((words, 2 * width), NO_RANK, np.int64)
+        inside = column[None, :] < (size - 1)[:, None]
+        first = self._leaf(ids[:, :-1][inside], ids[:, 1:][inside], np.broadcast_to(column, inside.shape)[inside])
+        tree[:, width:width + stride - 1][inside] = first
+        level = width
+        while level > 1:
+            level //= 2
+            tree[:, level:2 * level] = np.minimum(tree[:, 2 * level:4 * level:2], tree[:, 2 * level + 1:4 * level:2])
+        after = np.tile(np.arange(1, stride + 1), (words, 1)).reshape(-1)
+        before = np.tile(np.arange(-1, stride - 1), (words, 1)).reshape(-1)
+        flat, nodes = ids.reshape(-1), tree.reshape(-1)
+        live = np.arange(words)
+        while True:
+            root = nodes[live * (2 * width) + 1]
+            more = root != NO_RANK
+            live, root = live[more], root[more]
+            if not len(live):
+                return ids
+            base, top, n = live * stride, live * (2 * width), size[live]
+            i = root & _PLACE
+            j = after[base + i]
+            k = after[base + j]
+            flat[base + i] = self.made[root >> 32]
+            flat[base + j] = -1
+            after[base + i] = k
+            right = k < n
+            leaf = np.full(len(live), NO_RANK, np.int64)
+            b, at = base[right], i[right]
+            before[b + k[right]] = at
+            leaf[right] = self._leaf(flat[b + at], flat[b + k[right]], at)
+            nodes[top + width + j] = NO_RANK
+            nodes[top + width + i] = leaf
+            h = before[base + i]
+            left = h >= 0
+            b, at = base[left], h[left]
+            nodes[top[left] + width + at] = self._leaf(flat[b + at], flat[b + i[left]], at)
+            h = np.where(left, h, i)
+            step = width
+            paths = [h + width, i + width, j + width]
+            while step > 1:
+                step //= 2
+                paths = [p >> 1 for p in paths]
+                for p in paths:
+                    below = top + 2 * p
+                    nodes[top + p] = np.minimum(nodes[below], nodes[below + 1])
+
+
+def _joined(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+    """Ids one after the other, names with one blank between them."""
+    return b"".join([ids for ids, _ in parts]), " ".join([text for ids, text in parts if ids])
 
 
 class Codec:
@@ -138,6 +195,7 @@ class Codec:
         symbols = byte_symbols()
         self.inner = [vocab.get(s, -1) for s in symbols]
         self.last = [vocab.get(s + self.suffix, -1) for s in symbols]
+        self.inner_ids, self.last_ids = np.array(self.inner, np.int64), np.array(self.last, np.int64)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.names = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for name, i in [*vocab.items(), *self.special.items()]:
@@ -147,8 +205,10 @@ class Codec:
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.space = regex.compile(f"[{_SPACE}]+")
         self.odd = regex.compile("[\x1c-\x1f]")  # blanks for str.split, not for Unicode
-        self.of_word = _Memo(self.encode_word)
-        self.of_chunk = _Memo(self._encode_chunk)
+        self.trees = MergeTrees(self.ranks, self.made)
+        self.starts = sorted({name[0] for name in self.special if name})
+        self.whole = min(self.inner) >= 0 and min(self.last) >= 0
+        self.letters = r"[\p{L}]+" in split  # then a run of letters is one piece
 
     def merge_bytes(self, raw: bytes) -> list[int]:
         """Ids of one pre-token's bytes, by the segment tree."""
@@ -158,29 +218,74 @@ class Codec:
             ids = [i for i in ids if i >= 0]
         return merge_all(ids, self.ranks, self.made)
 
-    def encode_word(self, word: str) -> bytes:
-        ids = self.merge_bytes(word.encode("utf-8", "surrogatepass"))
-        return array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()
+    def encode_words(self, words: list[str]) -> list[tuple[bytes, str]]:
+        """Ids and names of each pre-token; short ones by trees over many words, long ones by a tree of their own."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        out: list[tuple[bytes, str]] = [(b"", "")] * len(words)
+        size = np.array([len(r) for r in raw])
+        if not self.whole:
+            size[:] = WIDEST + 1
+        low = 0
+        for most in WIDTHS:
+            chosen = np.flatnonzero((size > low) & (size <= most))
+            low = most
+            for at in range(0, len(chosen), ROWS):
+                own = chosen[at:at + ROWS]
+                n = size[own]
+                inside = np.arange(most)[None, :] < n[:, None]
+                ids = np.full((len(own), most), -1, np.int64)
+                symbols = np.frombuffer(b"".join([raw[r] for r in own.tolist()]), np.uint8)
+                ids[inside] = self.inner_ids[symbols]
+                rows = np.arange(len(own))
+                ids[rows, n - 1] = self.last_ids[symbols[np.cumsum(n) - 1]]
+                ids = self.trees.merge(ids, n)
+                kept = ids >= 0
+                ends = np.cumsum(kept.sum(1)).tolist()
+                ids = ids[kept]
+                flat, names = ids.astype("<u4").tobytes(), list(map(self.names.__getitem__, ids.tolist()))
+                for r, a, b in zip(own.tolist(), [0, *ends], ends, strict=False):
+                    out[r] = flat[4 * a:4 * b], names[a] if b - a == 1 else " ".join(names[a:b])
+        for r in np.flatnonzero(size > WIDEST).tolist():
+            flat = np.array(self.merge_bytes(raw[r]), "<u4").tobytes()
+            out[r] = flat, self.decode(flat)
+        return out
+
+    def _learn(self, chunks: list[str]) -> dict[str, tuple[bytes, str]]:
+        """Ids and decoded text of chunks, all their new words merged together."""
+        normal, find, letters = unicodedata.normalize, self.pieces.findall, self.letters
+        lower = [c.lower() if c.isascii() else normal("NFC", c).replace("Σ", "σ").lower() for c in chunks]
+        pieces = [(c,) if letters and c.isalpha() else find(c) for c in lower]
+        words = list({w for p in pieces for w in p})
+        coded = dict(zip(words, self.encode_words(words), strict=True))
+        made = {c: coded[p[0]] if len(p) == 1 else _joined([coded[w] for w in p])
+                for c, p in zip(chunks, pieces, strict=True)}
+        return made | {c: self._special(c) for c in self.special.keys() & made.keys()}
+
+    def _chunks(self, text: str) -> list[str]:
+        """Blank-separated chunks; special tokens stand by themselves."""
+        if self.special_split is None or not any(s in text for s in self.starts):
+            return self._split(text)
+        out: list[str] = []
+        for k, part in enumerate(self.special_split.split(text)):
+            out += [part] if k % 2 else self._split(part)
+        return out
+
+    def _split(self, text: str) -> list[str]:
+        return [c for c in self.space.split(text) if c] if self.odd.search(text) else text.split()
 
-    def _encode_chunk(self, chunk: str) -> bytes:
-        norm = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        return b"".join([self.of_word[w] for w in self.pieces.findall(norm)])
+    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Ids (little-endian unsigned 32-bit) and decoded text of each text."""
+        split = [self._chunks(t) for t in texts]
+        coded = self._learn(list({c for chunks in split for c in chunks}))
+        return [_joined([coded[c] for c in chunks]) for chunks in split]
 
-    def _plain(self, text: str) -> list[bytes]:
-        chunks = self.space.split(text) if self.odd.search(text) else text.split()
-        return [self.of_chunk[c] for c in chunks if c]
+    def _special(self, name: str) -> tuple[bytes, str]:
+        ids = np.array([self.special[name]], "<u4").tobytes()
+        return ids, self.decode(ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.special_split is None or "<|" not in text:
-            return b"".join(self._plain(text))
-        out: list[bytes] = []
-        for part in self.special_split.split(text):
-            if part in self.special:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
-            elif part:
-                out += self._plain(part)
-        return b"".join(out)
+        return self.encode_batch([text])[0][0]
 
     def decode(self, ids: bytes) -> str:
         """Names of the ids, joined by one blank (the file names no other decoder)."""
@@ -213,8 +318,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, text_col: str = "tex
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = codec_for(path)
         for texts in batches:
-            ids = [codec.encode(t) for t in texts]
-            yield pd.DataFrame({"token_ids": ids, "decoded": [codec.decode(i) for i in ids]})
+            made = codec.encode_batch(texts.tolist())
+            yield pd.DataFrame({"token_ids": [i for i, _ in made], "decoded": [t for _, t in made]})
 
     new = {"token_ids", "n_tokens", "decoded", "__bpe"}
     keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
