@@ -62,16 +62,19 @@ def select_best(candidates: DataFrame, by: Sequence[str] = ("task_id",), idx: st
                 keys: Sequence[str] = ("overall_pass", "n_passed", "mean_score")) -> DataFrame:
     """Best candidate per task by (overall_pass, passed methods, mean score), all
     descending; the first candidate (lowest index) wins ties; a task with none gives none.
-    A candidate is named by ``by`` and ``idx``.
+    A candidate is named by ``by`` and ``idx``; a task has one winner. Of a candidate that comes
+    more than once the best row counts, and rows that are alike in all of these are replays of
+    which one stays.
     """
     by = list(by)
     # only the keys and the order are reduced; the rest of the winner's row (of any type) joins back
-    ranks = [(-F.coalesce(F.col(k).cast("double"), F.lit(0.0))).alias(f"_k{i}") for i, k in enumerate(keys)]
+    ranks = [-F.coalesce(F.col(k).cast("double"), F.lit(0.0)) for k in keys]
     best = candidates.groupBy(*[F.col(c).alias(f"_b_{c}") for c in by]).agg(
-        F.min(F.struct(*ranks, F.col(idx).alias("_idx"))).alias("_best"))
+        F.min(F.struct(*[r.alias(f"_k{i}") for i, r in enumerate(ranks)], F.col(idx).alias("_idx"))).alias("_best"))
     same = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by]
-    won = candidates.join(best, [*same, F.col(idx).eqNullSafe(F.col("_best._idx"))])
-    return won.select(*by, *[c for c in candidates.columns if c not in by])
+    alike = [r.eqNullSafe(F.col(f"_best._k{i}")) for i, r in enumerate(ranks)]
+    won = candidates.join(best, [*same, *alike, F.col(idx).eqNullSafe(F.col("_best._idx"))])
+    return won.select(*by, *[c for c in candidates.columns if c not in by]).dropDuplicates(by)
 
 
 def canonical_audit(method_rows: DataFrame, key: Sequence[str] = ("task_id",),

@@ -15,8 +15,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
+from ..session import land
 
 RUN_KEY = ("experiment_id", "task_id", "candidate_idx")
 
@@ -58,18 +60,56 @@ def export_runs_csv(runs: DataFrame, path: str, experiment_id: str | None = None
     return path
 
 
+#: Column that names a row of a stored table, see ``with_row_address``.
+ROW = "_row"
+
+
+def with_row_address(stored: DataFrame) -> DataFrame:
+    """Add ``ROW``, a hash of file and row number, to a frame read straight from Parquet files.
+
+    Files of the store are never changed, so a re-run task and a second scan see the same
+    addresses. Not for frames behind a join or an explode, where rows share an address."""
+    return stored.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(ROW))
+
+
+def _as_long(df: DataFrame, column: str) -> Column | None:
+    """An order-keeping whole number for columns that have one."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return F.col(column).cast("long")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column)
+    return F.unix_date(column).cast("long") if isinstance(kind, T.DateType) else None
+
+
+def _rank(df: DataFrame, order: Sequence[str]) -> Column:
+    """The order columns and the row's address as one comparable value, nulls lowest.
+
+    One column with whole-number order packs with 60 bits of the address into a decimal, which a
+    hash aggregate can hold; else a struct."""
+    number = _as_long(df, order[0]) if len(order) == 1 else None
+    if number is None:
+        return F.struct(*[F.col(c) for c in order], F.col(ROW))
+    low = F.col(ROW).bitwiseAND((1 << 60) - 1).cast("decimal(19,0)")
+    return F.coalesce(number, F.lit(-(1 << 63))).cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)") + low
+
+
 def _first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool = False) -> DataFrame:
-    """One row per key: the first (or last) by ``order``, as a skew-proof aggregate.
+    """One row per key, the first (or last) by ``order``; rows alike in key and order are replays
+    and one of them stays.
 
-    min/max over a struct led by the order columns is combined map-side, so a key
-    replayed a third of the time still costs one partial row per input partition.
-    """
+    A narrow reduction: only key, order and row address are aggregated, map-side first, so a key
+    replayed a third of the time costs one partial row per input partition. The winning rows
+    are then fetched by key and rank; ranks are all different, so that join is even too. Payload columns,
+    of any type, are never sorted. A frame without row addresses is landed first."""
     keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    packed = F.struct(*[F.col(c) for c in order], *[F.col(c).alias(f"_v_{c}") for c in rest])
-    agg = F.max(packed) if last else F.min(packed)
-    out = df.groupBy(*keys).agg(agg.alias("_best"))
-    return out.select(*keys, *[F.col(f"_best._v_{c}").alias(c) for c in rest])
+    if ROW not in df.columns:
+        df = with_row_address(land(df, "last-write-wins"))
+    ranked = df.select("*", _rank(df, order).alias("_rank"))
+    best = ranked.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
+        (F.max("_rank") if last else F.min("_rank")).alias("_best")).hint("shuffle_hash")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return ranked.join(best, [*same, F.col("_rank") == F.col("_best")], "left_semi").drop("_rank", ROW)
 
 
 def register_experiments(existing: DataFrame, new: DataFrame, order: Sequence[str] = ("started_at",)) -> DataFrame:
@@ -91,6 +131,12 @@ def upsert_runs(log: DataFrame, key: Sequence[str] = RUN_KEY, order: str | Seque
     return _first_by(log, key, [order] if isinstance(order, str) else list(order), last=True)
 
 
+def current_runs(spark: SparkSession, path: str, experiment_id: str | None = None) -> DataFrame:
+    """A10 on the stored log: two scans of its files, nothing is landed again."""
+    log = with_row_address(spark.read.parquet(path))
+    return upsert_runs(log if experiment_id is None else log.where(F.col("experiment_id") == F.lit(experiment_id)))
+
+
 def current_methods(methods: DataFrame, current: DataFrame, attempt: Sequence[str] = ("run_id", "ingest_seq")) -> DataFrame:
     """A10 cascade: keep only method rows of the winning attempt of each run."""
     return methods.join(current.select(*attempt), list(attempt), "left_semi")
@@ -123,7 +169,7 @@ def write_append(df: DataFrame, path: str, partition_by: str | None = "experimen
 def compact_runs(spark: SparkSession, runs_path: str, out_path: str) -> None:
     """Rewrite the current state of the experiments present in the log (dynamic partition
     overwrite: other experiments' partitions under ``out_path`` are left alone)."""
-    current = upsert_runs(spark.read.parquet(runs_path))
+    current = current_runs(spark, runs_path)
     (current.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("experiment_id").parquet(out_path))
 
