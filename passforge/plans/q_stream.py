@@ -3,6 +3,8 @@ the events table read as a stream."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from ..sources import runlog as rl
@@ -37,14 +39,74 @@ select experiment_id, model, task_id, candidate_idx, overall_pass, event_id from
                        order by event_id desc) as rk
   from events) where rk = 1""")
 def k1(spark, sf):
-    out = rs._scratch(spark, "k1-runlog")
+    out = os.path.join(rs._scratch(spark, "k1-runlog"), "log")
     stream = _run_events(spark, sf)
     rs.land_runs(stream, out, order_by="event_id")
-    log = rs.read_landed(spark, out, rs.landed_schema(stream))
-    cur = rl.upsert_runs(log, key=("experiment_id", "model", "task_id", "candidate_idx"), order=rs.ATTEMPT)
+    log = rs.read_landed(spark, out, rs.landed_schema(stream, "event_id"))
+    cur = rl.upsert_runs(rl.with_row_address(log), key=("experiment_id", "model", "task_id", "candidate_idx"), order=rs.ATTEMPT)
     return cur.select("experiment_id", "model", "task_id", "candidate_idx", "overall_pass", "event_id")
 
 
+# Fixed values of the replay binding: the events come in three files by event_id; the second is
+# delivered again as a fourth file. Every tenth event of the last file is a second attempt's
+# twin: 300 ms later, event_id + 1,000,000, with the opposite verdict.
+
+_ATTEMPT_SQL = """
+attempts as (
+  select ntile(3) over (order by event_id) as file, * from events),
+landed as (
+  select file, ts, event_type, user_id, value, event_id, case when cast(json_extract(props, '$.k') as integer) < 50
+           then 1 else 0 end as overall_pass from attempts
+  union all
+  select file, ts + interval 300 milliseconds, event_type, user_id, value, event_id + 1000000,
+         case when cast(json_extract(props, '$.k') as integer) < 50 then 0 else 1 end
+  from attempts where file = 3 and event_id % 10 = 0)"""
+
+
+def _delivered_files(spark, sf):
+    """The folder of files that the stream reads, written one after the other."""
+    folder = rs._scratch(spark, "k1-deliveries")
+    ev = table(spark, sf, "events")
+    n = ev.count()
+    cuts = [n // 3 + (n % 3 > 0), n - n // 3]  # as ntile(3) deals the rows
+    first, last = (ev.select("event_id").orderBy("event_id").limit(k).agg(F.max("event_id")).first()[0] for k in cuts)
+    rows = ev.select(
+        F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id", "value", "event_id",
+        F.when(F.get_json_object("props", "$.k").cast("int") < 50, 1).otherwise(0).alias("overall_pass"))
+    third = rows.where(F.col("event_id") > last)
+    twins = third.where(F.col("event_id") % 10 == 0).select(
+        (F.col("ts") + F.expr("interval 300 milliseconds")).alias("ts"), "event_type", "user_id", "value",
+        (F.col("event_id") + 1000000).alias("event_id"), (1 - F.col("overall_pass")).alias("overall_pass"))
+    second = rows.where((F.col("event_id") > first) & (F.col("event_id") <= last))
+    for part in (rows.where(F.col("event_id") <= first), second, third.unionByName(twins), second):
+        part.coalesce(1).write.mode("append").parquet(os.path.join(folder, "files"))
+    return os.path.join(folder, "files"), rows.schema
+
+
+@query("k1_stream_replays", f"""
+with {_ATTEMPT_SQL}
+select experiment_id, model, task_id, candidate_idx, overall_pass, event_id, cast(n as bigint) as landed from (
+  select strftime(ts, '%Y-%m-%d') as experiment_id, event_type as model, cast(user_id as varchar) as task_id,
+    cast(cast(floor(value) as integer) % 2 as integer) as candidate_idx, overall_pass, event_id,
+    count(*) over (partition by strftime(ts, '%Y-%m-%d'), event_type, user_id, cast(floor(value) as integer) % 2) as n,
+    row_number() over (partition by strftime(ts, '%Y-%m-%d'), event_type, user_id, cast(floor(value) as integer) % 2
+                       order by file desc, ts desc) as rk
+  from landed) where rk = 1""")
+def k1_replays(spark, sf):
+    folder, schema = _delivered_files(spark, sf)
+    out = os.path.join(rs._scratch(spark, "k1-replays"), "log")
+    stream = rs.read_run_stream(spark, folder, schema, max_files_per_trigger=1).select(
+        F.date_format("ts", "yyyy-MM-dd").alias("experiment_id"), F.col("event_type").alias("model"),
+        F.col("user_id").cast("string").alias("task_id"), (F.floor("value").cast("int") % 2).alias("candidate_idx"),
+        "overall_pass", "event_id", "ts")
+    rs.land_runs(stream, out, order_by="ts", replay_key=["event_id"], event_time="ts", delay="366 days")
+    log = rs.read_landed(spark, out, rs.landed_schema(stream, "ts"))
+    key = ["experiment_id", "model", "task_id", "candidate_idx"]
+    landed = log.groupBy(*key).agg(F.count(F.lit(1)).alias("landed"))
+    cur = rl.upsert_runs(rl.with_row_address(log), key=key, order=rs.ATTEMPT)
+    return cur.join(landed, key).select(*key, "overall_pass", "event_id", "landed")
+
+
 @query("k2_stream_status", """
 select strftime(ts, '%Y-%m-%d') as experiment_id, cast(count(*) as bigint) as total,
   cast(count(*) filter (where cast(json_extract(props, '$.k') as integer) < 50) as bigint) as passed,
