@@ -26,11 +26,11 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +39,8 @@ from pyspark.sql import types as T
 from .common import bound_batches, text_or_empty
 from .keytable import KeyTable
 
+#: New chunks that are learnt together.
+LEARN = 20_000
 #: Words up to these lengths share trees of one width, this many rows at a time.
 WIDTHS, ROWS = (4, 8, 16, 32, 64), 20_000
 WIDEST = WIDTHS[-1]
@@ -273,11 +275,16 @@ class Codec:
     def _split(self, text: str) -> list[str]:
         return [c for c in self.space.split(text) if c] if self.odd.search(text) else text.split()
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
+    def encode_batch(self, texts: Iterable[str | None]) -> list[tuple[bytes, str]]:
         """Ids (little-endian unsigned 32-bit) and decoded text of each text."""
-        split = [self._chunks(t) for t in texts]
-        coded = self._learn(list({c for chunks in split for c in chunks}))
-        return [_joined([coded[c] for c in chunks]) for chunks in split]
+        new: set[str] = set()
+        for t in texts:
+            new.update(self._chunks(t or ""))
+        ordered = list(new)
+        coded = {}
+        for at in range(0, len(ordered), LEARN):
+            coded |= self._learn(ordered[at:at + LEARN])
+        return [_joined([coded[c] for c in self._chunks(t or "")]) for t in texts]
 
     def _special(self, name: str) -> tuple[bytes, str]:
         ids = np.array([self.special[name]], "<u4").tobytes()
@@ -312,22 +319,21 @@ def encode_decode(docs: DataFrame, path: str | None = None, text_col: str = "tex
     with the Python environment by default."""
     path = path or vocabulary_path()
     bound_batches(docs.sparkSession)
-    kind = T.StructType([T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    new = {"token_ids", "n_tokens", "decoded"}
+    keep = [c for c in docs.columns if c.lower() not in new]
+    given = docs.select(text_or_empty(text_col).alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    kind = T.StructType(given.schema.fields[1:] + [T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(path)
-        for texts in batches:
-            made = codec.encode_batch(texts.tolist())
-            yield pd.DataFrame({"token_ids": [i for i, _ in made], "decoded": [t for _, t in made]})
-
-    new = {"token_ids", "n_tokens", "decoded", "__bpe"}
-    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
-    out = docs.select(*keep, run(text_or_empty(text_col)).alias("__bpe"))
-    ids = F.col("__bpe.token_ids")
-    names = [c for c in out.columns if c != "__bpe"]
-    return out.select(*[F.col(f"`{c}`") for c in names], ids.alias("token_ids"),
-                      (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.col("__bpe.decoded").alias("decoded"))
+        for batch in batches:
+            made = codec.encode_batch(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([i for i, _ in made], pa.binary()),
+                                              pa.array([t for _, t in made], pa.string())], kind.names)
+
+    out = given.mapInArrow(run, kind)
+    ids = F.col("token_ids")
+    return out.select(*[F.col(f"`{c}`") for c in keep], ids, (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), "decoded")
 
 
 def ids_array(token_ids: bytes) -> list[int]:

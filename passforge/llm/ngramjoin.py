@@ -54,32 +54,41 @@ WORDS = 4
 PERCENT = 85
 HOT_MOST = 2**19      # frequent shingles named, at most
 HOT_DOCS = 6          # documents counted that share a frequent shingle, at least
-HOT_LOCAL = 2         # ... and among the documents of one counting block
-BLOCK = 4_000_000     # shingles counted at a time in a task
+FLAG_BITS = 25        # flags of shingles met, in a counting task
+BLOCK = 500_000       # shingles met again that a task holds
 ID_FILTER_BITS = 2**26
 
 
 def hot_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes ascending, document counts) of shingles that many documents share.
 
-    A block of documents reports the shingles that it holds at least HOT_LOCAL times; with
-    B blocks, one that sqrt(2 B) documents share is likely to be reported by some block."""
+    A task marks the shingles it has met in a table of flags and reports those that it meets
+    again; a table that is a quarter full is emptied. A shingle whose flag another has set is
+    reported as well, which only makes it a candidate of the count that follows."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        met, marked = np.zeros(1 << FLAG_BITS, bool), 0
+        again, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(again), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64) + 1)], names=["shingle", "n"])
 
-        def flush():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= HOT_LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))],
-                                              names=["shingle", "n"])
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text, words)
-                held.append(s)
-                size += len(s)
+            for text in batch.column(0):
+                s = shingle_set(text.as_py(), words)
+                slot = (s >> np.uint64(64 - FLAG_BITS)).view(np.int64)
+                known = met[slot]
+                met[slot] = True
+                marked += len(s)
+                if known.any():
+                    again.append(s[known])
+                    size += len(again[-1])
                 if size >= BLOCK:
                     yield flush()
-                    held, size = [], 0
+                    again, size = [], 0
+                if marked >= 1 << (FLAG_BITS - 2):
+                    met[:] = False
+                    marked = 0
         if size:
             yield flush()
 
@@ -89,19 +98,20 @@ def hot_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return rows["shingle"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-_DESCRIBED = ("doc_id long, n int, class long, grp long, hot int, last_n long, last_hash long, idx_n long, idx_hash long, "
+_DESCRIBED = ("doc_id long, h long, n int, class long, grp long, hot int, last_n long, last_hash long, idx_n long, idx_hash long, "
               "prefix array<long>")
 
 
 def describe(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Size, class, group and ordered prefix of each document (doc_id, text)."""
-    hot_hash, hot_n = hot
+    """Size, class, group and ordered prefix of each document (doc_id, text, h: a hash of the text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_hash, hot_n = shared.value
         for batch in batches:
             rows, lists = [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, words).view(np.int64)
+            for text in batch.column(1):
+                s = shingle_set(text.as_py(), words).view(np.int64)
                 n = len(s)
                 if not n:
                     rows.append((0,) * 8)
@@ -125,7 +135,7 @@ def describe(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray, n
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
             n, cls, grp, heat, *ends_at = cols
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n.astype(np.int32)), pa.array(cls), pa.array(grp), pa.array(heat.astype(np.int32)),
+                [batch.column(0), batch.column(2), pa.array(n.astype(np.int32)), pa.array(cls), pa.array(grp), pa.array(heat.astype(np.int32)),
                  *map(pa.array, ends_at), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                 names=[f.split()[0] for f in _DESCRIBED.split(", ")])
     return docs.mapInArrow(run, _DESCRIBED)
@@ -315,13 +325,19 @@ def _wanted(pairs: DataFrame, members: DataFrame) -> DataFrame:
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
+    return _joined(docs, words, percent, id_col, text_col).drop("h")
+
+
+def _joined(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """join_components with ``h``, the hash of each row's text."""
     bound_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    text = text_or_empty(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     hot = hot_shingles(texts.select("text"), words)
     described = stored(describe(texts, words, percent, hot), "described")
     links = link_classes(described, texts, words, percent)
     label = components(links)
-    narrow = described.select("doc_id", "n", "class")
+    narrow = described.select("doc_id", "h", "n", "class")
     least = narrow.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("id"))
     placed = least.join(label, F.col("class") == F.col("node"), "left").select(
         "class", "id", F.coalesce("label", "class").alias("comp"))
@@ -330,22 +346,31 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # classes of one component are few next to its documents; documents join by class
     of_class = stored(placed.join(comps, "comp").select("class", "component_id"), "components")
     out = narrow.join(of_class.withColumnRenamed("class", "__class"), F.col("class") == F.col("__class"), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
+    return out.select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """The documents that are their component's least id, with their own columns.
-
-    Rows with a null id stay. Only rows that may be dropped (Bloom filter of the dropped
-    ids) are shuffled; the rest pass straight through."""
-    found = join_components(docs, words, percent, id_col, text_col)
-    gone = stored(found.filter("doc_id is not null and component_id is not null and doc_id != component_id")
-                  .select(F.col("doc_id").alias("id")).distinct(), "dropped")
+    """One document of each component, the one with the least id, with its own columns.
+
+    A document is named by its id and its text: of several texts with one id, each is judged
+    by its own component, and of those in one component the least by text hash stays. Rows
+    alike in id and text are one document. Rows with a null id stay. Only rows that may be dropped
+    (Bloom filter of the dropped documents) are shuffled; the rest pass straight through."""
+    found = stored(_joined(docs, words, percent, id_col, text_col).filter("doc_id is not null and component_id is not null"), "found")
+    named = [F.col("doc_id").alias("doc"), F.col("h").alias("hash")]
+    later = found.filter("doc_id != component_id").select(*named)
+    # texts that share the least id of their component
+    first = found.filter("doc_id = component_id and n_shingles > 0").groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    twins = found.filter("n_shingles > 0").join(first.filter("low != high").select(F.col("doc_id").alias("id"), "low"),
+                                                (F.col("doc_id") == F.col("id")) & (F.col("component_id") == F.col("id")))
+    key = F.xxhash64("doc", "hash").alias("id")
+    gone = stored(later.unionByName(twins.filter("h != low").select(*named)).distinct().select("*", key), "dropped")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    marked = maybe_in(docs.select(row, F.col(id_col).cast("long").alias("__id")), F.col("__id"), id_filter(gone))
-    stay = marked.filter("__maybe").join(gone, F.col("__id") == F.col("id"), "left_anti")
+    own = docs.select(row, F.col(id_col).cast("long").alias("__doc"), F.xxhash64(text_or_empty(text_col)).alias("__hash"))
+    marked = maybe_in(own, F.xxhash64("__doc", "__hash"), id_filter(gone))
+    stay = marked.filter("__maybe").join(gone, (F.col("__doc") == F.col("doc")) & (F.col("__hash") == F.col("hash")), "left_anti")
     return marked.filter("not __maybe").select("__row.*").unionByName(stay.select("__row.*"))
 
 

@@ -95,6 +95,29 @@ def test_join_awkward_and_empty(spark):
     assert ngramjoin.keep_one(frame(spark)).columns == frame(spark).columns
 
 
+def test_keep_one_names_documents_by_id_and_text(spark):
+    rng = random.Random(8)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    other = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    t, tx, ty = (" ".join(text + more) for more in ([], ["x"], ["y"]))
+    rows = [(1, t), (2, tx), (2, other), (7, t + " p q"), (7, ty), (8, other), (9, None), (9, ""), (9, None)]
+    kept = ngramjoin.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, t), (2, other), (9, None), (9, ""), (9, None)])
+    both = [(3, t), (3, tx), (3, ty), (4, other)]  # near copies under one id: one of them stays
+    kept = ngramjoin.keep_one(spark.createDataFrame(both, "doc_id long, text string"), 5, 80).collect()
+    assert sorted(r.doc_id for r in kept) == [3, 4] and (4, other) in map(tuple, kept)
+
+
+def test_shared_shingles_are_found_whatever_the_flags(spark, monkeypatch):
+    rows = [(i, " ".join(f"a{i}x{k}" for k in range(20)) + " one two three four five six") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).select("text")
+    want, n = ngramjoin.hot_shingles(df, 4)
+    assert len(want) == 3 and n.min() >= 39
+    monkeypatch.setattr(ngramjoin, "BLOCK", 10)
+    again, _ = ngramjoin.hot_shingles(df, 4)
+    assert set(want) <= set(again)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (100, 101)], "a long, b long")
     got = {r.node: r.label for r in components.components(links).collect()}

@@ -39,7 +39,7 @@ def test_stages(spark):
 
 def test_a_query_for_each_operator():
     names = queries.queries()
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
 
 
