@@ -13,10 +13,10 @@ from __future__ import annotations
 import ast
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 
 from ..sources.tasks import spread
 
@@ -118,6 +118,49 @@ class LintCode:
 lint_udtf = udtf(LintCode, returnType=FINDING_SCHEMA, useArrow=True)
 
 
+class LintTable:
+    """The check over a whole table, with the rules chosen in SQL (L3):
+
+    ``SELECT * FROM lint_table(TABLE(programs), 'code', array('W9010', 'E0001'))``
+
+    The result has the table's other columns, whatever they are, and the finding columns.
+    Without a rule list, or with NULL, all rules apply; a name that is no rule is an error
+    when the query is analysed. A crash row (J6) is always kept."""
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, code: AnalyzeArgument, rules: AnalyzeArgument | None = None) -> AnalyzeResult:
+        if not rows.isTable:
+            raise ValueError("lint_table: the first argument must be TABLE(...)")
+        if not isinstance(code.value, str) or code.value not in rows.dataType.names:
+            raise ValueError("lint_table: the second argument must name a column of the table")
+        chosen = None if rules is None else rules.value
+        unknown = [r for r in chosen or [] if r not in ALL_RULES]
+        if unknown:
+            raise ValueError(f"lint_table: unknown rules {unknown}")
+        kept = [f for f in rows.dataType.fields if f.name != code.value]
+        return AnalyzeResult(schema=T.StructType(kept + _finding_fields()))
+
+    def eval(self, row, code, rules=None):
+        fields = row.asDict()
+        text = fields.pop(code)
+        for found in lint_row(text, tuple(ALL_RULES if rules is None else rules)):
+            yield (*fields.values(), *found)
+
+
+def _finding_fields() -> list[T.StructField]:
+    return [T.StructField("rule", T.StringType()), T.StructField("symbol", T.StringType()),
+            T.StructField("line", T.IntegerType()), T.StructField("message", T.StringType())]
+
+
+lint_table = udtf(LintTable)
+
+
+def register_sql(spark: SparkSession) -> None:
+    """Make the lint functions known to SQL: ``lint_code(code)`` and ``lint_table(TABLE(...), code, rules)``."""
+    spark.udtf.register("lint_code", lint_udtf)
+    spark.udtf.register("lint_table", lint_table)
+
+
 def lint(corpus: DataFrame, code: str = "code", rules: Sequence[str] | None = None, custom=None) -> DataFrame:
     """Finding rows for every row of ``corpus``; its other columns are kept
     (the code text itself is not carried into the output).
@@ -128,8 +171,7 @@ def lint(corpus: DataFrame, code: str = "code", rules: Sequence[str] | None = No
     A crash row (J6) is always kept."""
     enabled = tuple(ALL_RULES if rules is None else rules)
     keep = [f for f in corpus.schema.fields if f.name != code]
-    out_schema = T.StructType(keep + [T.StructField("rule", T.StringType()), T.StructField("symbol", T.StringType()),
-                                      T.StructField("line", T.IntegerType()), T.StructField("message", T.StringType())])
+    out_schema = T.StructType(keep + _finding_fields())
     names = [f.name for f in keep]
 
     def run(batches):

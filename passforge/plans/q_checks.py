@@ -118,6 +118,16 @@ def j1(spark, sf):
     return cc.lint(_programs(spark, sf)).select("code_id", "node_type", "rule", "line")
 
 
+@query("l3_sql_lint", f"""
+select * from ({_EXPECTED_FINDINGS}) where rule in ('W9010', 'E0001')""")
+def l3(spark, sf):
+    cc.register_sql(spark)
+    _programs(spark, sf).createOrReplaceTempView("lint_programs")
+    return spark.sql("""
+        SELECT code_id, node_type, rule, line
+        FROM lint_table(TABLE(SELECT /*+ REPARTITION */ * FROM lint_programs), 'code', array('W9010', 'E0001'))""")
+
+
 @query("j4_syntax_gate", """
 select p_partkey as code_id, p_size % 3 <> 2 as parses from part""")
 def j4(spark, sf):

@@ -3,10 +3,13 @@ H9-H13, H16."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from ..functions import status as st
 from ..functions import text as tx
+from ..session import cut_lineage, remove_at_exit, scratch_path
 from ..sources import tasks as tk
 from ..sources.bindings import exec_log_view, table, task_lines_view, with_views
 from .catalog import query
@@ -42,6 +45,36 @@ def a1(spark, sf):
     return _classified(spark, sf, materialize=False).select("line_no", "status")
 
 
+@query("a1_first_bad_record", _oracle("""
+select line_no, left(s, 200) as raw, status from cls where status <> 'ok' order by line_no limit 1"""))
+def a1_first(spark, sf):
+    return tk.first_bad_record(_classified(spark, sf)).select("line_no", "raw", "status")
+
+
+@contextmanager
+def _small_splits(spark, size):
+    """Read text in splits of ``size`` bytes, as a file of many gigabytes would be."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+@query("e3_line_numbers", with_views("""
+select cast(line_no as bigint) as line_no, md5(line) as line_md5 from J""", "J"))
+def e3(spark, sf):
+    """The J lines in one text file, read in many splits and numbered by them."""
+    path = scratch_path(spark, "e3-lines")
+    task_lines_view(spark, sf).coalesce(1).sortWithinPartitions("line_no").select("line").write.text(path)
+    remove_at_exit(spark, path)
+    with _small_splits(spark, "16384"):
+        numbered = cut_lineage(tk.read_lines(spark, path))
+    return numbered.select("line_no", F.md5("line").alias("line_md5"))
+
+
 @query("a2_task_errors", _oracle("""
 select line_no, left(s, 200) as raw, status from cls where status <> 'ok'"""))
 def a2(spark, sf):

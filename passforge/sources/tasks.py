@@ -293,10 +293,11 @@ def classify_task_lines(lines: DataFrame, strict: bool = False, line_col: str =
     """A1 + A2 over (file_path?, line_no, line): every non-blank line with ``status``
     (ok, malformed, not_object, invalid), its parsed ``raw`` VARIANT and ``error`` text.
 
-    Lines are stripped and blank lines skipped. With ``strict`` the job fails on the
-    first bad record it meets (``raise_error``). With ``materialize`` the classified
-    lines are checkpointed into the shared checkpoint folder, so the tasks, the errors
-    and the counts all read them instead of parsing every line again."""
+    Lines are stripped and blank lines skipped. With ``strict`` a bad record raises
+    ``ValueError`` that names the first one by file and line, whichever task met one first.
+    With ``materialize`` (always so when strict) the classified lines are checkpointed into the
+    shared checkpoint folder, so the tasks, the errors and the counts all read them instead of
+    parsing every line again."""
     keep = [c for c in ("file_path", "line_no") if c in lines.columns]
     lines = spread(lines)
     df = lines.select(*keep, py_strip(F.col(line_col)).alias("_s")).where(F.col("_s") != "")
@@ -308,14 +309,34 @@ def classify_task_lines(lines: DataFrame, strict: bool = False, line_col: str =
     df = df.select(*keep, "_s", "raw", F.coalesce(
         "_kind", F.when(F.size("_errs") > 0, F.lit("invalid")), F.lit("ok")).alias("_status"), "_errs")
     status = F.col("_status")
-    if strict:
-        status = F.when(status != "ok", F.raise_error(
-            F.concat(F.lit("invalid task at line "), F.col("line_no").cast("string")))).otherwise(status)
     message = (F.when(status == "malformed", F.lit("invalid JSON"))
                .when(status == "not_object", F.lit("task must be a JSON object"))
                .when(status == "invalid", F.array_join("_errs", "; ")))
     out = df.select(*keep, "_s", "raw", status.alias("status"), message.alias("error"))
-    return cut_lineage(out) if materialize else out
+    if not (materialize or strict):
+        return out
+    out = cut_lineage(out)
+    if strict:
+        raise_first(out)
+    return out
+
+
+def first_bad_record(classified: DataFrame) -> DataFrame:
+    """The bad record with the least file path and line number (no row if all are good): only
+    positions are aggregated, then that record is read."""
+    place = [c for c in ("file_path", "line_no") if c in classified.columns]
+    bad = classified.where(F.col("status") != "ok")
+    least = bad.agg(F.min(F.struct(*place)).alias("_at"))
+    return bad.join(least, F.struct(*place) == F.col("_at")).select(
+        *place, F.substring("_s", 1, BAD_LINE_CHARS).alias("raw"), "status", "error")
+
+
+def raise_first(classified: DataFrame) -> None:
+    """The gate of a strict load: raise for the first bad record, if there is one."""
+    bad = first_bad_record(classified).head()
+    if bad is not None:
+        where = f"{bad['file_path']}, line {bad['line_no']}" if "file_path" in bad else f"line {bad['line_no']}"
+        raise ValueError(f"invalid task at {where}: {bad['error']}")
 
 
 def parse_task_lines(lines: DataFrame, strict: bool = False, line_col: str = "line") -> tuple[DataFrame, DataFrame]:

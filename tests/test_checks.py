@@ -193,3 +193,21 @@ def test_lint_udtf_in_sql(spark):
     spark.createDataFrame([(1, "")], "code_id int, code string").createOrReplaceTempView("lint_src")
     got = sorted(r["rule"] for r in spark.sql("SELECT f.rule FROM lint_src, LATERAL lint_code(code) f").collect())
     assert got == ["W9001", "W9002", "W9003"]
+
+
+def test_lint_table_takes_its_rules_from_sql(spark):
+    cc.register_sql(spark)
+    code = "import rclpy\nclass A:\n    def timer_callback(self):\n        input()\n"
+    spark.createDataFrame([(1, "x", code, None), (2, "y", "def broken(:", 5), (3, "z", None, 6)],
+                          "id int, rule_set string, src string, extra long").createOrReplaceTempView("lint_me")
+    rows = spark.sql("SELECT * FROM lint_table(TABLE(lint_me), 'src', array('W9010', 'E0001'))")
+    assert rows.columns == ["id", "rule_set", "extra", "rule", "symbol", "line", "message"]
+    assert sorted((r["id"], r["extra"], r["rule"], r["line"]) for r in rows.collect()) == [(1, None, "W9010", 4), (2, 5, "E0001", 1)]
+    every = spark.sql("SELECT id, rule FROM lint_table(TABLE(lint_me), 'src')")
+    table = cc.lint(spark.table("lint_me"), "src").select("id", "rule")
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, table.collect()))
+    for bad in ("array('W0000')", "array('E0001', 'nope')"):
+        with pytest.raises(Exception, match="unknown rules"):
+            spark.sql(f"SELECT * FROM lint_table(TABLE(lint_me), 'src', {bad})").collect()
+    with pytest.raises(Exception, match="must name a column"):
+        spark.sql("SELECT * FROM lint_table(TABLE(lint_me), 'nope')").collect()

@@ -76,13 +76,31 @@ def test_line_numbers_across_many_splits(spark, tmp_dir):
 
 
 def test_strict_and_missing_path(spark, jsonl, tmp_dir):
-    with pytest.raises(Exception):   # strict stops at load time on the first bad record
-        tasks, _ = tk.load_tasks(spark, jsonl, strict=True)
-        tasks.collect()
+    with pytest.raises(ValueError, match="invalid task at .*line"):   # strict stops at load time on the first bad record
+        tk.load_tasks(spark, jsonl, strict=True)
     with pytest.raises(Exception):
         tk.load_tasks(spark, os.path.join(tmp_dir, "missing.jsonl"))
 
 
+def test_strict_names_the_least_line_of_many_splits(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "late.jsonl")
+    with open(p, "w") as f:
+        for i in range(3000):
+            f.write(("{broken" if i in (1717, 1718, 2900) or i > 2950 else task(f"t{i}")) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        assert tk.read_lines(spark, p).rdd.getNumPartitions() >= 50
+        for _ in range(3):
+            with pytest.raises(ValueError, match="late.jsonl, line 1718: invalid JSON"):
+                tk.load_tasks(spark, p, strict=True)
+        good = os.path.join(tmp_dir, "good.jsonl")
+        with open(good, "w") as f:
+            f.write(task("a") + "\n\n" + task("b") + "\n")
+        assert tk.load_tasks(spark, good, strict=True)[0].count() == 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_filters_and_lookup(spark, jsonl):
     tasks, _ = tk.load_tasks(spark, jsonl)
     assert tk.filter_tasks(tasks, difficulty="EASY").count() == 5
