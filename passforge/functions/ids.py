@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ._util import as_col
+from .canonical import canonical_json
 
 
 def run_id(experiment_id, task_id, candidate_idx) -> Column:
@@ -17,5 +18,6 @@ def run_id(experiment_id, task_id, candidate_idx) -> Column:
 
 
 def config_hash(config_json) -> Column:
-    """First 12 hex digits of SHA-256 of the (already key-sorted) JSON text."""
-    return F.substring(F.sha2(as_col(config_json).cast("binary"), 256), 1, 12)
+    """First 12 hex digits of SHA-256 of the key-sorted JSON text (text that is no JSON: as it is)."""
+    text = as_col(config_json)
+    return F.substring(F.sha2(F.coalesce(canonical_json(text), text).cast("binary"), 256), 1, 12)

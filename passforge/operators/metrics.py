@@ -103,6 +103,41 @@ def _summarize_by_dim(runs: DataFrame, meta: DataFrame | None, dim: str, by, exp
     ).withColumn("pass_rate", _pass_rate())
 
 
+#: The sets that ``summary_sets`` groups by, and the columns of each.
+SUMMARY_SETS = {"by_model": ("model",), "by_difficulty": ("difficulty",), "by_node_type": ("node_type",),
+                "model_difficulty": ("model", "difficulty")}
+
+
+def summary_sets(runs: DataFrame, meta: DataFrame, by=("experiment_id",)) -> DataFrame:
+    """D1, D2, D3 and D8 in one: runs collapse to one row per (model, task), metadata joins them once,
+    and one shuffle groups by all four sets. ``set`` names the set of a row; see ``summary_frame``."""
+    keys, dims = _by(by), ["model", "difficulty", "node_type"]
+    require_columns(meta, dims[1:], "summary_sets")
+    per = runs.groupBy(*keys, "model", "task_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("overall_pass").alias("_c"), F.count("overall_pass").alias("_k"),
+        F.sum("latency_ms").alias("_l"), F.count("latency_ms").alias("_ln"),
+        F.sum("prompt_tokens").alias("_in"), F.sum("completion_tokens").alias("_out"))
+    per = with_meta(per, meta, cols=dims[1:])
+    names = F.create_map(*[x for name, own in SUMMARY_SETS.items() for x in (
+        F.lit(sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in own)).cast("long"), F.lit(name))])
+    return per.groupingSets([[*keys, *own] for own in SUMMARY_SETS.values()], *keys, *dims).agg(
+        F.sum("_n").cast("long").alias("n"), F.sum("_c").cast("long").alias("passed"), F.sum("_k").alias("known"),
+        F.try_divide(F.sum("_l"), F.sum("_ln")).alias("mean_latency_ms"),
+        F.sum("_in").cast("long").alias("tokens_in"), F.sum("_out").cast("long").alias("tokens_out"),
+        names[F.grouping_id().cast("long")].alias("set"))
+
+
+def summary_frame(sets: DataFrame, name: str, by=("experiment_id",)) -> DataFrame:
+    """One frame of ``summary_sets`` with the columns of D1, D2, D3 or D8."""
+    keys, own = _by(by), SUMMARY_SETS[name]
+    rows = sets.where(F.col("set") == name)
+    if name == "model_difficulty":
+        rate = F.try_divide(F.col("passed").cast("double"), F.col("known").cast("double"))
+        return rows.dropna(subset=list(own)).select(*keys, *own, rate.alias("pass_rate"))
+    more = ["mean_latency_ms", "tokens_in", "tokens_out"] if name == "by_model" else []
+    return rows.select(*keys, *own, "n", "passed", *more, _pass_rate().alias("pass_rate"))
+
+
 def _per_task(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows, passes and non-null verdicts per task within ``keys``: what joins need of raw runs."""
     return runs.groupBy(*keys, "task_id").agg(

@@ -70,12 +70,25 @@ def assign_seeds(work: DataFrame, base_seed: int | None = 0, honours_seed: bool
 def pair_outputs(items: DataFrame, outputs: DataFrame, keys: Sequence[str] = ("task_id",),
                  item_order: str = "candidate_idx", output_order: str = "pos") -> DataFrame:
     """Pair work items with outputs by position within a task; surplus on either side dropped.
-    Positions are numbered with ``ranking.positions`` (skew-safe)."""
+
+    Both sides go through one range partitioning and one checkpoint as tagged rows, so each side's
+    running numbers (``ranking.positions``, skew-safe) come from the same pass; equal numbers of a task
+    then meet in one join."""
     keys = list(keys)
-    a = positions(items, keys, [item_order], out="_pos")
-    b = positions(outputs, keys, [output_order], out="_pos")
-    b = b.select(*keys, "_pos", *[F.col(c).alias(f"out_{c}") for c in outputs.columns if c not in keys])
-    return a.join(b, [*keys, "_pos"], "inner").drop("_pos")
+    item, out = F.struct(*items.columns), F.struct(*outputs.columns)
+    none = {c: F.lit(None).cast(t) for c, t in (
+        ("_item", items.select(item).schema[0].dataType), ("_out", outputs.select(out).schema[0].dataType),
+        ("_io", items.schema[item_order].dataType), ("_oo", outputs.schema[output_order].dataType))}
+    left = items.select(*keys, F.lit(0).alias("_side"), F.col(item_order).alias("_io"), none["_oo"].alias("_oo"),
+                        item.alias("_item"), none["_out"].alias("_out"))
+    right = outputs.select(*keys, F.lit(1).alias("_side"), none["_io"].alias("_io"), F.col(output_order).alias("_oo"),
+                           none["_item"].alias("_item"), out.alias("_out"))
+    numbered = positions(left.unionByName(right), [*keys, "_side"], ["_io", "_oo"], out="_pos")
+    a = numbered.where("_side = 0").select(*keys, "_pos", "_item")
+    b = numbered.where("_side = 1").select(*keys, "_pos", "_out")
+    pairs = a.join(b, [*keys, "_pos"])
+    return pairs.select(*keys, *[F.col(f"_item.`{c}`").alias(c) for c in items.columns if c not in keys],
+                        *[F.col(f"_out.`{c}`").alias(f"out_{c}") for c in outputs.columns if c not in keys])
 
 
 def complete_generations(items: DataFrame, outputs: DataFrame, failures: DataFrame,

@@ -9,6 +9,7 @@ from ..functions.ids import config_hash
 from ..operators import metrics as m
 from ..operators import verdicts as v
 from ..operators import work as w
+from ..session import remove_at_exit, scratch_path
 from ..sources import runlog as rl
 from ..sources.bindings import (candidates_view, method_rows_view, run_log_children, run_log_view,
                                 runs_view, sql_run_id, table, with_views)
@@ -171,6 +172,57 @@ def e1(spark, sf):
                        F.col("n_passed").cast("long").alias("n_passed"), F.round("mean_score", 9).alias("mean_score"))
 
 
+# Fixed values of the config binding: unsorted keys, nesting, a number with a spare zero, one in
+# exponent form and a name beyond ASCII; the SQL has the canonical text.
+@query("h5_config_hash", r"""
+select p_partkey, substr(sha256('{"A": 1e-05, "k": ' || cast(p_partkey as varchar) || ', "z": {"a": null, "b": ['
+  || cast(p_size as varchar) || ', 2.5, "\u00e9\u6f22 ' || p_name || '"], "c": {}}}'), 1, 12) as config_hash
+from part""")
+def h5(spark, sf):
+    p = table(spark, sf, "part")
+    cfg = F.concat(F.lit('{"z" :{"c":{}, "b":['), F.col("p_size").cast("string"), F.lit(',2.50,  "\u00e9漢 '), F.col("p_name"),
+                   F.lit('"],"a":null},\n"k":'), F.col("p_partkey").cast("string"), F.lit(', "A": 1E-5}'))
+    return p.select("p_partkey", config_hash(cfg).alias("config_hash"))
+
+
+@query("e1_select_best_replayed", with_views(_VERDICT_SQL + """
+, twice as (select * from cand union all select * from cand where candidate_idx % 3 = 0
+            union all select task_id, candidate_idx, run_id, false, 0, 0.0 from cand where candidate_idx % 2 = 0)
+select task_id, candidate_idx, cast(overall_pass as integer) as overall_pass, cast(n_passed as bigint) as n_passed,
+  round(mean_score, 9) as mean_score
+from (select *, row_number() over (partition by task_id
+        order by overall_pass desc, n_passed desc, mean_score desc, candidate_idx asc) as rk from twice)
+where rk = 1""", "MR", "CD"))
+def e1_replayed(spark, sf):
+    """Candidates that come again: every third as it is, every second without a verdict."""
+    full = v.candidate_summary(method_rows_view(spark, sf), candidates=candidates_view(spark, sf))
+    crashed = full.where(F.col("candidate_idx") % 2 == 0).select(
+        "task_id", "candidate_idx", "run_id", F.lit(False).alias("overall_pass"),
+        F.lit(0).cast("long").alias("n_passed"), F.lit(0.0).alias("mean_score"))
+    best = v.select_best(full.unionByName(full.where(F.col("candidate_idx") % 3 == 0)).unionByName(crashed))
+    return best.select("task_id", "candidate_idx", F.col("overall_pass").cast("int").alias("overall_pass"),
+                       F.col("n_passed").cast("long").alias("n_passed"), F.round("mean_score", 9).alias("mean_score"))
+
+
+@query("a10_current_runs", with_views(f"""
+select experiment_id, task_id, candidate_idx, ingest_seq, model, overall_pass, {_RL_ID} as run_id,
+  cast(json_extract(json_object('latency', latency_ms), '$.latency') as double) as latency
+from (select *, row_number() over (partition by experiment_id, task_id, candidate_idx order by ingest_seq desc) as rk
+      from RL) where rk = 1""", "RL"))
+def a10_stored(spark, sf):
+    """The stored log, a third of it appended twice, with a VARIANT payload."""
+    path = scratch_path(spark, "a10-log")
+    log = run_log_view(spark, sf).select(
+        "experiment_id", "task_id", "candidate_idx", "ingest_seq", "model", "overall_pass", "run_id",
+        F.parse_json(F.to_json(F.struct(F.col("latency_ms").alias("latency")))).alias("payload"))
+    rl.write_append(log, path)
+    rl.write_append(log.where(F.col("ingest_seq") % 3 == 1), path)
+    remove_at_exit(spark, path)
+    cur = rl.current_runs(spark, path)
+    return cur.select("experiment_id", "task_id", "candidate_idx", "ingest_seq", "model", "overall_pass", "run_id",
+                      F.variant_get("payload", "$.latency", "double").alias("latency"))
+
+
 def _experiment_batch(spark, sf):
     o = table(spark, sf, "orders")
     cfg = F.concat(F.lit('{"priority": "'), F.col("o_orderpriority"), F.lit('"}'))

@@ -39,19 +39,48 @@ def test_no_meta_returns_runs(spark):
     assert m.summarize_by_difficulty(df, None).columns == df.columns
 
 
-@pytest.mark.parametrize("slices", [2, 7, 256])
-def test_exact_percentile_matches_numpy(spark, slices):
+@pytest.mark.parametrize("accuracy", [20, 100, 2000])
+def test_exact_percentile_matches_numpy(spark, accuracy):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(100, 30, 3000), np.full(1500, 42.0)])
     rows = [("e" if i % 3 else "f", float(x)) for i, x in enumerate(vals)]
     df = spark.createDataFrame(rows, "experiment_id string, latency_ms double")
     got = {r["experiment_id"]: r["p"] for r in
-           exact_percentile(df, "latency_ms", 0.95, ["experiment_id"], alias="p", slices=slices).collect()}
+           exact_percentile(df, "latency_ms", 0.95, ["experiment_id"], alias="p", accuracy=accuracy).collect()}
     for e in ("e", "f"):
         want = np.quantile([x for k, x in rows if k == e], 0.95)
         assert got[e] == pytest.approx(want, rel=1e-12)
 
 
+@pytest.mark.parametrize("p", [0.0, 0.001, 0.5, 0.999, 1.0])
+def test_exact_percentile_at_the_ends(spark, p):
+    rng = np.random.default_rng(8)
+    vals = rng.lognormal(3, 2, 5000)
+    df = spark.createDataFrame([(float(x),) for x in vals], "v double").repartition(7)
+    assert exact_percentile(df, "v", p).first()[0] == pytest.approx(np.quantile(vals, p), rel=1e-12)
+
+
+def test_summary_sets_equal_the_single_frames(spark):
+    rows = [("e", f"t{i % 7}", m_, i % 2, float(i), i, 2 * i) for i in range(40) for m_ in ("a", None, "b")][:77]
+    df = runs(spark, rows)
+    meta = spark.createDataFrame([("t0", "Easy", "pub"), ("t1", "Hard", None), ("t2", None, "sub")],
+                                 "task_id string, difficulty string, node_type string")
+    sets = m.summary_sets(df, meta)
+    single = {"by_model": m.summarize_by_model(df), "by_difficulty": m.summarize_by_difficulty(df, meta),
+              "by_node_type": m.summarize_by_node_type(df, meta), "model_difficulty": m.pass_rate_model_difficulty(df, meta)}
+    for name, want in single.items():
+        got = m.summary_frame(sets, name)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+    kept = sets.persist()
+    try:
+        for name in single:  # the frames read the one grouping, none shuffles again
+            plan = m.summary_frame(kept, name)._jdf.queryExecution().executedPlan().toString()
+            assert "InMemoryTableScan" in plan and "Exchange" not in plan.split("InMemoryRelation")[0]
+    finally:
+        kept.unpersist()
+
+
 def test_latency_summary_one_row_per_experiment(spark):
     df = runs(spark, [("e", "t", "a", 1, float(x), 1, 2) for x in range(1, 101)])
     r = m.latency_token_summary(df).first()
