@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, text_or_empty
+from .common import bound_batches, release_memory, text_or_empty
 from .keytable import KeyTable
 
 #: New chunks that are learnt together.
@@ -330,6 +330,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text_col: str = "tex
             made = codec.encode_batch(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([i for i, _ in made], pa.binary()),
                                               pa.array([t for _, t in made], pa.string())], kind.names)
+        release_memory()
 
     out = given.mapInArrow(run, kind)
     ids = F.col("token_ids")

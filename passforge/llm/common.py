@@ -7,8 +7,11 @@ touches A-Z only, so the JVM, Python bytes and SQL agree on every input.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,15 @@ def bound_batches(spark: SparkSession) -> None:
         return  # the session names a bound with a unit
 
 
+def release_memory() -> None:
+    """Give the memory that a task has freed back to the system: Python workers are used again, and
+    what their allocators keep counts beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+    if trim is not None:  # only some C libraries have it
+        trim(0)
+
+
 def stored(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 

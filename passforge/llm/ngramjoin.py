@@ -41,12 +41,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, largest, stored, text_or_empty
+from .common import bound_batches, largest, release_memory, stored, text_or_empty
 from .components import components
 from .shingles import mix, shingle_set
 
@@ -91,6 +91,8 @@ def hot_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                     marked = 0
         if size:
             yield flush()
+        del met, again
+        release_memory()
 
     often = stored(texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
                    .filter(F.col("n") >= HOT_DOCS), "frequent")
@@ -138,6 +140,7 @@ def describe(docs: DataFrame, words: int, percent: int, hot: tuple[np.ndarray, n
                 [batch.column(0), batch.column(2), pa.array(n.astype(np.int32)), pa.array(cls), pa.array(grp), pa.array(heat.astype(np.int32)),
                  *map(pa.array, ends_at), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                 names=[f.split()[0] for f in _DESCRIBED.split(", ")])
+        release_memory()
     return docs.mapInArrow(run, _DESCRIBED)
 
 
@@ -192,17 +195,18 @@ def _within_reach(percent: int) -> Column:
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the threshold."""
-    @F.pandas_udf("boolean")
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+        release_memory()
     left = sets.select(F.col("class").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").filter(alike("x", "y")).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
 
 def id_filter(ids: DataFrame, bits: int = ID_FILTER_BITS) -> DataFrame:
@@ -222,15 +226,16 @@ def maybe_in(docs: DataFrame, id_col: Column, words: DataFrame, bits: int = ID_F
 
 def class_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(class, items) for the classes of ``wanted`` (class, id: a document that has this set)."""
-    @F.pandas_udf("class long, items binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.sort(shingle_set(t, words).view(np.int64)) for t in batch]
-            yield pd.DataFrame({"class": [fold(s, 1) if len(s) else 0 for s in sets], "items": [s.tobytes() for s in sets]})
+            sets = [np.sort(shingle_set(t.as_py(), words).view(np.int64)) for t in batch.column("text")]
+            found = pa.array([fold(s, 1) if len(s) else 0 for s in sets], pa.int64())
+            made = pa.RecordBatch.from_arrays([found, pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "items"])
+            yield made.filter(pc.equal(found, batch.column("class")))
+        release_memory()
     rows = maybe_in(texts, F.col("doc_id"), id_filter(wanted.select("id"))).filter("__maybe").select("doc_id", "text")
     rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
-    rows = rows.select(F.col("class").alias("want"), run("text").alias("r")).filter(F.col("want") == F.col("r.class"))
-    return stored(rows.select("r.*").dropDuplicates(["class"]), "sets")
+    return stored(rows.select("class", "text").mapInArrow(run, "class long, items binary").dropDuplicates(["class"]), "sets")
 
 
 def link_classes(described: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
