@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.ids import run_id
 from ..operators import work as w
+from ..session import cut_lineage
 from ..schemas import DEFAULT_ENABLED_METHODS, DEFAULT_REQUIRED_METHODS
 from ..sources import runlog as rl
 from ..sources import responses as rs
@@ -60,6 +61,7 @@ def ingest_generations(experiment_id: str, responses: DataFrame, tasks: DataFram
     gen = gen.withColumn("code", tx.extract_code("text")) \
         .withColumn("_verify", tx.needs_verification("error", "code")) \
         .withColumn("run_id", run_id(F.lit(experiment_id), "task_id", "candidate_idx"))
+    gen = cut_lineage(gen)  # both results read it, and the checks
     cands = gen.where("_verify").join(tasks.select("task_id", "interface_spec"), "task_id", "left") \
         .select("run_id", "task_id", "candidate_idx", "code", "interface_spec")
     checks = dict(registry or {})
@@ -69,9 +71,10 @@ def ingest_generations(experiment_id: str, responses: DataFrame, tasks: DataFram
     for name in methods:
         if name not in checks and name not in DEFAULT_REGISTRY and name in required:
             checks[name] = missing_check(name)
-    rows, verdicts, unknown = verify(cands, ["run_id"], list(methods), registry=checks, required=required)
-    if unknown:
-        raise ValueError(f"no check registered for {unknown}")
+    refused = [m for m in methods if m not in checks and m not in DEFAULT_REGISTRY]
+    if refused:
+        raise ValueError(f"no check registered for {refused}")
+    rows, verdicts, _ = verify(cands, ["run_id"], list(methods), registry=checks, required=required, materialize=True)
     runs = gen.join(verdicts, "run_id", "left").select(
         "run_id", F.lit(experiment_id).alias("experiment_id"), "task_id",
         F.col("candidate_idx").cast("int").alias("candidate_idx"), "provider", "model",

@@ -8,7 +8,8 @@ from ..functions import text as tx
 from ..operators import verdicts as v
 from ..operators import work as w
 from ..schemas import METHODS
-from ..sources.bindings import method_rows_view, runs_view, task_lines_view, tasks_meta_view, with_views
+from ..sources.bindings import (method_rows_view, runs_view, sql_run_id, task_lines_view, tasks_meta_view,
+                                with_views)
 from ..sources import tasks as tk
 from . import q_checks, q_metrics, q_sources  # noqa: F401  (the report frames share q_metrics' SQL)
 from .catalog import ORACLE, query
@@ -129,14 +130,22 @@ def h7(spark, sf):
 
 
 # ---------------------------------------------------------------------------
-# The write path: ingest landed responses into run-log rows (rows-only check:
-# whether a reply parses as Python is decided by the lint UDTF, not by SQL)
+# The write path: ingest landed responses into run-log rows. No test log is landed for these, so
+# no candidate has the evidence of the required test method and none passes.
 # ---------------------------------------------------------------------------
 # Fixed values of the ingest binding: replies of conversation c answer task 'T' || c,
 # candidate = turn, model = provider, latency = reply length, a conversation with a
 # system turn failed ('provider error'), created_at 2024-01-01.
 
-@query("a11_ingest_generations")
+_INGEST_ID = sql_run_id("'exp-ingest'", "'T' || cast(conv_id as varchar)", "turn")
+
+
+@query("a11_ingest_generations", f"""
+select {_INGEST_ID} as run_id, 'T' || cast(conv_id as varchar) as task_id, cast(turn as integer) as candidate_idx,
+  ['openai', 'anthropic', 'ollama'][conv_id % 3 + 1] as model, 0 as overall_pass,
+  case when conv_id in (select conv_id from conversations where role = 'system') then 'provider error' end as gen_error,
+  conv_id % 3 <> 1 and regexp_full_match(text, '\\s*') as code_is_null
+from conversations where role = 'assistant'""")
 def ingest(spark, sf):
     from ..sources.bindings import table
     from . import q_text

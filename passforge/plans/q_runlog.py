@@ -3,6 +3,8 @@ D14, D15, E1, E2, H4, H5."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from ..functions.ids import config_hash
@@ -285,35 +287,33 @@ def a11(spark, sf):
 @query("a7_export_runs_csv", with_views("""
 select experiment_id, model, task_id, candidate_idx, latency_ms, gen_error, overall_pass from R""", "R"))
 def a7(spark, sf):
-    import os
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
-
     cols = ["experiment_id", "model", "task_id", "candidate_idx", "latency_ms", "gen_error", "overall_pass"]
-    out = os.path.join(ensure_checkpoint_dir(spark), f"a7-export-{uuid.uuid4().hex[:12]}")
+    out = scratch_path(spark, "a7-export")
     rl.export_runs_csv(runs_view(spark, sf).select(*cols), out)
+    remove_at_exit(spark, out)
     schema = ("experiment_id string, model string, task_id string, candidate_idx int, latency_ms double, "
               "gen_error string, overall_pass int")
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(out)
 
 
+def _store(spark, sf, buckets=0):
+    """A database of the store in the shared folder, tables made twice (safe to repeat)."""
+    root = scratch_path(spark, "store")
+    db = os.path.basename(root).replace("-", "_")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{root}'")
+    for _ in range(2):
+        locs = rl.init_store(spark, root, database=db, buckets=buckets)
+    remove_at_exit(spark, os.path.dirname(locs["runs"]))
+    return db, locs
+
+
 @query("a6_init_store", with_views("""
 select run_id_key as run_id, experiment_id, task_id, candidate_idx, overall_pass from (
   select experiment_id, model || ':' || task_id as task_id, candidate_idx, overall_pass,
     experiment_id || '/' || model || ':' || task_id || '/' || cast(candidate_idx as varchar) as run_id_key from R)""",
     "R"))
 def a6(spark, sf):
-    import os
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
-
-    db = f"passforge_{uuid.uuid4().hex[:12]}"
-    root = os.path.join(ensure_checkpoint_dir(spark), db)
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{root}'")
-    locs = rl.init_store(spark, root, database=db)
-    rl.init_store(spark, root, database=db)            # safe to repeat
+    db, locs = _store(spark, sf)
     runs = runs_view(spark, sf)
     rows = runs.select(
         F.concat_ws("/", "experiment_id", F.concat_ws(":", "model", "task_id"), F.col("candidate_idx").cast("string"))
@@ -325,3 +325,57 @@ def a6(spark, sf):
     rl.write_append(rows.select(*target), locs["runs"])
     spark.catalog.recoverPartitions(f"{db}.runs")
     return spark.table(f"{db}.runs").select("run_id", "experiment_id", "task_id", "candidate_idx", "overall_pass")
+
+
+# Fixed values of the store binding: the RL log in a store of 8 buckets; experiments exp-1 and
+# exp-3 have the config 'odd'. Method rows exist for attempts that passed or have an even candidate index.
+_ODD_SQL = """
+, cur as (select * from (select *, row_number() over (partition by experiment_id, task_id, candidate_idx
+                                                      order by ingest_seq desc) as rk from RL) where rk = 1)"""
+
+
+def _filled_store(spark, sf):
+    db, _ = _store(spark, sf, buckets=8)
+    log = run_log_view(spark, sf)
+    names = log.select("experiment_id").distinct()
+    odd = F.substring("experiment_id", -1, 1).cast("int") % 2 == 1
+    rl.append_rows(names.select("experiment_id", F.when(odd, F.lit("odd")).otherwise(F.lit("even")).alias("config_hash"),
+                                F.lit("{}").alias("config_json"), F.lit("2024-01-01").cast("timestamp").alias("started_at")),
+                   f"{db}.experiments")
+    more = {"provider": F.lit("driver"), "created_at": F.lit("2024-01-01").cast("timestamp")}
+    rl.append_rows(log.withColumns(more), f"{db}.runs", 8)
+    kids = run_log_children(log.where((F.col("overall_pass") == 1) | (F.col("candidate_idx") % 2 == 0)))
+    rl.append_rows(kids.withColumn("id", rl.method_result_id("run_id", "method", "ingest_seq")), f"{db}.method_results", 8)
+    return spark.table(f"{db}.runs"), spark.table(f"{db}.method_results"), spark.table(f"{db}.experiments")
+
+
+@query("a5_scan_experiments", with_views(f"""
+select {_RL_ID} as run_id, experiment_id, task_id, candidate_idx, ingest_seq, overall_pass from RL
+where experiment_id in ('exp-1', 'exp-3')""", "RL"))
+def a5_experiments(spark, sf):
+    runs, _, experiments = _filled_store(spark, sf)
+    rows = rl.scan_experiments(runs, experiments.where("config_hash = 'odd'"))
+    return rows.select("run_id", "experiment_id", "task_id", "candidate_idx", "ingest_seq", "overall_pass")
+
+
+@query("c4_finished_in_store", with_views(_ODD_SQL + """
+select experiment_id, task_id, candidate_idx from cur
+where experiment_id in ('exp-1', 'exp-3') and (overall_pass = 1 or gen_error is not null or candidate_idx % 2 = 0)""", "RL"))
+def c4_store(spark, sf):
+    runs, methods, experiments = _filled_store(spark, sf)
+    return rl.finished_in_store(runs, methods, experiments.where("config_hash = 'odd'"))
+
+
+@query("a6_compact_changed", with_views(_ODD_SQL + """
+select experiment_id, task_id, candidate_idx, ingest_seq, overall_pass from cur""", "RL"))
+def a6_compact(spark, sf):
+    """Compacted once, then again for the experiment that got further attempts in a second batch."""
+    path, out = scratch_path(spark, "a6-log"), scratch_path(spark, "a6-current")
+    log = run_log_view(spark, sf).select("experiment_id", "task_id", "candidate_idx", "ingest_seq", "overall_pass")
+    late = (F.col("experiment_id") == "exp-0") & (F.col("ingest_seq") > 1)
+    for batch, rows in enumerate((log.where(~late), log.where(late))):
+        rl.write_append(rows, os.path.join(path, f"batch_id={batch}"))
+        rl.compact_runs(spark, path, out, since=f"batch_id >= {batch}")
+    remove_at_exit(spark, path)
+    remove_at_exit(spark, out)
+    return spark.read.parquet(out).select("experiment_id", "task_id", "candidate_idx", "ingest_seq", "overall_pass")

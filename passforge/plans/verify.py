@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..operators import code_checks as cc
 from ..operators import spec_checks as sc
 from ..operators.verdicts import overall_pass
+from ..session import cut_lineage
 from ..schemas import DEFAULT_REQUIRED_METHODS
 
 Check = Callable[[DataFrame, Sequence[str]], DataFrame]
@@ -127,9 +128,11 @@ _SPEC_FAMILY = {"hypothesis", "z3"}
 
 def verify(candidates: DataFrame, key: Sequence[str], methods: Sequence[str],
            registry: Mapping[str, Check] | None = None,
-           required: Sequence[str] = tuple(DEFAULT_REQUIRED_METHODS)) -> tuple[DataFrame, DataFrame, list[str]]:
+           required: Sequence[str] = tuple(DEFAULT_REQUIRED_METHODS),
+           materialize: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
     """Run the enabled checks. Returns (method rows with ``method_pos``, per-candidate
-    verdicts, unknown method names).
+    verdicts, unknown method names). With ``materialize`` the method rows are checkpointed once,
+    and verdicts and whatever else reads them run no check again.
 
     With the default registry, the lint-based methods share one lint pass and the spec
     methods one fold. The candidate table is read by each branch; persist it (or build it
@@ -161,5 +164,7 @@ def verify(candidates: DataFrame, key: Sequence[str], methods: Sequence[str],
         rows = rows.unionByName(part, allowMissingColumns=True)
     pos_map = F.create_map(*[x for name, i in pos.items() for x in (F.lit(name), F.lit(i))])
     rows = rows.withColumn("method_pos", pos_map[F.col("method")])
+    if materialize:
+        rows = cut_lineage(rows)
     verdicts = overall_pass(rows, key, required, candidates=cands.select(*key))
     return rows, verdicts, unknown

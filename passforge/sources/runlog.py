@@ -27,8 +27,12 @@ def _ddl(schema) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
-def init_store(spark: SparkSession, root: str, database: str | None = None) -> dict[str, str]:
-    """Create the three tables if absent (safe to repeat). Returns table -> location."""
+def init_store(spark: SparkSession, root: str, database: str | None = None, buckets: int = 0) -> dict[str, str]:
+    """Create the three tables if absent (safe to repeat). Returns table -> location.
+
+    With ``buckets`` the run and method tables are bucketed by ``run_id`` inside their experiment's
+    partitions, so joins and aggregates by run need no exchange; such tables are written with
+    ``append_rows``."""
     prefix = f"{database}." if database else ""
     locs = {}
     for name, schema, part in (("experiments", schemas.EXPERIMENTS, None),
@@ -36,18 +40,51 @@ def init_store(spark: SparkSession, root: str, database: str | None = None) -> d
                                ("method_results", schemas.METHOD_RESULTS, "experiment_id")):
         loc = os.path.join(root, name)
         partition = f" PARTITIONED BY ({part})" if part else ""
+        clustered = f" CLUSTERED BY (run_id) INTO {int(buckets)} BUCKETS" if part and buckets else ""
         spark.sql(f"CREATE TABLE IF NOT EXISTS {prefix}{name} ({_ddl(schema)}) USING parquet"
-                  f"{partition} LOCATION '{loc}'")
+                  f"{partition}{clustered} LOCATION '{loc}'")
         locs[name] = loc
     return locs
 
 
+def append_rows(df: DataFrame, table: str, buckets: int = 0) -> None:
+    """Append rows to a table of the store by column name; absent columns are NULL. With ``buckets`` the
+    rows are dealt by run first, so a write makes one file per bucket and experiment."""
+    target = df.sparkSession.table(table).schema.fields
+    rows = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target])
+    (rows.repartition(buckets, "run_id") if buckets else rows).write.insertInto(table)
+
+
 def scan_runs(runs: DataFrame, experiment_id: str | None = None, ordered: bool = True) -> DataFrame:
     """A5: runs of one experiment (a partition filter), ordered by task then candidate."""
     df = runs if experiment_id is None else runs.where(F.col("experiment_id") == F.lit(experiment_id))
     return df.orderBy("task_id", "candidate_idx") if ordered else df
 
 
+def scan_experiments(runs: DataFrame, experiments: DataFrame) -> DataFrame:
+    """A5 for a table of experiments: their rows only. On a store partitioned by experiment the
+    planner prunes partitions by the experiments found when the query runs."""
+    return runs.join(experiments.select("experiment_id"), "experiment_id", "left_semi")
+
+
+def finished_in_store(runs: DataFrame, methods: DataFrame, experiments: DataFrame,
+                      key: Sequence[str] = RUN_KEY) -> DataFrame:
+    """C4 over the stored tables for a table of experiments: last attempt of each run (A10), method
+    rows of that attempt only (the cascade), finished or not.
+
+    Every step works by ``run_id``: on tables bucketed by it there is no exchange. So the attempt
+    stands beside the join key as a difference of zero, not as a second key."""
+    runs, methods = scan_experiments(runs, experiments), scan_experiments(methods, experiments)
+    last = runs.groupBy(F.col("run_id").alias("_run")).agg(F.max("ingest_seq").alias("_seq"))
+    current = runs.join(last, (F.col("run_id") == F.col("_run")) & (F.col("ingest_seq") - F.col("_seq") == 0), "left_semi")
+    done = current.groupBy("run_id", "ingest_seq", *key).agg(  # replays of the attempt collapse
+        F.max((F.col("overall_pass") == 1) | F.col("gen_error").isNotNull()).alias("_done"))
+    verified = methods.select(F.col("run_id").alias("_run"), F.col("ingest_seq").alias("_seq"))
+    same = (F.col("run_id") == F.col("_run")) & (F.col("ingest_seq") - F.col("_seq") == 0)
+    open_ = done.where(~F.coalesce(F.col("_done"), F.lit(False)))
+    return done.where("_done").select(*key).unionByName(open_.join(verified, same, "left_semi").select(*key))
+
+
 def export_runs_csv(runs: DataFrame, path: str, experiment_id: str | None = None) -> str:
     """CSV with a header, NULL and empty both written as empty fields, quotes doubled.
 
@@ -166,12 +203,19 @@ def write_append(df: DataFrame, path: str, partition_by: str | None = "experimen
     w.parquet(path)
 
 
-def compact_runs(spark: SparkSession, runs_path: str, out_path: str) -> None:
-    """Rewrite the current state of the experiments present in the log (dynamic partition
-    overwrite: other experiments' partitions under ``out_path`` are left alone)."""
-    current = current_runs(spark, runs_path)
-    (current.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("experiment_id").parquet(out_path))
+def compact_runs(spark: SparkSession, runs_path: str, out_path: str, since: str | None = None,
+                 key: Sequence[str] = RUN_KEY, order: str | Sequence[str] = "ingest_seq") -> None:
+    """Rewrite the current state of the experiments that changed under ``out_path``.
+
+    ``since`` is a condition on the log's rows, such as ``"batch_id > 41"`` on a landed stream; only
+    experiments with such rows are read and written, by default all in the log. Partitions of other
+    experiments keep their files (dynamic partition overwrite). Files are rebalanced: a large
+    experiment is split, small ones share a task, whatever the number of runs a key had."""
+    log = with_row_address(spark.read.parquet(runs_path))
+    if since is not None:
+        log = scan_experiments(log, spark.read.parquet(runs_path).where(since).select("experiment_id").distinct())
+    (upsert_runs(log, key, order).hint("rebalance", "experiment_id").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("experiment_id").parquet(out_path))
 
 
 def finished_keys(runs: DataFrame, methods: DataFrame, experiment_id: str | None = None,
