@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import spec_checks as sc
 from ..sources.bindings import spec_topics_view, with_views
 from .catalog import query
@@ -60,6 +62,30 @@ def i6(spark, sf):
     return sc.fold_spec_methods(topics.select("task_id"), topics)
 
 
+@query("i6_spec_findings", with_views(f"""
+, dup as (select task_id, string_agg(name, '","' order by name) as names from (
+            select task_id, name from S where name is not null and name <> '' group by task_id, name having count(*) > 1)
+          group by task_id),
+  unk as (select task_id, string_agg(type, '","' order by type) as types from (
+            select distinct task_id, type from S where grp = 'published' and type is not null and type <> ''
+              and type not in ({_KNOWN})) group by task_id),
+  f as (select task_id, 'hypothesis' as method, 0 as o, 0 as pos,
+          '{{"error":"duplicate topic names","names":["' || names || '"]}}' as finding from dup
+        union all select task_id, 'hypothesis', 1, 0,
+          '{{"info":"unsupported_msg_types_for_mvp","types":["' || types || '"]}}' from unk
+        union all select task_id, 'z3', -1, 0, '{{"violation":"duplicate_publisher_topic"}}' from S where grp = 'published'
+          group by task_id having count(*) > count(distinct coalesce(name, '<none>'))
+        union all select task_id, 'z3', case when grp = 'published' then 0 else 1 end, pos,
+          '{{"violation":"qos_depth_lt_1","topic":' || coalesce('"' || name || '"', 'null') || '}}' from S where depth < 1)
+select task_id, method, cast(count(*) as bigint) as n, string_agg(finding, chr(10) order by o, pos, finding) as findings
+from f group by task_id, method""", "S"))
+def i6_findings(spark, sf):
+    """The stored findings of both spec methods, in the order of the checks."""
+    out = sc.spec_findings(spec_topics_view(spark, sf))
+    return out.select("task_id", "method", F.size("findings").cast("long").alias("n"),
+                      F.array_join("findings", "\n").alias("findings"))
+
+
 # ---------------------------------------------------------------------------
 # Code corpus: H8 programs, J1-J4 lint findings, J7 rule frequency
 # ---------------------------------------------------------------------------
@@ -67,8 +93,6 @@ def i6(spark, sf):
 # scaffold 'class Node<k>:' and a body chosen by p_size % 3: 0 a publisher without depth
 # and a sleeping timer callback, 1 a publisher with depth 10, 2 a syntax error.
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from ..functions import text as tx  # noqa: E402
 from ..operators import code_checks as cc  # noqa: E402
 from ..sources.bindings import table  # noqa: E402

@@ -42,6 +42,15 @@ _report_frame("latency", "d7_latency_token_summary", {"mean_latency_ms": 6, "p95
 _report_frame("model_difficulty", "d8_pass_rate_model_difficulty", {"pass_rate": 9})
 
 
+@query("f2_report_order", with_views("""
+select experiment_id, node_type, cast(row_number() over (order by experiment_id, node_type nulls last) - 1 as bigint) as pos
+from (select distinct R.experiment_id, M.node_type from R left join M on R.task_id = M.task_id)""", "R", "M"))
+def f2(spark, sf):
+    """The place of each row in the frame as it is written: groups ascending, no metadata last."""
+    frame = report_tables(runs_view(spark, sf), tasks_meta_view(spark, sf), persist=False)["by_node_type"]
+    return frame.coalesce(1).select("experiment_id", "node_type", F.monotonically_increasing_id().alias("pos"))
+
+
 ENABLED = ["ruff", "pytest", "mypy", "z3"]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import config_hash
@@ -15,6 +16,7 @@ from ..session import remove_at_exit, scratch_path
 from ..sources import runlog as rl
 from ..sources.bindings import (candidates_view, method_rows_view, run_log_children, run_log_view,
                                 runs_view, sql_run_id, table, with_views)
+from ..sources.tasks import read_lines
 from .catalog import query
 
 N_CANDIDATES = 8
@@ -42,6 +44,25 @@ def a5(spark, sf):
         "experiment_id", "model", "task_id", "candidate_idx", "latency_ms", "overall_pass", "gen_error")
 
 
+@query("f1_export_order", with_views("""
+select model || ':' || task_id as task_id, candidate_idx,
+  cast(row_number() over (order by model || ':' || task_id, candidate_idx) as bigint) as pos
+from R where experiment_id = 'F'""", "R"))
+def f1(spark, sf):
+    """The order of an ordered scan as its export holds it: lines numbered through all files in turn."""
+    out = scratch_path(spark, "f1-export")
+    runs = runs_view(spark, sf).withColumn("task_id", F.concat_ws(":", "model", "task_id"))
+    rl.export_runs_csv(runs.select("experiment_id", "task_id", "candidate_idx"), out, experiment_id="F")
+    remove_at_exit(spark, out)
+    lines = read_lines(spark, out).where("line_no > 1")  # without the headers
+    files = lines.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file_path")) - F.col("n")  # one row a file
+    cells = F.split("line", ",")
+    return lines.join(files.select("file_path", before.alias("before")), "file_path").select(
+        cells[1].alias("task_id"), cells[2].cast("int").alias("candidate_idx"),
+        (F.col("before") + F.col("line_no") - 1).cast("long").alias("pos"))
+
+
 @query("h4_run_ids", with_views(f"""
 select experiment_id, model, task_id, candidate_idx, {_R_ID} as run_id from R""", "R"))
 def h4(spark, sf):

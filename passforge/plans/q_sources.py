@@ -35,8 +35,8 @@ def _classified(spark, sf, materialize=True):
     return tk.classify_task_lines(task_lines_view(spark, sf), materialize=materialize)
 
 
-def _tasks(spark, sf):
-    return tk.split_classified(_classified(spark, sf))[0]
+def _tasks(spark, sf, materialize=True):
+    return tk.split_classified(_classified(spark, sf, materialize))[0]
 
 
 @query("a1_task_line_status", _oracle("""
@@ -143,7 +143,7 @@ select json_extract_string(js, '$.task_id') as task_id, json_extract_string(js,
 from (select * from cls where status = 'ok') where lower(json_extract_string(js, '$.difficulty')) = 'medium'
   and json_extract_string(js, '$.node_type') = 'SMALL'"""))
 def b1(spark, sf):
-    out = tk.filter_tasks(_tasks(spark, sf), difficulty="MEDIUM", node_type="SMALL")
+    out = tk.filter_tasks(_tasks(spark, sf, materialize=False), difficulty="MEDIUM", node_type="SMALL")
     return out.select("task_id", "node_type")
 
 
@@ -154,15 +154,14 @@ where json_extract_string(js, '$.task_id') in (
 def b2(spark, sf):
     ids = table(spark, sf, "customer").where(F.col("c_mktsegment") == "MACHINERY") \
         .select(F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("task_id"))
-    return tk.select_tasks(_tasks(spark, sf), ids).select("task_id", "line_no")
+    return tk.select_tasks(_tasks(spark, sf, materialize=False), ids).select("task_id", "line_no")
 
 
 @query("b3_get_task", _oracle("""
 select json_extract_string(js, '$.task_id') as task_id, line_no, json_extract_string(js, '$.entry_point') as entry_point
 from (select * from cls where status = 'ok') where json_extract_string(js, '$.task_id') = 'T1'"""))
 def b3(spark, sf):
-    tasks = _tasks(spark, sf)
-    hit = tk.get_task(tasks, "T1")
+    hit = tk.find_task(task_lines_view(spark, sf), "T1")
     return hit.select("task_id", "line_no", F.get_json_object("json", "$.entry_point").alias("entry_point"))
 
 

@@ -13,6 +13,7 @@ as the single element of ``[line]`` and as the single value of ``{"v": line}``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -618,6 +619,17 @@ def get_task(df: DataFrame, task_id: str) -> DataFrame:
     return hit.limit(1).select(*order, "task_id", F.to_json(F.struct(*cols)).alias("json"))
 
 
+def find_task(lines: DataFrame, task_id: str, line_col: str = "line") -> DataFrame:
+    """B3 straight from the lines: only those that can hold the id are parsed and checked.
+
+    An id of plain characters stands in its line as it is, or behind a ``\\u`` escape; lines without
+    either are passed over by a text search. Other ids have every line parsed."""
+    if re.fullmatch(r"[A-Za-z0-9_.:-]+", task_id):
+        line = F.col(line_col)
+        lines = lines.where(line.contains(task_id) | line.contains("\\u"))
+    return get_task(split_classified(classify_task_lines(lines, line_col=line_col, materialize=False))[0], task_id)
+
+
 def require_task(df: DataFrame, task_id: str) -> str:
     """B3 as a lookup: the task's JSON; a missing id is an error (KeyError). Brings one
     row to the driver."""
