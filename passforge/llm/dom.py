@@ -15,11 +15,15 @@ _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-#: Elements whose content is no text of the page.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select"}
+#: Elements whose content is raw text up to their own end tag, and no text of the page.
+RAW = {"script", "style", "template", "textarea", "title", "iframe"}
+#: Elements with content that a page shows as drawing or form control, or not at all; one without an
+#: end tag ends with the element around it.
+NO_TEXT = {"svg", "select", "datalist", "annotation", "annotation-xml"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
           "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
-          "tt", "u", "var", "wbr", "img", "br"}
+          "tt", "u", "var", "wbr", "img", "br", "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mfrac",
+          "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mstyle", "mpadded", "mfenced"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: An opening tag of the key ends an open element of the value (up to the nearest container).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -37,6 +41,7 @@ class Node:
     parent: int
     hidden: bool = False
     gold: str | None = None
+    no_text: bool = False
     chars: int = 0        # text of its own runs
     link_chars: int = 0   # ... inside links
     points: int = 0       # sentence marks in them
@@ -61,7 +66,7 @@ def parse(html: str) -> Page:
         if pending:
             text = " ".join("".join(pending).split())
             pending.clear()
-            if text:
+            if text and not nodes[open_ids[-1]].no_text:
                 node = nodes[open_ids[-1]]
                 page.runs.append((open_ids[-1], text))
                 node.chars += len(text)
@@ -123,7 +128,7 @@ def parse(html: str) -> Page:
                 if open_tags[i] in _STOPS:
                     break
         flush()
-        if name in VOID:
+        if name in VOID or name in NO_TEXT and attrs.rstrip().endswith("/"):
             continue
         marks, hidden, gold = "", False, None
         if attrs and not attrs.isspace():
@@ -135,7 +140,7 @@ def parse(html: str) -> Page:
                     gold = value
                 elif key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                     hidden = True
-        nodes.append(Node(name, marks, open_ids[-1], hidden, gold))
+        nodes.append(Node(name, marks, open_ids[-1], hidden, gold, name in NO_TEXT or nodes[open_ids[-1]].no_text))
         open_ids.append(len(nodes) - 1)
         open_tags.append(name)
         links = 0

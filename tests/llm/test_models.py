@@ -183,3 +183,19 @@ def test_pages(spark):
     rows = htmltext.extract(odd, model=model).collect()
     assert len(rows) == 6 and all(r.n_chars == len(r.text) for r in rows) and rows[0].text == ""
     assert htmltext.extract(odd.limit(0)).count() == 0
+
+
+def test_no_article_text_is_lost_to_odd_elements():
+    page = lambda x: f"<html><body><nav class=menu><a href=/>Home page</a></nav><article class=content><h1>Title of it</h1><p>First paragraph, with a few words in it.</p>{x}<p>Last paragraph, which must stay as well.</p></article><footer class=footer>Legal words</footer></body></html>"  # noqa: E731, E501
+    inner = {"<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold here.</p>": "Let x=2 hold here.",
+             "<object><p>A table of the object, long enough to be read.</p></object>": "A table of the object, long enough to be read.",
+             "<noscript><p>A picture shows the town, as it was.</p></noscript>": "A picture shows the town, as it was.",
+             "<div><svg><text>drawn</text></div>": None, "<div><select><option>One<option>Two</div>": None,
+             "<svg><text>drawn</text></svg>": None, "<svg/>": None, "<script>var x = '<p>';</script>": None}
+    model = htmltext.fit(*zip(*[(p, htmltext.gold_of(p)) for p in (
+        dom.parse(htmltext.practice_page(random.Random(i))) for i in range(200))], strict=True))
+    for html, text in inner.items():
+        got = htmltext.main_texts(model, [page(html)])[0].split("\n\n")
+        want = ["Title of it", "First paragraph, with a few words in it.", *([text] if text else []),
+                "Last paragraph, which must stay as well."]
+        assert got == want, html
