@@ -181,7 +181,7 @@ def _in_index(percent: int) -> Column:
 
 def _first_shared() -> Column:
     """No shingle before this one is in both prefixes: a pair meets at one shingle only."""
-    before = [F.slice(f"prefix{s}", F.lit(1), F.col(f"pos{s}")) for s in "ab"]
+    before = [F.slice(f"items{s}", F.lit(1), F.col(f"at{s}")) for s in "ab"]
     return ~F.arrays_overlap(*before)
 
 
@@ -191,7 +191,7 @@ def _enough_shared(percent: int) -> Column:
     def bound(small: str, big: str) -> Column:
         size, other = F.col(f"n{small}"), F.col(f"n{big}")
         index = _index_size(size, percent)
-        both = F.size(F.array_intersect(F.slice(f"prefix{small}", F.lit(1), index.cast("int")), F.col(f"prefix{big}")))
+        both = F.size(F.array_intersect(F.slice(f"items{small}", F.lit(1), F.col(f"indexed{small}")), F.col(f"items{big}")))
         rest = F.when(F.col(f"i{small}") <= F.col(f"l{big}"), size - index).otherwise(other - _prefix_size(other, percent))
         return (100 + percent) * (both + rest) >= percent * (size + other)
 
@@ -308,10 +308,15 @@ def link_classes(described: DataFrame, texts: DataFrame, words: int, percent: in
     per = rows.groupBy("item", "comp").agg(F.count(F.lit(1)).alias("k"))
     most = per.groupBy("item").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")) \
         .filter("comps > 1").select("item", F.col("m.comp").alias("main"))
-    rows = stored(rows.join(most, "item").join(groups.select("grp", "prefix"), "grp"), "mixed")
+    rows = stored(rows.join(most, "item"), "mixed")
+    # what a pair of different components can share: the group's shingles in such buckets, in order
+    own = rows.groupBy("grp").agg(F.array_sort(F.collect_set(F.struct("pos", "item"))).alias("own"), F.first("n").alias("size"))
+    own = own.select("grp", F.col("own.item").alias("items"), F.size(F.filter(
+        "own", lambda x: x["pos"] < _index_size(F.col("size"), percent))).alias("indexed"))
+    rows = stored(rows.join(own, "grp").withColumn("at", F.array_position("items", F.col("item")).cast("int") - 1), "ordered")
     rest = rows.filter("comp != main")
     side = lambda df, s: df.select("item", *[F.col(c).alias(c + s) for c in (
-        "grp", "n", "l", "i", "pos", "lone", "comp", "prefix")])
+        "grp", "n", "l", "i", "pos", "lone", "comp", "items", "at", "indexed")])
     cross = side(rest, "a").join(side(rows.filter("comp = main"), "b"), "item").unionByName(
         side(rest, "a").join(side(rest, "b"), "item").filter("compa < compb"))
     cross = cross.filter((F.col("grpa") != F.col("grpb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
