@@ -56,6 +56,7 @@ HOT_MOST = 2**19      # frequent shingles named, at most
 HOT_DOCS = 6          # documents counted that share a frequent shingle, at least
 FLAG_BITS = 25        # flags of shingles met, in a counting task
 BLOCK = 500_000       # shingles met again that a task holds
+LARGE = 4096          # pairs of groups from which on a bucket counts as large
 ID_FILTER_BITS = 2**26
 
 
@@ -168,34 +169,26 @@ def _index_size(n: Column, percent: int) -> Column:
     return n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1
 
 
-def _a_small() -> Column:
-    """Which set of a pair (grpa, grpb) counts as the smaller one."""
-    return (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("grpa") < F.col("grpb")))
+def _may_link_by_index(percent: int) -> Column:
+    """As ``_may_link``, for shingles counted in the index prefix of the smaller set (ia, ib)."""
+    na, nb, c = F.col("na"), F.col("nb"), F.col("shared")
+    a_small = na <= nb  # with equal sizes the lesser group, which is ga
 
-
-def _in_index(percent: int) -> Column:
-    """The shared shingle lies in the index prefix of the smaller set."""
-    return F.when(_a_small(), F.col("posa") < _index_size(F.col("na"), percent)) \
-        .otherwise(F.col("posb") < _index_size(F.col("nb"), percent))
+    def most(small, big, index, last):
+        return F.when(index <= last, small - _index_size(small, percent)).otherwise(big - _prefix_size(big, percent)) + c
+    overlap = F.when(a_small, most(na, nb, F.col("ia"), F.col("lb"))).otherwise(most(nb, na, F.col("ib"), F.col("la")))
+    return (100 + percent) * overlap >= percent * (na + nb)
 
 
 def _first_shared() -> Column:
-    """No shingle before this one is in both prefixes: a pair meets at one shingle only."""
+    """In a large bucket: no shingle of a large bucket before this one is in both prefixes."""
     before = [F.slice(f"items{s}", F.lit(1), F.col(f"at{s}")) for s in "ab"]
-    return ~F.arrays_overlap(*before)
+    return ~F.col("largea") | ~F.arrays_overlap(*before)
 
 
-def _enough_shared(percent: int) -> Column:
-    """Exact bound from what the index prefix of the smaller set shares with the prefix of the other:
-    the smaller set's rest, or that of the other if its prefix ends first, can add no more."""
-    def bound(small: str, big: str) -> Column:
-        size, other = F.col(f"n{small}"), F.col(f"n{big}")
-        index = _index_size(size, percent)
-        both = F.size(F.array_intersect(F.slice(f"items{small}", F.lit(1), F.col(f"indexed{small}")), F.col(f"items{big}")))
-        rest = F.when(F.col(f"i{small}") <= F.col(f"l{big}"), size - index).otherwise(other - _prefix_size(other, percent))
-        return (100 + percent) * (both + rest) >= percent * (size + other)
-
-    return F.when(_a_small(), bound("a", "b")).otherwise(bound("b", "a"))
+def _shared_large(small: str, big: str) -> Column:
+    """How many shingles of large buckets the smaller set's index prefix shares with the other's prefix."""
+    return F.size(F.array_intersect(F.slice(f"items{small}", F.lit(1), F.col(f"indexed{small}")), F.col(f"items{big}")))
 
 
 def _within_reach(percent: int) -> Column:
@@ -306,26 +299,40 @@ def link_classes(described: DataFrame, texts: DataFrame, words: int, percent: in
     at = placed.select("grp", "comp").distinct().join(lone, "grp")
     rows = shared.select("item", "grp", "n", "l", "i", "pos").join(at, "grp")
     per = rows.groupBy("item", "comp").agg(F.count(F.lit(1)).alias("k"))
-    most = per.groupBy("item").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")) \
-        .filter("comps > 1").select("item", F.col("m.comp").alias("main"))
+    most = per.groupBy("item").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("all")) \
+        .filter("comps > 1").select("item", F.col("m.comp").alias("main"), ((F.col("all") - F.col("m.k")) * F.col("all") >= LARGE).alias("large"))
     rows = stored(rows.join(most, "item"), "mixed")
-    # what a pair of different components can share: the group's shingles in such buckets, in order
-    own = rows.groupBy("grp").agg(F.array_sort(F.collect_set(F.struct("pos", "item"))).alias("own"), F.first("n").alias("size"))
+    # rows of large buckets carry the group's shingles in large buckets, in order: a pair meets at the first only
+    own = rows.filter("large").groupBy("grp").agg(F.array_sort(F.collect_set(F.struct("pos", "item"))).alias("own"), F.first("n").alias("size"))
     own = own.select("grp", F.col("own.item").alias("items"), F.size(F.filter(
         "own", lambda x: x["pos"] < _index_size(F.col("size"), percent))).alias("indexed"))
-    rows = stored(rows.join(own, "grp").withColumn("at", F.array_position("items", F.col("item")).cast("int") - 1), "ordered")
+    none = rows.filter("not large").withColumns({"items": F.array().cast("array<long>"), "indexed": F.lit(0), "at": F.lit(0)})
+    rows = stored(none.unionByName(rows.filter("large").join(own, "grp").withColumn(
+        "at", F.array_position("items", F.col("item")).cast("int") - 1)), "ordered")
     rest = rows.filter("comp != main")
     side = lambda df, s: df.select("item", *[F.col(c).alias(c + s) for c in (
-        "grp", "n", "l", "i", "pos", "lone", "comp", "items", "at", "indexed")])
+        "grp", "n", "l", "i", "pos", "lone", "comp", "large", "items", "at", "indexed")])
     cross = side(rest, "a").join(side(rows.filter("comp = main"), "b"), "item").unionByName(
         side(rest, "a").join(side(rest, "b"), "item").filter("compa < compb"))
-    cross = cross.filter((F.col("grpa") != F.col("grpb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-                         & _in_index(percent) & _within_reach(percent) & _first_shared() & _enough_shared(percent))
-    # a group in several components may meet another through each of them
-    counted = cross.select(F.least("grpa", "grpb").alias("ga"), F.greatest("grpa", "grpb").alias("gb")).distinct()
+    a_small = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("grpa") < F.col("grpb")))
+    in_index = F.when(a_small, F.col("posa") < _index_size(F.col("na"), percent)) \
+        .otherwise(F.col("posb") < _index_size(F.col("nb"), percent))
+    cross = cross.filter((F.col("grpa") != F.col("grpb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & in_index & _within_reach(percent) & _first_shared())
+    both = F.when(F.col("largea"), F.when(a_small, _shared_large("a", "b")).otherwise(_shared_large("b", "a"))).otherwise(1)
+    cross = cross.withColumn("both", both)
+    swap = F.col("grpa") > F.col("grpb")
+    cross = cross.select("item", "both", *[F.when(swap, F.col(c + "b")).otherwise(F.col(c + "a")).alias(o) for c, o in
+                                   (("grp", "ga"), ("n", "na"), ("l", "la"), ("i", "ia"))],
+                         *[F.when(swap, F.col(c + "a")).otherwise(F.col(c + "b")).alias(o) for c, o in
+                           (("grp", "gb"), ("n", "nb"), ("l", "lb"), ("i", "ib"))])
+    # one item may reach a group pair through several component pairs; it counts once
+    sides = ("na", "nb", "la", "lb", "ia", "ib")
+    counted = cross.groupBy("ga", "gb", "item").agg(*[F.first(c).alias(c) for c in (*sides, "both")])
+    counted = counted.groupBy("ga", "gb").agg(*[F.first(c).alias(c) for c in sides], F.sum("both").alias("shared"))
     # a group whose classes lie in several components meets itself, whether or not another shares its prefix
     split = placed.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
-    groups2 = counted.unionByName(split.select(F.col("grp").alias("ga"), F.col("grp").alias("gb")))
+    groups2 = counted.filter(_may_link_by_index(percent)).select("ga", "gb").unionByName(
+        split.select(F.col("grp").alias("ga"), F.col("grp").alias("gb")))
     pa_ = placed.select(F.col("grp").alias("ga"), F.col("class").alias("a"), F.col("comp").alias("ca"))
     pb_ = placed.select(F.col("grp").alias("gb"), F.col("class").alias("b"), F.col("comp").alias("cb"))
     again = groups2.join(pa_, "ga").join(pb_, "gb").filter("ca != cb").select(
