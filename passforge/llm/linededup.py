@@ -2,11 +2,12 @@
 
 The tree has a fixed depth: a line goes by its number of tokens, then by its first
 ``DEPTH`` tokens, to a leaf. Tokens that look like variable fields (with a digit, an @ or
-a ://) are written <*> beforehand. In a leaf the most widespread line is the core; lines
+a ://) are written <*> beforehand. In a leaf the most widespread line is the first core; lines
 that agree with it in at least ``ALIKE`` of their positions share its template, in which
-the positions where a member differs are generalised to <*>; any other line of the leaf
-is a template of its own. A template that occurs in ``MIN_DOCS`` documents or more is
-recurring, and its lines are dropped from every document.
+the positions where a member differs are generalised to <*>. Of the lines that no core has
+taken the most widespread is the next core, in rounds over all leaves at once, as long as a
+leaf's remaining lines count ``MIN_DOCS`` documents together. A template that occurs in
+``MIN_DOCS`` documents or more is recurring, and its lines are dropped from every document.
 
 Only hashes are shuffled for all lines. Texts move only for lines in leaves that at least
 ``MIN_DOCS`` documents share, and whole documents only where a line is dropped; both are
@@ -41,7 +42,9 @@ BLANKS = r"[\x20\x09-\x0D]+"
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, line_no, tokens, leaf, template) of every line that is not blank."""
     text = text_or_empty(text_col)
-    rows = docs.select(F.xxhash64(F.col(id_col), text).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    # hashed once a text, before its lines are dealt out
+    once = docs.select(F.xxhash64(F.col(id_col), text).alias("doc"), F.split(text, "\n").alias("lines"))
+    rows = once.select("doc", F.posexplode("lines").alias("line_no", "line"))
     # fields are looked for only in lines that have one; a line's tokens are made once (a
     # generator's output is not computed again for each use)
     line = F.col("line")
@@ -71,14 +74,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs_of = some.select("leaf", "line", "doc").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"))
     tokens_of = some.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     spread = stored(docs_of.join(tokens_of, ["leaf", "line"]), "spread")
-    # the core of a leaf: its most widespread line
-    core = stored(spread.groupBy("leaf").agg(F.max_by("tokens", _order()).alias("core"),
-                                             F.max_by("line", _order()).alias("core_line")), "cores")
-    same = F.zip_with("tokens", "core", lambda a, b: (a == b).cast("int"))
-    near = spread.join(core, "leaf").withColumn("same", same)
-    share = F.aggregate("same", F.lit(0), lambda acc, x: acc + x) / F.size("same")
-    near = near.withColumn("template", F.when(share >= alike, F.col("core_line")).otherwise(F.col("line")))
-    placed = stored(near.select("leaf", "line", "template", "tokens", "same"), "placed")
+    placed = stored(_templates(spread, min_docs, alike), "placed")
 
     where = some.select("leaf", "line", "doc", "line_no").join(
         placed.select(F.col("leaf").alias("l2"), F.col("line").alias("n2"), "template"),
@@ -88,7 +84,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs), "often")
     gone = where.join(often.select(F.col("leaf").alias("l2"), F.col("template").alias("t2")),
                       (F.col("leaf") == F.col("l2")) & (F.col("template") == F.col("t2")), "left_semi")
-    gone = stored(gone.groupBy("doc").agg(F.collect_set("line_no").alias("gone")), "gone")
+    gone = stored(gone.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "gone")
     # a template as text: positions where a member differs are fields
     fields = placed.join(often, ["leaf", "template"]).select(
         "leaf", "template", F.posexplode("same").alias("at", "same")).filter("same = 0").groupBy("leaf", "template").agg(
@@ -100,8 +96,31 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return gone, named.select(shown.alias("template"), "docs")
 
 
+def _templates(spread: DataFrame, min_docs: int, alike: float) -> DataFrame:
+    """(leaf, line, template, tokens, same) of the lines that some core takes, round by round."""
+    found, left = None, spread
+    while True:
+        # the core of a leaf: the most widespread of its lines that are left
+        core = left.groupBy("leaf").agg(F.sum("docs").alias("all"), F.max_by("tokens", _order()).alias("core"),
+                                        F.max_by("line", _order()).alias("template")).filter(F.col("all") >= min_docs).drop("all")
+        same = F.zip_with("tokens", "core", lambda a, b: (a == b).cast("int"))
+        near = left.join(core, "leaf").withColumn("same", same)
+        share = F.aggregate("same", F.lit(0), lambda acc, x: acc + x) / F.size("same")
+        near = stored(near.select("leaf", "line", "docs", "tokens", "template", "same", (share >= alike).alias("taken")), "round")
+        taken = near.filter("taken").select("leaf", "line", "template", "tokens", "same")
+        found = taken if found is None else found.unionByName(taken)
+        left = near.filter("not taken").select("leaf", "line", "docs", "tokens")
+        if left.limit(1).count() == 0:
+            return found
+
+
 def _without(text: Column, gone: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n")
+    """The text without the lines at the (ascending) numbers of ``gone``, in one pass: a mark for each
+    line up to the last of them, and lines with the mark 1 become null, which a join leaves out."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(gone, 1, F.size(gone) - 1))
+    marks = F.array_join(F.zip_with(gone, before, lambda g, b: F.concat(F.repeat(F.lit("0"), g - b - 1), F.lit("1"))), "")
+    kept = F.zip_with(F.split(text, "\n"), F.split(marks, ""), lambda line, mark: F.when(F.coalesce(mark, F.lit("")) != "1", line))
+    return F.array_join(kept, "\n")
 
 
 def _cleaned(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, keep: Column) -> DataFrame:
@@ -112,7 +131,8 @@ def _cleaned(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, keep:
     rows = maybe_in(rows, F.col("__doc"), words, FILTER_BITS)
     none = F.array().cast("array<int>")
     plain = rows.filter("not __maybe").select("__keep", F.col("__old").alias("__text"), none.alias("__gone"), "__old")
-    hit = rows.filter("__maybe").join(gone, F.col("__doc") == F.col("doc"), "left")
+    # line numbers are looked up, so texts are dealt by document but never sorted
+    hit = rows.filter("__maybe").join(gone.hint("shuffle_hash"), F.col("__doc") == F.col("doc"), "left")
     hit = hit.withColumn("gone", F.coalesce("gone", none))
     return plain.unionByName(hit.select("__keep", F.when(F.size("gone") > 0, _without(F.col("__old"), F.col("gone")))
                                         .otherwise(F.col("__old")).alias("__text"), F.col("gone").alias("__gone"), "__old"))
@@ -136,7 +156,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 ORACLE = r"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM t),
 ln AS (SELECT doc_id, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no
        FROM (SELECT DISTINCT * FROM d)),
@@ -148,10 +168,16 @@ ls AS (SELECT doc_id, text, line_no, array_to_string(tokens, ' ') AS line, token
 lf AS (SELECT leaf FROM (SELECT DISTINCT leaf, doc_id, text FROM ls) GROUP BY leaf HAVING count(*) >= 5),
 sp AS (SELECT leaf, line, any_value(tokens) AS tokens, count(*) AS docs
        FROM (SELECT DISTINCT leaf, line, tokens, doc_id, text FROM ls SEMI JOIN lf USING (leaf)) GROUP BY leaf, line),
-co AS (SELECT leaf, line AS core_line, tokens AS core FROM
-       (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY docs DESC, md5(line) DESC) AS r FROM sp) WHERE r = 1),
-pl AS (SELECT leaf, line, CASE WHEN len(list_filter(list_zip(tokens, core), lambda z: z[1] = z[2])) / len(tokens)::DOUBLE >= 0.7::DOUBLE
-                               THEN core_line ELSE line END AS template FROM sp JOIN co USING (leaf)),
+st AS (SELECT leaf, list({'line': line, 'tokens': tokens, 'docs': docs} ORDER BY docs DESC, md5(line) DESC) AS rem
+       FROM sp GROUP BY leaf
+       UNION ALL
+       SELECT leaf, list_filter(rem, lambda x: len(list_filter(list_zip(x.tokens, rem[1].tokens), lambda z: z[1] = z[2]))
+                                               / len(x.tokens)::DOUBLE < 0.7::DOUBLE) FROM st
+       WHERE list_sum(list_transform(rem, lambda x: x.docs)) >= 5),
+pl AS (SELECT leaf, rem[1].line AS template, unnest(list_transform(list_filter(rem, lambda x:
+                len(list_filter(list_zip(x.tokens, rem[1].tokens), lambda z: z[1] = z[2])) / len(x.tokens)::DOUBLE >= 0.7::DOUBLE),
+                lambda x: x.line)) AS line
+       FROM st WHERE list_sum(list_transform(rem, lambda x: x.docs)) >= 5),
 wh AS (SELECT doc_id, text, line_no, leaf, template FROM ls JOIN pl USING (leaf, line)),
 oft AS (SELECT leaf, template FROM (SELECT DISTINCT leaf, template, doc_id, text FROM wh) GROUP BY leaf, template HAVING count(*) >= 5),
 gone AS (SELECT doc_id, text, list(line_no) AS gone FROM wh SEMI JOIN oft USING (leaf, template) GROUP BY doc_id, text),

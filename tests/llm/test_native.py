@@ -129,6 +129,52 @@ def test_line_dedup_generalises_words(spark):
     assert {(r.n_lines, r.n_dropped, r.n_chars) for r in report.collect()} == {(1, 1, 0)}
 
 
+def test_line_dedup_finds_every_template_of_a_leaf(spark):
+    words = "ant bee cat dog elk fox gnu hen ibis jay koi lynx".split()
+    kinds = ["Read more about the {} section of our newspaper today", "Read more about the author {} and his other books",
+             "Read more about the {} {} {} {} {}"]  # the third kind is one of a kind each
+    rows = [(100 * k + i, f"{chr(97 + k)}{words[i]} speaks\n" + kind.format(*[w + str(k) * (j > 0) for j, w in enumerate(words[i:] + words[:i])]).replace("0", "z"))
+            for k, kind in enumerate(kinds) for i, _ in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, templates = linededup.recurring_lines(df)
+    found = {(r.template, r.docs) for r in templates.collect()}
+    assert {t for t, _ in found} >= {"Read more about the <*> section of our newspaper today",
+                                     "Read more about the author <*> and his other books"}
+    dropped = {r.doc_id: r.n_dropped for r in linededup.line_report(df).collect()}
+    assert all(dropped[100 * k + i] == 1 for k in (0, 1) for i in range(12))
+
+
+def test_line_dedup_equals_sql(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    rng = random.Random(6)
+    words = [f"w{c}" for c in "abcdefghijklmnop"]
+    heads = [["read", "all", "of", "this"], ["one", "two", "three", "four"], ["x", "y", "z", "q"]]
+    line = lambda: " ".join(rng.choice(heads) + [rng.choice(words[:rng.choice([1, 2, 16])]) for _ in range(rng.randint(1, 6))])
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(0, 6)))) for i in range(150)] + [(7, None), (None, line()), (None, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "documents.parquet")
+    df.write.parquet(path)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = db.sql(linededup.ORACLE)
+    got = linededup.line_report(df).select(*want.columns)
+    assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    import time
+
+    text = "\n".join("the same line in every document" if i % 2 else f"own {chr(97 + i % 26)} {'abcdefghij'[i % 10]} " + "k" * (i % 37) for i in range(200_000))
+    rows = [(0, text)] + [(i, "the same line in every document\n" + "x" * i) for i in range(1, 8)]
+    t = time.time()
+    out = {r.doc_id: r for r in linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].n_dropped >= 100_000 and out[0].n_lines == 200_000 and out[1].n_dropped == 1
+    assert time.time() - t < 120
+
+
 def test_line_dedup_awkward_and_empty(spark):
     out = linededup.dedup_lines(frame(spark))
     assert out.columns == frame(spark).columns and out.count() == len(awkward())
