@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, remove_at_exit
 
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -72,10 +72,12 @@ def stored(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
 
     Cuts the lineage, survives lost executors, and gives the planner the table's real
     size, so it broadcasts the side only when that is below the session's threshold.
-    ``rows_per_file`` bounds what a writer or reader holds where single rows are large."""
+    ``rows_per_file`` bounds what a writer or reader holds where single rows are large. The
+    table is removed when the application ends."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,9 +12,9 @@ Tokens are the words of a text (lower-cased A-Z) and one end. What is learned:
 Training goes in rounds. In each, every task makes Adam steps from the shared weights over
 its share of the documents; the weights and moments are summed by a shuffle, weighted by
 steps, and the next round starts from their mean. Only vectors of a fixed size reach the
-driver. A pass covers every training document; small tables (up to ``max_texts``
-documents) get ``epochs`` passes, larger ones fewer, and any table one at least. Long
-texts are trained on in sections. The weights depend a little on how rows are dealt to tasks.
+driver. There are ``passes`` passes over every training document, each in ``ROUNDS`` rounds over
+a part of them by a hash of the id, whatever the table's size. Long texts are trained on in
+sections. The weights depend a little on how rows are dealt to tasks.
 
 A word's probability is ``MIX`` times the product of its pieces' probabilities (each
 given everything before it within the window) plus ``1 - MIX`` times its share in the
@@ -49,8 +49,8 @@ from .common import bound_batches, crc_mod, largest, stored, text_or_empty
 
 FOLDS, HELD_OUT = 7, 2
 HOT_WORDS = 200_000
-MAX_TEXTS = 1_500
-ROUNDS = 4              # means taken, at least
+PASSES = 1              # over every training document
+ROUNDS = 4              # means taken in a pass
 SECTION = 20_000        # words of a long text laid out at a time
 TASK_WORDS = 1_000_000  # words for a training task, where the table is dealt finer
 PART_WORDS = 60_000     # words laid out together
@@ -214,15 +214,13 @@ class Scorer:
 
 
 def train_everywhere(learn: DataFrame, model: Attention, cutter: Cutter, n_texts: int, n_words: int,
-                     max_texts: int = MAX_TEXTS, epochs: int = 4, rate: float = 0.01) -> int:
+                     passes: int = PASSES, rate: float = 0.01) -> int:
     """Train ``model`` on every text of ``learn`` (doc_id, text); returns the positions trained on.
 
-    ``n_texts`` and ``n_words`` set only the number of passes and the size of a task."""
+    ``n_words`` sets only the size of a task."""
     state, done, seen = model.start(), 0.0, 0
     if not n_texts:
         return 0
-    passes = max(1, min(epochs, -(-epochs * max_texts // n_texts)))
-    slices = max(1, ROUNDS // passes)
     size = state.size
     lanes = [f"v{i}" for i in range(LANES)]
     learn = learn.coalesce(int(max(4, n_words // TASK_WORDS)))
@@ -247,9 +245,9 @@ def train_everywhere(learn: DataFrame, model: Attention, cutter: Cutter, n_texts
         return run
 
     kind = ", ".join(["slot int, w long, ww long, positions long", *[f"{v} double" for v in lanes]])
-    total = passes * slices
+    total = passes * ROUNDS
     for r in range(total):
-        part = learn if slices == 1 else learn.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(slices)) == r % slices)
+        part = learn.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(ROUNDS)) == r % ROUNDS)
         sums = part.select("text").mapInArrow(task(state, done, rate * (1 - 0.9 * r / total), 1000 * r), kind) \
             .groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("w", "ww", "positions", *lanes)]).toPandas().sort_values("slot")
         if not len(sums):
@@ -316,7 +314,7 @@ def _score_rows(docs: DataFrame, scorer_args: tuple) -> DataFrame:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
-          max_texts: int = MAX_TEXTS, hot_words: int = HOT_WORDS, mix: float = MIX, epochs: int = 4) -> DataFrame:
+          hot_words: int = HOT_WORDS, mix: float = MIX, passes: int = PASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -332,7 +330,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     cutter = choose_pieces(counts, path)
     model = Attention(CLASSES, WIDTH)
     ends = counts.filter(F.length("word") == 0).first()  # an end a text
-    train_everywhere(learn, model, cutter, ends["c"] if ends else 0, n, max_texts, epochs)
+    train_everywhere(learn, model, cutter, ends["c"] if ends else 0, n, passes)
     rows = _score_rows(texts, (model, cutter, dict(top), n, v, mix)).withColumn("row", F.monotonically_increasing_id())
     each = rows.select("row", "doc_id", "n_tokens", "known", "base", "score", F.explode_outer("rare").alias("r"))
     each = each.join(counts.select("h", "c"), F.col("r.h") == F.col("h"), "left")

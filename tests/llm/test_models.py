@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from passforge.llm import attention, dom, htmltext, lmscore, quality
 from llm_docs import awkward, empty, frame
@@ -87,7 +88,7 @@ def test_attention_is_causal_and_normalised():
 
 @pytest.mark.parametrize("hot", [10, 100_000])  # most words by the join, or none
 def test_lm_scores(spark, hot):
-    rows = lmscore.score(frame(spark), hot_words=hot, epochs=1).collect()
+    rows = lmscore.score(frame(spark), hot_words=hot).collect()
     docs = Counter()
     words = {}
     for i, t, *_ in awkward():
@@ -102,11 +103,31 @@ def test_lm_scores(spark, hot):
         assert r.train_tokens == n and r.n_known == sum(x in docs for x in w)
         assert r.base_score == pytest.approx(sum(math.log10((docs[x] + 1) / (n + v + 1)) for x in w))
         assert r.score < 0 and r.score >= r.base_score + len(w) * math.log10(1 - lmscore.MIX) - 1e-6
-    assert lmscore.score(empty(spark), epochs=1).count() == 0
+    assert lmscore.score(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [10, 100_000])
+def test_lm_score_is_the_mixture_of_every_token(spark, monkeypatch, hot):
+    monkeypatch.setattr(lmscore, "train_everywhere", lambda *a: 0)  # start weights, the same here and there
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["the", "cat", f"rare{rng.randrange(10**6)}", "Naïve", "x" * 30]) for _ in range(rng.choice([0, 1, 7, 90])))
+             for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in lmscore.score(df, hot_words=hot).collect()}
+    words = [[*lmscore.words_of(t), b""] for t in texts]
+    counts = Counter(w for i, ws in enumerate(words) if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    learnt = lmscore.word_counts(df.filter("crc32(cast(doc_id as string)) % 7 != 2").select("text")).withColumn("h", F.lit(0))
+    cutter = lmscore.choose_pieces(learnt, lmscore.bpe.vocabulary_path())
+    scorer = lmscore.Scorer(attention.Attention(lmscore.CLASSES, lmscore.WIDTH), cutter, {}, n, v)
+    for i, ws in enumerate(words):
+        lp = scorer.score([ws])[0]
+        want = sum(math.log10(lmscore.MIX * 10**x + (1 - lmscore.MIX) * (counts[w] + 1) / (n + v + 1)) for x, w in zip(lp, ws, strict=True))
+        assert rows[i].score == pytest.approx(want, rel=1e-5)
 
 
 def test_lm_beats_the_base_on_held_out(spark):
-    rows = [r for r in lmscore.score(spark.read.parquet(f"{SF}/documents.parquet"), max_texts=500).collect() if r.held_out]
+    rows = [r for r in lmscore.score(spark.read.parquet(f"{SF}/documents.parquet"), passes=6).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
@@ -135,9 +156,9 @@ def test_lm_trains_on_every_row_and_counts_pieces_of_all_words(spark, monkeypatc
     cutter = lmscore.choose_pieces(counts, path)
     pieces = sum(len(cutter.cut(w)) for t in texts for w in lmscore.words_of(t)) + len(texts)
     monkeypatch.setattr(attention.Attention, "_gradients", lambda self, *a: (0.0, {k: np.zeros_like(v) for k, v in self.p.items()}))
-    for most, passes in ((10, 1), (1500, 2), (5000, 4)):  # never less than one pass over everything
+    for passes in (1, 2):
         model = attention.Attention(lmscore.CLASSES, lmscore.WIDTH)
-        assert lmscore.train_everywhere(df, model, cutter, len(texts), 10**5, most) == passes * pieces
+        assert lmscore.train_everywhere(df, model, cutter, len(texts), 10**5, passes) == passes * pieces
 
 
 def test_sum_product_equals_enumeration():
