@@ -7,14 +7,15 @@ quoted passages (runs of lines of one level). Passages and own texts are normali
 line (a paragraph or line of ``SHORTEST`` characters at least; a whole of any length). A
 passage belongs to the first message of the conversation that says it; the
 message that quotes it is a reply to the message its outermost quotes match best (most
-characters, then the latest). Threads follow replies to their root, and a conversation is
-ordered by the turn of the thread's root, then by turn, so a reply follows its thread and
-a conversation without quotes keeps its order. Quotes and the lines that introduce them
-are left out of the formatted message.
+characters, then the latest). Threads follow replies to their root. A conversation is in
+reply order: threads by the turn of their root, and behind each message its replies by turn,
+each with all that follows from it; a conversation without quotes keeps its order. Quotes and
+the lines that introduce them are left out of the formatted message.
 
 Work: passages and units meet in a join on (conversation, hash) with one row per unit,
-never as pairs; roots are found by doubling steps along the replies; positions come from
-a range partitioning, so one conversation may hold any share of the rows.
+never as pairs; roots and paths (the turns from the root to a message) are found by doubling
+steps along the replies; positions come from a range partitioning by path, so one conversation
+may hold any share of the rows. A path is as long as its thread is deep.
 
 Defined cases: a null text is empty; rows that repeat a whole message are one message;
 messages of one turn are told apart by role and text; a null conversation is a
@@ -99,7 +100,8 @@ def parse_messages(messages: DataFrame) -> DataFrame:
 
 
 def link_quotes(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, own, parent_turn, root_turn, position, n_quotes, formatted; a row per message."""
+    """conv_id, turn, role, own, parent_turn, root_turn, position (in reply order), n_quotes, formatted; a
+    row per message."""
     bound_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
                                 text_or_empty("text").alias("text")).distinct()
@@ -119,19 +121,25 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
         .select("msg", F.col("best.first.msg").alias("to"), F.col("best.first.at").alias("to_at")), "replies")
 
     # roots: each round follows the links twice as far
-    up = reply.select("msg", F.col("to").alias("root"), F.col("to_at").alias("root_at"))
+    key = F.struct("at", "msg")
+    up = reply.join(parsed.select("msg", "at"), "msg").select(
+        "msg", F.col("to").alias("root"), F.col("to_at").alias("root_at"), F.array(key).alias("path"))
     while True:
-        step = up.select(F.col("msg").alias("root"), F.col("root").alias("further"), F.col("root_at").alias("further_at"))
+        step = up.select(F.col("msg").alias("root"), F.col("root").alias("further"), F.col("root_at").alias("further_at"),
+                         F.col("path").alias("before"))
         nxt = stored(up.join(step, "root", "left").select(
             "msg", F.coalesce("further", "root").alias("root"), F.coalesce("further_at", "root_at").alias("root_at"),
+            F.when(F.col("further").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"),
             F.col("further").isNotNull().alias("moved")), "roots")
         up = nxt.drop("moved")
         if nxt.filter("moved").limit(1).count() == 0:
             break
     full = parsed.join(reply.select("msg", F.col("to_at").alias("parent_at")), "msg", "left").join(
-        up.select("msg", "root_at"), "msg", "left").withColumn("root_at", F.coalesce("root_at", "at"))
+        up.select("msg", "root_at", F.concat(F.array(F.struct(F.col("root_at").alias("at"), F.col("root").alias("msg"))), "path")
+                  .alias("path")), "msg", "left")
+    full = full.withColumn("root_at", F.coalesce("root_at", "at")).withColumn("path", F.coalesce("path", F.array(key)))
     ordered = positions(full.drop("units").withColumn("n_quotes", F.size("quotes").cast("long")).drop("quotes"),
-                        ["conv"], ["root_at", "at", "msg"], out="position")
+                        ["conv"], ["path"], out="position")
     back = lambda c: F.when(F.col(c) == -2**62, None).otherwise(F.col(c))
     formatted = F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("own"), F.lit("\n<|end|>\n"))
     return ordered.select("conv_id", "turn", "role", "own", back("parent_at").alias("parent_turn"),

@@ -231,10 +231,47 @@ def test_link_quotes(spark):
         src = text[(r.conv_id, r.turn)]
         assert r.parent_turn == want[src] and r.root_turn == want[(src, "root")]
         assert ">" not in r.own and r.formatted.startswith(f"<|{r.role}|>\n{r.own}")
-        order[r.conv_id].append((r.position, r.root_turn, r.turn))
+        order[r.conv_id].append((r.position, r.turn, r.parent_turn))
     for rows_ in order.values():
         assert [p for p, *_ in sorted(rows_)] == list(range(1, len(rows_) + 1))
-        assert [x[1:] for x in sorted(rows_)] == sorted(x[1:] for x in rows_)
+        assert [turn for _, turn, _ in sorted(rows_)] == reply_order({turn: parent for _, turn, parent in rows_})
+
+
+def reply_order(parents):
+    """Messages, each followed by its replies with all that follows from them."""
+    out = []
+
+    def visit(turn):
+        out.append(turn)
+        for t in sorted(parents):
+            if parents[t] == turn:
+                visit(t)
+    for t in sorted(parents):
+        if parents[t] is None:
+            visit(t)
+    return out
+
+
+def test_replies_stand_behind_their_message_in_long_threads(spark):
+    rng = random.Random(31)
+    said, parents, rows = {}, {}, []
+    for turn in range(400):
+        said[turn] = " ".join(f"word{rng.randrange(10**6)}" for _ in range(8))
+        parents[turn] = None if turn == 0 or rng.random() < 0.05 else rng.choice([turn - 1, rng.randrange(turn)])
+        quote = "" if parents[turn] is None else "Ann wrote:\n" + f"> {said[parents[turn]]}\n\n"
+        rows.append((5, turn, "user", quote + said[turn]))
+    rng.shuffle(rows)
+    got = chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: r.parent_turn for r in got} == parents
+    assert [r.turn for r in sorted(got, key=lambda r: r.position)] == reply_order(parents)
+    assert all(r.own == said[r.turn] for r in got)
+
+
+def test_sibling_replies(spark):
+    rows = [(1, 0, "user", "opening words of it"), (1, 1, "user", "> opening words of it\nfirst reply here"),
+            (1, 2, "user", "> opening words of it\nsecond reply here"), (1, 3, "user", "> first reply here\nanswer to the first")]
+    got = chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [r.turn for r in sorted(got, key=lambda r: r.position)] == [0, 1, 3, 2]
 
 
 def test_short_messages_quoted_whole(spark):
