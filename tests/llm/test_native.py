@@ -91,6 +91,23 @@ def test_mixing_targets_and_amounts(spark):
     assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
 
 
+def test_mixing_ranks_by_draw_and_inclusion(spark):
+    rows = [(i, " ".join(["w"] * (4 if i % 2 else 400)), "abc"[i % 3]) for i in range(3000)]
+    rows += [(9000 + i, "only one word".split()[0], "c") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.plan_mix(df).collect()
+    by_source = defaultdict(list)
+    for r in got:
+        by_source[rows[r.doc_id][2] if r.doc_id < 9000 else "c"].append(r)
+    for own in by_source.values():
+        target = own[0].target
+        assert abs(sum(r.taken for r in own) - target) <= 400
+        whole = int(target // own[0].source_size)
+        rate = [sum(r.copies > whole for r in own if (r["size"] > 100) == long) / max(1, sum((r["size"] > 100) == long for r in own)) for long in (False, True)]
+        if 0.02 < target / own[0].source_size - whole < 0.98:  # longer documents are likelier, shorter ones are drawn too
+            assert rate[1] > rate[0] > 0
+
+
 def test_mix_repeats_rows(spark):
     plan_rows = {(r.doc_id, r["size"]): r.copies for r in mixing.plan_mix(frame(spark)).collect()}
     got = Counter(r.doc_id for r in mixing.mix(frame(spark)).collect())
