@@ -298,7 +298,9 @@ def classify_task_lines(lines: DataFrame, strict: bool = False, line_col: str =
     ``ValueError`` that names the first one by file and line, whichever task met one first.
     With ``materialize`` (always so when strict) the classified lines are checkpointed into the
     shared checkpoint folder, so the tasks, the errors and the counts all read them instead of
-    parsing every line again."""
+    parsing every line again. Without it they come out of a generator of one row per line: a filter
+    on the result stays above it. Pushed below, it would hold a copy of the whole check
+    wherever the check names one of its own columns."""
     keep = [c for c in ("file_path", "line_no") if c in lines.columns]
     lines = spread(lines)
     df = lines.select(*keep, py_strip(F.col(line_col)).alias("_s")).where(F.col("_s") != "")
@@ -315,7 +317,7 @@ def classify_task_lines(lines: DataFrame, strict: bool = False, line_col: str =
                .when(status == "invalid", F.array_join("_errs", "; ")))
     out = df.select(*keep, "_s", "raw", status.alias("status"), message.alias("error"))
     if not (materialize or strict):
-        return out
+        return out.select(*keep, F.inline(F.array(F.struct("_s", "raw", "status", "error"))))
     out = cut_lineage(out)
     if strict:
         raise_first(out)

@@ -117,6 +117,23 @@ def test_filters_and_lookup(spark, jsonl):
     assert listing.columns[-4:] == ["task_id", "difficulty", "node_type", "entry_point"]
 
 
+def _filters(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return [line.lstrip(" :+-") for line in plan if line.lstrip(" :+-").startswith("Filter")]
+
+
+def test_filters_stay_above_the_line_check(spark, jsonl):
+    lines = tk.read_lines(spark, jsonl)
+    tasks = tk.split_classified(tk.classify_task_lines(lines, materialize=False))[0]
+    hit = tk.filter_tasks(tasks, difficulty="easy", node_type="publisher")
+    filters = _filters(hit)
+    assert any("status" in f for f in filters)
+    assert not [f for f in filters if "parse" in f.lower() or len(f) > 2000], filters
+    kept = tk.filter_tasks(tk.load_tasks(spark, jsonl)[0], difficulty="easy", node_type="publisher")
+    rows = sorted(r["line_no"] for r in kept.collect())
+    assert rows and sorted(r["line_no"] for r in hit.collect()) == rows
+
+
 def test_explode_checks_and_static_oracle(spark, tmp_dir):
     checks = [
         {"type": "node_exists", "node_name": "a"},
