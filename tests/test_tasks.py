@@ -134,6 +134,15 @@ def test_filters_stay_above_the_line_check(spark, jsonl):
     assert rows and sorted(r["line_no"] for r in hit.collect()) == rows
 
 
+def test_selection_by_table_stays_above_the_line_check(spark, jsonl):
+    lines = tk.read_lines(spark, jsonl)
+    tasks = tk.split_classified(tk.classify_task_lines(lines, materialize=False))[0]
+    ids = spark.createDataFrame([("ok1",), ("padded",), ("m",), (None,)], "id string")
+    hit = tk.select_tasks(tasks, ids)
+    assert not [f for f in _filters(hit) if "parse" in f.lower() or len(f) > 2000], _filters(hit)
+    assert sorted((r["task_id"], r["line_no"]) for r in hit.collect()) == [("ok1", 1), ("ok1", 14), ("padded", 12)]
+
+
 def test_explode_checks_and_static_oracle(spark, tmp_dir):
     checks = [
         {"type": "node_exists", "node_name": "a"},
