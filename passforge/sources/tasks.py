@@ -624,11 +624,11 @@ def get_task(df: DataFrame, task_id: str) -> DataFrame:
 def find_task(lines: DataFrame, task_id: str, line_col: str = "line") -> DataFrame:
     """B3 straight from the lines: only those that can hold the id are parsed and checked.
 
-    An id of plain characters stands in its line as it is, or behind a ``\\u`` escape; lines without
-    either are passed over by a text search. Other ids have every line parsed."""
+    An id of plain characters stands in its line as it is, in quotes, or behind a ``\\u`` escape; lines
+    without either are passed over by a text search. Other ids have every line parsed."""
     if re.fullmatch(r"[A-Za-z0-9_.:-]+", task_id):
         line = F.col(line_col)
-        lines = lines.where(line.contains(task_id) | line.contains("\\u"))
+        lines = lines.where(line.contains(f'"{task_id}"') | line.contains("\\u"))
     return get_task(split_classified(classify_task_lines(lines, line_col=line_col, materialize=False))[0], task_id)
 
 

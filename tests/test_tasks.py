@@ -143,6 +143,14 @@ def test_selection_by_table_stays_above_the_line_check(spark, jsonl):
     assert sorted((r["task_id"], r["line_no"]) for r in hit.collect()) == [("ok1", 1), ("ok1", 14), ("padded", 12)]
 
 
+def test_lookup_parses_lines_with_the_quoted_id_only(spark):
+    escaped = task("t1").replace('"t1"', '"\\u0074\\u0031"')
+    lines = spark.createDataFrame([(1, task("t10")), (2, task("at1")), (3, escaped), (4, task("t1"))], "line_no long, line string")
+    hit = tk.find_task(lines, "t1")
+    assert [r["line_no"] for r in hit.collect()] == [3]
+    assert [f for f in _filters(hit) if '"t1"' in f], _filters(hit)
+
+
 def test_explode_checks_and_static_oracle(spark, tmp_dir):
     checks = [
         {"type": "node_exists", "node_name": "a"},
