@@ -52,9 +52,28 @@ def _call_name(func: ast.expr) -> str:
     return _text(func) if isinstance(func, (ast.Attribute, ast.Name)) else ""
 
 
-def _is_callback(node: ast.AST, include_async: bool) -> bool:
-    kinds = (ast.FunctionDef, ast.AsyncFunctionDef) if include_async else (ast.FunctionDef,)
-    return isinstance(node, kinds) and "callback" in node.name.lower()
+def _is_callback(node: ast.AST, kinds: Sequence[type]) -> bool:
+    return type(node) in kinds and "callback" in node.name.lower()
+
+
+# Types of node that may have a call or a function below them.
+_LEAVES = (ast.Constant, ast.Name, ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)
+_INNER = frozenset(t for t in vars(ast).values()
+                   if isinstance(t, type) and issubclass(t, ast.AST) and not issubclass(t, _LEAVES))
+
+
+def _inner_nodes(node: ast.AST) -> list[ast.AST]:
+    """Children that may hold calls or functions, last first."""
+    out = []
+    for field in node._fields:
+        value = getattr(node, field, None)
+        kind = type(value)
+        if kind in _INNER:
+            out.append(value)
+        elif kind is list:
+            out += [v for v in value if type(v) in _INNER]
+    out.reverse()
+    return out
 
 
 def lint_source(code: str, rules: Sequence[str] = ALL_RULES, include_async: bool = False,
@@ -72,6 +91,7 @@ def lint_source(code: str, rules: Sequence[str] = ALL_RULES, include_async: bool
         return
     missing = {"W9001", "W9002", "W9003"}
     found = []
+    functions = (ast.FunctionDef, ast.AsyncFunctionDef) if include_async else (ast.FunctionDef,)
     stack: list[tuple[ast.AST, int]] = [(tree, 0)]
     while stack:
         node, callbacks = stack.pop()
@@ -87,8 +107,8 @@ def lint_source(code: str, rules: Sequence[str] = ALL_RULES, include_async: bool
                     found.append(("W9020", node.lineno, RULES["W9020"][1]))
             if callbacks and (name := _call_name(func)) in BLOCKING_CALLS:
                 found.append(("W9010", node.lineno, RULES["W9010"][1].format(name)))
-        inside = callbacks + _is_callback(node, include_async)
-        stack += [(child, inside) for child in reversed(list(ast.iter_child_nodes(node)))]
+        inside = callbacks + _is_callback(node, functions)
+        stack += [(child, inside) for child in _inner_nodes(node)]
     found += [(rule, 1, RULES[rule][1]) for rule in sorted(missing)]
     for rule, line, msg in found:
         if rule in rules:

@@ -211,3 +211,17 @@ def test_lint_table_takes_its_rules_from_sql(spark):
             spark.sql(f"SELECT * FROM lint_table(TABLE(lint_me), 'src', {bad})").collect()
     with pytest.raises(Exception, match="must name a column"):
         spark.sql("SELECT * FROM lint_table(TABLE(lint_me), 'nope')").collect()
+
+
+def test_lint_passes_over_nodes_without_calls(monkeypatch):
+    """Names, constants and operators are never visited; calls anywhere else are found."""
+    seen = []
+    monkeypatch.setattr(cc, "_inner_nodes", lambda node, f=cc._inner_nodes: seen.append(type(node).__name__) or f(node))
+    assert [r for r, *_ in cc.lint_source("y = " + " + ".join(["a.b"] * 50))] == ["W9001", "W9002", "W9003"]
+    assert seen.count("Attribute") == 50 and not {"Name", "Load", "Add", "Constant", "Store"} & set(seen)
+    places = ["@d(input())\nclass A(B(input()), k=input()): pass", "x: t(input()) = [i for i in input() if input()]",
+              "match input():\n    case P(a=1) if input(): input()", "with input() as q, input(): pass",
+              "try: input()\nexcept E(input()): input()\nfinally: input()", "f'{input()!r:{input()}}'", "g = lambda z=input(): {**input()}"]
+    body = "\n".join(places).replace("\n", "\n    ")
+    got = [line for r, _, line, _ in cc.lint_source(f"def a_callback(v=input()):\n    {body}\n") if r == "W9010"]
+    assert len(got) == sum(p.count("input()") for p in places) + 1
