@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._util import as_col
+from ._util import as_col, let
 
 _TOKENS = r'"(?:[^"\\]|\\.)*+"|[^"]+'
 _NUMBER = r"-?[0-9][0-9.eE+-]*"
@@ -57,11 +57,14 @@ def _ascii(string: Column) -> Column:
         return F.when(p.rlike(r"^[\x20-\x7E]"), p).otherwise(F.regexp_replace(units, "(....)", r"\\u$1"))
 
     parts = F.regexp_extract_all(string, F.lit(r"[\x20-\x7E]+|[^\x20-\x7E]+"), F.lit(0))
-    out = F.when(string.rlike(r"[^\x20-\x7E]"), F.array_join(F.transform(parts, part), "")).otherwise(string)
-    lower = out
-    for digit in "ABCDEF":  # control characters come with upper-case digits
-        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*\\u00[01]){digit}", f"$1{digit.lower()}")
-    return F.when(out.contains("\\u00"), lower).otherwise(out)
+
+    def lowered(out: Column) -> Column:
+        lower = out
+        for digit in "ABCDEF":  # control characters come with upper-case digits
+            lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*\\u00[01]){digit}", f"$1{digit.lower()}")
+        return F.when(out.contains("\\u00"), lower).otherwise(out)
+
+    return let(F.when(string.rlike(r"[^\x20-\x7E]"), F.array_join(F.transform(parts, part), "")).otherwise(string), lowered)
 
 
 def _float(number: Column) -> Column:
@@ -74,20 +77,28 @@ def _float(number: Column) -> Column:
     short = F.length(F.regexp_replace(digits(number), "^0+|0+$", "")) <= 15
     double = number.cast("double")
     tries = F.array(*[F.format_string(f"%.{p}e", double) for p in range(17)], double.cast("string"))
-    n = F.when(short, number).otherwise(F.filter(tries, lambda t: t.cast("double") == double)[0])
-    every = digits(n)
-    exponent = F.coalesce(F.nullif(F.regexp_extract(n, _PARTS, 3), F.lit("")).cast("int"), F.lit(0))
-    behind_zeros = F.regexp_replace(every, "^0+", "")
-    point = F.length(F.regexp_extract(n, _PARTS, 1)) + exponent - (F.length(every) - F.length(behind_zeros))
-    d = F.regexp_replace(behind_zeros, "0+$", "")
-    size = F.length(d)
-    rest = F.substring(d, 2, 2**31 - 1)
-    power = point - 1
-    scientific = F.concat(F.substring(d, 1, 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")), F.lit("e"),
-                          F.when(power < 0, F.lit("-")).otherwise(F.lit("+")),
-                          F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(power).cast("string"))
-    plain = (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), d))
-             .when(point >= size, F.concat(d, F.repeat(F.lit("0"), point - size), F.lit(".0")))
-             .otherwise(F.concat(d.substr(F.lit(1), point), F.lit("."), d.substr(point + 1, size))))
-    body = F.when(d == "", F.lit("0.0")).when((power >= -4) & (power < 16), plain).otherwise(scientific)
+    shortest = F.when(short, number).otherwise(F.filter(tries, lambda t: t.cast("double") == double)[0])
+
+    def laid_out(d: Column, power: Column) -> Column:
+        size, point = F.length(d), power + 1
+        rest = F.substring(d, 2, 2**31 - 1)
+        scientific = F.concat(F.substring(d, 1, 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")), F.lit("e"),
+                              F.when(power < 0, F.lit("-")).otherwise(F.lit("+")),
+                              F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(power).cast("string"))
+        plain = (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), d))
+                 .when(point >= size, F.concat(d, F.repeat(F.lit("0"), point - size), F.lit(".0")))
+                 .otherwise(F.concat(d.substr(F.lit(1), point), F.lit("."), d.substr(point + 1, size))))
+        return F.when((power >= -4) & (power < 16), plain).otherwise(scientific)
+
+    def written(n: Column, every: Column) -> Column:
+        exponent = F.coalesce(F.nullif(F.regexp_extract(n, _PARTS, 3), F.lit("")).cast("int"), F.lit(0))
+
+        def by_digits(behind_zeros: Column) -> Column:
+            point = F.length(F.regexp_extract(n, _PARTS, 1)) + exponent - (F.length(every) - F.length(behind_zeros))
+            return let(F.regexp_replace(behind_zeros, "0+$", ""), lambda d: F.when(d == "", F.lit("0.0")).otherwise(
+                let(point - 1, lambda power: laid_out(d, power))))
+
+        return let(F.regexp_replace(every, "^0+", ""), by_digits)
+
+    body = let(shortest, lambda n: let(digits(n), lambda every: written(n, every)))
     return F.concat(F.when(number.startswith("-"), F.lit("-")).otherwise(F.lit("")), body)

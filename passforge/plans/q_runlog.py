@@ -16,7 +16,7 @@ from ..session import remove_at_exit, scratch_path
 from ..sources import runlog as rl
 from ..sources.bindings import (candidates_view, method_rows_view, run_log_children, run_log_view,
                                 runs_view, sql_run_id, table, with_views)
-from ..sources.tasks import read_lines
+from ..sources.tasks import read_lines, spread
 from .catalog import query
 
 N_CANDIDATES = 8
@@ -202,7 +202,7 @@ select p_partkey, substr(sha256('{"A": 1e-05, "k": ' || cast(p_partkey as varcha
   || cast(p_size as varchar) || ', 2.5, "\u00e9\u6f22 ' || p_name || '"], "c": {}}}'), 1, 12) as config_hash
 from part""")
 def h5(spark, sf):
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_size", "p_name"))
     cfg = F.concat(F.lit('{"z" :{"c":{}, "b":['), F.col("p_size").cast("string"), F.lit(',2.50,  "\u00e9漢 '), F.col("p_name"),
                    F.lit('"],"a":null},\n"k":'), F.col("p_partkey").cast("string"), F.lit(', "A": 1E-5}'))
     return p.select("p_partkey", config_hash(cfg).alias("config_hash"))

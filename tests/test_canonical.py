@@ -63,3 +63,23 @@ def test_text_that_is_no_json(spark):
     assert [r[0] for r in df.select(canonical_json("c")).collect()] == [None, None, None]
     want = hashlib.sha256(b"{oops").hexdigest()[:12]
     assert df.select(config_hash(F.col("c"))).first()[0] == want
+
+
+def test_config_hashes_are_dealt_to_all_tasks(spark, tmp_dir):
+    """A part table of one small file is one split; its fingerprints are CPU-bound."""
+    import os
+
+    from passforge.plans.q_runlog import h5
+    spark.range(40).selectExpr("id as p_partkey", "cast(id % 7 as int) as p_size", "concat('näme ', id) as p_name") \
+        .coalesce(1).write.parquet(os.path.join(tmp_dir, "part.parquet"))
+    out = h5(spark, tmp_dir)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = {k: hashlib.sha256(json.dumps({"z": {"c": {}, "b": [k % 7, 2.5, f"é漢 näme {k}"], "a": None}, "k": k, "A": 1e-5},
+                                         sort_keys=True).encode()).hexdigest()[:12] for k in range(40)}
+    assert {r["p_partkey"]: r["config_hash"] for r in out.collect()} == want
+
+
+def test_a_number_names_its_text_once(spark):
+    """The digits of a number are found once, not at every place of the expression that needs them."""
+    plan = spark.createDataFrame([("1.50",)], "t string").select(canonical_json("t"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("%.16e") <= 2, plan.count("%.16e")
