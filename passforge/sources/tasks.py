@@ -576,6 +576,7 @@ def contract_reasons(df: DataFrame, contract: str | dict, json_col: str = "json"
     """A4 in one pass: every record with the array of reasons it breaks the contract
     (empty when accepted). ``enforce_contract`` splits this into two frames."""
     spec = CONTRACTS[contract] if isinstance(contract, str) else contract
+    df = spread(df)
     reasons = _contract_reasons(F.col(json_col), spec, F.lit(""))
     return df.withColumn(out, F.filter(F.array(*reasons), lambda r: r.isNotNull()))
 

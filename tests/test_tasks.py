@@ -270,3 +270,11 @@ def test_contract_types_and_variants(spark):
         df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(rows)], "id int, json string")
         got = {r["id"]: r["reasons"] for r in tk.contract_reasons(df, contract).collect()}
         assert {i: not reasons for i, reasons in got.items()} == {i: ok for i, (_, ok) in enumerate(rows)}, (contract, got)
+
+
+def test_contracts_are_checked_in_all_tasks(spark):
+    """Records of one split are dealt to all tasks: the check is bound by the CPU."""
+    df = spark.range(0, 64, 1, 1).select("id", F.when(F.col("id") % 2 == 0, '{"status": "OK"}').otherwise("nope").alias("json"))
+    out = tk.contract_reasons(df, "execution_result")
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r["id"]: r["reasons"] for r in out.collect()} == {i: [] if i % 2 == 0 else ["not a JSON object"] for i in range(64)}
