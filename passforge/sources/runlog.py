@@ -63,8 +63,9 @@ def scan_runs(runs: DataFrame, experiment_id: str | None = None, ordered: bool =
 
 def scan_experiments(runs: DataFrame, experiments: DataFrame) -> DataFrame:
     """A5 for a table of experiments: their rows only. On a store partitioned by experiment the
-    planner prunes partitions by the experiments found when the query runs."""
-    return runs.join(experiments.select("experiment_id"), "experiment_id", "left_semi")
+    planner prunes partitions by the experiments found when the query runs. The ids are broadcast:
+    dealt by experiment, all runs of one would meet in one task."""
+    return runs.join(F.broadcast(experiments.select("experiment_id")), "experiment_id", "left_semi")
 
 
 def finished_in_store(runs: DataFrame, methods: DataFrame, experiments: DataFrame,

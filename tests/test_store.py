@@ -120,3 +120,19 @@ def test_best_of_n_has_one_winner(spark):
     df = spark.createDataFrame(rows, "task_id string, candidate_idx int, overall_pass boolean, n_passed int, mean_score double, note string")
     got = sorted((r["task_id"], r["candidate_idx"], r["note"]) for r in v.select_best(df).collect())
     assert got == [("t", 0, "best"), ("u", 3, "only")]
+
+
+def test_scanned_experiments_are_broadcast(spark, tmp_dir):
+    """Few experiments hold all runs: dealt by experiment, a task would get all runs of one."""
+    path = os.path.join(tmp_dir, "log")
+    rl.write_append(spark.createDataFrame(log_rows(), LOG), path)
+    log = spark.read.parquet(path)
+    ids = log.where("candidate_idx = 0").select("experiment_id").distinct()
+    got = rl.scan_experiments(log, ids)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got.count() == log.join(ids, "experiment_id").count()
