@@ -348,7 +348,7 @@ def a6(spark, sf):
     return spark.table(f"{db}.runs").select("run_id", "experiment_id", "task_id", "candidate_idx", "overall_pass")
 
 
-# Fixed values of the store binding: the RL log in a store of 8 buckets; experiments exp-1 and
+# Fixed values of the store binding: the RL log in a store of 8 buckets, more above 4,000,000 rows; experiments exp-1 and
 # exp-3 have the config 'odd'. Method rows exist for attempts that passed or have an even candidate index.
 _ODD_SQL = """
 , cur as (select * from (select *, row_number() over (partition by experiment_id, task_id, candidate_idx
@@ -356,7 +356,8 @@ _ODD_SQL = """
 
 
 def _filled_store(spark, sf):
-    db, _ = _store(spark, sf, buckets=8)
+    buckets = rl.buckets_for(table(spark, sf, "lineitem").count())
+    db, _ = _store(spark, sf, buckets=buckets)
     log = run_log_view(spark, sf)
     names = log.select("experiment_id").distinct()
     odd = F.substring("experiment_id", -1, 1).cast("int") % 2 == 1
@@ -364,9 +365,9 @@ def _filled_store(spark, sf):
                                 F.lit("{}").alias("config_json"), F.lit("2024-01-01").cast("timestamp").alias("started_at")),
                    f"{db}.experiments")
     more = {"provider": F.lit("driver"), "created_at": F.lit("2024-01-01").cast("timestamp")}
-    rl.append_rows(log.withColumns(more), f"{db}.runs", 8)
+    rl.append_rows(log.withColumns(more), f"{db}.runs", buckets)
     kids = run_log_children(log.where((F.col("overall_pass") == 1) | (F.col("candidate_idx") % 2 == 0)))
-    rl.append_rows(kids.withColumn("id", rl.method_result_id("run_id", "method", "ingest_seq")), f"{db}.method_results", 8)
+    rl.append_rows(kids.withColumn("id", rl.method_result_id("run_id", "method", "ingest_seq")), f"{db}.method_results", buckets)
     return spark.table(f"{db}.runs"), spark.table(f"{db}.method_results"), spark.table(f"{db}.experiments")
 
 

@@ -47,6 +47,16 @@ def init_store(spark: SparkSession, root: str, database: str | None = None, buck
     return locs
 
 
+#: Rows of a bucket that one task sorts or aggregates in some hundred MB.
+BUCKET_ROWS = 500_000
+
+
+def buckets_for(rows: int, least: int = 8) -> int:
+    """Buckets of a store for about ``rows`` runs: a bucket is written and read by one task, so their
+    number follows the rows."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def append_rows(df: DataFrame, table: str, buckets: int = 0) -> None:
     """Append rows to a table of the store by column name; absent columns are NULL. With ``buckets`` the
     rows are dealt by run first, so a write makes one file per bucket and experiment."""

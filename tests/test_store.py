@@ -136,3 +136,7 @@ def test_scanned_experiments_are_broadcast(spark, tmp_dir):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got.count() == log.join(ids, "experiment_id").count()
+
+
+def test_buckets_follow_the_rows():
+    assert [rl.buckets_for(n) for n in (0, 600_000, 4_000_000, 4_000_001, 36_000_000)] == [8, 8, 8, 9, 72]
