@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import land
 from .ranking import positions
 
 
@@ -52,7 +53,8 @@ def assign_seeds(work: DataFrame, base_seed: int | None = 0, honours_seed: bool
     position among the task's pending items (what a provider that numbers seeds from the
     first item records); NULL for a provider that ignores seeds or a NULL base.
 
-    Positions come from ``ranking.positions``: no task is sorted in a single task.
+    Positions come from ``ranking.positions``: no task is sorted in a single task. The work is landed
+    first, so its plan (a grid less what is done, as a rule) is computed once.
     """
     keys = list(keys)
     planned = (F.lit(None).cast("int") if base_seed is None
@@ -60,11 +62,10 @@ def assign_seeds(work: DataFrame, base_seed: int | None = 0, honours_seed: bool
     out = work.withColumn("planned_seed", planned)
     if base_seed is None or not honours_seed:
         return out.withColumn("recorded_seed", F.lit(None).cast("int"))
-    # First pending seed per task: an aggregate (combined map-side); position: skew-safe.
-    first = out.groupBy(*keys).agg(F.min("planned_seed").alias("_first"))
-    numbered = positions(out, keys, ["candidate_idx"], out="_pos")
-    return numbered.join(first, keys).withColumn(
-        "recorded_seed", (F.col("_first") + F.col("_pos") - 1).cast("int")).drop("_first", "_pos")
+    # First pending seed and position of a task come from the same skew-safe counts.
+    numbered = positions(land(out, "seeds"), keys, ["candidate_idx"], out="_pos", least=["planned_seed"])
+    return numbered.withColumn(
+        "recorded_seed", (F.col("_least_planned_seed") + F.col("_pos") - 1).cast("int")).drop("_least_planned_seed", "_pos")
 
 
 def pair_outputs(items: DataFrame, outputs: DataFrame, keys: Sequence[str] = ("task_id",),

@@ -12,7 +12,7 @@ from ..functions.ids import config_hash
 from ..operators import metrics as m
 from ..operators import verdicts as v
 from ..operators import work as w
-from ..session import remove_at_exit, scratch_path
+from ..session import land, remove_at_exit, scratch_path
 from ..sources import runlog as rl
 from ..sources.bindings import (candidates_view, method_rows_view, run_log_children, run_log_view,
                                 runs_view, sql_run_id, table, with_views)
@@ -82,8 +82,10 @@ def c4(spark, sf):
 
 
 def _pending(spark, sf):
-    runs = _runs_with_ids(spark, sf)
-    done = rl.finished_keys(runs, _r_methods(runs), key=("experiment_id", "model", "task_id", "candidate_idx"))
+    # numbered once: the tasks, the runs and their method rows are read from files
+    runs = land(_runs_with_ids(spark, sf).select(*R_KEY, "candidate_idx", "overall_pass", "gen_error", "run_id"), "runs")
+    # both joins keep their left rows by a key that comes once: hashed, nothing is sorted
+    done = rl.finished_keys(runs, _r_methods(runs).hint("shuffle_hash"), key=(*R_KEY, "candidate_idx")).hint("shuffle_hash")
     tasks = runs.select(*R_KEY).distinct()
     return tasks, w.pending_work(tasks, N_CANDIDATES, done, base_seed=0, keys=R_KEY)
 

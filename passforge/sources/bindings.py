@@ -45,11 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def runs_view(spark: SparkSession, sf_dir: str, with_ids: bool = False) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_linestatus", "l_returnflag", "l_partkey").orderBy(*LINEITEM_ORDER)
-    df = li.select(
+    # numbered as they are; columns made before the window would be shuffled and sorted with it
+    numbered = li.select("l_partkey", "l_returnflag", "l_linestatus", *LINEITEM_ORDER,
+                         (F.row_number().over(w) - 1).cast("int").alias("candidate_idx"))
+    df = numbered.select(
         F.col("l_linestatus").alias("experiment_id"),
         F.col("l_returnflag").alias("model"),
         F.col("l_partkey").cast("string").alias("task_id"),
-        (F.row_number().over(w) - 1).cast("int").alias("candidate_idx"),
+        "candidate_idx",
         F.col("l_extendedprice").alias("latency_ms"),
         F.col("l_quantity").cast("int").alias("prompt_tokens"),
         (F.col("l_linenumber") * 10).cast("int").alias("completion_tokens"),

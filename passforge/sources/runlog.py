@@ -234,19 +234,18 @@ def finished_keys(runs: DataFrame, methods: DataFrame, experiment_id: str | None
     """C4: keys of runs that finished: passed, OR recorded a generation error, OR have a
     method row. A run with none of these crashed during verification and is retried.
 
-    The EXISTS is a left join to the distinct (experiment, run, attempt) of ``methods``, as
-    far as both tables carry those columns, aggregated map-side; so method rows of a
-    replaced attempt do not count.
+    The EXISTS is a left semi join to the (experiment, run, attempt) of ``methods``, as far as
+    both tables carry those columns, so method rows of a replaced attempt do not count. Only runs
+    that did not finish by themselves are joined.
     """
     scope = [c for c in ("experiment_id", "run_id", "ingest_seq") if c in runs.columns and c in methods.columns]
     if experiment_id is not None:  # a partition filter on both tables
         runs = runs.where(F.col("experiment_id") == F.lit(experiment_id))
         if "experiment_id" in methods.columns:
             methods = methods.where(F.col("experiment_id") == F.lit(experiment_id))
-    has_methods = methods.select(*scope).distinct().withColumn("_has_method", F.lit(True))
-    j = runs.join(has_methods, scope, "left")
-    cond = (F.col("overall_pass") == 1) | F.col("gen_error").isNotNull() | F.col("_has_method").isNotNull()
-    return j.where(cond).select(*key)
+    by_itself = F.coalesce((F.col("overall_pass") == 1) | F.col("gen_error").isNotNull(), F.lit(False))
+    verified = runs.where(~by_itself).join(methods.select(*scope), scope, "left_semi")
+    return runs.where(by_itself).select(*key).unionByName(verified.select(*key))
 
 
 def resume_keys(run_log: DataFrame, method_log: DataFrame, experiment_id: str) -> DataFrame:

@@ -47,3 +47,47 @@ def test_positions_match_row_number_with_a_hot_key(spark):
     want = df.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("o")))
     assert sorted(map(tuple, got.select("k", "o", "pos").collect())) == \
         sorted(map(tuple, want.select("k", "o", "pos").collect()))
+
+
+LINEITEM = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+            "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp")
+
+
+def lineitems(spark, folder):
+    """Attempts of three orders; the first line of order 1 comes three times."""
+    import datetime as dt
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(o, 1 + o % 2, s, n, 5.0, 10.0 + s, 0.02 * s, 0.03 * s, "A", "F", day)
+            for o, n, times in ((1, 1, 3), (1, 2, 1), (2, 1, 2), (3, 1, 1)) for s in range(1, times + 1)]
+    spark.createDataFrame(rows, LINEITEM).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def test_assign_seeds_computes_its_work_once(spark):
+    from pyspark.sql import functions as F
+
+    from passforge.operators.work import assign_seeds
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(i):
+        calls.add(1)
+        return i
+
+    work = spark.range(60).select(F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("task_id"),
+                                  counted((F.col("id") + 4).cast("int")).alias("candidate_idx"))
+    got = {(r["task_id"], r["candidate_idx"]): (r["planned_seed"], r["recorded_seed"])
+           for r in assign_seeds(work, base_seed=100).collect()}
+    assert got == {(f"t{i % 3}", i + 4): (i + 104, 104 + i % 3 + i // 3) for i in range(60)}
+    assert calls.value == 60, calls.value
+
+
+def test_runs_are_numbered_before_columns_are_made(spark, tmp_dir):
+    from passforge.sources.bindings import runs_view
+
+    df = runs_view(spark, lineitems(spark, tmp_dir), with_ids=True)
+    assert "rate limited" not in plan(df).split("Window", 1)[1]  # nor shuffled and sorted
+    assert sorted((r["task_id"], r["candidate_idx"]) for r in df.collect()) == \
+        [("1", 0), ("1", 1), ("2", 0), ("2", 1), ("2", 2), ("2", 3), ("2", 4)]
