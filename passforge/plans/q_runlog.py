@@ -241,7 +241,8 @@ def a10_stored(spark, sf):
         "experiment_id", "task_id", "candidate_idx", "ingest_seq", "model", "overall_pass", "run_id",
         F.parse_json(F.to_json(F.struct(F.col("latency_ms").alias("latency")))).alias("payload"))
     rl.write_append(log, path)
-    rl.write_append(log.where(F.col("ingest_seq") % 3 == 1), path)
+    again = spark.read.parquet(path).select(*log.columns)  # the attempts as they were written, not numbered anew
+    rl.write_append(again.where(F.col("ingest_seq") % 3 == 1), path)
     remove_at_exit(spark, path)
     cur = rl.current_runs(spark, path)
     return cur.select("experiment_id", "task_id", "candidate_idx", "ingest_seq", "model", "overall_pass", "run_id",

@@ -129,7 +129,9 @@ LOG_ORDER = ("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quant
 def run_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LOG_ORDER)
-    df = li.select(
+    # numbered as they are; columns made before the window would be shuffled and sorted with it
+    numbered = li.select("l_orderkey", "l_linenumber", *LOG_ORDER, F.row_number().over(w).cast("long").alias("ingest_seq"))
+    df = numbered.select(
         F.concat(F.lit("exp-"), (F.col("l_orderkey") % 4).cast("string")).alias("experiment_id"),
         F.col("l_orderkey").cast("string").alias("task_id"),
         F.col("l_linenumber").alias("candidate_idx"),
@@ -138,7 +140,7 @@ def run_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_discount") >= F.lit(0.05), 1).otherwise(0).alias("overall_pass"),
         F.when(F.col("l_tax") >= F.lit(0.08), F.lit("rate limited")).alias("gen_error"),
         F.col("l_tax"),
-        F.row_number().over(w).cast("long").alias("ingest_seq"),
+        "ingest_seq",
     )
     return df.withColumn("run_id", run_id_expr("experiment_id", "task_id", "candidate_idx"))
 

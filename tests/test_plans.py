@@ -91,3 +91,32 @@ def test_runs_are_numbered_before_columns_are_made(spark, tmp_dir):
     assert "rate limited" not in plan(df).split("Window", 1)[1]  # nor shuffled and sorted
     assert sorted((r["task_id"], r["candidate_idx"]) for r in df.collect()) == \
         [("1", 0), ("1", 1), ("2", 0), ("2", 1), ("2", 2), ("2", 3), ("2", 4)]
+
+
+def test_attempts_are_numbered_before_columns_are_made(spark, tmp_dir):
+    from passforge.sources.bindings import run_log_view
+
+    df = run_log_view(spark, lineitems(spark, tmp_dir))
+    assert "exp-" not in plan(df).split("Window", 1)[1]  # nor shuffled and sorted
+    assert sorted((r["task_id"], r["candidate_idx"], r["ingest_seq"]) for r in df.collect()) == \
+        [("1", 1, 1), ("1", 1, 2), ("1", 1, 3), ("1", 2, 1), ("2", 1, 1), ("2", 1, 2), ("3", 1, 1)]
+
+
+def test_stored_log_is_numbered_once(spark, tmp_dir, monkeypatch):
+    """The attempts that are appended again are read back, so what the log is made of is computed once."""
+    from pyspark.sql import functions as F
+
+    from passforge.plans import q_runlog
+
+    calls, view = spark.sparkContext.accumulator(0), q_runlog.run_log_view
+
+    @F.udf("double")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    monkeypatch.setattr(q_runlog, "run_log_view", lambda *a: view(*a).withColumn("latency_ms", counted("latency_ms")))
+    got = sorted((r["task_id"], r["candidate_idx"], r["ingest_seq"], r["latency"])
+                 for r in E.queries()["a10_current_runs"](spark, lineitems(spark, tmp_dir)).collect())
+    assert got == [("1", 1, 3, 13.0), ("1", 2, 1, 11.0), ("2", 1, 2, 12.0), ("3", 1, 1, 11.0)]
+    assert calls.value == 7, calls.value
