@@ -153,8 +153,9 @@ select k.run_id, k.ingest_seq, k.method, k.passed from kids k
 where exists (select 1 from cur c where {sql_run_id('c.experiment_id', 'c.task_id', 'c.candidate_idx')} = k.run_id
               and c.ingest_seq = k.ingest_seq)""", "RL"))
 def a10m(spark, sf):
-    log = run_log_view(spark, sf)
-    cur = rl.upsert_runs(log)
+    # the attempts are numbered once: current runs and method rows both read them from files
+    log = land(run_log_view(spark, sf).select(*rl.RUN_KEY, "ingest_seq", "run_id", "overall_pass", "l_tax"), "a10-attempts")
+    cur = rl.upsert_runs(rl.with_row_address(log))
     return rl.current_methods(run_log_children(log), cur).select("run_id", "ingest_seq", "method", "passed")
 
 

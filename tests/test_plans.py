@@ -120,3 +120,11 @@ def test_stored_log_is_numbered_once(spark, tmp_dir, monkeypatch):
                  for r in E.queries()["a10_current_runs"](spark, lineitems(spark, tmp_dir)).collect())
     assert got == [("1", 1, 3, 13.0), ("1", 2, 1, 11.0), ("2", 1, 2, 12.0), ("3", 1, 1, 11.0)]
     assert calls.value == 7, calls.value
+
+
+def test_method_rows_of_current_attempts_come_from_files(spark, tmp_dir):
+    df = E.queries()["a10_current_methods"](spark, lineitems(spark, tmp_dir))
+    assert "Window" not in plan(df)  # the attempts are numbered once, when they are landed
+    assert sorted((r["ingest_seq"], r["method"], r["passed"]) for r in df.collect()) == sorted(
+        [(3, "ruff", 1), (3, "pytest", 0), (1, "ruff", 0), (1, "pytest", 1), (2, "ruff", 0), (2, "pytest", 0),
+         (1, "ruff", 0), (1, "pytest", 1)])
