@@ -62,10 +62,16 @@ _INNER = frozenset(t for t in vars(ast).values()
                    if isinstance(t, type) and issubclass(t, ast.AST) and not issubclass(t, _LEAVES))
 
 
+# Their fields that hold such nodes; the others hold names, numbers or leaves.
+_PLAIN_FIELDS = {"id", "name", "names", "attr", "arg", "ctx", "op", "ops", "kind", "module", "level", "lineno", "tag", "rest",
+                 "type_comment", "type_ignores", "is_async", "simple", "conversion", "asname", "kwd_attrs"}
+_NODE_FIELDS = {t: tuple(f for f in t._fields if f not in _PLAIN_FIELDS) for t in _INNER}
+
+
 def _inner_nodes(node: ast.AST) -> list[ast.AST]:
     """Children that may hold calls or functions, last first."""
     out = []
-    for field in node._fields:
+    for field in _NODE_FIELDS[type(node)]:
         value = getattr(node, field, None)
         kind = type(value)
         if kind in _INNER:

@@ -225,3 +225,27 @@ def test_lint_passes_over_nodes_without_calls(monkeypatch):
     body = "\n".join(places).replace("\n", "\n    ")
     got = [line for r, _, line, _ in cc.lint_source(f"def a_callback(v=input()):\n    {body}\n") if r == "W9010"]
     assert len(got) == sum(p.count("input()") for p in places) + 1
+
+
+def test_lint_walk_skips_no_field_that_may_hold_nodes():
+    """The fields that the walk passes over hold no expression, statement or list of them."""
+    from passforge.operators import code_checks as cc
+
+    leaves = ("expr_context", "operator", "cmpop", "boolop", "unaryop", "alias", "type_ignore", "str", "int", "object")
+    for t in cc._INNER:
+        assert set(cc._NODE_FIELDS[t]) | cc._PLAIN_FIELDS >= set(t._fields)
+        skipped = {f: str(k) for f, k in getattr(t, "_field_types", {}).items() if f not in cc._NODE_FIELDS[t]}
+        assert all(any(x in k for x in leaves) for f, k in skipped.items() if (t.__name__, f) != ("TypeAlias", "name")), skipped
+    code = "type A = f()\nasync def callback():\n    with a(b=input()) as c, d[lambda: g()]:\n        rclpy.init(*[x for x in y])\n"
+    seen = {cc._call_name(n.func) for n in _walk(cc, code) if type(n).__name__ == "Call"}
+    assert seen == {"f", "a", "input", "g", "rclpy.init"}
+
+
+def _walk(cc, code):
+    import ast
+
+    stack = [ast.parse(code)]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack += cc._inner_nodes(node)

@@ -128,3 +128,16 @@ def test_method_rows_of_current_attempts_come_from_files(spark, tmp_dir):
     assert sorted((r["ingest_seq"], r["method"], r["passed"]) for r in df.collect()) == sorted(
         [(3, "ruff", 1), (3, "pytest", 0), (1, "ruff", 0), (1, "pytest", 1), (2, "ruff", 0), (2, "pytest", 0),
          (1, "ruff", 0), (1, "pytest", 1)])
+
+
+def test_task_lines_are_made_in_all_tasks(spark, tmp_dir):
+    """Lines are made, stripped and filtered behind the exchange, not in the task that reads the split."""
+    from passforge.sources import tasks as tk
+    from passforge.sources.bindings import task_lines_view
+
+    parts = [(k, "old tin", "SMALL", 10) for k in (1, 17, 23, 31)]  # good, cut, blank, no object
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_size int").coalesce(1) \
+        .write.parquet(f"{tmp_dir}/part.parquet")
+    df = tk.classify_task_lines(task_lines_view(spark, tmp_dir), materialize=False)
+    assert "task_id" not in plan(df).rsplit("Exchange", 1)[1]
+    assert sorted((r["line_no"], r["status"]) for r in df.collect()) == [(2, "ok"), (18, "malformed"), (32, "not_object")]
