@@ -41,13 +41,26 @@ def _sums(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
     out = np.zeros((n, values.shape[1]), values.dtype)
     if len(at):
         order = np.argsort(at.astype(np.uint16) if n <= 2**16 else at, kind="stable")
-        key = at[order]
+        key = at.take(order)
         first = np.flatnonzero(np.diff(key, prepend=-1))
-        out[key[first]] = np.add.reduceat(values[order], first, axis=0)
+        rows = values.take(order, axis=0)
+        if values.shape[1] % 2 == 0:  # two numbers in one addition
+            rows = rows.view(np.result_type(values.dtype, np.complex64))
+        out[key.take(first)] = np.add.reduceat(rows, first, axis=0).view(values.dtype)
     return out
 
 
 _DISTANCE = np.clip(np.arange(STRIDE)[:, None] + STRIDE - np.arange(SPAN)[None], 0, SPAN - 1)
+_SEEN = (causal_mask() == 0).astype(np.float32)
+_SMALL = 40  # exp of what is no farther from 0 needs no shift
+
+
+def _small(z: np.ndarray) -> bool:
+    return bool(z.min(initial=0) > -_SMALL and z.max(initial=0) < _SMALL)
+
+
+def _row_sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[-1], z.dtype)
 
 
 class Attention:
@@ -66,101 +79,145 @@ class Attention:
         }
 
     def _attend(self, tables, x: np.ndarray, ok: np.ndarray):
-        """Attention of the window rows ``x`` (B, SPAN): weights and mixed values."""
-        q, k, v, bias = tables
-        keys, values = k[x], v[x]
-        w = np.matmul(q[x[:, STRIDE:]], keys.transpose(0, 2, 1))
-        w += bias
-        w += np.where(ok, np.float32(0), _MASKED)[:, None, :]
-        w -= w.max(2, keepdims=True)
+        """Attention of the window rows ``x`` (B, SPAN): weights not yet divided by their sums, the
+        sums, queries, keys, values and mixed values."""
+        q, k, v, near = tables
+        query, keys, values = q.take(x[:, STRIDE:], axis=0), k.take(x, axis=0), v.take(x, axis=0)
+        w = np.matmul(query, keys.transpose(0, 2, 1))
+        w += near
+        if not _small(w):
+            w += causal_mask()
+            w += np.where(ok, np.float32(0), _MASKED)[:, None, :]
+            w -= w.max(2, keepdims=True)
         np.exp(w, out=w)
-        w /= w.sum(2, keepdims=True)
-        return w, np.matmul(w, values), keys, values
+        w *= _SEEN
+        if not ok.all():
+            w *= ok.astype(np.float32)[:, None, :]
+        total = _row_sums(w)[:, :, None]
+        mixed = np.matmul(w, values)
+        mixed /= total
+        return w, total, query, keys, values, mixed
 
     def tables(self):
         p = self.p
         scale = np.float32(1 / np.sqrt(self.dim))
-        return p["emb"] @ p["wq"] * scale, p["emb"] @ p["wk"], p["emb"] @ p["wv"], p["near"][_DISTANCE] + causal_mask()
+        return p["emb"] @ p["wq"] * scale, p["emb"] @ p["wk"], p["emb"] @ p["wv"], p["near"][_DISTANCE]
+
+    def _by_class(self, goal: np.ndarray):
+        """The order of targets by class, where the classes begin in it, and the targets' classes and
+        places in them in that order."""
+        cls = goal // self.width
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        cls = cls.take(order)
+        return order, np.searchsorted(cls, np.arange(self.classes + 1)).tolist(), cls, goal.take(order) % self.width
+
+    def _by_both_steps(self) -> np.ndarray:
+        """For each class the weights of both steps of the output side by side; the last row is the bias."""
+        p, hidden, n = self.p, len(self.p["w1"]), self.classes
+        out = np.empty((n, hidden + 1, n + self.width), p["w2"].dtype)
+        out[:, :hidden, :n], out[:, :hidden, n:] = p["w1"], p["w2"]
+        out[:, hidden, :n], out[:, hidden, n:] = p["b1"], p["b2"]
+        return out
+
+    def _output(self, weights: np.ndarray, before: np.ndarray, ends: list[int], cls: np.ndarray, inner: np.ndarray):
+        """From the hidden layer's input, rows in order of class: the layer with a column of ones, exp of
+        the numbers of every class and of every id in the class, the sums of either, and minus the log
+        probability of each row's target."""
+        h = np.ones((len(before), before.shape[1] + 1), before.dtype)
+        h[:, :-1] = np.tanh(before, out=before)
+        z = np.empty((len(h), weights.shape[2]), h.dtype)
+        for c, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            if b > a:
+                np.matmul(h[a:b], weights[c], out=z[a:b])
+        at = np.arange(len(z)) * z.shape[1]
+        steps = np.zeros((z.shape[1], 2), z.dtype)  # which numbers belong to which step
+        steps[:self.classes, 0] = steps[self.classes:, 1] = 1
+        if not _small(z):
+            for part in (z[:, :self.classes], z[:, self.classes:]):
+                part -= part.max(1, keepdims=True)
+        picked = z.ravel().take(at + cls) + z.ravel().take(at + self.classes + inner)
+        np.exp(z, out=z)
+        sums = z @ steps
+        return h, z, sums, np.log(sums).sum(1) - picked
 
     def log_probs(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, targets: np.ndarray,
-                  block: int = 1024) -> np.ndarray:
+                  block: int = 256) -> np.ndarray:
         """Natural log probability of ``targets[t]`` after the ids up to t of the same text."""
         out = np.zeros(len(ids), np.float32)
         place, ok, scored = windows(ids, starts, lengths)
-        tables, p = self.tables(), self.p
-        direct = p["emb"] @ p["wh"][:self.dim] + p["bh"]
+        tables, p, d = self.tables(), self.p, self.dim
+        direct, weights = p["emb"] @ p["wh"][:d] + p["bh"], self._by_both_steps()
         for at in range(0, len(place), block):
-            rows, valid = place[at:at + block], ok[at:at + block]
-            _, mixed, _, _ = self._attend(tables, ids[rows], valid)
-            where = rows[:, STRIDE:][scored[at:at + block]]
-            h = np.tanh(direct[ids[where]] + mixed[scored[at:at + block]] @ p["wh"][self.dim:])
-            goal = targets[where]
-            cls = goal // self.width
-            z = h @ p["w1"] + p["b1"]
-            total = z[np.arange(len(z)), cls] - np.log(np.exp(z).sum(1))
-            order = np.argsort(cls, kind="stable")
-            hs, inner = h[order], (goal % self.width)[order]
-            ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
-            part = np.empty(len(goal), np.float32)
-            for c in np.flatnonzero(np.diff(ends)):
-                a, b = ends[c], ends[c + 1]
-                z = hs[a:b] @ p["w2"][c] + p["b2"][c]
-                part[a:b] = z[np.arange(b - a), inner[a:b]] - np.log(np.exp(z).sum(1))
-            total[order] += part
-            out[where] = total
+            rows = place[at:at + block]
+            x = ids.take(rows)
+            mixed = self._attend(tables, x, ok[at:at + block])[-1]
+            query = np.flatnonzero(scored[at:at + block])
+            where = rows[:, STRIDE:].ravel().take(query)
+            order, ends, cls, inner = self._by_class(targets.take(where))
+            query, where = query.take(order), where.take(order)
+            h = mixed.reshape(-1, d).take(query, axis=0) @ p["wh"][d:]
+            h += direct.take(x[:, STRIDE:].ravel().take(query), axis=0)
+            out[where] = -self._output(weights, h, ends, cls, inner)[-1]
         return out
 
     def _gradients(self, x: np.ndarray, ok: np.ndarray, scored: np.ndarray, goal: np.ndarray):
-        """Mean negative log likelihood of a batch of windows, and its gradients."""
+        """Mean negative log likelihood of a batch of windows, and its gradients.
+
+        What follows the attention runs over the scored queries in order of their targets' class."""
         p, d = self.p, self.dim
-        tables = self.tables()
-        w, mixed, keys, values = self._attend(tables, x, ok)
-        xq = x[:, STRIDE:][scored]
-        both = np.concatenate([p["emb"][xq], mixed[scored]], 1)
-        h = np.tanh(both @ p["wh"] + p["bh"])
-        n = np.float32(len(goal))
-        cls, inner = goal // self.width, goal % self.width
-        z = h @ p["w1"] + p["b1"]
-        z = np.exp(z - z.max(1, keepdims=True))
-        z /= z.sum(1, keepdims=True)
-        loss = -np.log(z[np.arange(len(z)), cls] + 1e-30).sum()
-        z[np.arange(len(z)), cls] -= 1
-        z /= n
-        g = {"w1": h.T @ z, "b1": z.sum(0), "w2": np.zeros_like(p["w2"]), "b2": np.zeros_like(p["b2"])}
-        dh = z @ p["w1"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            rows = order[ends[c]:ends[c + 1]]
-            y = h[rows] @ p["w2"][c] + p["b2"][c]
-            y = np.exp(y - y.max(1, keepdims=True))
-            y /= y.sum(1, keepdims=True)
-            loss -= np.log(y[np.arange(len(rows)), inner[rows]] + 1e-30).sum()
-            y[np.arange(len(rows)), inner[rows]] -= 1
-            y /= n
-            g["w2"][c], g["b2"][c] = h[rows].T @ y, y.sum(0)
-            dh[rows] += y @ p["w2"][c].T
-        dz = dh * (1 - h * h)
-        g["wh"], g["bh"] = both.T @ dz, dz.sum(0)
+        kind = p["emb"].dtype.type
+        w, total, query, keys, values, mixed = self._attend(self.tables(), x, ok)
+        order, ends, cls, inner = self._by_class(goal)
+        at = np.flatnonzero(scored).take(order)
+        both = np.empty((len(at), 2 * d), kind)
+        both[:, :d] = p["emb"].take(x[:, STRIDE:].ravel().take(at), axis=0)
+        both[:, d:] = mixed.reshape(-1, d).take(at, axis=0)
+        before = both @ p["wh"]
+        before += p["bh"]
+        weights = self._by_both_steps()
+        h, z, sums, loss = self._output(weights, before, ends, cls, inner)
+        n, classes, line = kind(len(goal)), self.classes, np.arange(len(goal)) * z.shape[1]
+        share = 1 / (n * sums)
+        z[:, :classes] *= share[:, :1]
+        z[:, classes:] *= share[:, 1:]
+        flat = z.ravel()
+        flat[line + cls] -= 1 / n
+        flat[line + classes + inner] -= 1 / n
+        gw, dz = np.zeros_like(weights), np.empty_like(h)
+        for c, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            if b > a:
+                np.matmul(h[a:b].T, z[a:b], out=gw[c])
+                np.matmul(z[a:b], weights[c].T, out=dz[a:b])
+        first = gw[:, :, :classes].sum(0)
+        g = {"w1": first[:-1], "b1": first[-1], "w2": gw[:, :-1, classes:], "b2": gw[:, -1, classes:]}
+        np.multiply(before, before, out=before)
+        np.subtract(1, before, out=before)
+        before *= dz[:, :-1]
+        dz = before
+        g["wh"], g["bh"] = both.T @ dz, np.ones(len(dz), kind) @ dz
         dboth = dz @ p["wh"].T
-        ids = len(p["emb"])
-        demb = _sums(ids, xq, dboth[:, :d])
-        dmixed = np.zeros_like(mixed)
-        dmixed[scored] = dboth[:, d:]
-        dw = np.matmul(dmixed, values.transpose(0, 2, 1))
-        dvalues = np.matmul(w.transpose(0, 2, 1), dmixed)
-        ds = w * (dw - (dw * w).sum(2, keepdims=True))
-        g["near"] = np.bincount(_DISTANCE.ravel(), ds.sum(0).ravel(), SPAN).astype(np.float32)
-        q = tables[0]
-        dq = _sums(ids, x[:, STRIDE:].ravel(), np.matmul(ds, keys).reshape(-1, d))
-        dkeys = np.matmul(ds.transpose(0, 2, 1), q[x[:, STRIDE:]])
-        dk, dv = np.hsplit(_sums(ids, x.ravel(), np.concatenate([dkeys, dvalues], 2).reshape(-1, 2 * d)), 2)
-        dq = dq * np.float32(1 / np.sqrt(d))
-        for name, part in (("wq", dq), ("wk", dk), ("wv", dv)):
+        dmixed = np.zeros((scored.size, d), kind)
+        dmixed[at] = dboth[:, d:]
+        dmixed = dmixed.reshape(mixed.shape)
+        dmixed /= total  # since the weights are not divided by their sums
+        ds = np.matmul(dmixed, values.transpose(0, 2, 1))
+        ds -= _row_sums(dmixed * mixed)[:, :, None]
+        ds *= w
+        g["near"] = np.bincount(_DISTANCE.ravel(), np.ones(len(ds), kind) @ ds.reshape(len(ds), -1), SPAN).astype(kind)
+        # gradients of keys and values, then of the scored ids and of queries, summed by id at once
+        ids, keyed = len(p["emb"]), x.size
+        parts = np.zeros((keyed + scored.size, 2 * d), kind)
+        parts[:keyed, :d] = np.matmul(ds.transpose(0, 2, 1), query).reshape(-1, d)
+        parts[:keyed, d:] = np.matmul(w.transpose(0, 2, 1), dmixed).reshape(-1, d)
+        parts[keyed + at, :d] = dboth[:, :d]
+        parts[keyed:, d:] = np.matmul(ds, keys).reshape(-1, d)
+        sums = _sums(2 * ids, np.concatenate([x.ravel(), x[:, STRIDE:].ravel() + ids]), parts)
+        demb = sums[ids:, :d]
+        for name, part in (("wq", sums[ids:, d:] * kind(1 / np.sqrt(d))), ("wk", sums[:ids, :d]), ("wv", sums[:ids, d:])):
             g[name] = p["emb"].T @ part
-            demb += part @ p[name].T
+            demb = demb + part @ p[name].T
         g["emb"] = demb
-        return float(loss / n), g
+        return float(loss.sum() / n), g
 
     def start(self) -> np.ndarray:
         """State of training, one flat row each: weights, first and second moments."""
@@ -169,9 +226,13 @@ class Attention:
 
     def load(self, state: np.ndarray) -> None:
         """Take the weights of a state."""
+        self._view(state[0].astype(np.float32))
+
+    def _view(self, flat: np.ndarray) -> None:
+        """Let the weights be views of one flat row."""
         at = 0
         for k, v in self.p.items():
-            self.p[k] = state[0, at:at + v.size].reshape(v.shape).astype(np.float32)
+            self.p[k] = flat[at:at + v.size].reshape(v.shape)
             at += v.size
 
     def train(self, state: np.ndarray, done: float, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
@@ -179,17 +240,28 @@ class Attention:
         """Adam over the shuffled windows of texts, once, from a state after ``done`` steps; the
         state is changed in place. A batch below ``batch`` windows steps less. Returns the steps made."""
         place, ok, scored = windows(ids, starts, lengths)
+        if not len(place):
+            return 0
         parts = np.array_split(np.random.default_rng(seed).permutation(len(place)), max(1, -(-len(place) // batch)))
+        weights, first, second = state.astype(np.float32)
+        self._view(weights)
         for t, rows in enumerate(parts, 1):
-            if not len(rows):
-                return 0
-            self.load(state)
-            s = scored[rows]
-            _, g = self._gradients(ids[place[rows]], ok[rows], s, targets[place[rows][:, STRIDE:][s]])
+            s, own = scored.take(rows, axis=0), place.take(rows, axis=0)
+            _, g = self._gradients(ids.take(own), ok.take(rows, axis=0), s, targets.take(own[:, STRIDE:][s]))
             g = np.concatenate([g[k].ravel() for k in self.p])
-            state[1] += 0.1 * (g - state[1])
-            state[2] += 0.02 * (g * g - state[2])
-            step = rate * min(1.0, len(rows) / batch) / (1 - 0.9**(done + t))
-            state[0] -= step * state[1] / (np.sqrt(state[2] / (1 - 0.98**(done + t))) + 1e-8)
+            change = g - first
+            change *= np.float32(0.1)
+            first += change
+            np.multiply(g, g, out=g)
+            g -= second
+            g *= np.float32(0.02)
+            second += g
+            np.divide(second, np.float32(1 - 0.98**(done + t)), out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-8)
+            np.divide(first, g, out=g)
+            g *= np.float32(rate * min(1.0, len(rows) / batch) / (1 - 0.9**(done + t)))
+            weights -= g
+        state[:] = weights, first, second
         self.load(state)
         return len(parts)

@@ -224,7 +224,24 @@ class Codec:
         """Ids and names of each pre-token; short ones by trees over many words, long ones by a tree of their own."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         out: list[tuple[bytes, str]] = [(b"", "")] * len(words)
-        size = np.array([len(r) for r in raw])
+        for own, ids, ends in self.merge_words(raw):
+            flat, names = ids.astype("<u4").tobytes(), list(map(self.names.__getitem__, ids.tolist()))
+            for r, a, b in zip(own.tolist(), [0, *ends], ends, strict=False):
+                out[r] = flat[4 * a:4 * b], names[a] if b - a == 1 else " ".join(names[a:b])
+        for r, w in enumerate(raw):
+            if self.alone(w):
+                flat = np.array(self.merge_bytes(w), "<u4").tobytes()
+                out[r] = flat, self.decode(flat)
+        return out
+
+    def alone(self, raw: bytes) -> bool:
+        """Whether a word is merged by ``merge_bytes`` only."""
+        return len(raw) > WIDEST or not self.whole
+
+    def merge_words(self, raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+        """Of the words that need no tree of their own, some at a time: their places in ``raw``, their ids
+        one after the other, and where each word's ids end."""
+        size = np.array([len(r) for r in raw], np.int64)
         if not self.whole:
             size[:] = WIDEST + 1
         low = 0
@@ -242,15 +259,7 @@ class Codec:
                 ids[rows, n - 1] = self.last_ids[symbols[np.cumsum(n) - 1]]
                 ids = self.trees.merge(ids, n)
                 kept = ids >= 0
-                ends = np.cumsum(kept.sum(1)).tolist()
-                ids = ids[kept]
-                flat, names = ids.astype("<u4").tobytes(), list(map(self.names.__getitem__, ids.tolist()))
-                for r, a, b in zip(own.tolist(), [0, *ends], ends, strict=False):
-                    out[r] = flat[4 * a:4 * b], names[a] if b - a == 1 else " ".join(names[a:b])
-        for r in np.flatnonzero(size > WIDEST).tolist():
-            flat = np.array(self.merge_bytes(raw[r]), "<u4").tobytes()
-            out[r] = flat, self.decode(flat)
-        return out
+                yield own, ids[kept], np.cumsum(kept.sum(1)).tolist()
 
     def _learn(self, chunks: list[str]) -> dict[str, tuple[bytes, str]]:
         """Ids and decoded text of chunks, all their new words merged together."""

@@ -60,6 +60,7 @@ PIECES = CLASSES * WIDTH - 2
 END, ESCAPE = 0, 1
 MIX = 0.7
 MEMO = 200_000
+WIDE_WORD = 4096        # bytes up to which words are cut together
 _FLUSH = 500_000
 _LOWER = bytes([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)])
 
@@ -95,6 +96,19 @@ class Cutter:
     def __init__(self, inner: dict[bytes, int], last: dict[bytes, int]):
         self.inner, self.last = inner, last
         self.longest = max(map(len, [*inner, *last, b"x"]))
+        # the same as a tree over bytes for many words at once: node 0 is none, node 1 the root
+        nodes = {b"": 1}
+        for piece in [*inner, *last]:
+            for k in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:k], len(nodes) + 1)
+        self.below = np.zeros((len(nodes) + 1, 256), np.int32)
+        self.found = np.full((2, len(nodes) + 1), -1, np.int32)  # within a word, at its end
+        for piece, node in nodes.items():
+            if piece:
+                self.below[nodes[piece[:-1]], piece[-1]] = node
+        for k, ids in enumerate((inner, last)):
+            for piece, i in ids.items():
+                self.found[k, nodes[piece]] = i
 
     def cut(self, word: bytes) -> list[int]:
         out, at, n = [], 0, len(word)
@@ -110,30 +124,83 @@ class Cutter:
                 at += 1
         return out
 
+    def cut_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all words one after the other, and their number in each word."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        if not len(raw):
+            return np.zeros(0, np.uint16), np.zeros(len(words), np.int64)
+        stops = np.cumsum(sizes)
+        left = np.repeat(stops, sizes) - np.arange(len(raw))  # bytes up to the word's end
+        best, length = np.full(len(raw), ESCAPE, np.uint16), np.ones(len(raw), np.int64)
+        place, node = np.arange(len(raw)), self.below[1].take(raw)
+        for k in range(1, self.longest + 1):
+            going = np.flatnonzero(node)
+            place, node = place.take(going), node.take(going)
+            if not len(place):
+                break
+            rest = left.take(place)
+            ids = self.found[(rest == k).view(np.int8), node]
+            hit = np.flatnonzero(ids >= 0)
+            best[place.take(hit)], length[place.take(hit)] = ids.take(hit), k
+            going = np.flatnonzero(rest > k)
+            place = place.take(going)
+            node = self.below[node.take(going), raw.take(place + k)]
+        used = np.zeros(len(raw) + 1, np.int64)
+        full = np.flatnonzero(sizes)
+        at, end = (stops - sizes).take(full), stops.take(full)
+        while len(at):  # the next piece of every word that has one
+            used[at] = 1
+            at = at + length.take(at)
+            going = np.flatnonzero(at < end)
+            at, end = at.take(going), end.take(going)
+        before = np.concatenate([[0], np.cumsum(used)])
+        return best[used[:-1] > 0], before.take(stops) - before.take(stops - sizes)
+
 
 def piece_counts(counts: DataFrame, path: str) -> DataFrame:
     """(a, b, n) over all counted words (word, c): uses of piece a (b = -1) and of the pair a, b in a word."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.codec_for(path)
-        seen: Counter = Counter()
-
-        def flush():
-            a, b = zip(*seen, strict=True)
-            out = pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()),
-                                              pa.array(list(seen.values()), pa.int64())], names=["a", "b", "n"])
-            seen.clear()
-            return out
+        keys, uses, held = [], [], 0  # a << 32 | b + 1
+
+        def add(ids: np.ndarray, ends: np.ndarray, n: np.ndarray):
+            each = np.repeat(n, np.diff(ends, prepend=0))
+            same = np.ones(len(ids), bool)  # the next id belongs to the same word
+            same[ends[np.diff(ends, prepend=0) > 0] - 1] = False
+            pair = np.flatnonzero(same)
+            keys.extend([ids << 32, ids[pair] << 32 | ids[pair + 1] + 1])
+            uses.extend([each, each[pair]])
+            return len(ids) + len(pair)
+
+        def summed():
+            flat, n = np.concatenate(keys), np.concatenate(uses)
+            order = np.argsort(flat, kind="stable")
+            flat = flat[order]
+            first = np.flatnonzero(np.diff(flat, prepend=-1))
+            return flat[first], np.add.reduceat(n[order], first)
+
+        def rows(flat: np.ndarray, n: np.ndarray):
+            return pa.RecordBatch.from_arrays([pa.array((flat >> 32).astype(np.int32)), pa.array(((flat & 0xFFFFFFFF) - 1).astype(np.int32)),
+                                               pa.array(n)], names=["a", "b", "n"])
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = codec.merge_bytes(word) if word else []
-                for i in ids:
-                    seen[i, -1] += n
-                for pair in zip(ids, ids[1:], strict=False):
-                    seen[pair] += n
-                if len(seen) >= _FLUSH:
-                    yield flush()
-        if seen:
-            yield flush()
+            raw, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for own, ids, ends in codec.merge_words(raw):
+                held += add(ids, np.array(ends, np.int64), n[own])
+            for r, word in enumerate(raw):
+                if word and codec.alone(word):
+                    ids = np.array(codec.merge_bytes(word), np.int64)
+                    if len(ids):
+                        held += add(ids, np.array([len(ids)]), n[r:r + 1])
+            if held >= _FLUSH:
+                flat, n = summed()
+                if len(flat) >= _FLUSH // 2:
+                    yield rows(flat, n)
+                    keys, uses, held = [], [], 0
+                else:
+                    keys, uses, held = [flat], [n], len(flat)
+        if held:
+            yield rows(*summed())
     return counts.select("word", "c").mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -177,21 +244,35 @@ class Scorer:
         self.index: dict[bytes, int] = {}
         self.pieces, self.offset, self.count = array("H"), array("q", [0]), array("q")
 
-    def _add(self, word: bytes) -> int:
-        self.pieces.extend(self.cutter.cut(word) if word else [END])
-        self.offset.append(len(self.pieces))
-        self.count.append(self.hot.get(word, -1))  # -1: not among the words known here
-        i = self.index[word] = len(self.index)
-        return i
+    def _add(self, words: list[bytes]) -> None:
+        size = np.ones(len(words), np.int64)
+        many = np.array([0 < len(w) <= WIDE_WORD for w in words], bool)
+        cut, n = self.cutter.cut_many([w for w, short in zip(words, many.tolist(), strict=True) if short])
+        size[many] = n
+        alone = {i: np.array(self.cutter.cut(words[i]) if words[i] else [END], np.uint16) for i in np.flatnonzero(~many).tolist()}
+        for i, ids in alone.items():
+            size[i] = len(ids)
+        stops = np.cumsum(size)
+        pieces = np.empty(int(stops[-1]), np.uint16)
+        inside = np.repeat(many, size)
+        pieces[inside] = cut
+        for i, ids in alone.items():
+            pieces[stops[i] - size[i]:stops[i]] = ids
+        self.offset.frombytes((stops + len(self.pieces)).tobytes())
+        self.pieces.frombytes(pieces.tobytes())
+        self.count.extend([self.hot.get(w, -1) for w in words])  # -1: not among the words known here
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
 
     def laid(self, texts: list[list[bytes]]):
         """Texts as lists of words, each ending with b"", laid end to end: ids, starts, lengths and
         targets of their pieces, then the place of each word in the table and where its pieces end."""
         if len(self.index) > MEMO:
             self._reset()
-        known, add = self.index.get, self._add
         flat = [w for words in texts for w in words]
-        at = np.fromiter((i if (i := known(w)) is not None else add(w) for w in flat), np.int64, len(flat))
+        new = list(set(flat).difference(self.index))
+        if new:
+            self._add(new)
+        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
         offset = np.array(self.offset, np.int64)
         sizes = (offset[1:] - offset[:-1])[at]
         stops = np.cumsum(sizes)

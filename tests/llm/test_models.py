@@ -161,6 +161,65 @@ def test_lm_trains_on_every_row_and_counts_pieces_of_all_words(spark, monkeypatc
         assert lmscore.train_everywhere(df, model, cutter, len(texts), 10**5, passes) == passes * pieces
 
 
+def test_attention_with_large_numbers():
+    rng = np.random.default_rng(4)
+    model = attention.Attention(4, 5, dim=6, hidden=7)
+    ids, goal, one = rng.integers(0, 20, 50), rng.integers(0, 20, 50), (np.array([0, 33]), np.array([33, 17]))
+    for name, factor in (("wq", 3000), ("b1", 0), ("w1", 2000), ("w2", 2000)):
+        model.p[name] = (model.p[name] + (name == "b1") * 90) * np.float32(factor or 1)
+    got = model.log_probs(ids, *one, goal)
+    assert np.isfinite(got).all() and got.min() < -100
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    for start, n in zip(*one, strict=True):
+        for t in range(n):
+            seen = np.arange(max(0, t // attention.STRIDE - 1) * attention.STRIDE, t + 1)
+            e = p["emb"][ids[start + seen]]
+            w = e @ p["wk"] @ (p["emb"][ids[start + t]] @ p["wq"]) / math.sqrt(6) + p["near"][t - seen]
+            w = np.exp(w - w.max())
+            h = np.tanh(np.concatenate([e[-1], w / w.sum() @ (e @ p["wv"])]) @ p["wh"] + p["bh"])
+            c, i = divmod(goal[start + t], 5)
+            want = 0.0
+            for z, k in ((h @ p["w1"] + p["b1"], c), (h @ p["w2"][c] + p["b2"][c], i)):
+                want += z[k] - z.max() - math.log(np.exp(z - z.max()).sum())
+            assert got[start + t] == pytest.approx(want, rel=1e-2, abs=0.1)
+    place, ok, scored = attention.windows(ids, *one)
+    loss, g = model._gradients(ids[place], ok, scored, goal[place[:, attention.STRIDE:][scored]])
+    assert loss == pytest.approx(-got.mean(), rel=1e-4) and all(np.isfinite(x).all() for x in g.values())
+
+
+def test_words_are_cut_and_merged_together():
+    rng = random.Random(8)
+    codec = lmscore.bpe.codec_for(lmscore.bpe.vocabulary_path())
+    words = [bytes(rng.choice(b"aehnrst\xc3\xa9\x00\xff") for _ in range(rng.choice([1, 2, 5, 9, 64, 65, 200]))) for _ in range(500)]
+    done = {}
+    for own, ids, ends in codec.merge_words(words):
+        for r, a, b in zip(own.tolist(), [0, *ends], ends):
+            done[r] = ids[a:b].tolist()
+    assert {r: codec.merge_bytes(words[r]) for r in done} == done
+    assert [r for r, w in enumerate(words) if codec.alone(w)] == [r for r in range(len(words)) if r not in done]
+    pieces = [b"a", b"he", b"hen", b"r", b"st", b"\xc3\xa9", b"nrst"]
+    for cutter in (lmscore.Cutter({x: i + 2 for i, x in enumerate(pieces)}, {x: i + 20 for i, x in enumerate(pieces[1:])}), lmscore.Cutter({}, {})):
+        one_by_one = [cutter.cut(w) for w in [b"", *words]]
+        cut, n = cutter.cut_many([b"", *words])
+        assert n.tolist() == [len(x) for x in one_by_one] and cut.tolist() == [i for x in one_by_one for i in x]
+        scorer = lmscore.Scorer(None, cutter, {}, 0, 0)
+        texts = [[*words, b"a" * (lmscore.WIDE_WORD + 1), b""], [b""], [*words[:50], b"new", b""]]
+        goal = scorer.laid(texts)[3]
+        assert goal.tolist() == [i for ws in texts for w in ws for i in (cutter.cut(w) if w else [lmscore.END])]
+
+
+def test_piece_counts_of_long_and_odd_words(spark):
+    words = [b"", b"x", b"the", b"\xff\x00", b"n" * 64, b"ab" * 33, b"the" * 5000, "naïveté".encode()]
+    path = lmscore.bpe.vocabulary_path()
+    codec, want = lmscore.bpe.codec_for(path), Counter()
+    for c, w in enumerate(words, 10**10):
+        ids = codec.merge_bytes(w) if w else []
+        for key in [(i, -1) for i in ids] + list(zip(ids, ids[1:])):
+            want[key] += c
+    df = spark.createDataFrame([(bytearray(w), c) for c, w in enumerate(words, 10**10)], "word binary, c long")
+    assert {(r.a, r.b): r.n for r in lmscore.piece_counts(df, path).collect()} == want
+
+
 def test_sum_product_equals_enumeration():
     rng = np.random.default_rng(3)
     page = dom.parse("<div><p>a</p><ul><li>b<li>c</ul></div><p>d</p>")
