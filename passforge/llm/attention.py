@@ -243,25 +243,23 @@ class Attention:
         if not len(place):
             return 0
         parts = np.array_split(np.random.default_rng(seed).permutation(len(place)), max(1, -(-len(place) // batch)))
-        weights, first, second = state.astype(np.float32)
-        self._view(weights)
+        weights, first, second = state
         for t, rows in enumerate(parts, 1):
+            self.load(state)
             s, own = scored.take(rows, axis=0), place.take(rows, axis=0)
             _, g = self._gradients(ids.take(own), ok.take(rows, axis=0), s, targets.take(own[:, STRIDE:][s]))
             g = np.concatenate([g[k].ravel() for k in self.p])
             change = g - first
-            change *= np.float32(0.1)
+            change *= 0.1
             first += change
-            np.multiply(g, g, out=g)
-            g -= second
-            g *= np.float32(0.02)
-            second += g
-            np.divide(second, np.float32(1 - 0.98**(done + t)), out=g)
-            np.sqrt(g, out=g)
-            g += np.float32(1e-8)
-            np.divide(first, g, out=g)
-            g *= np.float32(rate * min(1.0, len(rows) / batch) / (1 - 0.9**(done + t)))
-            weights -= g
-        state[:] = weights, first, second
+            change = g * g - second
+            change *= 0.02
+            second += change
+            np.divide(second, 1 - 0.98**(done + t), out=change)
+            np.sqrt(change, out=change)
+            change += 1e-8
+            np.divide(first, change, out=change)
+            change *= rate * min(1.0, len(rows) / batch) / (1 - 0.9**(done + t))
+            weights -= change
         self.load(state)
         return len(parts)
