@@ -161,6 +161,22 @@ def test_line_dedup_finds_every_template_of_a_leaf(spark):
     assert all(dropped[100 * k + i] == 1 for k in (0, 1) for i in range(12))
 
 
+@pytest.mark.parametrize("first,more", [(1, 2), (64, 512)])  # cores of a leaf in a round: few, and all at once
+def test_line_dedup_takes_many_cores_of_a_leaf_at_once(spark, monkeypatch, first, more):
+    monkeypatch.setattr(linededup, "FIRST_LINES", first, raising=False)
+    monkeypatch.setattr(linededup, "MORE_LINES", more, raising=False)
+    # one leaf: kinds that agree in 4 or 5 of 10 positions, some in 5 documents and more
+    lines = [" ".join(["see", "all", "of", "it"] + [f"{chr(97 + k)}{chr(97 + (k * j) % 5)}x" for j in range(6)]) for k in range(24)]
+    rows = [(100 * k + i, line + "\nown " + chr(97 + k) + chr(97 + i)) for k, line in enumerate(lines) for i in range(2 + k % 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.sparkContext.setJobGroup(group := f"cores-{first}", "line dedup")
+    out = {r.doc_id: r.n_dropped for r in linededup.line_report(df).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert out == {i: int(2 + i // 100 % 6 >= 5) for i, _ in rows}
+    assert first == 1 or jobs < 60  # with one core of a leaf in a round it was 140
+
+
 def test_line_dedup_equals_sql(spark, tmp_path):
     import random
 
